@@ -16,9 +16,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 def registry():
     """``(queries, oracles)`` of every operator module, imported on first use."""
-    from . import simhash_dedup
+    from . import pu_classifier, quality_rules, simhash_dedup
 
-    modules = (simhash_dedup,)
+    modules = (pu_classifier, quality_rules, simhash_dedup)
     queries, oracles = {}, {}
     for module in modules:
         queries.update(module.QUERIES)
