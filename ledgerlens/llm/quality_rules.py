@@ -93,7 +93,9 @@ def fit_platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> np.ndarray | None:
     """Calibrated weights (bias last), or None without labels of both kinds."""
     x, y = fit_matrix(docs, bounded_ids(one_label_per_document(labels), max_rows))
-    aside = np.arange(len(y)) % 4 == 0
+    aside = np.zeros(len(y), bool)
+    for kind in (0, 1):
+        aside[np.flatnonzero(y == kind)[::4]] = True
     if len({*y[aside]}) < 2 or len({*y[~aside]}) < 2:
         return None
     w = fit_logistic(x[~aside], y[~aside])
