@@ -35,7 +35,7 @@ def texts():
         'é token = "5f367f08b1a810c7777ad785b0be42018bfcbf49" end',
         "key wJalrXUtnFEMI7K9MDENGbPxRfiCYzQ81aa here",
         "id 123e4567-e89b-12d3-a456-426614174000 and some-long-hyphenated-name-2024 and /usr/share/python3/dist-packages",
-        "x" * 30 + " " + "ab1" * 12,
+        "x" * 30 + " " + "zb1" * 12,
         *["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(150)],
     ]
 
