@@ -16,9 +16,18 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 def registry():
     """``(queries, oracles)`` of every operator module, imported on first use."""
-    from . import chat_format, packing, pii, pu_classifier, quality_rules, secret_scan, simhash_dedup
+    from . import (
+        chat_format,
+        decontaminate,
+        packing,
+        pii,
+        pu_classifier,
+        quality_rules,
+        secret_scan,
+        simhash_dedup,
+    )
 
-    modules = (secret_scan, chat_format, pii, packing, pu_classifier, quality_rules, simhash_dedup)
+    modules = (decontaminate, secret_scan, chat_format, pii, packing, pu_classifier, quality_rules, simhash_dedup)
     queries, oracles = {}, {}
     for module in modules:
         queries.update(module.QUERIES)
