@@ -19,6 +19,7 @@ def registry():
     from . import (
         chat_format,
         decontaminate,
+        line_dedup,
         packing,
         pii,
         pu_classifier,
@@ -27,7 +28,7 @@ def registry():
         simhash_dedup,
     )
 
-    modules = (decontaminate, secret_scan, chat_format, pii, packing, pu_classifier, quality_rules, simhash_dedup)
+    modules = (line_dedup, decontaminate, secret_scan, chat_format, pii, packing, pu_classifier, quality_rules, simhash_dedup)
     queries, oracles = {}, {}
     for module in modules:
         queries.update(module.QUERIES)

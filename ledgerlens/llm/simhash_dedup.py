@@ -85,8 +85,13 @@ def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
     return source.mapInArrow(run, f"{fields}, fp long")
 
 
-def forest(members: np.ndarray, block: int = 256) -> list[tuple[int, int]]:
-    """Spanning forest of the links among distinct fingerprints of one list."""
+def forest(
+    members: np.ndarray, apart: int = BITS_APART, equal: int = MIN_EQUAL_BYTES, block: int = 256
+) -> list[tuple[int, int]]:
+    """Spanning forest of the links among distinct fingerprints of one list.
+
+    A pair needs ``equal`` bytes in common and at most ``apart`` bits different.
+    """
     rest, out = members.copy(), []
     while len(rest) > 1:
         frontier, rest = rest[:1], rest[1:]
@@ -95,9 +100,10 @@ def forest(members: np.ndarray, block: int = 256) -> list[tuple[int, int]]:
             step = max(1, 4_000_000 // len(head))
             linked = np.full(len(rest), -1)
             for at in range(0, len(rest), step):
-                apart = rest[at : at + step, None] ^ head[None, :]
-                same = (apart.view(np.uint8).reshape(*apart.shape, 8) == 0).sum(2)
-                ok = (same >= MIN_EQUAL_BYTES) & (np.bitwise_count(apart) <= BITS_APART)
+                diff = rest[at : at + step, None] ^ head[None, :]
+                ok = np.bitwise_count(diff) <= apart
+                if equal:
+                    ok &= (diff.view(np.uint8).reshape(*diff.shape, 8) == 0).sum(2) >= equal
                 found = ok.any(1)
                 linked[at : at + step][found] = ok[found].argmax(1)
             hit = linked >= 0
