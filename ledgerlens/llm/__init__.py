@@ -20,6 +20,7 @@ def registry():
         chat_format,
         decontaminate,
         line_dedup,
+        lm_scoring,
         packing,
         pii,
         pu_classifier,
@@ -28,7 +29,7 @@ def registry():
         simhash_dedup,
     )
 
-    modules = (line_dedup, decontaminate, secret_scan, chat_format, pii, packing, pu_classifier, quality_rules, simhash_dedup)
+    modules = (lm_scoring, line_dedup, decontaminate, secret_scan, chat_format, pii, packing, pu_classifier, quality_rules, simhash_dedup)
     queries, oracles = {}, {}
     for module in modules:
         queries.update(module.QUERIES)

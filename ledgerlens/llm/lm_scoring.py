@@ -169,8 +169,9 @@ class Trainer:
         self.seen += len(codes)
         codes, counts = np.unique(codes, return_counts=True)
         order = self.rng.permutation(len(codes))
-        for at in range(0, len(order), BATCH):
-            some = order[at : at + BATCH]
+        batch = min(BATCH, max(128, len(order) // 64))
+        for at in range(0, len(order), batch):
+            some = order[at : at + batch]
             context, w = np.divmod(codes[some], OUTPUTS)
             c2, c1 = np.divmod(context, OUTPUTS + 1)
             self.step(c2.astype(np.int16), c1.astype(np.int16), w.astype(np.int16), counts[some].astype(np.float32))
