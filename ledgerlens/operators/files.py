@@ -79,7 +79,7 @@ def duplicates(files: DataFrame, key="sha1", least: int = 2) -> DataFrame:
 
 def clone_shape(content):
     """Hash of a text with every word as ``$`` and every number as ``#``."""
-    words = F.regexp_replace(F.regexp_replace(content, r"[0-9]+", "#"), r"[\p{L}_]+", "$")
+    words = F.regexp_replace(F.regexp_replace(content, r"[0-9]+", "#"), r"[\p{L}_]+", r"\$")
     return F.sha1(F.regexp_replace(words, r"\s+", " ").cast("binary"))
 
 
