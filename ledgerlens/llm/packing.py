@@ -19,6 +19,8 @@ as separate documents; an empty table gives an empty result; columns other than
 from __future__ import annotations
 
 import array
+import os
+import unicodedata
 from zlib import crc32
 
 import pandas as pd
@@ -30,8 +32,9 @@ from pyspark.sql.window import Window
 from .shared import spread, table, worker_store, written
 
 CAPACITY, FILL, END_ID, BUCKETS = 4096, 0.99, 2, 64
-#: Words whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED, DOCS_AT_ONCE = 300_000, 64
+#: Words whose ids a worker remembers in each of two generations.
+REMEMBERED, DOCS_AT_ONCE, WORDS_AT_ONCE = 300_000, 256, 200
+CLOSING = b".,;:!?*$%&#|)"
 
 
 def cut(length: int, capacity: int = CAPACITY, fill: float = FILL) -> list[tuple[int, int]]:
@@ -48,27 +51,91 @@ def cut(length: int, capacity: int = CAPACITY, fill: float = FILL) -> list[tuple
     return pieces
 
 
+class Words:
+    """Ids of words, remembered in two generations.
+
+    A full young generation becomes the old one; words met again move back, so
+    frequent words stay and memory is bounded.
+    """
+
+    def __init__(self, limit: int = REMEMBERED):
+        self.young, self.old, self.limit = {}, {}, limit
+
+    def known(self, word: bytes) -> bool:
+        if word in self.young:
+            return True
+        ids = self.old.get(word)
+        if ids is None:
+            return False
+        self.young[word] = ids
+        return True
+
+    def make_room(self):
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+
+
+def encode_pieces(tokenizer, ends: frozenset, pieces: list[bytes]) -> dict[bytes, bytes]:
+    """Ids of pieces without white space, little-endian uint32.
+
+    Many words of letters are encoded as one text: the tokenizer cuts at white
+    space and only the last id of a word carries a word end.
+    """
+    texts = [p.decode() for p in pieces]
+    plain = [t.isalpha() and unicodedata.is_normalized("NFC", t) for t in texts]
+    words = [p for p, ok in zip(pieces, plain) if ok]
+    groups = [words[at : at + WORDS_AT_ONCE] for at in range(0, len(words), WORDS_AT_ONCE)]
+    encoded = tokenizer.encode_batch([b" ".join(g).decode() for g in groups], add_special_tokens=False)
+    out, alone = {}, [p for p, ok in zip(pieces, plain) if not ok]
+    for group, e in zip(groups, encoded):
+        ids = e.ids
+        cuts = [i + 1 for i, x in enumerate(ids) if x in ends]
+        if len(cuts) == len(group) and (not cuts or cuts[-1] == len(ids)):
+            out.update((w, array.array("I", ids[a:b]).tobytes()) for w, a, b in zip(group, [0, *cuts], cuts))
+        else:  # normalising has split a word
+            alone += group
+    for piece, e in zip(alone, tokenizer.encode_batch([p.decode() for p in alone], add_special_tokens=False)):
+        out[piece] = array.array("I", e.ids).tobytes()
+    return out
+
+
 def encoder(path: str):
     """``f(texts) -> list of little-endian uint32 id strings``.
 
-    The tokenizer cuts at white space before anything else, so a text's ids
-    are those of its words in order; words are encoded once per worker.
+    The tokenizer lower-cases and cuts at white space, and a run of punctuation
+    after a letter or digit is a token run of its own.  So a text's ids are
+    those of its words in order, and a word's those of its core and its closing
+    punctuation; each is encoded once while a worker remembers it.  Texts with
+    ``<|`` may hold a special token and are encoded whole.
     """
     store = worker_store()
     if ("tokenizer", path) not in store:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
         from tokenizers import Tokenizer
 
-        store["tokenizer", path] = Tokenizer.from_file(path), {}
-    tokenizer, known = store["tokenizer", path]
+        tokenizer = Tokenizer.from_file(path)
+        ends = frozenset(i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>"))
+        store["tokenizer", path] = tokenizer, ends, Words()
+    tokenizer, ends, words = store["tokenizer", path]
 
     def encode(texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = sorted({w for words in split for w in words if w not in known})
-        found = tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        known.update((w, array.array("I", e.ids).tobytes()) for w, e in zip(new, found))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        words.make_room()
+        raw = [(t or "").encode("utf-8", "replace") for t in texts]
+        split = [t.lower().split() if b"<|" not in t else [] for t in raw]
+        new = {w for own in split for w in own if not words.known(w)}
+        cores = {}
+        for w in new:
+            core = w.rstrip(CLOSING)
+            cores[w] = (core, w[len(core) :]) if core != w and core[-1:].isalnum() else (w,)
+        pieces = sorted({p for parts in cores.values() for p in parts if not words.known(p)})
+        words.young.update(encode_pieces(tokenizer, ends, pieces))
+        words.young.update((w, b"".join([words.young[p] for p in parts])) for w, parts in cores.items())
+        out = [b"".join(map(words.young.__getitem__, own)) for own in split]
+        for i, t in enumerate(raw):
+            if b"<|" in t:
+                ids = tokenizer.encode(t.decode(), add_special_tokens=False).ids
+                out[i] = array.array("I", ids).tobytes()
+        return out
 
     return encode
 

@@ -1,10 +1,11 @@
 import array
+import random
 from zlib import crc32
 
 import pytest
 from tokenizers import Tokenizer
 
-from ledgerlens.llm.packing import CAPACITY, cut, default_tokenizer, pack, sequences
+from ledgerlens.llm.packing import CAPACITY, Words, cut, default_tokenizer, encoder, pack, sequences
 
 from .helpers import documents
 
@@ -63,5 +64,24 @@ def test_sequences_hold_the_ids(spark, texts):
     assert all(len(s) == CAPACITY or len(s) & (len(s) - 1) == 0 for s in seqs.values())
 
 
+def test_words_are_encoded_like_whole_texts():
+    rng = random.Random(13)
+    parts = ["The", "é", "E\u0301", "İx", "\u0958", "ab", "12", "'s", "\u00a0", ".", ",!", "###", "(", "»", "日本", "x'S,", "<|endoftext|>", "<|ENDOFTEXT|>", "\x0c", "ß", "Σ"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " ", "\n"]) for _ in range(rng.randrange(60))) for _ in range(400)]
+    plain = Tokenizer.from_file(default_tokenizer())
+    encode = encoder(default_tokenizer())
+    for at in range(0, len(texts), 50):
+        for text, ids in zip(texts[at : at + 50], encode(texts[at : at + 50])):
+            assert array.array("I", ids).tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
+def test_memory_is_bounded():
+    words = Words(limit=2)
+    words.young = {b"a": b"1", b"b": b"2", b"c": b"3"}
+    words.make_room()
+    assert words.known(b"a") and b"a" in words.young and len(words.young) == 1
+    assert not words.known(b"d")
+
+
 def test_empty_table(spark):
     assert pack(documents(spark, ["a"]).limit(0), default_tokenizer()).count() == 0
