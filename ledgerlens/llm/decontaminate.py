@@ -141,10 +141,19 @@ def find_matches(text: str, index: dict, present: np.ndarray) -> list[tuple[int,
     diagonal = np.repeat(at, count) - index["at"][entry]
     step = 2 * index["edits"][window] + 1
     band = diagonal // step
-    cell = np.concatenate([np.c_[window, band], np.c_[window, band - 1]])
-    cell, hits = np.unique(cell, axis=0, return_counts=True)
+    lowest = int(band.min())
+    cell = window * (len(text) + 4 * WINDOW) + (band - lowest + 1)
+    cell, place = np.concatenate([cell, cell - 1]), np.tile(index["at"][entry], 2)
+    # cells by a hash first, which never counts too few; then distinct places of the window exactly
+    slot = cell & 0xFFFF
+    some = np.bincount(slot, minlength=1 << 16)[slot] >= index["least"][cell // (len(text) + 4 * WINDOW)]
+    places = np.unique(cell[some] * WINDOW + place[some]) // WINDOW
+    cell, hits = np.unique(places, return_counts=True)
+    w, b = np.divmod(cell, len(text) + 4 * WINDOW)
+    b = b + lowest - 1
+    enough = hits >= index["least"][w]
     found = {}
-    for w, b in cell[hits >= index["least"][cell[:, 0]]]:
+    for w, b in zip(w[enough].tolist(), b[enough].tolist()):
         item, edits = index["item"][w], int(index["edits"][w])
         if item in found and found[item][0] == 0:
             continue
