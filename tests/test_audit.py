@@ -1,0 +1,77 @@
+from pyspark.sql import functions as F
+
+from ledgerlens.operators import facts
+from ledgerlens.plans import audit
+
+FILES = "repo_id string, path string, content string"
+
+
+def frame(spark, tree, repo="r"):
+    return spark.createDataFrame([(repo, p, c) for p, c in tree.items()], FILES)
+
+
+def test_facts(spark):
+    tree = {
+        "src/a.ts": "import { z } from 'zod'\nexport * from \"./b\"\nconst c = await import('./c')\nexport async function go() {}\n",
+        "src/e.ts": "try { x() } catch (e) {}\ntry { y() } catch { console.error(e) }\ntry { z() } catch (e) { // known\n}\ntry { w() } catch (e) { throw e }\n",
+        "m.py": "import os\nfrom a.b import c\ntry:\n    x()\nexcept ValueError:\n    pass\nexcept OSError as e:\n    raise\n",
+        "a.test.ts": "it('one', () => { expect(f()).toBe(1) })\nit('two', () => { run() })\ntest(\"three\", () => { expect(f).toHaveBeenCalled() })\n",
+        "src/s.ts": "eval(code)\nx.eval('a')\ndb.query(`select ${id}`)\nres.set('Access-Control-Allow-Origin', '*')\n",
+        "scripts/s.ts": "execSync(`rm ${dir}`)\n",
+        "app/api/items/[id]/route.ts": "export async function DELETE() { return x }\nexport async function GET() {}\n",
+        "src/server.ts": "app.post('/login', handler)\napp.put('/me', requireAuth(), handler)\n",
+        "src/n.ts": "// fetch user by id\nconst user = fetchUserById(id)\n// why this is so\nconst y = 1\n",
+    }
+    df = frame(spark, tree)
+    specs = {(r.from_path, r.specifier, r.dynamic) for r in facts.specifiers(df).collect()}
+    assert {("src/a.ts", "zod", False), ("src/a.ts", "./b", False), ("src/a.ts", "./c", True), ("m.py", "os", False), ("m.py", "a.b", False)} == specs
+    kinds = sorted((r.path, r.kind) for r in facts.handlers(df).collect())
+    assert kinds == [("m.py", "empty"), ("m.py", "handled"), ("src/e.ts", "documented"), ("src/e.ts", "empty"), ("src/e.ts", "handled"), ("src/e.ts", "log-only")]
+    cases = {r.name: (r.assertions, r.mock_only) for r in facts.test_cases(df).collect()}
+    assert cases == {"one": (1, 0), "two": (0, 0), "three": (1, 1)}
+    sinks = {(r.path, r.line, r.kind, r.in_app) for r in facts.sinks(df).collect()}
+    assert sinks == {("src/s.ts", 1, "eval", True), ("src/s.ts", 3, "sql", True), ("src/s.ts", 4, "cors", True), ("scripts/s.ts", 1, "shell", False)}
+    routes = {(r.method, r.route, r.guarded) for r in facts.routes(df).collect()}
+    assert routes == {("DELETE", "/api/items/:id", False), ("GET", "/api/items/:id", False), ("POST", "/login", False), ("PUT", "/me", True)}
+    assert {(r.line, r.hit) for r in facts.comments(df.where("path = 'src/n.ts'")).collect()} == {(1, True), (3, False)}
+    assert [r.name for r in facts.exports(df).where("path = 'src/a.ts'").collect()] == ["go"]
+
+
+def helper(name, item):
+    return f"export function {name}({item}) {{\n  const parts = {item}.split('-')\n  if (parts.length > 3) return 0\n  return parts[0] + parts[1] + parts[2]\n}}\n"
+
+
+def varied(i):
+    steps = "\n".join(f"  if (value > {j}) {{ total = total + {'value * ' * (j % 4)}{j} }}" for j in range(i + 1))
+    return f"export function f{i}(value) {{\n  let total = 0\n{steps}\n  return total\n}}\n"
+
+
+def test_generated_repository_scores_above_a_hand_written_one(spark):
+    poor = {f"src/f{i}.ts": helper(f"make{i}", f"arg{i}") + f"try {{ go() }} catch (e) {{}}\n// make value {i}\nconst makeValue{i} = 1\n" for i in range(24)}
+    poor |= {f"src/f{i}.test.ts": "it('works', () => { run() })\n" for i in range(6)}
+    poor["package.json"] = '{"dependencies": {"a": "1", "b": "1", "c": "1", "d": "1", "e": "1"}}'
+    poor["src/key.ts"] = "const k = 'AKIA" + "ABCDEFGHIJKLMNOP'\n"
+    good = {f"src/m{i}.ts": varied(i) + f"import {{ x }} from './m{(i + 1) % 24}'\ntry {{ go() }} catch (e) {{ report(e); throw e }}\n" for i in range(24)}
+    good |= {f"src/m{i}.test.ts": "it('adds', () => { expect(f(1)).toBe(2) })\n" for i in range(12)}
+    good |= {"LICENSE": "Permission is hereby granted", "package.json": "{}"}
+    both = frame(spark, poor, "poor").unionAll(frame(spark, good, "good"))
+    scores = {(r.repo_id, r.dimension): r for r in audit.audit_scores(both).collect()}
+    assert scores["poor", "authorship"].score > 60 > 20 > scores["good", "authorship"].score
+    assert scores["poor", "health"].score > scores["good", "health"].score + 40
+    assert scores["poor", "security"].score > 30 and scores["good", "security"].score == 0
+    rules = {(r.repo_id, r.rule_id) for r in audit.findings(both).collect()}
+    assert {("poor", "hardcoded-secret"), ("poor", "missing-license"), ("poor", "swallowed-errors")} <= rules
+    assert not {r for r in rules if r[0] == "good"}
+    signals = {(r.dimension, r.id): r for r in audit.audit_signals(both).where("repo_id = 'good'").collect()}
+    assert not signals["authorship", "unused-dependencies"].available if ("authorship", "unused-dependencies") in signals else True
+    assert not signals["health", "unused-dependencies"].available
+    assert audit.metrics(both).where("repo_id = 'good'").collect()[0].test_files == 12
+
+
+def test_history_joins_in(spark):
+    rows = [("r", f"c{i}", "a@x", f"Change number {i} of the parser", 400, 400, 86400 * i) for i in range(60)]
+    commits = spark.createDataFrame(rows, "repo_id string, sha string, author_email string, subject string, churn long, lines_added long, at long")
+    commits = commits.withColumn("ts", F.timestamp_seconds("at"))
+    signals = {r.id: r for r in audit.audit_signals(frame(spark, {"a.ts": "x"}), commits).where("dimension = 'authorship'").collect()}
+    assert signals["commit-size"].value > 0.5 and signals["refactor-ratio"].value == 1 and signals["commit-messages"].value == 0
+    assert signals["build-velocity"].available
