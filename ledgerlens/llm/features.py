@@ -105,6 +105,8 @@ def fit_matrix(docs: DataFrame, chosen: DataFrame, vector=text_features, width=W
     rows = (
         docs.select("doc_id", "text")
         .join(F.broadcast(chosen.select("doc_id", F.col("y").cast("double"))), "doc_id")
+        .groupBy("doc_id", "y")  # one text for an id that many rows share
+        .agg(F.min("text").alias("text"))
         .mapInArrow(run, "doc_id long, y double, at array<int>, value array<float>")
         .toArrow()
     )

@@ -50,7 +50,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Deal a table of fewer scan splits than cores over all cores.
 
     A table of one row group is a single task otherwise.  Large tables have
-    many splits and stay as they are, without a shuffle.
+    many splits and stay as they are, without a shuffle.  Meant for tables as
+    they are read, whose splits are known without running anything.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
