@@ -65,8 +65,12 @@ def env_hits(files: DataFrame, path="path", content="content") -> DataFrame:
 
 
 def dedupe_packages(packages: DataFrame) -> DataFrame:
-    """One row per (ecosystem, name, version): direct if any is, dev-only if all are."""
-    return packages.groupBy("ecosystem", "name", "version").agg(
+    """One row per (ecosystem, name, version): direct if any is, dev-only if all are.
+
+    Where the table has a ``repo_id``, per repository.
+    """
+    keys = [k for k in ("repo_id", "ecosystem", "name", "version") if k in packages.columns]
+    return packages.groupBy(*keys).agg(
         F.bool_or("direct").alias("direct"),
         F.bool_and("dev_only").alias("dev_only"),
         F.min("source").alias("source"),

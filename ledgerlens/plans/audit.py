@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..functions.scalars import is_bare, package_of, ramp
-from ..operators import facts, history, scoring, security
+from ..functions.scalars import attribution_value, is_bare, license_matches, package_of, ramp
+from ..operators import facts, history, scoring, security, tooling
 from ..operators.files import line_counts
-from ..sources.lockfiles import declared_packages
+from ..sources.lockfiles import all_packages, declared_packages
 
 R = ("repo_id",)
 # Packages that tools use without an import.
@@ -34,7 +34,7 @@ ENTRY = (
 # Weights of the health dimension's borrowed signals.
 HEALTH = (
     ("duplicate-logic", 3.0), ("swallowed-errors", 2.5), ("orphan-files", 2.0), ("tautological-tests", 2.0),
-    ("unused-dependencies", 1.5), ("obvious-comments", 1.0), ("test-coverage", 2.5),
+    ("unused-dependencies", 1.5), ("obvious-comments", 1.0), ("overlapping-utils", 1.0), ("test-coverage", 2.5),
 )
 
 
@@ -111,7 +111,57 @@ def orphan_files(files: DataFrame) -> DataFrame:
     return ratio_signal(per, "orphan-files", 1.5, F.col("hits"), F.col("total"), 0.05, 0.3, 15, "too few candidate files")
 
 
-def security_signals(files: DataFrame) -> DataFrame:
+def tooling_signals(files: DataFrame) -> DataFrame:
+    """Builders, agent configuration and overlapping general modules; never unavailable."""
+    repos, never = files.select("repo_id").distinct(), F.lit(None).cast("string")
+    hits = tooling.tool_hits(files, declared_packages(files)).groupBy("repo_id").agg(
+        F.count_if(F.col("kind") == "builder").alias("builders"), F.count_if(F.col("kind") == "agent").alias("agents")
+    )
+    utils = tooling.util_modules(facts.authored(files), facts.exports(facts.authored(files)))
+    per = repos.join(hits, "repo_id", "left").join(utils, "repo_id", "left").fillna(0)
+    clash = F.when(F.col("collisions") > 0, 0.3).otherwise(0.0)
+    overlap = F.when(F.col("modules") >= 2, ramp(F.col("modules"), 2, 6) + clash).otherwise(0.0)
+    return union(
+        history.signal(per, "builder-platform", 2.5, (F.col("builders") > 0).cast("double"), never, R),
+        history.signal(per, "agent-tooling", 3, (F.col("agents") > 0).cast("double"), never, R),
+        history.signal(per, "overlapping-utils", 1, overlap, never, R),
+    )
+
+
+def dependency_signal(files: DataFrame, advisories: DataFrame | None) -> DataFrame:
+    """Vulnerable packages that reach run time; unavailable without advisories."""
+    repos = files.select("repo_id").distinct()
+    if advisories is None:
+        off = repos.withColumn("n", F.lit(0))
+        return history.signal(off, "vulnerable-dependencies", 2.5, F.col("n"), F.lit("vulnerability lookup is off"), R)
+    packages = all_packages(files)
+    hits = security.vulnerable_packages(packages, advisories).where("NOT dev_only").groupBy("repo_id").agg(F.count("*").alias("n"))
+    per = repos.join(packages.groupBy("repo_id").agg(F.count("*").alias("total")), "repo_id", "left").join(hits, "repo_id", "left").fillna(0)
+    return history.signal(per, "vulnerable-dependencies", 2.5, ramp(F.col("n"), 0, 8), F.when(F.col("total") == 0, "no packages to check"), R)
+
+
+def license_mismatch(files: DataFrame) -> DataFrame:
+    """Does the manifest nearest the root declare another licence than the text?"""
+    from ..functions.paths import basename, depth
+
+    manifest = files.where(basename(F.col("path")) == "package.json").withColumn("_id", F.get_json_object("content", "$.license"))
+    order = F.struct(depth(F.col("path")), F.col("path"))
+    declared = manifest.where("_id IS NOT NULL").groupBy("repo_id").agg(F.min_by("_id", order).alias("declared"))
+    read = security.license_reading(files)
+    per = files.select("repo_id").distinct().join(read, "repo_id", "left").join(declared, "repo_id", "left")
+    agree = license_matches(F.col("declared"), F.col("identified"))
+    reason = F.when(F.col("declared").isNull() | F.col("identified").isNull(), "one side of the comparison is unknown")
+    return history.signal(per, "license-mismatch", 2.5, (~agree).cast("double"), reason, R)
+
+
+def trailer_signal(commits: DataFrame) -> DataFrame:
+    hits = history.agent_hits(commits, keys=R).select("repo_id", "sha").distinct().groupBy("repo_id").agg(F.count("*").alias("n"))
+    per = commits.groupBy("repo_id").agg(F.count("*").alias("total")).join(hits, "repo_id", "left").fillna(0)
+    value = attribution_value(F.col("n"), F.col("n") / F.col("total"))
+    return history.signal(per, "agent-trailers", 3, value, F.lit(None).cast("string"), R)
+
+
+def security_signals(files: DataFrame, advisories: DataFrame | None = None) -> DataFrame:
     repos = files.select("repo_id").distinct()
     never = F.lit(None).cast("string")
 
@@ -140,6 +190,8 @@ def security_signals(files: DataFrame) -> DataFrame:
         counted(routes, "unauthenticated-routes", 3, F.col("open") / F.greatest(n, F.lit(1)), F.when(n == 0, "no route changes state")),
         counted(sinks, "dangerous-calls", 2, danger, F.when(F.col("scripts") == 0, "no scripts to read")),
         counted(per(licence), "missing-license", 1.5, (n == 0).cast("double")),
+        license_mismatch(files),
+        dependency_signal(files, advisories),
     )
 
 
@@ -150,6 +202,8 @@ def history_signals(commits: DataFrame, touches: DataFrame | None = None) -> Dat
         history.velocity_signal(commits, author="author_email", keys=R),
         history.rework_signal(commits, keys=R),
     ]
+    if "body" in commits.columns:
+        parts.append(trailer_signal(commits))
     if touches is not None:
         parts.append(history.write_once_signal(touches, keys=R))
     return union(*parts)
@@ -159,14 +213,16 @@ def union(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def audit_signals(files: DataFrame, commits: DataFrame | None = None, touches: DataFrame | None = None) -> DataFrame:
+def audit_signals(
+    files: DataFrame, commits: DataFrame | None = None, touches: DataFrame | None = None, advisories: DataFrame | None = None
+) -> DataFrame:
     """All signals of all repositories, with their dimension."""
-    code = union(code_signals(files), unused_dependencies(files), orphan_files(files))
+    code = union(code_signals(files), unused_dependencies(files), orphan_files(files), tooling_signals(files))
     authorship = code.where("id <> 'test-coverage'")
     if commits is not None:
         authorship = union(authorship, history_signals(commits, touches))
     weights = files.sparkSession.createDataFrame(list(HEALTH), "id string, _weight double")
-    asked = files.select("repo_id").distinct().crossJoin(F.broadcast(weights))  # seven rows a repository
+    asked = files.select("repo_id").distinct().crossJoin(F.broadcast(weights))  # eight rows a repository
     borrowed = asked.join(code, ["repo_id", "id"], "left")
     health = borrowed.select(
         "repo_id", "id", F.coalesce("value", F.lit(0.0)).alias("value"), F.col("_weight").alias("weight"),
@@ -174,12 +230,14 @@ def audit_signals(files: DataFrame, commits: DataFrame | None = None, touches: D
         F.when(F.col("available").isNull(), "not produced by this scan").otherwise(F.col("reason")).alias("reason"),
     )
     named = lambda df, d: df.withColumn("dimension", F.lit(d))
-    return union(named(authorship, "authorship"), named(health, "health"), named(security_signals(files), "security"))
+    return union(named(authorship, "authorship"), named(health, "health"), named(security_signals(files, advisories), "security"))
 
 
-def audit_scores(files: DataFrame, commits: DataFrame | None = None, touches: DataFrame | None = None) -> DataFrame:
+def audit_scores(
+    files: DataFrame, commits: DataFrame | None = None, touches: DataFrame | None = None, advisories: DataFrame | None = None
+) -> DataFrame:
     """Score, confidence and missing evidence per repository and dimension."""
-    return scoring.scores(audit_signals(files, commits, touches), ("repo_id", "dimension"))
+    return scoring.scores(audit_signals(files, commits, touches, advisories), ("repo_id", "dimension"))
 
 
 def metrics(files: DataFrame) -> DataFrame:
