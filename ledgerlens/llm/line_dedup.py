@@ -2,7 +2,7 @@
 
 A line is normalised (lower case A-Z, digits as 0, punctuation and white space
 as single blanks); lines of fewer than five words then stay as they are.  Two
-lines are linked when the SimHashes of their words differ in at most three of
+lines are linked when the SimHashes of their distinct words differ in at most three of
 64 bits and their edit similarity, ``1 - distance / longer length``, is 0.8 or
 more.  Of each connected group one occurrence is kept: the one with the smallest
 doc_id (none: last), content hash and line number.
@@ -56,6 +56,8 @@ def _normal_byte(b: int) -> int:
 
 
 NORMAL = bytes(map(_normal_byte, range(256)))
+#: A byte's eight bits as the bytes of a word.
+LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
 
 def normal_words(line: bytes) -> list[bytes]:
@@ -102,9 +104,13 @@ def line_marks(docs: DataFrame) -> DataFrame:
     """``key, doc_id, line, h, sim`` of every line of at least five words."""
 
     def simhashes(digests, sizes):
-        bits = np.unpackbits(np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 8), axis=1)
-        counts = np.add.reduceat(bits, np.r_[0, np.cumsum(sizes)[:-1]], axis=0, dtype=np.uint32)
-        packed = np.packbits(counts * 2 > np.array(sizes)[:, None], axis=1)
+        raw = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 8)
+        first, sizes = np.r_[0, np.cumsum(sizes)[:-1]], np.array(sizes)
+        # eight counters in the bytes of a word; they hold lines of up to 255 words
+        counts = np.add.reduceat(LANES[raw], first, axis=0).view(np.uint8).astype(np.int64)
+        for i in np.flatnonzero(sizes > 255):
+            counts[i] = np.unpackbits(raw[first[i] : first[i] + sizes[i]], axis=1).sum(0)
+        packed = np.packbits(counts * 2 > sizes[:, None], axis=1)
         return packed.view(">i8").ravel().astype(np.int64)
 
     def run(batches):
@@ -118,6 +124,7 @@ def line_marks(docs: DataFrame) -> DataFrame:
                     if len(words) >= MIN_WORDS:
                         h = xxhash.xxh64_intdigest(b" ".join(words))
                         rows.append((key, doc_id, n, h - (h >> 63 << 64)))
+                        words = set(words)
                         digests += map(digest, words)
                         sizes.append(len(words))
                         if len(digests) >= WORDS_AT_ONCE:
@@ -154,16 +161,16 @@ def close_pairs(sims: DataFrame) -> DataFrame:
 
     def run(batches):
         found = []
-        for key, members in posting_runs(batches, "list", "sim"):
+        for key, members in posting_runs(batches, "list", "sim", found, BITS_APART):
             edges = np.array(forest(members.view(np.uint64), BITS_APART, 0), np.uint64).reshape(-1, 2).view(np.int64)
             found += [(key, a, b) for a, b in edges.tolist()]
             if len(found) > 50_000:
                 yield batch_of(found)
-                found = []
+                found.clear()
         yield batch_of(found)
 
     lists = sims.select(F.explode(block_keys(F.col("sim"))).alias("list"), "sim")
-    return lists.repartition("list").sortWithinPartitions("list", "sim").mapInArrow(run, "list long, a long, b long")
+    return lists.repartition("list").sortWithinPartitions("list").mapInArrow(run, "list long, a long, b long")
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -210,7 +217,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def all_links(members: DataFrame) -> DataFrame:
-    """Spanning links ``a, b`` of lists of (list, h, sim, said), pair by pair."""
+    """Spanning links ``a, b`` of groups of (own, list, h, sim, said), pair by pair."""
 
     def connect(rows):
         root = list(range(len(rows)))
@@ -232,10 +239,10 @@ def all_links(members: DataFrame) -> DataFrame:
         held, at = [], None
         for batch in batches:
             out = []
-            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("list", "h", "sim", "said"))):
-                if key != at:
+            for own, key, *row in zip(*(batch.column(c).to_pylist() for c in ("own", "list", "h", "sim", "said"))):
+                if (own, key) != at:
                     out += connect(held)
-                    held, at = [], key
+                    held, at = [], (own, key)
                 held.append(row)
             yield batch_of(out)
         yield batch_of(connect(held))
@@ -244,7 +251,8 @@ def all_links(members: DataFrame) -> DataFrame:
         rows = list(found)
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return members.repartition("list").sortWithinPartitions("list", "sim", "h").mapInArrow(run, "a long, b long")
+    dealt = members.repartition("own", "list").sortWithinPartitions("own", "list", "sim", "h")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def linked(docs: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -253,31 +261,36 @@ def linked(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     ``distinct`` has a row (h, sim, key, line) for each distinct line.
     """
     sims = written(distinct.groupBy("sim").agg(F.min("h").alias("first"), F.count("*").alias("n")), "line-sims")
+    near = written(close_pairs(sims.select("sim")).toDF("list", "sim_a", "sim_b"), "near-sims")
+    firsts = sims.select("sim", "first")
+    # a pair that several lists hold is verified once
+    pairs = near.select("sim_a", "sim_b").distinct()
+    pairs = pairs.join(firsts.toDF("sim_a", "a"), "sim_a").join(firsts.toDF("sim_b", "b"), "sim_b")
     same = distinct.join(sims.where("n > 1"), "sim").where("h <> first")
-    same = same.select(F.lit(None).cast("long").alias("list"), "sim", F.col("h").alias("a"), F.col("first").alias("b"))
-    near = close_pairs(sims.select("sim")).withColumnsRenamed({"a": "sim_a", "b": "sim_b"})
-    near = near.join(sims.select(F.col("sim").alias("sim_a"), F.col("first").alias("a")), "sim_a")
-    near = near.join(sims.select(F.col("sim").alias("sim_b"), F.col("first").alias("b")), "sim_b")
-    near = near.select("list", F.lit(None).cast("long").alias("sim"), "a", "b")
-    pairs = written(same.unionByName(near), "line-pairs")
+    same = same.select(F.col("sim").alias("sim_a"), F.col("sim").alias("sim_b"), F.col("h").alias("a"), F.col("first").alias("b"))
+    pairs = written(pairs.select("sim_a", "sim_b", "a", "b").unionAll(same), "line-pairs")
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     texts = written(texts_of(docs, distinct.join(ends, "h").select("h", "key", "line")), "line-texts")
-    # a pair that several lists hold is verified once
-    distinct_pairs = pairs.groupBy("a", "b").agg(F.collect_set("list").alias("lists"), F.max("sim").alias("sim"))
-    checked = written(verified(distinct_pairs, texts), "line-checks")
+    checked = written(verified(pairs, texts), "line-checks")
     links = checked.where("ok").select("a", "b")
 
     failed = checked.where("not ok")
     if failed.isEmpty():
         return links
-    again = failed.select(F.explode("lists").alias("list")).unionAll(
-        failed.where("sim is not null").select(F.explode(block_keys(F.col("sim"))).alias("list"))
-    )
-    members = distinct.withColumn("list", F.explode(block_keys(F.col("sim")))).join(again.distinct(), "list", "left_semi")
-    members = written(members.select("list", "h", "sim", "key", "line"), "line-again")
-    texts = texts_of(docs, members.select("h", "key", "line").distinct())
-    return links.unionAll(all_links(members.join(texts, "h").select("list", "h", "sim", "said")))
+    # lists with a failed pair, all lists of a SimHash whose lines differ, and those lines among themselves
+    mixed = failed.where("sim_a = sim_b").select(F.col("sim_a").alias("sim")).distinct()
+    lists = near.join(failed.where("sim_a <> sim_b").select("sim_a", "sim_b").distinct(), ["sim_a", "sim_b"]).select("list")
+    for end in ("sim_a", "sim_b"):
+        lists = lists.unionAll(near.join(mixed.withColumnRenamed("sim", end), end).select("list"))
+    again = near.join(lists.distinct(), "list")
+    again = again.select(F.lit(False).alias("own"), "list", F.explode(F.array("sim_a", "sim_b")).alias("sim")).distinct()
+    again = again.unionAll(mixed.select(F.lit(True), F.col("sim"), F.col("sim")))
+    members = written(distinct.join(again, "sim").select("own", "list", "h", "sim", "key", "line"), "line-again")
+    known = members.join(texts, "h").select("own", "list", "h", "sim", "said")
+    others = members.join(texts, "h", "left_anti")
+    others = others.join(texts_of(docs, others.select("h", "key", "line").distinct()), "h")
+    return links.unionAll(all_links(known.unionByName(others.select("own", "list", "h", "sim", "said"))))
 
 
 def removals(docs: DataFrame) -> DataFrame:

@@ -112,10 +112,12 @@ def forest(
     return out
 
 
-def posting_runs(batches, key: str, value: str):
+def posting_runs(batches, key: str, value: str, pairs: list | None = None, apart: int = BITS_APART):
     """Yield ``(key, values)`` of runs longer than one from key-sorted batches.
 
-    Only the last run of a batch is carried over to the next one.
+    Only the last run of a batch is carried over to the next one.  With
+    ``pairs``, lists of two are not yielded: those within ``apart`` bits are
+    appended there at once, as (key, a, b).
     """
     keys, values = np.empty(0, np.int64), np.empty(0, np.int64)
     for batch in batches:
@@ -126,7 +128,11 @@ def posting_runs(batches, key: str, value: str):
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         last = starts[-1]
         sizes = np.diff(starts)
-        for at in np.flatnonzero(sizes > 1):
+        if pairs is not None:
+            two = starts[:-1][sizes == 2]
+            two = two[np.bitwise_count((values[two] ^ values[two + 1]).view(np.uint64)) <= apart]
+            pairs += zip(keys[two].tolist(), values[two].tolist(), values[two + 1].tolist())
+        for at in np.flatnonzero(sizes > (1 if pairs is None else 2)):
             yield int(keys[starts[at]]), values[starts[at] : starts[at] + sizes[at]]
         keys, values = keys[last:], values[last:]
     if len(keys) > 1:

@@ -27,7 +27,7 @@ def plain_distance(a, b):
 
 
 def plain_sim(words):
-    hashes = [xxhash.xxh64_intdigest(w) for w in words]
+    hashes = [xxhash.xxh64_intdigest(w) for w in set(words)]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 

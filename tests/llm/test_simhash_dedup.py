@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from ledgerlens.llm.simhash_dedup import (
@@ -10,6 +11,7 @@ from ledgerlens.llm.simhash_dedup import (
     keep_one_per_group,
     links,
     position_triples,
+    posting_runs,
     simhash_groups,
 )
 
@@ -101,6 +103,15 @@ def test_links_connect_all_close_fingerprints(spark):
     assert len(groups) == len(set(want.values()))
 
 
+def test_lists_of_two_at_once():
+    values = np.array([-1, -1 ^ 7, 5, -6, 9, 9 ^ 15, 1, 2, 3], np.int64)
+    keys = np.array([1, 1, 2, 2, 3, 3, 4, 4, 4], np.int64)
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 2]), pa.array(values[i : i + 2])], names=["k", "v"]) for i in range(0, 9, 2)]
+    pairs = []
+    runs = list(posting_runs(batches, "k", "v", pairs, 3))
+    assert pairs == [(1, -1, -1 ^ 7)] and [(k, v.tolist()) for k, v in runs] == [(4, [1, 2, 3])]
+
+
 def test_forest_of_dense_list_is_small():
     members = np.arange(1, 1500, dtype=np.uint64)
     assert len(forest(members)) == len(members) - 1
