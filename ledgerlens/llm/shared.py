@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import sys
 import tempfile
 import types
@@ -30,6 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
         base = getattr(spark, "_ledgerlens_shared", None)
     if not base:
         base = tempfile.mkdtemp(prefix="ledgerlens-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark._ledgerlens_shared = base
     return base.rstrip("/")
 
