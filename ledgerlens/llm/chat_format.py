@@ -117,7 +117,7 @@ WITH turns AS (
 ), marked AS (
   SELECT *, bool_or(contains(text, '</s>') OR contains(role, '</s>') OR contains(role, '[/INST]'))
            OVER (PARTITION BY conv_id) AS escaped,
-         length(role || text) - length(replace(replace(replace(role || text, '', ''), '<', ''), '[', '')) AS controls
+         length(role || text) - length(replace(replace(replace(role || text, '\', ''), '<', ''), '[', '')) AS controls
   FROM turns
 )
 SELECT conv_id, count(*) AS n_turns,

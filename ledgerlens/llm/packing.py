@@ -7,7 +7,8 @@ of exactly C/(k+1) is cut off for class k+1 and what is left is classed anew
 (two or three pieces a document).  Each bin of class k takes exactly k pieces,
 so a piece's bin follows from its rank in the class alone: ranks are numbered
 per (class, bucket) in parallel and shifted by the counts of earlier buckets.
-No task sees a class as a whole.  The fewer than k pieces that each class has
+The number of buckets grows with that of the pieces, so none outgrows a task,
+and no task sees a class as a whole.  The fewer than k pieces that each class has
 left are a bounded set, whatever the input (about 21,000 for C = 4096), and
 are packed first-fit by falling length.
 
@@ -31,7 +32,9 @@ from pyspark.sql.window import Window
 
 from .shared import spread, table, worker_store, written
 
-CAPACITY, FILL, END_ID, BUCKETS = 4096, 0.99, 2, 64
+CAPACITY, FILL, END_ID = 4096, 0.99, 2
+#: Buckets that pieces are ranked in: at least so many, and one per so many pieces.
+BUCKETS, PIECES_A_BUCKET = 64, 250_000
 #: Words whose ids a worker remembers in each of two generations.
 REMEMBERED, DOCS_AT_ONCE, WORDS_AT_ONCE = 300_000, 256, 200
 CLOSING = b".,;:!?*$%&#|)"
@@ -186,7 +189,8 @@ def pack(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> DataFr
     """One row per piece, with its sequence and its place there."""
     keep = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
     pieces = written(pieces_of(docs, tokenizer_path, with_ids), "pieces")
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(BUCKETS)))
+    buckets = max(BUCKETS, pieces.count() // PIECES_A_BUCKET)
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
 
     counts = pieces.groupBy("k", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -206,7 +210,7 @@ def pack(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> DataFr
     local = Window.partitionBy("k", "bucket").orderBy("doc_id", "start", "ids_crc32", "length")
     ranked = (
         pieces.withColumn("local", F.row_number().over(local) - 1)
-        .join(F.broadcast(places), ["k", "bucket"])  # at most classes * BUCKETS rows
+        .join(places, ["k", "bucket"])  # dealt by these columns already
         .withColumn("rank", F.col("ahead") + F.col("local"))
         .withColumn("full", F.col("rank") < F.col("bins") * F.col("k"))
     )
