@@ -25,9 +25,11 @@ GENERIC_TOKEN = r"(?i)token = \"[0-9a-f]{40}\""
 MUTATING = ("POST", "PUT", "PATCH", "DELETE")
 
 
-def credential_hits(files: DataFrame, path="path", content="content") -> DataFrame:
+def credential_hits(files: DataFrame, path="path", content="content", keys: tuple = ()) -> DataFrame:
     """``path, line, vendor, credential``: where credentials stand, never what.
 
+    ``keys`` are further columns to carry, such as ``repo_id``.
+
     Tests, generated files and Markdown are left out, as is a line whose
     predecessor calls it an example.  No value leaves this function.
     """
@@ -35,7 +37,7 @@ def credential_hits(files: DataFrame, path="path", content="content") -> DataFra
     read = files.where(~paths.is_test(p) & ~paths.is_generated(p) & ~paths.extension(p).isin(".md"))
     any_form = "|".join(pattern for _, _, pattern in CREDENTIALS)
     lines = read.where(F.col(content).rlike(any_form)).withColumn("_lines", F.split(content, "\n"))
-    rows = lines.select(path, F.posexplode("_lines").alias("_at", "_text"), "_lines").where(F.col("_text").rlike(any_form))
+    rows = lines.select(*keys, path, F.posexplode("_lines").alias("_at", "_text"), "_lines").where(F.col("_text").rlike(any_form))
     before = F.when(F.col("_at") > 0, F.get("_lines", F.col("_at") - 1)).otherwise("")
     rows = rows.where(~before.rlike("(?i)example"))
     found = F.array_compact(
@@ -46,7 +48,8 @@ def credential_hits(files: DataFrame, path="path", content="content") -> DataFra
             ]
         )
     )
-    return rows.select(path, (F.col("_at") + 1).alias("line"), F.explode(found).alias("hit")).select(path, "line", "hit.*")
+    rows = rows.select(*keys, path, (F.col("_at") + 1).alias("line"), F.explode(found).alias("hit"))
+    return rows.select(*keys, path, "line", "hit.*")
 
 
 def secret_signal(hits: DataFrame) -> DataFrame:
@@ -54,14 +57,14 @@ def secret_signal(hits: DataFrame) -> DataFrame:
     return signal(total, "hardcoded-secrets", SECRET_WEIGHT, (F.col("n") > 0).cast("double"), F.lit(None).cast("string"))
 
 
-def env_hits(files: DataFrame, path="path", content="content") -> DataFrame:
-    """Environment files with a real value under a credential-shaped name."""
+def env_hits(files: DataFrame, path="path", content="content", keys: tuple = ()) -> DataFrame:
+    """``keys`` and path of environment files with a real value under a credential-shaped name."""
     base = paths.basename(F.col(path))
     env = base.rlike(r"^\.env(\..+)?$") & ~base.rlike(r"(example|sample|template)")
     value = r"(?im)^\s*(?:export\s+)?[A-Z0-9_]*(?:SECRET|TOKEN|PASSWORD|PASSWD|API_?KEY|PRIVATE_KEY|ACCESS_KEY)[A-Z0-9_]*\s*=\s*[\"']?"
     real = value + r"(?!changeme|your|xxx|placeholder|example|<|\$\{|[\"']|\s|$)\S{6,}"
     url = r"(?im)^\s*[A-Z0-9_]+\s*=\s*[\"']?[a-z]+://[^:/\s]+:[^@\s]+@"
-    return files.where(env & (F.col(content).rlike(real) | F.col(content).rlike(url))).select(path)
+    return files.where(env & (F.col(content).rlike(real) | F.col(content).rlike(url))).select(*keys, path)
 
 
 def dedupe_packages(packages: DataFrame) -> DataFrame:

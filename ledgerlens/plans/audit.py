@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import paths
 from ..functions.scalars import attribution_value, is_bare, license_matches, package_of, ramp
@@ -43,16 +44,23 @@ def ratio_signal(df, name, weight, hits, total, low, high, least, reason) -> Dat
     return history.signal(df, name, weight, ramp(hits / total, low, high), F.when(total < least, reason), R)
 
 
-def duplicate_logic(files: DataFrame) -> DataFrame:
-    """Top-level script and Python functions of one shape, names and numbers erased."""
+def clone_families(files: DataFrame) -> DataFrame:
+    """``repo_id, shape, n``: functions of one shape, names and numbers erased.
+
+    Functions are top-level ones of scripts and Python, of twelve words or more.
+    """
     code = facts.of_kind(facts.authored(files), facts.JS + facts.PY)
     head = r"(?m)^(?=(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\b|def\s))"
     parts = code.select("repo_id", "path", F.explode(F.split("content", head)).alias("body")).where(F.col("body").rlike(r"^(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\b|def\s)"))
     parts = parts.where(F.size(F.split("body", r"\W+")) >= 12)
     shape = F.regexp_replace(F.regexp_replace("body", r"""'[^'\n]*'|"[^"\n]*"|\b\d+\b""", "#"), r"\b(?!(?:if|else|for|while|return|try|catch|switch|case|def|function|await|throw|raise|in|of)\b)[A-Za-z_$][\w$]*", r"\$")
     hashed = parts.withColumn("shape", F.sha1(F.regexp_replace(shape, r"\s+", " ").cast("binary")))
-    families = hashed.groupBy("repo_id", "shape").agg(F.count("*").alias("n"))
-    per = families.groupBy("repo_id").agg(F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("hits"))
+    return hashed.groupBy("repo_id", "shape").agg(F.count("*").alias("n"))
+
+
+def duplicate_logic(files: DataFrame) -> DataFrame:
+    copied = F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0))
+    per = clone_families(files).groupBy("repo_id").agg(F.sum("n").alias("total"), copied.alias("hits"))
     return ratio_signal(per, "duplicate-logic", 2.5, F.col("hits"), F.col("total"), 0.05, 0.35, 20, "too few functions")
 
 
@@ -87,10 +95,16 @@ def drift(files: DataFrame) -> DataFrame:
     return history.signal(means, "convention-drift", 2, ramp(F.col("minority"), 0.12, 0.45), F.when(F.col("files") < 8, "too few files"), R)
 
 
-def unused_dependencies(files: DataFrame) -> DataFrame:
+def runtime_packages(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``repo_id, name`` of the declared packages, and of those that nothing imports."""
     declared = declared_packages(files).where("is_runtime").select("repo_id", "name").distinct()
     used = facts.specifiers(files).where(is_bare(F.col("specifier"))).select("repo_id", package_of(F.col("specifier")).alias("name")).distinct()
-    left = declared.where(~F.col("name").isin(*IMPLICIT) & ~F.col("name").startswith("@types/")).join(used, ["repo_id", "name"], "left_anti")
+    needless = declared.where(~F.col("name").isin(*IMPLICIT) & ~F.col("name").startswith("@types/")).join(used, ["repo_id", "name"], "left_anti")
+    return declared, needless
+
+
+def unused_dependencies(files: DataFrame) -> DataFrame:
+    declared, left = runtime_packages(files)
     per = declared.groupBy(*R).agg(F.count("*").alias("total")).join(left.groupBy(*R).agg(F.count("*").alias("hits")), "repo_id", "left")
     per = per.withColumn("hits", F.coalesce("hits", F.lit(0)))
     return ratio_signal(per, "unused-dependencies", 1.5, F.col("hits"), F.col("total"), 0.08, 0.4, 5, "too few dependencies")
@@ -171,9 +185,7 @@ def security_signals(files: DataFrame, advisories: DataFrame | None = None) -> D
 
     n = F.col("n")
     per = lambda df: df.groupBy("repo_id").agg(F.count("*").alias("n"))
-    secrets = security.credential_hits(files.withColumn("path", F.concat_ws("\u0000", "repo_id", "path")))
-    secrets = secrets.select(F.substring_index("path", "\u0000", 1).alias("repo_id"))
-    env = files.join(security.env_hits(files.select("path", "content")).distinct(), "path", "left_semi")
+    secrets, env = security.credential_hits(files, keys=R), security.env_hits(files, keys=R)
     sinks = facts.sinks(files).groupBy("repo_id").agg(
         F.count_if(F.col("in_app") & (F.col("kind") != "cors")).alias("n"), F.count_if(F.col("kind") == "cors").alias("open")
     )
@@ -250,25 +262,51 @@ def metrics(files: DataFrame) -> DataFrame:
     )
 
 
-def findings(files: DataFrame) -> DataFrame:
-    """``repo_id, rule_id, severity, confidence, n_locations`` of what was found."""
-    def rows(df, rule, severity, confidence, n=F.count("*")):
-        return df.groupBy("repo_id").agg(n.alias("n_locations")).where("n_locations > 0").select(
-            "repo_id", F.lit(rule).alias("rule_id"), severity.alias("severity"), F.lit(confidence).alias("confidence"), "n_locations"
-        )
+def findings(files: DataFrame, commits: DataFrame | None = None, advisories: DataFrame | None = None) -> DataFrame:
+    """``repo_id, rule_id, severity, confidence, n_locations`` of what was found.
 
+    Fourteen rules; those on commits and advisories need their tables.  Copied
+    functions give a row for each of a repository's ten largest families (a
+    top-k report), dangerous calls one for each kind, the others one row.
+    """
     n = F.col("n_locations")
-    keyed = files.withColumn("path", F.concat_ws("\u0000", "repo_id", "path"))
-    secrets = security.credential_hits(keyed).select(F.substring_index("path", "\u0000", 1).alias("repo_id"))
+
+    def rows(df, rule, severity, confidence, count=F.count("*"), keys=R):
+        level = F.lit(severity) if isinstance(severity, str) else severity
+        found = df.groupBy(*keys).agg(count.alias("n_locations")).where("n_locations > 0")
+        return found.select("repo_id", F.lit(rule).alias("rule_id"), level.alias("severity"), F.lit(confidence).alias("confidence"), "n_locations")
+
+    tools = tooling.tool_hits(files, declared_packages(files))
+    largest = Window.partitionBy("repo_id").orderBy(F.desc("n"), "shape")
+    families = clone_families(files).where("n > 1").withColumn("_place", F.row_number().over(largest)).where("_place <= 10")
+    copies = F.max("n")
     swallowed = facts.handlers(files)
     bad = F.count_if(F.col("kind").isin("empty", "log-only"))
     enough = swallowed.groupBy("repo_id").agg(F.count("*").alias("_all"), bad.alias("_bad")).where("_all >= 5 AND _bad >= 0.15 * _all")
     licensed = files.where(paths.is_license(F.col("path"))).select("repo_id").distinct()
     open_routes = facts.routes(files).where(F.col("method").isin(*security.MUTATING) & ~F.col("guarded"))
-    return union(
-        rows(secrets, "hardcoded-secret", F.lit("critical"), "certain"),
+    sinks = facts.sinks(files).withColumn("_app", F.max(F.col("in_app").cast("int")).over(Window.partitionBy("repo_id", "kind")))
+    parts = [
+        rows(tools.where("kind = 'builder'"), "ai-builder-platform", "info", "certain"),
+        rows(tools.where("kind = 'agent'"), "ai-agent-tooling", "info", "certain"),
+        rows(families, "duplicate-function", F.when(n >= 4, "medium").otherwise("low"), "high", copies, ("repo_id", "shape")),
         rows(swallowed.join(enough, "repo_id", "left_semi"), "swallowed-errors", F.when(n >= 10, "medium").otherwise("low"), "high", bad),
-        rows(files.select("repo_id").distinct().join(licensed, "repo_id", "left_anti"), "missing-license", F.lit("low"), "certain"),
-        rows(open_routes, "unauthenticated-route", F.lit("medium"), "medium"),
-        rows(facts.sinks(files), "dangerous-call", F.lit("medium"), "medium"),
-    )
+        rows(runtime_packages(files)[1], "unused-dependencies", F.when(n >= 5, "medium").otherwise("low"), "medium"),
+        rows(security.credential_hits(files, keys=R), "hardcoded-secret", "critical", "certain"),
+        rows(security.env_hits(files, keys=R), "committed-env-file", "high", "certain"),
+        rows(files.select("repo_id").distinct().join(licensed, "repo_id", "left_anti"), "missing-license", "low", "certain"),
+        rows(license_mismatch(files).where("available AND value > 0"), "license-mismatch", "medium", "high"),
+        rows(open_routes, "unauthenticated-route", "medium", "medium"),
+        rows(sinks, "dangerous-call", F.when(F.col("_app") > 0, "medium").otherwise("low"), "medium", keys=("repo_id", "kind", "_app")),
+    ]
+    if commits is not None:
+        parts.append(rows(history.agent_hits(commits, keys=R).select("repo_id", "sha").distinct(), "ai-authored-commits", "info", "certain"))
+    if advisories is not None:
+        hits = security.vulnerable_packages(all_packages(files), advisories)
+        rank = F.max(F.when(F.col("worst") == "critical", 2).when(F.col("worst") == "high", 1).otherwise(0))
+        level = hits.where("NOT dev_only").groupBy("repo_id").agg(rank.alias("_rank"))
+        worst = F.when(F.col("_rank") == 2, "critical").when(F.col("_rank") == 1, "high").otherwise("medium")
+        shipped = hits.where("NOT dev_only").join(level, "repo_id")
+        parts.append(rows(shipped, "vulnerable-dependency", worst, "high", keys=("repo_id", "_rank")))
+        parts.append(rows(hits.where("dev_only"), "vulnerable-dev-dependency", "low", "high"))
+    return union(*parts)

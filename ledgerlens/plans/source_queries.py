@@ -49,13 +49,14 @@ def git_log_commits(spark, sf_dir):
         F.sum("l_quantity").cast("long").alias("added"), F.count("*").alias("deleted")
     )
     orders = V.read(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    us = F.lit("\x1f")
+    us, ordered = F.lit("\x1f"), F.col("o_orderdate")
+    seconds = F.unix_date(F.to_date(ordered)) * 86400 + F.hour(ordered) * 3600 + F.minute(ordered) * 60 + F.second(ordered)  # in no time zone
     raw = F.concat(
-        F.lit("\x00"), "o_orderkey", us, F.lit("A"), us, F.concat("o_custkey", F.lit("@x")), us, F.unix_timestamp(F.col("o_orderdate").cast("timestamp")), us,
+        F.lit("\x00"), "o_orderkey", us, F.lit("A"), us, F.concat("o_custkey", F.lit("@x")), us, seconds, us,
         F.lit("fix"), us, F.lit("fix\n\x1e\n"), "added", F.lit("\t"), "deleted", F.lit("\tsrc\\a.ts\n-\t-\tb.png\n"),
     )
     commits = repository.parse_git_log(orders.select(F.lit("r").alias("repo_id"), raw.alias("raw")))
-    return commits.select("sha", "author_email", "ts", "churn", "lines_added", F.size("files").alias("n_files"))
+    return commits.select("sha", "author_email", F.unix_timestamp("ts").alias("ts"), "churn", "lines_added", F.size("files").alias("n_files"))
 
 
 def import_specifiers(spark, sf_dir):
@@ -98,7 +99,7 @@ ORACLES = {
         UNION ALL SELECT p_partkey::VARCHAR, 'y.org/q', 'v2.0.0', true FROM part""",
     "cargo_packages": "SELECT p_partkey::VARCHAR AS repo_id, 'c' || p_partkey AS name, p_size || '.1' AS version FROM part",
     "package_locks": "SELECT p_partkey::VARCHAR AS repo_id, '@s/p' || p_partkey AS name, '1.' || p_size || '.0' AS version, p_size > 25 AS dev_only FROM part",
-    "git_log_commits": """SELECT o_orderkey::VARCHAR AS sha, o_custkey || '@x' AS author_email, date_trunc('second', o_orderdate)::TIMESTAMPTZ AS ts,
+    "git_log_commits": """SELECT o_orderkey::VARCHAR AS sha, o_custkey || '@x' AS author_email, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS ts,
         CAST(sum(l_quantity) AS BIGINT) + count(*) AS churn, CAST(sum(l_quantity) AS BIGINT) AS lines_added, 2 AS n_files
         FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL""",
     "import_specifiers": """SELECT './m' || p_partkey AS specifier, false AS dynamic, count(*) AS n FROM part GROUP BY 1
