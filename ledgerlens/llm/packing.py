@@ -125,15 +125,20 @@ def encoder(path: str):
         words.make_room()
         raw = [(t or "").encode("utf-8", "replace") for t in texts]
         split = [t.lower().split() if b"<|" not in t else [] for t in raw]
-        new = {w for own in split for w in own if not words.known(w)}
-        cores = {}
+        new = [w for w in set().union(*split).difference(words.young) if not words.known(w)]
+        whole, parted = set(), {}
         for w in new:
             core = w.rstrip(CLOSING)
-            cores[w] = (core, w[len(core) :]) if core != w and core[-1:].isalnum() else (w,)
-        pieces = sorted({p for parts in cores.values() for p in parts if not words.known(p)})
-        words.young.update(encode_pieces(tokenizer, ends, pieces))
-        words.young.update((w, b"".join([words.young[p] for p in parts])) for w, parts in cores.items())
-        out = [b"".join(map(words.young.__getitem__, own)) for own in split]
+            if len(core) < len(w) and core[-1:].isalnum():
+                parted[w] = core, w[len(core) :]
+            else:
+                whole.add(w)
+        whole.update(*parted.values())
+        pieces = [p for p in whole.difference(words.young) if not words.known(p)]
+        young = words.young
+        young.update(encode_pieces(tokenizer, ends, pieces))
+        young.update([(w, young[core] + young[closing]) for w, (core, closing) in parted.items()])
+        out = [b"".join(map(young.__getitem__, own)) for own in split]
         for i, t in enumerate(raw):
             if b"<|" in t:
                 ids = tokenizer.encode(t.decode(), add_special_tokens=False).ids
