@@ -112,9 +112,11 @@ def fit_matrix(docs: DataFrame, chosen: DataFrame, vector=text_features, width=W
     )
     order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")[:MAX_FIT_ROWS]
     x = np.zeros((len(order), width), np.float32)
-    at, value = rows["at"].to_pylist(), rows["value"].to_pylist()
+    at, value = rows["at"].combine_chunks(), rows["value"].combine_chunks().values.to_numpy()
+    ends, at = at.offsets.to_numpy(), at.values.to_numpy()
     for k, i in enumerate(order):
-        x[k, at[i]] = value[i]
+        own = slice(ends[i], ends[i + 1])
+        x[k, at[own]] = value[own]
     return x, rows["y"].to_numpy()[order]
 
 
