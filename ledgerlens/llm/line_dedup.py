@@ -2,19 +2,19 @@
 
 A line is normalised (lower case A-Z, digits as 0, punctuation and white space
 as single blanks); lines of fewer than five words then stay as they are.  Two
-lines are linked when the SimHashes of their distinct words differ in at most three of
-64 bits and their edit similarity, ``1 - distance / longer length``, is 0.8 or
-more.  Of each connected group one occurrence is kept: the one with the smallest
-doc_id (none: last), content hash and line number.
-
-Equal lines are grouped by hash first.  Distinct SimHashes are listed under the
-values of two of five bit blocks; three differing bits leave two blocks alone
-(pigeonhole), so every link lies in some list.  A list gives a spanning forest
-of its close pairs, not all of them, and those pairs are verified on the lines'
-texts, as is every line against the first line of equal SimHash.  Where one of
-these fails, the forest no longer stands for all links, and the lists concerned
-are verified again pair by pair until connected.  The groups therefore are those
-of the full link graph.
+lines are linked when their edit similarity, ``1 - distance / longer length``,
+is 0.8 or more.  Of each connected group one occurrence is kept: the one with the
+smallest doc_id (none: last), content hash and line number.
+
+Equal lines are grouped by hash first.  Candidates are distinct lines that share
+one of their ten smallest shingle hashes (three of four neighbouring words, in
+short lines of five) and whose SimHashes of distinct words differ in at most 20
+bits.  No filter for so large a distance is exact and short at once: a link whose
+lines share none of these is missed unless other links connect them; the README
+gives the recall.  A list of lines with one shingle gives a spanning forest of
+its close pairs, not all of them, and those pairs are verified on the lines'
+texts.  Where one of these fails, the forest no longer stands for all links, and
+the list's linked lines are verified again pair by pair until connected.
 
 Only the texts that a verification needs leave the documents: a bitmap of fixed
 size (``BITMAP_BITS``), broadcast, lets a scan pass on those lines and few others.
@@ -38,12 +38,15 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import doc_key, spread, table, written
-from .simhash_dedup import forest, posting_runs
 
-MIN_WORDS, SIMILAR, BITS_APART = 5, 0.8, 3
-#: Bit blocks (offset, width) of a SimHash and the pairs that make a key.
+MIN_WORDS, SIMILAR, BITS_APART = 5, 0.8, 20
+#: Word places of a shingle: three of four neighbours, so that one changed word between two others breaks not all.
+SHINGLES, KEYS, KEY_BITS = ((0, 1, 2), (0, 1, 3), (0, 2, 3)), 10, 44
+#: Further ones of lines of few words: any two of five words may differ.
+SHORT_SHINGLES, SHORT_WORDS = ((0, 1, 4), (0, 2, 4), (0, 3, 4)), 8
+#: Five bit blocks of a SimHash and their pairs, for distances of three bits; lists are not made from them any more.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-PAIRS = tuple(combinations(range(len(BLOCKS)), len(BLOCKS) - BITS_APART))
+PAIRS = tuple(combinations(range(len(BLOCKS)), 2))
 BITMAP_BITS = 24
 WORDS_AT_ONCE = 100_000
 
@@ -100,8 +103,34 @@ def similar(a: str, b: str) -> bool:
     return a == b or distance(a, b) <= (1 - SIMILAR) * longer + 1e-9
 
 
+def shingle_keys(words: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """The ``KEYS`` smallest shingle hashes of each line, of its words' hashes in order.
+
+    A line of few shingles gives all of them.
+    """
+    line = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(words))
+    found = []
+    short = np.repeat(sizes <= SHORT_WORDS, sizes)
+    for n, places in enumerate(SHINGLES + SHORT_SHINGLES):
+        at = np.flatnonzero(left > places[-1] if n < len(SHINGLES) else (left > places[-1]) & short)
+        mixed = np.full(len(at), n + 1, np.uint64)
+        for place in places:
+            mixed = (mixed ^ words[at + place]) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+        found.append(line[at] << np.uint64(KEY_BITS) | mixed >> np.uint64(64 - KEY_BITS))
+    found = np.sort(np.concatenate(found))
+    found = found[np.r_[True, found[1:] != found[:-1]]]
+    line = (found >> np.uint64(KEY_BITS)).astype(np.int64)
+    starts = np.searchsorted(line, np.arange(len(sizes)))
+    small = np.arange(len(found)) - starts[line] < KEYS
+    # the smallest hashes differ in their low bits as any others do
+    low = found[small].astype(np.uint32).view(np.int32)
+    return np.split(low, np.searchsorted(line[small], np.arange(1, len(sizes))))
+
+
 def line_marks(docs: DataFrame) -> DataFrame:
-    """``key, doc_id, line, h, sim`` of every line of at least five words."""
+    """``key, doc_id, line, h, sim, shingles`` of every line of at least five words."""
 
     def simhashes(digests, sizes):
         raw = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 8)
@@ -115,62 +144,99 @@ def line_marks(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         digest = xxhash.xxh64_digest
+        rows, digests, sizes, ordered, lengths = [], [], [], [], []
         for batch in batches:
             keys, ids = batch.column("key").to_pylist(), batch.column("doc_id").to_pylist()
-            rows, digests, sizes = [], [], []
             for key, doc_id, text in zip(keys, ids, batch.column("text")):
                 for n, line in enumerate((text.as_py() or "").encode("utf-8", "replace").split(b"\n")):
                     words = normal_words(line)
                     if len(words) >= MIN_WORDS:
                         h = xxhash.xxh64_intdigest(b" ".join(words))
                         rows.append((key, doc_id, n, h - (h >> 63 << 64)))
-                        words = set(words)
-                        digests += map(digest, words)
-                        sizes.append(len(words))
-                        if len(digests) >= WORDS_AT_ONCE:
-                            yield out(rows, simhashes(digests, sizes))
-                            rows, digests, sizes = [], [], []
+                        hashed = list(map(digest, words))
+                        ordered += hashed
+                        lengths.append(len(hashed))
+                        hashed = set(hashed)
+                        digests += hashed
+                        sizes.append(len(hashed))
+                        if len(ordered) >= WORDS_AT_ONCE:
+                            yield out(rows, simhashes(digests, sizes), ordered, lengths)
+                            rows, digests, sizes, ordered, lengths = [], [], [], [], []
             if rows:
-                yield out(rows, simhashes(digests, sizes))
+                yield out(rows, simhashes(digests, sizes), ordered, lengths)
+                rows, digests, sizes, ordered, lengths = [], [], [], [], []
 
-    def out(rows, sims):
+    def out(rows, sims, ordered, lengths):
         columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int64()))]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(sims)], names=["key", "doc_id", "line", "h", "sim"])
+        found = shingle_keys(np.frombuffer(b"".join(ordered), np.uint64), np.array(lengths))
+        ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        shingles = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+        return pa.RecordBatch.from_arrays([*columns, pa.array(sims), shingles], names=["key", "doc_id", "line", "h", "sim", "shingles"])
 
     source = docs.select(doc_key().alias("key"), "doc_id", "text")
-    return spread(source).mapInArrow(run, "key long, doc_id long, line int, h long, sim long")
-
+    return spread(source).mapInArrow(run, "key long, doc_id long, line int, h long, sim long, shingles array<int>")
 
-def block_keys(sim):
-    """The keys of a SimHash: number of the block pair and both values."""
-    value = [F.shiftrightunsigned(sim, at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in BLOCKS]
-    return F.array(
-        *[
-            F.shiftleft(F.lit(n).cast("long"), 26).bitwiseOR(F.shiftleft(value[a], 13)).bitwiseOR(value[b])
-            for n, (a, b) in enumerate(PAIRS)
-        ]
-    )
 
+def forest(sims: np.ndarray, block: int = 256) -> list[tuple[int, int]]:
+    """Spanning forest, as pairs of places, of the SimHashes within ``BITS_APART`` bits.
 
-def close_pairs(sims: DataFrame) -> DataFrame:
-    """``list, a, b``: forests of the close pairs of each list of SimHashes."""
+    A place is linked to the nearest one of those that reach it first.
+    """
+    rest, out = np.arange(len(sims)), []
+    while len(rest) > 1:
+        frontier, rest = rest[:1], rest[1:]
+        while len(frontier) and len(rest):
+            head, frontier = frontier[:block], frontier[block:]
+            step = max(1, 4_000_000 // len(head))
+            linked = np.full(len(rest), -1)
+            for at in range(0, len(rest), step):
+                apart = np.bitwise_count(sims[rest[at : at + step], None] ^ sims[head][None, :])
+                nearest = apart.argmin(1)
+                found = apart[np.arange(len(apart)), nearest] <= BITS_APART
+                linked[at : at + step][found] = nearest[found]
+            hit = linked >= 0
+            out += zip(head[linked[hit]].tolist(), rest[hit].tolist())
+            frontier, rest = np.concatenate([frontier, rest[hit]]), rest[~hit]
+    return out
+
+
+def close_pairs(distinct: DataFrame) -> DataFrame:
+    """``list, a, b``: forests of the close pairs of each list of lines that share a shingle."""
 
     def batch_of(found):
-        rows = np.array(found, np.int64).reshape(-1, 3)
-        return pa.RecordBatch.from_arrays([pa.array(rows[:, i].copy()) for i in range(3)], names=["list", "a", "b"])
+        columns = [np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in range(3)]
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["list", "a", "b"])
+
+    def pairs_of(lists, h, sims):
+        """Pairs of whole lists, whose rows stand together."""
+        starts = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
+        sizes = np.diff(np.r_[starts, len(lists)])
+        two = starts[sizes == 2]
+        two = two[np.bitwise_count(sims[two] ^ sims[two + 1]) <= BITS_APART]
+        yield lists[two], h[two], h[two + 1]
+        for at, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+            pairs = forest(sims[at : at + size])
+            if pairs:
+                a, b = np.array(pairs).T
+                yield lists[at : at + len(a)], h[at + a], h[at + b]
 
     def run(batches):
-        found = []
-        for key, members in posting_runs(batches, "list", "sim", found, BITS_APART):
-            edges = np.array(forest(members.view(np.uint64), BITS_APART, 0), np.uint64).reshape(-1, 2).view(np.int64)
-            found += [(key, a, b) for a, b in edges.tolist()]
-            if len(found) > 50_000:
-                yield batch_of(found)
-                found.clear()
-        yield batch_of(found)
-
-    lists = sims.select(F.explode(block_keys(F.col("sim"))).alias("list"), "sim")
-    return lists.repartition("list").sortWithinPartitions("list").mapInArrow(run, "list long, a long, b long")
+        held = [np.empty(0, np.int64)] * 3
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("list", "h", "sim")]
+            held = [np.concatenate(pair) for pair in zip(held, new)]
+            last = np.searchsorted(held[0], held[0][-1])
+            if last:
+                yield batch_of(list(pairs_of(held[0][:last], held[1][:last], held[2][:last].view(np.uint64))))
+                held = [c[last:] for c in held]
+        if len(held[0]):
+            yield batch_of(list(pairs_of(held[0], held[1], held[2].view(np.uint64))))
+
+    lists = distinct.select(F.explode("shingles").alias("list"), "h", "sim")
+    lists = lists.repartition("list").sortWithinPartitions("list").mapInArrow(run, "list long, a long, b long")
+    return lists
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -217,7 +283,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def all_links(members: DataFrame) -> DataFrame:
-    """Spanning links ``a, b`` of groups of (own, list, h, sim, said), pair by pair."""
+    """Spanning links ``a, b`` of lists of (list, h, sim, said), pair by pair."""
 
     def connect(rows):
         root = list(range(len(rows)))
@@ -239,10 +305,10 @@ def all_links(members: DataFrame) -> DataFrame:
         held, at = [], None
         for batch in batches:
             out = []
-            for own, key, *row in zip(*(batch.column(c).to_pylist() for c in ("own", "list", "h", "sim", "said"))):
-                if (own, key) != at:
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("list", "h", "sim", "said"))):
+                if key != at:
                     out += connect(held)
-                    held, at = [], (own, key)
+                    held, at = [], key
                 held.append(row)
             yield batch_of(out)
         yield batch_of(connect(held))
@@ -251,55 +317,40 @@ def all_links(members: DataFrame) -> DataFrame:
         rows = list(found)
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    dealt = members.repartition("own", "list").sortWithinPartitions("own", "list", "sim", "h")
+    dealt = members.repartition("list").sortWithinPartitions("list", "sim", "h")
     return dealt.mapInArrow(run, "a long, b long")
 
 
 def linked(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """Links ``a, b`` that connect the groups of distinct lines.
 
-    ``distinct`` has a row (h, sim, key, line) for each distinct line.
+    ``distinct`` has a row (h, sim, shingles, key, line) for each distinct line.
     """
-    sims = written(distinct.groupBy("sim").agg(F.min("h").alias("first"), F.count("*").alias("n")), "line-sims")
-    near = written(close_pairs(sims.select("sim")).toDF("list", "sim_a", "sim_b"), "near-sims")
-    firsts = sims.select("sim", "first")
+    near = written(close_pairs(distinct), "near-lines")
     # a pair that several lists hold is verified once
-    pairs = near.select("sim_a", "sim_b").distinct()
-    pairs = pairs.join(firsts.toDF("sim_a", "a"), "sim_a").join(firsts.toDF("sim_b", "b"), "sim_b")
-    same = distinct.join(sims.where("n > 1"), "sim").where("h <> first")
-    same = same.select(F.col("sim").alias("sim_a"), F.col("sim").alias("sim_b"), F.col("h").alias("a"), F.col("first").alias("b"))
-    pairs = written(pairs.select("sim_a", "sim_b", "a", "b").unionAll(same), "line-pairs")
-
+    low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    pairs = written(near.select(low, high).distinct(), "line-pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     texts = written(texts_of(docs, distinct.join(ends, "h").select("h", "key", "line")), "line-texts")
     checked = written(verified(pairs, texts), "line-checks")
     links = checked.where("ok").select("a", "b")
 
-    failed = checked.where("not ok")
-    if failed.isEmpty():
-        return links
-    # lists with a failed pair, all lists of a SimHash whose lines differ, and those lines among themselves
-    mixed = failed.where("sim_a = sim_b").select(F.col("sim_a").alias("sim")).distinct()
-    lists = near.join(failed.where("sim_a <> sim_b").select("sim_a", "sim_b").distinct(), ["sim_a", "sim_b"]).select("list")
-    for end in ("sim_a", "sim_b"):
-        lists = lists.unionAll(near.join(mixed.withColumnRenamed("sim", end), end).select("list"))
-    again = near.join(lists.distinct(), "list")
-    again = again.select(F.lit(False).alias("own"), "list", F.explode(F.array("sim_a", "sim_b")).alias("sim")).distinct()
-    again = again.unionAll(mixed.select(F.lit(True), F.col("sim"), F.col("sim")))
-    members = written(distinct.join(again, "sim").select("own", "list", "h", "sim", "key", "line"), "line-again")
-    known = members.join(texts, "h").select("own", "list", "h", "sim", "said")
-    others = members.join(texts, "h", "left_anti")
-    others = others.join(texts_of(docs, others.select("h", "key", "line").distinct()), "h")
-    return links.unionAll(all_links(known.unionByName(others.select("own", "list", "h", "sim", "said"))))
+    failed = checked.where("not ok").select("a", "b")
+    # lists with a failed pair and another one: the forest does not stand for all their links
+    many = near.groupBy("list").agg(F.count("*").alias("n")).where("n > 1").select("list")
+    lists = near.select("list", low, high).join(failed, ["a", "b"]).select("list").distinct().join(many, "list")
+    again = near.join(lists, "list").select("list", F.explode(F.array("a", "b")).alias("h")).distinct()
+    members = again.join(distinct.select("h", "sim"), "h").join(texts, "h").select("list", "h", "sim", "said")
+    return links.unionAll(all_links(members))
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """``key, removed``: numbers of the lines that a document loses."""
     marks = written(line_marks(docs), "line-marks")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line")
-    distinct = marks.groupBy("h").agg(F.first("sim").alias("sim"), F.min(place).alias("place"), F.count("*").alias("n"))
-    distinct = written(distinct.select("h", "sim", "n", "place", "place.key", "place.line"), "lines")
-    roots = components(linked(docs, distinct.select("h", "sim", "key", "line")))
+    distinct = marks.groupBy("h").agg(F.first("sim").alias("sim"), F.first("shingles").alias("shingles"), F.min(place).alias("place"), F.count("*").alias("n"))
+    distinct = written(distinct.select("h", "sim", "shingles", "n", "place", "place.key", "place.line"), "lines")
+    roots = components(linked(docs, distinct.select("h", "sim", "shingles", "key", "line")))
     rooted = distinct.join(roots, F.col("h") == F.col("node"), "left").withColumn("root", F.coalesce("root", "h"))
     groups = rooted.groupBy("root").agg(F.min("place").alias("keep"), F.sum("n").alias("total")).where("total > 1")
     keep = rooted.select("h", "root").join(groups, "root").select("h", "keep.key", "keep.line")
