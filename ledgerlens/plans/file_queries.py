@@ -78,6 +78,15 @@ def comment_word_overlap(spark, sf_dir):
     return pairs.select("item_id", "conv_id", F.round(word_overlap(F.col("words"), F.col("names")), 6).alias("overlap"))
 
 
+def turn_word_overlap(spark, sf_dir):
+    """Every turn as a comment against the next turn of its conversation as code, whole texts."""
+    turns = V.read(spark, sf_dir, "conversations")
+    notes = turns.select("conv_id", "turn", comment_words(F.col("text")).alias("words"))
+    code = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), identifier_words(F.col("text")).alias("names"))
+    pairs = notes.join(code, ["conv_id", "turn"])
+    return pairs.select("conv_id", "turn", F.round(word_overlap(F.col("words"), F.col("names")), 6).alias("overlap"))
+
+
 def stopword_filter(spark, sf_dir):
     return V.read(spark, sf_dir, "documents").select("doc_id", F.size(comment_words(F.col("text"))).alias("n_words"))
 
@@ -105,7 +114,7 @@ def license_reading(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     language_profile, sloc_per_file, file_index, exact_duplicate_files, clone_families_normalised, walk_caps, generated_header,
-    license_fingerprint, license_matches_declared, secret_scan, comment_word_overlap, stopword_filter, convention_majority,
+    license_fingerprint, license_matches_declared, secret_scan, comment_word_overlap, turn_word_overlap, stopword_filter, convention_majority,
     directory_fold, license_reading,
 )}
 FILES = """WITH files AS (SELECT doc_id, source AS repo_id, source || '/' || lang || '/' || doc_id || '.txt' AS path, text AS content,
@@ -146,6 +155,9 @@ ORACLES = {
     "comment_word_overlap": f"""SELECT item_id, conv_id, CASE WHEN len(w) > 0 THEN round(len(list_filter(w, lambda x: list_contains(n, x))) / len(w), 6) END AS overlap
         FROM (SELECT item_id, {COMMENT.replace('{0}', 'substr(text, 1, 120)')} AS w FROM benchmark) JOIN
         (SELECT conv_id, {NAMES.replace('{0}', 'substr(text, 1, 400)')} AS n FROM conversations WHERE turn = 0) ON conv_id % 40 = item_id % 40""",
+    "turn_word_overlap": f"""SELECT conv_id, turn, CASE WHEN len(w) > 0 THEN round(len(list_filter(w, lambda x: list_contains(n, x))) / len(w), 6) END AS overlap
+        FROM (SELECT conv_id, turn, {COMMENT.replace('{0}', 'text')} AS w FROM conversations) JOIN
+        (SELECT conv_id, turn - 1 AS turn, {NAMES.replace('{0}', 'text')} AS n FROM conversations) USING (conv_id, turn)""",
     "stopword_filter": f"SELECT doc_id, CAST(len({COMMENT.replace('{0}', 'text')}) AS INTEGER) AS n_words FROM documents",
     "convention_majority": """SELECT dim, arg_max(choice, {'n': n, 'o': -f}) AS majority, CAST(sum(n) AS BIGINT) AS n_files, round(1 - max(n) / sum(n), 6)::DOUBLE AS minority
         FROM (SELECT source AS dim, lang AS choice, count(*) AS n, min(doc_id) AS f FROM documents GROUP BY 1, 2) GROUP BY dim""",
