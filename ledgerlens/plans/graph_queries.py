@@ -47,6 +47,14 @@ def module_graph_edges(spark, sf_dir):
     return G.module_edges(edges.select(part("from_path").alias("from_dir"), part("to_path").alias("to_dir")))
 
 
+def directory_graph_edges(spark, sf_dir):
+    """Edges between whole directories, named as in ``module_graph_nodes``; a link stays on its page's host."""
+    url = F.col("url")
+    whole = lambda path: F.concat(V.url_host(url), paths.directory(path))
+    edges = V.links(spark, sf_dir).select(whole(V.url_path(url)).alias("from_dir"), whole(F.col("href")).alias("to_dir"))
+    return G.module_edges(edges)
+
+
 def module_graph_nodes(spark, sf_dir):
     return G.module_nodes(page_dirs(spark, sf_dir))
 
@@ -139,7 +147,7 @@ def npm_specs(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    import_edges, orphan_pages, graph_roots, external_packages, module_graph_edges, module_graph_nodes, nearest_config,
+    import_edges, orphan_pages, graph_roots, external_packages, module_graph_edges, directory_graph_edges, module_graph_nodes, nearest_config,
     reachability, route_paths, route_coverage, package_dedupe, advisory_join, declared_minus_used, manifest_json,
     specifier_packages, npm_specs,
 )}
@@ -156,6 +164,9 @@ ORACLES = {
     "external_packages": LINKS + "SELECT string_split(ltrim(href, '/'), '/')[1] AS package, count(*) AS n FROM links GROUP BY 1",
     "module_graph_edges": LINKS + """SELECT * FROM (SELECT substr(lower(regexp_extract(from_path, '^/([^/]*)', 1)), 1, 2) AS from_dir,
         substr(lower(regexp_extract(to_path, '^/([^/]*)', 1)), 1, 2) AS to_dir, count(*) AS count FROM edges GROUP BY 1, 2) WHERE from_dir <> to_dir""",
+    "directory_graph_edges": LINKS + r"""SELECT * FROM (SELECT h || regexp_extract(p, '^(.*)/[^/]*$', 1) AS from_dir, h || regexp_extract(href, '^(.*)/[^/]*$', 1) AS to_dir,
+        count(*) AS count FROM (SELECT regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS h, regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)?', 1) AS p, href FROM links)
+        GROUP BY 1, 2) WHERE from_dir <> to_dir""",
     "module_graph_nodes": LINKS + "SELECT dir AS path, count(*) AS files FROM dirs GROUP BY dir HAVING count(*) >= 2 ORDER BY files DESC, path LIMIT 12",
     "nearest_config": LINKS + """, f AS (SELECT page_id, host || path AS p FROM known), c AS (
         SELECT regexp_extract(p, '^(.*)/[^/]*$', 1) AS d FROM f WHERE page_id % 7 = 0 UNION SELECT string_split(p, '/')[1] FROM f WHERE page_id % 5 = 0)
