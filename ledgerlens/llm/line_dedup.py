@@ -1,8 +1,10 @@
 """Fuzzy line de-duplication over a whole corpus.
 
 A line is normalised (lower case A-Z, digits as 0, punctuation and white space
-as single blanks); lines of fewer than five words then stay as they are.  Two
-lines are linked when their edit similarity, ``1 - distance / longer length``,
+as single blanks).  Lines of fewer than five words stay as they are unless ``short``
+is set: then equal ones are grouped, and from 20 characters on near ones, by their
+pairs of characters; they meet no near line of five words or more.  A line of
+punctuation alone is empty when normalised and stays.  Two lines are linked when their edit similarity, ``1 - distance / longer length``,
 is 0.8 or more.  Of each connected group one occurrence is kept: the one with the
 smallest doc_id (none: last), content hash and line number.
 
@@ -49,6 +51,8 @@ BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 PAIRS = tuple(combinations(range(len(BLOCKS)), 2))
 BITMAP_BITS = 24
 WORDS_AT_ONCE = 100_000
+#: Lines of fewer words are near others from so many characters on; their pairs of characters stand for words.
+MIN_CHARS = 20
 
 
 def _normal_byte(b: int) -> int:
@@ -120,7 +124,7 @@ def shingle_keys(words: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
             mixed ^= mixed >> np.uint64(29)
         found.append(line[at] << np.uint64(KEY_BITS) | mixed >> np.uint64(64 - KEY_BITS))
     found = np.sort(np.concatenate(found))
-    found = found[np.r_[True, found[1:] != found[:-1]]]
+    found = found[np.r_[True, found[1:] != found[:-1]][: len(found)]]
     line = (found >> np.uint64(KEY_BITS)).astype(np.int64)
     starts = np.searchsorted(line, np.arange(len(sizes)))
     small = np.arange(len(found)) - starts[line] < KEYS
@@ -129,8 +133,17 @@ def shingle_keys(words: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     return np.split(low, np.searchsorted(line[small], np.arange(1, len(sizes))))
 
 
-def line_marks(docs: DataFrame) -> DataFrame:
-    """``key, doc_id, line, h, sim, shingles`` of every line of at least five words."""
+def character_pairs(words: list[bytes]) -> list[bytes]:
+    """Neighbouring characters of a line of few words; none where it is short."""
+    said = b" ".join(words).decode("utf-8", "replace")
+    return [said[i : i + 2].encode() for i in range(len(said) - 1)] if len(said) >= MIN_CHARS else []
+
+
+def line_marks(docs: DataFrame, short: bool = False) -> DataFrame:
+    """``key, doc_id, line, h, sim, shingles`` of every line of at least five words.
+
+    With ``short`` also of lines of fewer words; without shingles they meet equal lines only.
+    """
 
     def simhashes(digests, sizes):
         raw = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 8)
@@ -150,16 +163,16 @@ def line_marks(docs: DataFrame) -> DataFrame:
             for key, doc_id, text in zip(keys, ids, batch.column("text")):
                 for n, line in enumerate((text.as_py() or "").encode("utf-8", "replace").split(b"\n")):
                     words = normal_words(line)
-                    if len(words) >= MIN_WORDS:
+                    if len(words) >= MIN_WORDS or short and words:
                         h = xxhash.xxh64_intdigest(b" ".join(words))
                         rows.append((key, doc_id, n, h - (h >> 63 << 64)))
-                        hashed = list(map(digest, words))
+                        hashed = list(map(digest, words if len(words) >= MIN_WORDS else character_pairs(words)))
                         ordered += hashed
                         lengths.append(len(hashed))
-                        hashed = set(hashed)
+                        hashed = set(hashed) or {bytes(8)}
                         digests += hashed
                         sizes.append(len(hashed))
-                        if len(ordered) >= WORDS_AT_ONCE:
+                        if len(digests) + len(ordered) >= 2 * WORDS_AT_ONCE:
                             yield out(rows, simhashes(digests, sizes), ordered, lengths)
                             rows, digests, sizes, ordered, lengths = [], [], [], [], []
             if rows:
@@ -344,9 +357,9 @@ def linked(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     return links.unionAll(all_links(members))
 
 
-def removals(docs: DataFrame) -> DataFrame:
+def removals(docs: DataFrame, short: bool = False) -> DataFrame:
     """``key, removed``: numbers of the lines that a document loses."""
-    marks = written(line_marks(docs), "line-marks")
+    marks = written(line_marks(docs, short), "line-marks")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line")
     distinct = marks.groupBy("h").agg(F.first("sim").alias("sim"), F.first("shingles").alias("shingles"), F.min(place).alias("place"), F.count("*").alias("n"))
     distinct = written(distinct.select("h", "sim", "shingles", "n", "place", "place.key", "place.line"), "lines")
@@ -358,13 +371,16 @@ def removals(docs: DataFrame) -> DataFrame:
     return gone.groupBy("m.key").agg(F.array_sort(F.collect_set("m.line")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, report: bool = False) -> DataFrame:
-    """``docs`` without the repeated lines; with ``report`` also their numbers."""
+def dedup_lines(docs: DataFrame, report: bool = False, short: bool = False) -> DataFrame:
+    """``docs`` without the repeated lines; with ``report`` also their numbers.
+
+    ``short`` takes lines of fewer than five words, too; the query and the pipeline set it.
+    """
     lines = F.split("text", "\n", -1)
     removed = F.coalesce("__removed", F.array().cast("array<int>"))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
     kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-    lost = removals(docs).select(F.col("key").alias("__key"), F.col("removed").alias("__removed"))
+    lost = removals(docs, short).select(F.col("key").alias("__key"), F.col("removed").alias("__removed"))
     text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(kept)
     joined = docs.withColumn("__key", doc_key()).join(lost, "__key", "left").withColumn("__text", text)
     out = {c: F.col(c) for c in docs.columns} | {"text": F.col("__text")}
@@ -378,7 +394,7 @@ def dedup_lines(docs: DataFrame, report: bool = False) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True, short=True)
 
 
 QUERIES = {"op2_line_dedup": op2_line_dedup}
