@@ -1,15 +1,19 @@
 """Facts about source files, taken from their text by patterns in the JVM.
 
 There is no parser here: a fact is what a documented pattern finds in a file's
-text, line by line or by simple blocks.  Facts are flat tables keyed by
+text, line by line or by simple blocks; only the ends of catch blocks are found
+per row in Python.  Facts are flat tables keyed by
 ``repo_id`` and ``path``; signals aggregate them.  Every table is one projection
 and one explode of the file table, without a shuffle.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import paths
 from ..functions.scalars import comment_words, identifier_words, word_overlap
@@ -23,7 +27,10 @@ STATIC = r"""(?m)^\s*(?:import|export)\b[^'"\n;]*?(?:from\s*)?['"]([^'"\n]+)['"]
 DYNAMIC = r"""\b(?:import|require)\(\s*['"]([^'"\n]+)['"]\s*\)"""
 PY_IMPORT = r"(?m)^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))"
 EXPORTS = r"(?m)^\s*export\s+(?:default\s+)?(?:async\s+)?(?:function\*?|const|let|class|interface|type|enum)\s+([A-Za-z_$][\w$]*)"
-CATCH = r"catch\s*(?:\([^)]*\))?\s*\{([^{}]*)\}"
+CATCH = r"\bcatch\s*(?:\((?:[^()]++|\([^()]*+\))*+\))?\s*\{"
+#: What a brace does not count in: comments, strings, templates (their ``${}`` is skipped with them).
+LINE_COMMENT = r"//[^\n]*"
+OPAQUE = r"""/\*[\s\S]*?\*/|'(?:\\.|[^'\\\n])*'|"(?:\\.|[^"\\\n])*"|`(?:\\[\s\S]|[^`\\])*`"""
 EXCEPT = r"(?m)^[ \t]*except\b[^\n:]*:[ \t]*((?:\n?[ \t]+)?[^\n]*)"
 TEST_CASE = r"""\b(?:it|test)\(\s*(?:'([^'\n]*)'|"([^"\n]*)")"""
 #: Kind of a dangerous call and the line pattern that shows it.
@@ -69,10 +76,41 @@ def exports(files: DataFrame) -> DataFrame:
     return of_kind(files, JS).select(*KEYS, F.explode(all_groups(F.col("content"), EXPORTS)).alias("name"))
 
 
+def blocks_of(content: str, opaque: str) -> dict[int, str | None]:
+    """Body of each catch block by its place; none where its brace stays open."""
+    tokens = re.compile(rf"(?P<opaque>{opaque})|(?P<catch>{CATCH})|(?P<brace>[{{}}])")
+    open_at, out = [], {}
+    for found in tokens.finditer(content):
+        if found["catch"]:
+            out[found.end()] = None
+            open_at.append(found.end())
+        elif found["brace"] == "{":
+            open_at.append(None)
+        elif found["brace"] and open_at:
+            begun = open_at.pop()
+            if begun is not None:
+                out[begun] = content[begun : found.start()]
+    return out
+
+
+@F.udf(ArrayType(StringType()))
+def catch_bodies(content):
+    """Bodies of catch blocks to the brace that ends them, nested ones too.
+
+    One that stays open may end at a brace in a line comment; else it is none.
+    """
+    bodies = blocks_of(content or "", f"{LINE_COMMENT}|{OPAQUE}")
+    if None in bodies.values():
+        loose = blocks_of(content, OPAQUE)
+        bodies = {at: loose.get(at) if body is None else body for at, body in bodies.items()}
+    return [body for body in bodies.values() if body is not None]
+
+
 def handlers(files: DataFrame) -> DataFrame:
     """Error handlers with ``kind``: empty, log-only, documented or handled."""
     content = F.col("content")
-    js = of_kind(files, JS).select(*KEYS, F.explode(all_groups(content, CATCH)).alias("body"))
+    scripts = of_kind(files, JS).where(content.rlike(r"\bcatch\b"))
+    js = scripts.select(*KEYS, F.explode(catch_bodies(content)).alias("body"))
     py = of_kind(files, PY).select(*KEYS, F.explode(all_groups(content, EXCEPT)).alias("body"))
     body = F.regexp_replace("body", r"^\s+|\s+$", "")
     kind = (
