@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import discard, written
 
 
 def _is_forest_of_stars(edges: DataFrame) -> bool:
@@ -41,5 +41,8 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
             .unionAll(low.select("hi", F.col("m").alias("lo")))
             .distinct()
         )
-        cur = written(small, "small-star")
-    return cur.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+        before, cur = cur, written(small, "small-star")
+        discard(before, large)
+    out = cur.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+    out.written_to = cur.written_to  # for discard()
+    return out

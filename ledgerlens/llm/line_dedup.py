@@ -1,37 +1,43 @@
 """Fuzzy line de-duplication over a whole corpus.
 
 A line is normalised (lower case A-Z, digits as 0, punctuation and white space
-as single blanks).  Lines of fewer than five words stay as they are unless ``short``
-is set: then equal ones are grouped, and from 20 characters on near ones, by their
-pairs of characters; they meet no near line of five words or more.  A line of
-punctuation alone is empty when normalised and stays.  Two lines are linked when their edit similarity, ``1 - distance / longer length``,
-is 0.8 or more.  Of each connected group one occurrence is kept: the one with the
-smallest doc_id (none: last), content hash and line number.
-
-Equal lines are grouped by hash first.  Candidates are distinct lines that share
-one of their ten smallest shingle hashes (three of four neighbouring words, in
-short lines of five) and whose SimHashes of distinct words differ in at most 20
-bits.  No filter for so large a distance is exact and short at once: a link whose
-lines share none of these is missed unless other links connect them; the README
-gives the recall.  A list of lines with one shingle gives a spanning forest of
-its close pairs, not all of them, and those pairs are verified on the lines'
-texts.  Where one of these fails, the forest no longer stands for all links, and
-the list's linked lines are verified again pair by pair until connected.
+as single blanks).  Two lines are linked when their edit similarity,
+``1 - distance / longer length``, is 0.8 or more.  Of each connected group one
+occurrence is kept: the one with the smallest doc_id (none: last), content hash
+and line number.  Lines of fewer than five words stay as they are unless
+``short`` is set: then equal ones are grouped, and from 20 characters on near
+ones, by their pairs of characters; they meet no near line of five words or
+more.  A line of punctuation alone is empty when normalised and stays.
+
+Equal lines are grouped by a 128-bit hash first.  Candidates are distinct lines
+that share one of their ten smallest shingle hashes (three of four neighbouring
+words, in short lines of five), at places that an alignment within the edit
+budget can match, of lengths within that budget, and whose SimHashes of distinct
+words differ in at most 20 bits.  No filter for so large a distance is exact and
+short at once: a link whose lines share none of these is missed unless other
+links connect them; the README gives the recall.
+
+The lines with one shingle are its list.  A list gives a spanning forest of its
+candidate pairs, which are verified on the lines' texts, each pair once.  Where
+one of these fails, the forest no longer stands for all links of the list, and
+every candidate pair of the list between lines that are not connected by then is
+verified, too.  A list of more than ``LIST`` lines is dealt out in blocks, each
+pair of blocks a group of its own, so no task compares more than two blocks.
 
 Only the texts that a verification needs leave the documents: a bitmap of fixed
-size (``BITMAP_BITS``), broadcast, lets a scan pass on those lines and few others.
+size (``BITMAP_BITS``), broadcast, lets a scan pass on those lines and few
+others.  Where a corpus wants more lines than that it passes on more, never less.
 
 Defined cases: null text stays null and empty text empty; a document whose lines
 all go keeps its row with an empty text; repeated rows (equal doc_id and text)
 count as one document and lose the same lines; an empty table gives an empty
 result; a column ``n_chars`` is set to the new length and further columns pass
-through.  Lines are told apart by a 64-bit hash of their normalised form.
+through, whatever their names.  A text is read a line at a time; a line of any
+length is one line.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -39,25 +45,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import doc_key, spread, table, written
+from .shared import discard, doc_key, free_name, spread, table, written
 
 MIN_WORDS, SIMILAR, BITS_APART = 5, 0.8, 20
 #: Word places of a shingle: three of four neighbours, so that one changed word between two others breaks not all.
-SHINGLES, KEYS, KEY_BITS = ((0, 1, 2), (0, 1, 3), (0, 2, 3)), 10, 44
+SHINGLES, KEYS = ((0, 1, 2), (0, 1, 3), (0, 2, 3)), 10
 #: Further ones of lines of few words: any two of five words may differ.
 SHORT_SHINGLES, SHORT_WORDS = ((0, 1, 4), (0, 2, 4), (0, 3, 4)), 8
-#: Five bit blocks of a SimHash and their pairs, for distances of three bits; lists are not made from them any more.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-PAIRS = tuple(combinations(range(len(BLOCKS)), 2))
+#: A posting is a long: 48 bits of the shingle's hash, then the place of its first character.  Places from ``FAR`` on count as unknown.
+PLACE_BITS, FAR = 16, (1 << 16) - 1
+LIST, SMALL = 4096, 64
 BITMAP_BITS = 24
-WORDS_AT_ONCE = 100_000
+#: Lines are taken so many bytes at once, so their numbers there fit these bits of a sort key.
+BYTES_AT_ONCE, LINE_BITS = 1 << 17, 24
 #: Lines of fewer words are near others from so many characters on; their pairs of characters stand for words.
 MIN_CHARS = 20
 
 
 def _normal_byte(b: int) -> int:
     c = chr(b)
-    if b >= 128 or c.islower():
+    if b >= 128 or c.islower() or c == "\n":
         return b
     return ord(c.lower()) if c.isupper() else ord("0") if c.isdigit() else ord(" ")
 
@@ -65,18 +72,28 @@ def _normal_byte(b: int) -> int:
 NORMAL = bytes(map(_normal_byte, range(256)))
 #: A byte's eight bits as the bytes of a word.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
+MIX = np.uint64(0x9E3779B97F4A7C15)
+POWERS = np.cumprod(np.full(64, 0xC2B2AE3D27D4EB4F, np.uint64))
 
 
-def normal_words(line: bytes) -> list[bytes]:
-    return line.translate(NORMAL).split()
+def normal_lines(text: str) -> list[bytes]:
+    """The normalised lines of a text; lines end at line feeds alone."""
+    return [b" ".join(line.split()) for line in text.encode("utf-8", "replace").translate(NORMAL).split(b"\n")]
 
 
 def normal_line(line: str) -> str:
-    return b" ".join(normal_words(line.encode("utf-8", "replace"))).decode("utf-8", "replace")
+    return b" ".join(line.encode("utf-8", "replace").translate(NORMAL).split()).decode("utf-8", "replace")
+
+
+# --- edit similarity -------------------------------------------------------
 
 
-def distance(a: str, b: str) -> int:
-    """Levenshtein distance, by bit vectors over the shorter text's columns."""
+def distance(a: str, b: str, most: int | None = None) -> int:
+    """Levenshtein distance, by bit vectors over one text's columns.
+
+    With ``most`` a larger distance may come out as any number above it: what
+    stands on the diagonal to the end never falls again.
+    """
     at = 0
     while at < min(len(a), len(b)) and a[at] == b[at]:
         at += 1
@@ -89,121 +106,272 @@ def distance(a: str, b: str) -> int:
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, score = full, 0, len(a)
-    for c in b:
+    up, down, score, shift = full, 0, len(a), len(a) - len(b)
+    for j, c in enumerate(b, 1):
         eq = where.get(c, 0)
         diagonal = (((eq & up) + up) ^ up) | eq | down
         right, left = down | ~(diagonal | up) & full, up & diagonal
         score += bool(right & top) - bool(left & top)
         right, left = right << 1 | 1, left << 1
         up, down = (left | ~(diagonal | right)) & full, right & diagonal & full
+        if most is not None and not j & 31 and j + shift > 0:
+            seen = (1 << (j + shift)) - 1
+            if j + (up & seen).bit_count() - (down & seen).bit_count() > most:
+                return most + 1
     return score
 
 
 def similar(a: str, b: str) -> bool:
     longer = max(len(a), len(b))
-    if longer - min(len(a), len(b)) > (1 - SIMILAR) * longer + 1e-9:
+    most = int((1 - SIMILAR) * longer + 1e-9)
+    if longer - min(len(a), len(b)) > most:
         return False
-    return a == b or distance(a, b) <= (1 - SIMILAR) * longer + 1e-9
-
-
-def shingle_keys(words: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-    """The ``KEYS`` smallest shingle hashes of each line, of its words' hashes in order.
-
-    A line of few shingles gives all of them.
+    x, y = a.split(" "), b.split(" ")
+    if len(x) == len(y) and sum(max(len(v), len(w)) for v, w in zip(x, y) if v != w) <= most:
+        return True  # word for word: a distance that can be reached
+    return distance(a, b, most) <= most
+
+
+# --- marks of lines ----------------------------------------------------------
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(32)) * MIX
+    return (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of words, ``sizes`` bytes from ``starts`` on, which follow each other."""
+    place = np.arange(len(raw), dtype=np.int32)
+    place -= np.repeat(starts.astype(np.int32), np.diff(np.append(starts, len(raw))))
+    # bytes 64 apart share a power, which the count of whole turns sets apart
+    value = (raw.astype(np.uint64) + (place >> 6).astype(np.uint64) * np.uint64(257)) * POWERS[place & 63]
+    value[raw <= 32] = 0
+    return mixed(np.add.reduceat(value, starts) + sizes.astype(np.uint64))
+
+
+def simhashes(words: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
+    """SimHash of the distinct words of each of ``n`` lines."""
+    seen = np.sort(line.astype(np.uint64) << np.uint64(64 - LINE_BITS) | words >> np.uint64(LINE_BITS))
+    seen = seen[np.r_[True, seen[1:] != seen[:-1]][: len(seen)]]
+    owner = (seen >> np.uint64(64 - LINE_BITS)).astype(np.int64)
+    raw = mixed(seen << np.uint64(LINE_BITS)).view(np.uint8).reshape(-1, 8)
+    sizes = np.bincount(owner, minlength=n)
+    first = np.cumsum(sizes) - sizes
+    some = np.flatnonzero(sizes)
+    counts = np.zeros((n, 64), np.int64)
+    # eight counters in the bytes of a word; they hold lines of up to 255 words
+    if len(some):
+        counts[some] = np.add.reduceat(LANES[raw], first[some], axis=0).view(np.uint8)
+    for i in np.flatnonzero(sizes > 255):
+        counts[i] = 0
+        for at in range(first[i], first[i] + sizes[i], BYTES_AT_ONCE):
+            counts[i] += np.unpackbits(raw[at : min(at + BYTES_AT_ONCE, first[i] + sizes[i])], axis=1).sum(0, dtype=np.int64)
+    return np.packbits(counts * 2 > sizes[:, None], axis=1).view(">i8").ravel().astype(np.int64)
+
+
+def shingle_postings(words: np.ndarray, places: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Postings of the ``KEYS`` smallest shingle hashes of each line, and how many each has.
+
+    ``words`` are the words' hashes in order, ``places`` their first characters.
+    A line of few shingles gives all of them; a repeated one stands at its first place.
     """
-    line = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+    n = len(sizes)
+    line = np.repeat(np.arange(n), sizes)
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(words))
-    found = []
     short = np.repeat(sizes <= SHORT_WORDS, sizes)
-    for n, places in enumerate(SHINGLES + SHORT_SHINGLES):
-        at = np.flatnonzero(left > places[-1] if n < len(SHINGLES) else (left > places[-1]) & short)
-        mixed = np.full(len(at), n + 1, np.uint64)
-        for place in places:
-            mixed = (mixed ^ words[at + place]) * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(29)
-        found.append(line[at] << np.uint64(KEY_BITS) | mixed >> np.uint64(64 - KEY_BITS))
-    found = np.sort(np.concatenate(found))
-    found = found[np.r_[True, found[1:] != found[:-1]][: len(found)]]
-    line = (found >> np.uint64(KEY_BITS)).astype(np.int64)
-    starts = np.searchsorted(line, np.arange(len(sizes)))
-    small = np.arange(len(found)) - starts[line] < KEYS
-    # the smallest hashes differ in their low bits as any others do
-    low = found[small].astype(np.uint32).view(np.int32)
-    return np.split(low, np.searchsorted(line[small], np.arange(1, len(sizes))))
-
-
-def character_pairs(words: list[bytes]) -> list[bytes]:
-    """Neighbouring characters of a line of few words; none where it is short."""
-    said = b" ".join(words).decode("utf-8", "replace")
-    return [said[i : i + 2].encode() for i in range(len(said) - 1)] if len(said) >= MIN_CHARS else []
+    # all but few lines have their ten smallest among the hashes below this
+    below = np.minimum(1.0, 3 * KEYS / np.maximum(1, 3 * sizes)) * (1 << 48)
+    hashes, own, at_word = [], [], []
+    for k, pattern in enumerate(SHINGLES + SHORT_SHINGLES):
+        at = np.flatnonzero(left > pattern[-1] if k < len(SHINGLES) else (left > pattern[-1]) & short)
+        h = np.full(len(at), k + 1, np.uint64)
+        for place in pattern:
+            h = (h ^ words[at + place]) * MIX
+            h ^= h >> np.uint64(29)
+        hashes.append(h >> np.uint64(PLACE_BITS))
+        own.append(line[at])
+        at_word.append(at)
+    hashes, own, at_word = np.concatenate(hashes), np.concatenate(own), np.concatenate(at_word)
+    low = hashes < below[own]
+    few = np.bincount(own[low], minlength=n) < 2 * KEYS
+    low |= few[own]
+
+    def smallest(low):
+        h, o, w = hashes[low], own[low], at_word[low]
+        key = o.astype(np.uint64) << np.uint64(64 - LINE_BITS) | h >> np.uint64(8)
+        order = np.argsort(key)
+        key = key[order]
+        fresh = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+        h, o = h[order[fresh]], o[order[fresh]]
+        w = np.minimum.reduceat(w[order], fresh) if len(fresh) else w
+        rank = np.arange(len(o)) - np.searchsorted(o, np.arange(n))[o]
+        return h[rank < KEYS], o[rank < KEYS], w[rank < KEYS]
+
+    h, o, w = smallest(low)
+    # lines whose low hashes repeat may have fewer than ten of them though they have more shingles
+    lacking = (np.bincount(o, minlength=n) < KEYS) & ~few
+    if lacking.any():
+        keep = ~lacking[o]
+        more = smallest(lacking[own])
+        h, o, w = (np.concatenate([x[keep], y]) for x, y in zip((h, o, w), more))
+        order = np.argsort(o, kind="stable")
+        h, o, w = h[order], o[order], w[order]
+    packed = h << np.uint64(PLACE_BITS) | np.minimum(places[w], FAR).astype(np.uint64)
+    return packed.view(np.int64), np.bincount(o, minlength=n)
+
+
+def pairs_of_characters(lines: list[bytes]) -> list[bytes]:
+    """Lines of few words with each pair of neighbouring characters as a word; short ones empty."""
+    out = []
+    for line in lines:
+        said = line.decode("utf-8", "replace")
+        pairs = (said[i : i + 2].replace(" ", "_") for i in range(len(said) - 1))
+        out.append(" ".join(pairs).encode() if len(said) >= MIN_CHARS else b"")
+    return out
 
 
-def line_marks(docs: DataFrame, short: bool = False) -> DataFrame:
-    """``key, doc_id, line, h, sim, shingles`` of every line of at least five words.
+def features(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``chars, sims, postings, postings per line`` of normalised lines."""
+    chars = np.array([len(line.decode("utf-8", "replace")) for line in lines])
+    few = [i for i, line in enumerate(lines) if line.count(b" ") + 1 < MIN_WORDS]
+    if few:
+        lines = lines[:]
+        for i, new in zip(few, pairs_of_characters([lines[i] for i in few])):
+            lines[i] = new
+    raw = np.frombuffer(b"\n".join(lines) + b"\n", np.uint8)
+    before, ends = np.cumsum(raw & 0xC0 != 0x80, dtype=np.int32), np.flatnonzero(raw == 10)  # characters up to and with a byte
+    begins = np.concatenate([[0], ends[:-1] + 1])
+    gap = raw <= 32
+    starts = np.flatnonzero(~gap & np.r_[True, gap[:-1]])
+    stops = np.flatnonzero(~gap & np.r_[gap[1:], True]) + 1
+    if not len(starts):
+        return chars, np.zeros(len(lines), np.int64), np.empty(0, np.int64), np.zeros(len(lines), np.int64)
+    words = word_hashes(raw[starts[0] :], starts - starts[0], stops - starts)
+    line = np.searchsorted(ends, starts)
+    sizes = np.bincount(line, minlength=len(lines))
+    places = before[starts] - before[begins[line]]
+    if few:  # three characters stand for each
+        places = np.where(np.isin(line, few), places // 3, places)
+    postings, counts = shingle_postings(words, places, sizes)
+    return chars, simhashes(words, line, len(lines)), postings, counts
+
+
+MARKS = "key struct<a:long,b:long>, doc_id long, line int, h long, h2 long, chars int, sim long, postings array<long>"
 
-    With ``short`` also of lines of fewer words; without shingles they meet equal lines only.
-    """
 
-    def simhashes(digests, sizes):
-        raw = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 8)
-        first, sizes = np.r_[0, np.cumsum(sizes)[:-1]], np.array(sizes)
-        # eight counters in the bytes of a word; they hold lines of up to 255 words
-        counts = np.add.reduceat(LANES[raw], first, axis=0).view(np.uint8).astype(np.int64)
-        for i in np.flatnonzero(sizes > 255):
-            counts[i] = np.unpackbits(raw[first[i] : first[i] + sizes[i]], axis=1).sum(0)
-        packed = np.packbits(counts * 2 > sizes[:, None], axis=1)
-        return packed.view(">i8").ravel().astype(np.int64)
+def line_marks(docs: DataFrame, short: bool = False) -> DataFrame:
+    """``MARKS`` of every line of at least five words, and with ``short`` of every line with a word."""
 
     def run(batches):
-        digest = xxhash.xxh64_digest
-        rows, digests, sizes, ordered, lengths = [], [], [], [], []
+        rows, lines, held = [], [], 0
         for batch in batches:
-            keys, ids = batch.column("key").to_pylist(), batch.column("doc_id").to_pylist()
-            for key, doc_id, text in zip(keys, ids, batch.column("text")):
-                for n, line in enumerate((text.as_py() or "").encode("utf-8", "replace").split(b"\n")):
-                    words = normal_words(line)
-                    if len(words) >= MIN_WORDS or short and words:
-                        h = xxhash.xxh64_intdigest(b" ".join(words))
-                        rows.append((key, doc_id, n, h - (h >> 63 << 64)))
-                        hashed = list(map(digest, words if len(words) >= MIN_WORDS else character_pairs(words)))
-                        ordered += hashed
-                        lengths.append(len(hashed))
-                        hashed = set(hashed) or {bytes(8)}
-                        digests += hashed
-                        sizes.append(len(hashed))
-                        if len(digests) + len(ordered) >= 2 * WORDS_AT_ONCE:
-                            yield out(rows, simhashes(digests, sizes), ordered, lengths)
-                            rows, digests, sizes, ordered, lengths = [], [], [], [], []
-            if rows:
-                yield out(rows, simhashes(digests, sizes), ordered, lengths)
-                rows, digests, sizes, ordered, lengths = [], [], [], [], []
-
-    def out(rows, sims, ordered, lengths):
-        columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int64()))]
-        found = shingle_keys(np.frombuffer(b"".join(ordered), np.uint64), np.array(lengths))
-        ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-        shingles = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
-        return pa.RecordBatch.from_arrays([*columns, pa.array(sims), shingles], names=["key", "doc_id", "line", "h", "sim", "shingles"])
+            for key, doc_id, text in zip(batch.column("key"), batch.column("doc_id"), batch.column("text")):
+                key, doc_id = (key["a"].as_py(), key["b"].as_py()), doc_id.as_py()
+                for n, line in enumerate(normal_lines(text.as_py() or "")):
+                    if line and (short or line.count(b" ") >= MIN_WORDS - 1):
+                        rows.append((*key, doc_id, n))
+                        lines.append(line)
+                        held += len(line)
+                        if held >= BYTES_AT_ONCE:
+                            yield out(rows, lines)
+                            rows, lines, held = [], [], 0
+        if rows:
+            yield out(rows, lines)
+
+    def out(rows, lines):
+        a, b, doc_id, n = zip(*rows)
+        digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), np.int64).reshape(-1, 2)
+        chars, sims, postings, counts = features(lines)
+        ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+        columns = [
+            pa.StructArray.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]),
+            pa.array(doc_id, pa.int64()),
+            pa.array(n, pa.int32()),
+            pa.array(digests[:, 0].copy()),
+            pa.array(digests[:, 1].copy()),
+            pa.array(chars.astype(np.int32)),
+            pa.array(sims),
+            pa.ListArray.from_arrays(ends, pa.array(postings)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in MARKS.split(", ")])
 
     source = docs.select(doc_key().alias("key"), "doc_id", "text")
-    return spread(source).mapInArrow(run, "key long, doc_id long, line int, h long, sim long, shingles array<int>")
-
-
-def forest(sims: np.ndarray, block: int = 256) -> list[tuple[int, int]]:
-    """Spanning forest, as pairs of places, of the SimHashes within ``BITS_APART`` bits.
+    return spread(source).mapInArrow(run, MARKS)
+
+
+# --- candidates ----------------------------------------------------------------
+
+
+class Members:
+    """Lines as arrays ``id, p`` (posting), ``sim, chars, root``, those of a list together."""
+
+    def __init__(self, columns: dict[str, np.ndarray]):
+        self.columns = columns
+        self.id, self.p, self.chars, self.root = (columns[c] for c in ("id", "p", "chars", "root"))
+        self.sim, self.place = columns["sim"].view(np.uint64), self.p & FAR
+
+    def part(self, start: int, end: int) -> Members:
+        return Members({name: c[start:end] for name, c in self.columns.items()})
+
+    def fit(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """May lines ``i`` and ``j`` be similar with their shingle at these places?"""
+        most = (1 - SIMILAR) * np.maximum(self.chars[i], self.chars[j]) + 1e-9
+        shift, longer = self.place[i] - self.place[j], self.chars[i] - self.chars[j]
+        known = (self.place[i] < FAR) & (self.place[j] < FAR)
+        return (np.abs(longer) <= most) & (~known | (np.abs(shift) + np.abs(longer - shift) <= most))
+
+    def candidates(self, some: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Bits apart of ``some`` (rows) and ``others`` (columns), 255 where no candidate pair."""
+        apart = np.bitwise_count(self.sim[some][:, None] ^ self.sim[others][None, :])
+        a, b = np.nonzero(apart <= BITS_APART)
+        fits = self.fit(some[a], others[b])
+        out = np.full(apart.shape, 255, np.uint8)
+        out[a[fits], b[fits]] = apart[a[fits], b[fits]]
+        return out
+
+    def of_small_lists(self, starts: np.ndarray, sizes: np.ndarray, again: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of all lists of up to ``SMALL`` lines, which begin at ``starts``, at once."""
+        found = []
+        for n in np.unique(sizes).tolist():
+            a, b = np.triu_indices(n, 1)
+            own = starts[sizes == n][:, None]
+            i, j = (own + a).ravel(), (own + b).ravel()
+            apart = np.bitwise_count(self.sim[i] ^ self.sim[j])
+            near = np.flatnonzero(apart <= BITS_APART)
+            near = near[self.fit(i[near], j[near])]
+            found.append((i[near], j[near], apart[near]))
+        i, j, apart = (np.concatenate(c) for c in zip(*found)) if found else [np.empty(0, np.int64)] * 3
+        if again:
+            keep = self.root[i] != self.root[j]
+            return i[keep], j[keep]
+        # nearest pairs first: a pair whose lines are joined already adds nothing
+        order, root, keep = np.argsort(apart, kind="stable"), {}, []
+        for k, x, y in zip(order.tolist(), i[order].tolist(), j[order].tolist()):
+            while (up := root.get(x, x)) != x:
+                x = up
+            while (up := root.get(y, y)) != y:
+                y = up
+            if x != y:
+                root[x] = y
+                keep.append(k)
+        return i[keep], j[keep]
+
+
+def forest(m: Members, block: int = 256) -> list[tuple[int, int]]:
+    """Spanning forest of the candidate pairs of a list, as pairs of its places.
 
     A place is linked to the nearest one of those that reach it first.
     """
-    rest, out = np.arange(len(sims)), []
+    rest, out = np.arange(len(m.id)), []
     while len(rest) > 1:
         frontier, rest = rest[:1], rest[1:]
         while len(frontier) and len(rest):
             head, frontier = frontier[:block], frontier[block:]
-            step = max(1, 4_000_000 // len(head))
+            step = max(1, 1_000_000 // len(head))
             linked = np.full(len(rest), -1)
             for at in range(0, len(rest), step):
-                apart = np.bitwise_count(sims[rest[at : at + step], None] ^ sims[head][None, :])
+                apart = m.candidates(rest[at : at + step], head)
                 nearest = apart.argmin(1)
                 found = apart[np.arange(len(apart)), nearest] <= BITS_APART
                 linked[at : at + step][found] = nearest[found]
@@ -213,48 +381,114 @@ def forest(sims: np.ndarray, block: int = 256) -> list[tuple[int, int]]:
     return out
 
 
-def close_pairs(distinct: DataFrame) -> DataFrame:
-    """``list, a, b``: forests of the close pairs of each list of lines that share a shingle."""
+def unconnected(m: Members, block: int = 256) -> list[tuple[int, int]]:
+    """All candidate pairs of a list whose lines lie in different components so far."""
+    everyone, out = np.arange(len(m.id)), []
+    if (m.root == m.root[0]).all():
+        return out
+    for at in range(0, len(m.id), block):
+        some = everyone[at : at + block]
+        for to in range(0, at + block, 4096):
+            others = everyone[to : min(to + 4096, at + block)]
+            a, b = np.nonzero(m.candidates(some, others) <= BITS_APART)
+            i, j = some[a], others[b]
+            fresh = (j < i) & (m.root[i] != m.root[j])
+            out += zip(i[fresh].tolist(), j[fresh].tolist())
+    return out
+
+
+ROWS = ("id", "p", "sim", "chars", "root")
+PAIRS = "a long, b long, pa long, pb long"
+
+
+def pairs_in_lists(rows: DataFrame, again: bool, cell: tuple[str, ...] = ()) -> DataFrame:
+    """``PAIRS`` of every list of ``rows`` (``ROWS`` and the ``cell`` of a large list).
+
+    With ``again`` all pairs that are not connected, else a forest.  Without
+    ``cell`` the lines of a list of more than ``LIST`` are not compared but
+    passed on, as rows with the columns ``sim, chars, root`` set.
+    """
+
+    def pairs_of(m):
+        return np.array(unconnected(m) if again else forest(m), np.int64).reshape(-1, 2).T
 
-    def batch_of(found):
-        columns = [np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in range(3)]
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["list", "a", "b"])
+    def pair_columns(m, i, j):
+        return [m.id[i], m.id[j], m.p[i], m.p[j], *[np.zeros(len(i), np.int64)] * 3, np.zeros(len(i), bool)]
 
-    def pairs_of(lists, h, sims):
-        """Pairs of whole lists, whose rows stand together."""
-        starts = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
-        sizes = np.diff(np.r_[starts, len(lists)])
-        two = starts[sizes == 2]
-        two = two[np.bitwise_count(sims[two] ^ sims[two + 1]) <= BITS_APART]
-        yield lists[two], h[two], h[two + 1]
-        for at, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            pairs = forest(sims[at : at + size])
-            if pairs:
-                a, b = np.array(pairs).T
-                yield lists[at : at + len(a)], h[at + a], h[at + b]
+    def batch_of(out):
+        columns = [np.concatenate([o[k] for o in out]) for k in range(8)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "pa", "pb", "sim", "chars", "root", "large"])
 
     def run(batches):
-        held = [np.empty(0, np.int64)] * 3
+        held, size, at, large = [], 0, None, False  # the list that may go on in the next batch
+
+        def ended():
+            if size > 1 and not large:
+                m = Members({c: np.concatenate([h.columns[c] for h in held]) for c in ROWS})
+                yield pair_columns(m, *pairs_of(m))
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("list", "h", "sim")]
-            held = [np.concatenate(pair) for pair in zip(held, new)]
-            last = np.searchsorted(held[0], held[0][-1])
-            if last:
-                yield batch_of(list(pairs_of(held[0][:last], held[1][:last], held[2][:last].view(np.uint64))))
-                held = [c[last:] for c in held]
-        if len(held[0]):
-            yield batch_of(list(pairs_of(held[0], held[1], held[2].view(np.uint64))))
+            out = []
+            m = Members({c: batch.column(c).to_numpy(zero_copy_only=False) for c in ROWS})
+            keys = [m.p >> PLACE_BITS, *(batch.column(c).to_numpy(zero_copy_only=False) for c in cell)]
+            change = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+            starts = np.concatenate([[0], np.flatnonzero(change) + 1])
+            ends = np.append(starts[1:], len(m.id))
+            first, last = [int(k[0]) for k in keys], [int(k[-1]) for k in keys]
+            if first != at:
+                out += ended()
+                held, size, at, large = [], 0, first, False
+            held.append(m.part(0, ends[0]))
+            size += int(ends[0])
+            if len(starts) > 1:
+                out += ended()
+                inner, sizes = starts[1:-1], np.diff(starts)[1:]
+                small = (sizes > 1) & (sizes <= SMALL)
+                out.append(pair_columns(m, *m.of_small_lists(inner[small], sizes[small], again)))
+                for s, n in zip(inner[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+                    own = m.part(s, s + n)
+                    if n > LIST and not cell:
+                        out.append([own.id, own.id, own.p, own.p, own.columns["sim"], own.chars, own.root, np.ones(n, bool)])
+                    else:
+                        out.append(pair_columns(own, *pairs_of(own)))
+                held, size, at, large = [m.part(starts[-1], len(m.id))], int(len(m.id) - starts[-1]), last, False
+            if size > LIST and not cell:
+                large = True
+                out += [[h.id, h.id, h.p, h.p, h.columns["sim"], h.chars, h.root, np.ones(len(h.id), bool)] for h in held]
+                held = []
+            if out:
+                yield batch_of(out)
+        for out in ended():
+            yield batch_of([out])
+
+    dealt = rows.withColumn("list", F.shiftright("p", PLACE_BITS)).repartition("list", *cell)
+    dealt = dealt.sortWithinPartitions(*(["list", *cell] if cell else []), "p", "id").select(*ROWS, *cell)
+    return dealt.mapInArrow(run, f"{PAIRS}, sim long, chars long, root long, large boolean")
+
+
+def list_pairs(rows: DataFrame, again: bool, label: str) -> DataFrame:
+    """``PAIRS`` of all lists, those of more than ``LIST`` lines block by block."""
+    found = written(pairs_in_lists(rows, again), f"{label}-lists")
+    lines = found.where("large").select(F.col("a").alias("id"), F.col("pa").alias("p"), "sim", "chars", "root", F.shiftright("pa", PLACE_BITS).alias("list"))
+    sizes = lines.groupBy("list").agg(F.ceil(F.count("*") / (LIST // 2)).alias("blocks"))
+    cells = lines.join(sizes, "list").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: b != F.col("own"))
+    cells = cells.withColumn("other", F.explode(others))
+    cells = cells.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    pairs = found.where("not large").unionAll(pairs_in_lists(cells, again, ("low", "high")))
+    out = written(pairs.select("a", "b", "pa", "pb"), label)
+    discard(found)
+    return out
+
 
-    lists = distinct.select(F.explode("shingles").alias("list"), "h", "sim")
-    lists = lists.repartition("list").sortWithinPartitions("list").mapInArrow(run, "list long, a long, b long")
-    return lists
+# --- verification ------------------------------------------------------------
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``h, said``: normalised text of ``wanted`` (h, key, line) lines."""
-    salt = F.pmod(F.xxhash64("key"), F.lit(1 << BITMAP_BITS))
+    """``id, said``: normalised text of ``wanted`` (id, key, line) lines."""
+    salt = F.pmod(F.col("key.a"), F.lit(1 << BITMAP_BITS))
     bit = F.pmod(salt + F.col("line"), F.lit(1 << BITMAP_BITS))
     words = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).alias("word"))
     filled = words.agg(F.expr("bit_or(shiftleft(1L, cast(bit & 31 as int)))").alias("bits"))
@@ -267,107 +501,86 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         bits = np.unpackbits(shared.value.view(np.uint8), bitorder="little").view(bool)
         for batch in batches:
             rows = []
-            for key, salt, text in zip(*(batch.column(c).to_pylist() for c in ("key", "salt", "text"))):
-                lines = (text or "").split("\n")
+            for a, b, salt, text in zip(*(batch.column(c) for c in ("a", "b", "salt", "text"))):
+                lines = (text.as_py() or "").split("\n")
+                a, b, salt = a.as_py(), b.as_py(), salt.as_py()
                 for n in np.flatnonzero(bits[(salt + np.arange(len(lines))) % (1 << BITMAP_BITS)]).tolist():
-                    rows.append((key, n, normal_line(lines[n])))
-            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "line", "said"])
-
-    source = docs.select(doc_key().alias("key"), "text").withColumn("salt", salt)
-    lines = spread(source).mapInArrow(run, "key long, line int, said string")
-    return wanted.join(lines.dropDuplicates(["key", "line"]), ["key", "line"]).select("h", "said")
+                    rows.append((a, b, n, normal_line(lines[n])))
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.string())
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "line", "said"])
+
+    source = docs.select(doc_key().alias("key"), "text").select("key.a", "key.b", salt.alias("salt"), "text")
+    lines = spread(source).mapInArrow(run, "a long, b long, line int, said string")
+    wanted = wanted.select("id", "key.a", "key.b", "line")
+    out = written(wanted.join(lines.dropDuplicates(["a", "b", "line"]), ["a", "b", "line"]).select("id", "said"), "line-texts")
+    shared.destroy()
+    return out
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs`` (with ``a`` and ``b``) and ``ok``: are the lines similar?"""
-
-    def run(batches):
-        for batch in batches:
-            ok = [similar(x, y) for x, y in zip(batch.column("said_a").to_pylist(), batch.column("said_b").to_pylist())]
-            rest = batch.drop_columns(["said_a", "said_b"])
-            yield rest.append_column("ok", pa.array(ok, pa.bool_()))
-
-    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("said").alias("said_a")), "a")
-    both = both.join(texts.select(F.col("h").alias("b"), F.col("said").alias("said_b")), "b")
-    both = both.select(*pairs.columns, "said_a", "said_b")
-    fields = ", ".join(f"{c} {t}" for c, t in pairs.dtypes)
-    return both.mapInArrow(run, f"{fields}, ok boolean")
-
-
-def all_links(members: DataFrame) -> DataFrame:
-    """Spanning links ``a, b`` of lists of (list, h, sim, said), pair by pair."""
-
-    def connect(rows):
-        root = list(range(len(rows)))
-
-        def find(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        sims = np.array([r[1] for r in rows], np.int64).view(np.uint64)
-        for i in range(1, len(rows)):
-            for j in np.flatnonzero(np.bitwise_count(sims[:i] ^ sims[i]) <= BITS_APART).tolist():
-                if find(i) != find(j) and similar(rows[i][2], rows[j][2]):
-                    root[find(i)] = find(j)
-                    yield rows[i][0], rows[j][0]
+    """``a, b, ok``: are the lines similar?"""
 
     def run(batches):
-        held, at = [], None
         for batch in batches:
-            out = []
-            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("list", "h", "sim", "said"))):
-                if key != at:
-                    out += connect(held)
-                    held, at = [], key
-                held.append(row)
-            yield batch_of(out)
-        yield batch_of(connect(held))
-
-    def batch_of(found):
-        rows = list(found)
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            said = zip(batch.column("said_a").to_pylist(), batch.column("said_b").to_pylist())
+            ok = pa.array([similar(x, y) for x, y in said], pa.bool_())
+            yield batch.drop_columns(["said_a", "said_b"]).append_column("ok", ok)
 
-    dealt = members.repartition("list").sortWithinPartitions("list", "sim", "h")
-    return dealt.mapInArrow(run, "a long, b long")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("said").alias("said_a")), "a")
+    both = both.join(texts.select(F.col("id").alias("b"), F.col("said").alias("said_b")), "b")
+    return both.select("a", "b", "said_a", "said_b").mapInArrow(run, "a long, b long, ok boolean")
 
 
-def linked(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Links ``a, b`` that connect the groups of distinct lines.
+def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """``node, root`` of the groups of distinct lines; roots have no row.
 
-    ``distinct`` has a row (h, sim, shingles, key, line) for each distinct line.
+    ``distinct`` has a row (id, key, line, chars, sim, postings) for each distinct line.
     """
-    near = written(close_pairs(distinct), "near-lines")
-    # a pair that several lists hold is verified once
+    rows = distinct.select("id", F.explode("postings").alias("p"), "sim", F.col("chars").cast("long"), F.lit(0).cast("long").alias("root"))
+    near = list_pairs(rows, False, "near-lines")
     low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    pairs = written(near.select(low, high).distinct(), "line-pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    texts = written(texts_of(docs, distinct.join(ends, "h").select("h", "key", "line")), "line-texts")
+    pairs = written(near.select(low, high).distinct(), "line-pairs")  # a pair of several lists is verified once
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = texts_of(docs, distinct.join(ends, "id").select("id", "key", "line"))
     checked = written(verified(pairs, texts), "line-checks")
-    links = checked.where("ok").select("a", "b")
+    roots = components(checked.where("ok").select("a", "b"))
 
+    # lists with a failed pair: the forest does not stand for all their links
     failed = checked.where("not ok").select("a", "b")
-    # lists with a failed pair and another one: the forest does not stand for all their links
-    many = near.groupBy("list").agg(F.count("*").alias("n")).where("n > 1").select("list")
-    lists = near.select("list", low, high).join(failed, ["a", "b"]).select("list").distinct().join(many, "list")
-    again = near.join(lists, "list").select("list", F.explode(F.array("a", "b")).alias("h")).distinct()
-    members = again.join(distinct.select("h", "sim"), "h").join(texts, "h").select("list", "h", "sim", "said")
-    return links.unionAll(all_links(members))
+    ends = F.array(*[F.struct(F.col(c).alias("id"), F.col(f"p{c}").alias("p")) for c in "ab"])
+    own = near.select(F.shiftright("pa", PLACE_BITS).alias("list"), low, high, ends.alias("ends"))
+    lists = own.join(failed, ["a", "b"]).groupBy("list").agg(F.lit(1).alias("again"))
+    members = own.join(lists, "list").select(F.explode("ends").alias("end")).select("end.id", "end.p").distinct()
+    members = members.join(distinct.select("id", "sim", F.col("chars").cast("long")), "id")
+    members = members.join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
+    members = members.withColumn("root", F.coalesce("root", "id"))
+    more = list_pairs(members, True, "lines-apart")
+    fresh = more.select(low, high).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    again = verified(fresh, texts).where("ok").select("a", "b")
+    groups = components(again.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    discard(near, pairs, texts, checked, roots, more)
+    return groups
 
 
 def removals(docs: DataFrame, short: bool = False) -> DataFrame:
     """``key, removed``: numbers of the lines that a document loses."""
     marks = written(line_marks(docs, short), "line-marks")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line")
-    distinct = marks.groupBy("h").agg(F.first("sim").alias("sim"), F.first("shingles").alias("shingles"), F.min(place).alias("place"), F.count("*").alias("n"))
-    distinct = written(distinct.select("h", "sim", "shingles", "n", "place", "place.key", "place.line"), "lines")
-    roots = components(linked(docs, distinct.select("h", "sim", "shingles", "key", "line")))
-    rooted = distinct.join(roots, F.col("h") == F.col("node"), "left").withColumn("root", F.coalesce("root", "h"))
+    distinct = marks.groupBy("h", "h2").agg(
+        F.min(place).alias("place"),
+        F.count("*").alias("n"),
+        *[F.first(c).alias(c) for c in ("chars", "sim", "postings")],
+    )
+    # equal lines have one row here, and its number stands for them
+    distinct = distinct.select(F.monotonically_increasing_id().alias("id"), "*", "place.key", "place.line")
+    distinct = written(distinct, "lines")
+    roots = links(docs, distinct)
+    rooted = distinct.select("id", "h", "h2", "n", "place").join(roots, F.col("id") == F.col("node"), "left")
+    rooted = rooted.withColumn("root", F.coalesce("root", "id"))
     groups = rooted.groupBy("root").agg(F.min("place").alias("keep"), F.sum("n").alias("total")).where("total > 1")
-    keep = rooted.select("h", "root").join(groups, "root").select("h", "keep.key", "keep.line")
-    gone = marks.alias("m").join(keep.alias("k"), "h").where("not (m.key = k.key and m.line = k.line)")
+    keep = rooted.select("h", "h2", "root").join(groups, "root").select("h", "h2", "keep.key", "keep.line")
+    gone = marks.alias("m").join(keep.alias("k"), ["h", "h2"]).where("not (m.key = k.key and m.line = k.line)")
     return gone.groupBy("m.key").agg(F.array_sort(F.collect_set("m.line")).alias("removed"))
 
 
@@ -376,16 +589,17 @@ def dedup_lines(docs: DataFrame, report: bool = False, short: bool = False) -> D
 
     ``short`` takes lines of fewer than five words, too; the query and the pipeline set it.
     """
+    key, gone, kept = (free_name(docs, c) for c in ("line_key", "lines_gone", "lines_kept"))
+    lost = removals(docs, short).select(F.col("key").alias(key), F.col("removed").alias(gone))
     lines = F.split("text", "\n", -1)
-    removed = F.coalesce("__removed", F.array().cast("array<int>"))
+    removed = F.coalesce(gone, F.array().cast("array<int>"))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
-    kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-    lost = removals(docs, short).select(F.col("key").alias("__key"), F.col("removed").alias("__removed"))
-    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(kept)
-    joined = docs.withColumn("__key", doc_key()).join(lost, "__key", "left").withColumn("__text", text)
-    out = {c: F.col(c) for c in docs.columns} | {"text": F.col("__text")}
+    left = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(left)
+    joined = docs.withColumn(key, doc_key()).join(lost, key, "left").withColumn(kept, text)
+    out = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": F.col(kept)}
     if "n_chars" in out:
-        out["n_chars"] = F.length("__text").cast(docs.schema["n_chars"].dataType)
+        out["n_chars"] = F.length(kept).cast(docs.schema["n_chars"].dataType)
     if report:
         out["n_lines"] = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
         out["n_removed"] = F.size(removed).cast("long")

@@ -25,12 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only a session that names none (a local test) gets a temporary folder.
+    Only a local session that names none (a test) gets a temporary folder; on
+    a cluster executors would not share it, so that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = getattr(spark, "_ledgerlens_shared", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all of {master} shares")
         base = tempfile.mkdtemp(prefix="ledgerlens-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark._ledgerlens_shared = base
@@ -46,7 +50,29 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ledgerlens/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``written`` wrote for ``frames``, whose readers are all done."""
+    for df in frames:
+        _delete(df.sparkSession, df.written_to)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all intermediates of this library in the session's shared folder.
+
+    For the time between jobs: frames that were returned and not yet read to
+    their end still need theirs.
+    """
+    _delete(spark, f"{shared_dir(spark)}/ledgerlens")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -75,5 +101,13 @@ def words_of(column):
 
 
 def doc_key():
-    """Identity of a row for joins: rows equal in id and text share it."""
-    return F.xxhash64("doc_id", "text")
+    """Identity of a row for joins, two longs: rows equal in id and text share it."""
+    return F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64("text", "doc_id").alias("b"))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as set it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
