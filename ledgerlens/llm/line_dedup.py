@@ -3,8 +3,8 @@
 A line is normalised (lower case A-Z, digits as 0, punctuation and white space
 as single blanks).  Two lines are linked when their edit similarity,
 ``1 - distance / longer length``, is 0.8 or more.  Of each connected group one
-occurrence is kept: the one with the smallest doc_id (none: last), content hash
-and line number.  Lines of fewer than five words stay as they are unless
+occurrence is kept: the one with the smallest doc_id (none: last), in it the
+first; of rows with equal doc_id that which was read first.  Lines of fewer than five words stay as they are unless
 ``short`` is set: then equal ones are grouped, and from 20 characters on near
 ones, by their pairs of characters; they meet no near line of five words or
 more.  A line of punctuation alone is empty when normalised and stays.
@@ -21,8 +21,9 @@ The lines with one shingle are its list.  A list gives a spanning forest of its
 candidate pairs, which are verified on the lines' texts, each pair once.  Where
 one of these fails, the forest no longer stands for all links of the list, and
 every candidate pair of the list between lines that are not connected by then is
-verified, too.  A list of more than ``LIST`` lines is dealt out in blocks, each
-pair of blocks a group of its own, so no task compares more than two blocks.
+verified where the list lies, in one of the lists that hold both.  A list of more
+than ``LIST`` lines is dealt out in blocks, each pair of blocks a group of its
+own, so no task compares more than two blocks.
 
 Only the texts that a verification needs leave the documents: a bitmap of fixed
 size (``BITMAP_BITS``), broadcast, lets a scan pass on those lines and few
@@ -55,6 +56,8 @@ SHORT_SHINGLES, SHORT_WORDS = ((0, 1, 4), (0, 2, 4), (0, 3, 4)), 8
 #: A posting is a long: 48 bits of the shingle's hash, then the place of its first character.  Places from ``FAR`` on count as unknown.
 PLACE_BITS, FAR = 16, (1 << 16) - 1
 LIST, SMALL = 4096, 64
+#: Beyond all doc_ids and beyond all line numbers, in decimals.
+NO_ID, IDS = "9900000000000000000", "10000000000000000000"
 BITMAP_BITS = 24
 #: Lines are taken so many bytes at once, so their numbers there fit these bits of a sort key.
 BYTES_AT_ONCE, LINE_BITS = 1 << 17, 24
@@ -304,21 +307,22 @@ def line_marks(docs: DataFrame, short: bool = False) -> DataFrame:
 
 
 class Members:
-    """Lines as arrays ``id, p`` (posting), ``sim, chars, root``, those of a list together."""
+    """Lines as arrays ``id, p`` (posting), ``sim, chars``, those of a list together."""
 
     def __init__(self, columns: dict[str, np.ndarray]):
         self.columns = columns
-        self.id, self.p, self.chars, self.root = (columns[c] for c in ("id", "p", "chars", "root"))
+        self.id, self.p, self.chars = (columns[c] for c in ("id", "p", "chars"))
         self.sim, self.place = columns["sim"].view(np.uint64), self.p & FAR
 
     def part(self, start: int, end: int) -> Members:
         return Members({name: c[start:end] for name, c in self.columns.items()})
 
-    def fit(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    def fit(self, i: np.ndarray, j: np.ndarray, at: np.ndarray | None = None, to: np.ndarray | None = None) -> np.ndarray:
         """May lines ``i`` and ``j`` be similar with their shingle at these places?"""
+        at, to = (self.place[i], self.place[j]) if at is None else (at, to)
         most = (1 - SIMILAR) * np.maximum(self.chars[i], self.chars[j]) + 1e-9
-        shift, longer = self.place[i] - self.place[j], self.chars[i] - self.chars[j]
-        known = (self.place[i] < FAR) & (self.place[j] < FAR)
+        shift, longer = at - to, self.chars[i] - self.chars[j]
+        known = (at < FAR) & (to < FAR)
         return (np.abs(longer) <= most) & (~known | (np.abs(shift) + np.abs(longer - shift) <= most))
 
     def candidates(self, some: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -330,8 +334,8 @@ class Members:
         out[a[fits], b[fits]] = apart[a[fits], b[fits]]
         return out
 
-    def of_small_lists(self, starts: np.ndarray, sizes: np.ndarray, again: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of all lists of up to ``SMALL`` lines, which begin at ``starts``, at once."""
+    def of_small_lists(self, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Smallest spanning forests of all lists of up to ``SMALL`` lines, which begin at ``starts``, at once."""
         found = []
         for n in np.unique(sizes).tolist():
             a, b = np.triu_indices(n, 1)
@@ -342,90 +346,92 @@ class Members:
             near = near[self.fit(i[near], j[near])]
             found.append((i[near], j[near], apart[near]))
         i, j, apart = (np.concatenate(c) for c in zip(*found)) if found else [np.empty(0, np.int64)] * 3
-        if again:
-            keep = self.root[i] != self.root[j]
-            return i[keep], j[keep]
         # nearest pairs first: a pair whose lines are joined already adds nothing
         order, root, keep = np.argsort(apart, kind="stable"), {}, []
         for k, x, y in zip(order.tolist(), i[order].tolist(), j[order].tolist()):
-            while (up := root.get(x, x)) != x:
-                x = up
-            while (up := root.get(y, y)) != y:
-                y = up
+            x, y = top(root, x), top(root, y)
             if x != y:
                 root[x] = y
                 keep.append(k)
         return i[keep], j[keep]
 
 
-def forest(m: Members, block: int = 256) -> list[tuple[int, int]]:
-    """Spanning forest of the candidate pairs of a list, as pairs of its places.
+def top(root: dict, x):
+    """End of the path of ``x``, which is halved on the way."""
+    while (up := root.get(x, x)) != x:
+        root[x] = root.get(up, up)
+        x = up
+    return x
 
-    A place is linked to the nearest one of those that reach it first.
-    """
-    rest, out = np.arange(len(m.id)), []
-    while len(rest) > 1:
-        frontier, rest = rest[:1], rest[1:]
-        while len(frontier) and len(rest):
-            head, frontier = frontier[:block], frontier[block:]
-            step = max(1, 1_000_000 // len(head))
-            linked = np.full(len(rest), -1)
-            for at in range(0, len(rest), step):
-                apart = m.candidates(rest[at : at + step], head)
-                nearest = apart.argmin(1)
-                found = apart[np.arange(len(apart)), nearest] <= BITS_APART
-                linked[at : at + step][found] = nearest[found]
-            hit = linked >= 0
-            out += zip(head[linked[hit]].tolist(), rest[hit].tolist())
-            frontier, rest = np.concatenate([frontier, rest[hit]]), rest[~hit]
-    return out
 
+def forest(m: Members) -> list[tuple[int, int]]:
+    """Smallest spanning forest, by bits apart, of the candidate pairs of a list, as pairs of its places.
 
-def unconnected(m: Members, block: int = 256) -> list[tuple[int, int]]:
-    """All candidate pairs of a list whose lines lie in different components so far."""
-    everyone, out = np.arange(len(m.id)), []
-    if (m.root == m.root[0]).all():
-        return out
-    for at in range(0, len(m.id), block):
-        some = everyone[at : at + block]
-        for to in range(0, at + block, 4096):
-            others = everyone[to : min(to + 4096, at + block)]
-            a, b = np.nonzero(m.candidates(some, others) <= BITS_APART)
-            i, j = some[a], others[b]
-            fresh = (j < i) & (m.root[i] != m.root[j])
-            out += zip(i[fresh].tolist(), j[fresh].tolist())
+    Prim's method, a line at a time against all that are left.
+    """
+    rest, out = np.arange(1, len(m.id)), []
+    bits, by, newest = np.full(len(rest), 255, np.uint8), np.zeros(len(rest), np.int64), 0
+    while len(rest):
+        apart = m.candidates(np.array([newest]), rest)[0]
+        nearer = apart < bits
+        bits[nearer], by[nearer] = apart[nearer], newest
+        k = int(bits.argmin())
+        newest = int(rest[k])
+        if bits[k] <= BITS_APART:
+            out.append((int(by[k]), newest))
+        rest, bits, by = (np.delete(x, k) for x in (rest, bits, by))
     return out
 
 
-ROWS = ("id", "p", "sim", "chars", "root")
+ROWS = ("id", "p", "sim", "chars")
 PAIRS = "a long, b long, pa long, pb long"
 
 
-def pairs_in_lists(rows: DataFrame, again: bool, cell: tuple[str, ...] = ()) -> DataFrame:
-    """``PAIRS`` of every list of ``rows`` (``ROWS`` and the ``cell`` of a large list).
+def dealt(rows: DataFrame, columns: tuple[str, ...], cell: tuple[str, ...]) -> DataFrame:
+    """``columns`` and ``cell`` of ``rows`` with the lines of each list (cell) together."""
+    return rows.repartition(F.shiftright("p", PLACE_BITS), *cell).sortWithinPartitions(*cell, "p").select(*columns, *cell)
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``low, high``: the pairs of blocks that a line of a list is compared in.
 
-    With ``again`` all pairs that are not connected, else a forest.  Without
-    ``cell`` the lines of a list of more than ``LIST`` are not compared but
-    passed on, as rows with the columns ``sim, chars, root`` set.
+    A list of up to ``LIST`` lines is one block.
     """
+    rows = rows.withColumn("list", F.shiftright("p", PLACE_BITS))
+    blocks = F.when(F.count("*") > LIST, F.ceil(F.count("*") / (LIST // 2))).otherwise(1).cast("long")
+    rows = rows.join(rows.groupBy("list").agg(blocks.alias("blocks")), "list")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: (b != F.col("own")) | (F.col("blocks") == 1))
+    rows = rows.withColumn("other", F.explode(others))
+    return rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
 
-    def pairs_of(m):
-        return np.array(unconnected(m) if again else forest(m), np.int64).reshape(-1, 2).T
+
+def pairs_in_lists(rows: DataFrame, cell: tuple[str, ...] = ()) -> DataFrame:
+    """``PAIRS`` of the forests of all lists of ``rows`` (``ROWS`` and ``cell``).
+
+    Without ``cell`` the lines of a list of more than ``LIST`` are not compared
+    but passed on, as rows ``large`` with ``sim`` and ``chars``.
+    """
 
     def pair_columns(m, i, j):
-        return [m.id[i], m.id[j], m.p[i], m.p[j], *[np.zeros(len(i), np.int64)] * 3, np.zeros(len(i), bool)]
+        return [m.id[i], m.id[j], m.p[i], m.p[j], *[np.zeros(len(i), np.int64)] * 2, np.zeros(len(i), bool)]
+
+    def of_list(m):
+        return pair_columns(m, *np.array(forest(m), np.int64).reshape(-1, 2).T)
+
+    def as_they_are(m):
+        return [m.id, m.id, m.p, m.p, m.columns["sim"], m.chars, np.ones(len(m.id), bool)]
 
     def batch_of(out):
-        columns = [np.concatenate([o[k] for o in out]) for k in range(8)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "pa", "pb", "sim", "chars", "root", "large"])
+        columns = [np.concatenate([o[k] for o in out]) for k in range(7)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "pa", "pb", "sim", "chars", "large"])
 
     def run(batches):
         held, size, at, large = [], 0, None, False  # the list that may go on in the next batch
 
         def ended():
             if size > 1 and not large:
-                m = Members({c: np.concatenate([h.columns[c] for h in held]) for c in ROWS})
-                yield pair_columns(m, *pairs_of(m))
+                yield of_list(Members({c: np.concatenate([h.columns[c] for h in held]) for c in ROWS}))
 
         for batch in batches:
             if not batch.num_rows:
@@ -435,50 +441,40 @@ def pairs_in_lists(rows: DataFrame, again: bool, cell: tuple[str, ...] = ()) ->
             keys = [m.p >> PLACE_BITS, *(batch.column(c).to_numpy(zero_copy_only=False) for c in cell)]
             change = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
             starts = np.concatenate([[0], np.flatnonzero(change) + 1])
-            ends = np.append(starts[1:], len(m.id))
             first, last = [int(k[0]) for k in keys], [int(k[-1]) for k in keys]
             if first != at:
                 out += ended()
                 held, size, at, large = [], 0, first, False
-            held.append(m.part(0, ends[0]))
-            size += int(ends[0])
+            end = int(starts[1]) if len(starts) > 1 else len(m.id)
+            held.append(m.part(0, end))
+            size += end
             if len(starts) > 1:
                 out += ended()
                 inner, sizes = starts[1:-1], np.diff(starts)[1:]
                 small = (sizes > 1) & (sizes <= SMALL)
-                out.append(pair_columns(m, *m.of_small_lists(inner[small], sizes[small], again)))
+                out.append(pair_columns(m, *m.of_small_lists(inner[small], sizes[small])))
                 for s, n in zip(inner[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
                     own = m.part(s, s + n)
-                    if n > LIST and not cell:
-                        out.append([own.id, own.id, own.p, own.p, own.columns["sim"], own.chars, own.root, np.ones(n, bool)])
-                    else:
-                        out.append(pair_columns(own, *pairs_of(own)))
+                    out.append(as_they_are(own) if n > LIST and not cell else of_list(own))
                 held, size, at, large = [m.part(starts[-1], len(m.id))], int(len(m.id) - starts[-1]), last, False
             if size > LIST and not cell:
                 large = True
-                out += [[h.id, h.id, h.p, h.p, h.columns["sim"], h.chars, h.root, np.ones(len(h.id), bool)] for h in held]
+                out += map(as_they_are, held)
                 held = []
             if out:
                 yield batch_of(out)
         for out in ended():
             yield batch_of([out])
 
-    dealt = rows.withColumn("list", F.shiftright("p", PLACE_BITS)).repartition("list", *cell)
-    dealt = dealt.sortWithinPartitions(*(["list", *cell] if cell else []), "p", "id").select(*ROWS, *cell)
-    return dealt.mapInArrow(run, f"{PAIRS}, sim long, chars long, root long, large boolean")
-
-
-def list_pairs(rows: DataFrame, again: bool, label: str) -> DataFrame:
-    """``PAIRS`` of all lists, those of more than ``LIST`` lines block by block."""
-    found = written(pairs_in_lists(rows, again), f"{label}-lists")
-    lines = found.where("large").select(F.col("a").alias("id"), F.col("pa").alias("p"), "sim", "chars", "root", F.shiftright("pa", PLACE_BITS).alias("list"))
-    sizes = lines.groupBy("list").agg(F.ceil(F.count("*") / (LIST // 2)).alias("blocks"))
-    cells = lines.join(sizes, "list").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: b != F.col("own"))
-    cells = cells.withColumn("other", F.explode(others))
-    cells = cells.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-    pairs = found.where("not large").unionAll(pairs_in_lists(cells, again, ("low", "high")))
-    out = written(pairs.select("a", "b", "pa", "pb"), label)
+    return dealt(rows, ROWS, cell).mapInArrow(run, f"{PAIRS}, sim long, chars long, large boolean")
+
+
+def list_pairs(rows: DataFrame) -> DataFrame:
+    """``PAIRS`` of the forests of all lists, those of more than ``LIST`` lines block by block."""
+    found = written(pairs_in_lists(rows), "lists")
+    large = found.where("large").select(F.col("a").alias("id"), F.col("pa").alias("p"), "sim", "chars")
+    pairs = found.where("not large").unionAll(pairs_in_lists(in_blocks(large), ("low", "high")))
+    out = written(pairs.select("a", "b", "pa", "pb"), "near-lines")
     discard(found)
     return out
 
@@ -532,17 +528,85 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "said_a", "said_b").mapInArrow(run, "a long, b long, ok boolean")
 
 
-def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+def links_in_lists(members: DataFrame) -> DataFrame:
+    """Links ``a, b`` between lines of one list that are not connected yet.
+
+    ``members`` has ``ROWS``, ``root`` (of the component so far), ``postings`` and
+    ``said``.  Of the lists where a pair may be similar one verifies it.
+    """
+
+    def connect(rows):
+        id, p, sim, chars, root, postings, said = zip(*rows)
+        columns = dict(zip(ROWS, (np.array(c, np.int64) for c in (id, p, sim, chars))))
+        m, root, joined = Members(columns), np.array(root, np.int64), {}
+        if (root == root[0]).all():
+            return
+        most = max(map(len, postings))
+        keys = np.array([[*own, *[-1] * (most - len(own))] for own in postings], np.int64).reshape(len(rows), most)
+
+        def here(i, j):
+            """Is this list the one of the pair's common ones that verifies it?"""
+            ok = np.empty(len(i), bool)
+            for at in range(0, len(i), 10_000):
+                a, b = i[at : at + 10_000], j[at : at + 10_000]
+                turn = (m.id[a] + m.id[b]).view(np.uint64) * MIX | np.uint64(1)
+                x, y = keys[a], keys[b]
+                pair, k, other = np.nonzero((x[:, :, None] >> PLACE_BITS == y[:, None, :] >> PLACE_BITS) & (x >= 0)[:, :, None])
+                x, y = x[pair, k], y[pair, other]
+                fits = m.fit(a[pair], b[pair], x & FAR, y & FAR)
+                first = np.full(len(a), np.iinfo(np.uint64).max)
+                np.minimum.at(first, pair[fits], ((x >> PLACE_BITS).view(np.uint64) * turn[pair])[fits])
+                ok[at : at + 10_000] = (m.p[a] >> PLACE_BITS).view(np.uint64) * turn == first
+            return ok
+
+        everyone = np.arange(len(rows))
+        for at in range(0, len(rows), 128):
+            some, others = everyone[at : at + 128], everyone[: at + 128]
+            apart = m.candidates(some, others)
+            a, b = np.nonzero((apart <= BITS_APART) & (root[some][:, None] != root[others][None, :]) & (others[None, :] < some[:, None]))
+            if not len(a):
+                continue
+            i, j = some[a], others[b]
+            mine = here(i, j)
+            i, j, bits = i[mine], j[mine], apart[a[mine], b[mine]]
+            for k in np.argsort(bits, kind="stable").tolist():
+                x, y = top(joined, int(root[i[k]])), top(joined, int(root[j[k]]))
+                if x != y and similar(said[i[k]], said[j[k]]):
+                    joined[x] = y
+                    yield id[i[k]], id[j[k]]
+
+    def run(batches):
+        held, at, out = [], None, []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in (*ROWS, "root", "postings", "said", "low", "high")]
+            for *row, low, high in zip(*columns):
+                key = (row[1] >> PLACE_BITS, low, high)
+                if key != at:
+                    out += connect(held) if len(held) > 1 else ()
+                    held, at = [], key
+                held.append(row)
+            yield batch_of(out)
+            out = []
+        yield batch_of(list(connect(held)) if len(held) > 1 else [])
+
+    def batch_of(found):
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    rows = dealt(in_blocks(members), (*ROWS, "root", "postings", "said"), ("low", "high"))
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def groups(docs: DataFrame, marks: DataFrame, distinct: DataFrame) -> DataFrame:
     """``node, root`` of the groups of distinct lines; roots have no row.
 
-    ``distinct`` has a row (id, key, line, chars, sim, postings) for each distinct line.
+    ``distinct`` has a row (id, chars, sim, postings) for each distinct line.
     """
-    rows = distinct.select("id", F.explode("postings").alias("p"), "sim", F.col("chars").cast("long"), F.lit(0).cast("long").alias("root"))
-    near = list_pairs(rows, False, "near-lines")
+    rows = distinct.select("id", F.explode("postings").alias("p"), "sim", "chars")
+    near = list_pairs(rows)
     low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     pairs = written(near.select(low, high).distinct(), "line-pairs")  # a pair of several lists is verified once
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = texts_of(docs, distinct.join(ends, "id").select("id", "key", "line"))
+    texts = texts_of(docs, marks.select("id", "key", "line").join(ends, "id"))
     checked = written(verified(pairs, texts), "line-checks")
     roots = components(checked.where("ok").select("a", "b"))
 
@@ -552,36 +616,41 @@ def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     own = near.select(F.shiftright("pa", PLACE_BITS).alias("list"), low, high, ends.alias("ends"))
     lists = own.join(failed, ["a", "b"]).groupBy("list").agg(F.lit(1).alias("again"))
     members = own.join(lists, "list").select(F.explode("ends").alias("end")).select("end.id", "end.p").distinct()
-    members = members.join(distinct.select("id", "sim", F.col("chars").cast("long")), "id")
-    members = members.join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
-    members = members.withColumn("root", F.coalesce("root", "id"))
-    more = list_pairs(members, True, "lines-apart")
-    fresh = more.select(low, high).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    again = verified(fresh, texts).where("ok").select("a", "b")
-    groups = components(again.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    discard(near, pairs, texts, checked, roots, more)
-    return groups
+    lines = texts.join(distinct.select("id", "sim", "chars", "postings"), "id")
+    lines = lines.join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
+    members = members.join(lines.withColumn("root", F.coalesce("root", "id")), "id")
+    again = links_in_lists(members).unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    out = components(again)
+    discard(near, pairs, texts, checked, roots)
+    return out
 
 
 def removals(docs: DataFrame, short: bool = False) -> DataFrame:
     """``key, removed``: numbers of the lines that a document loses."""
-    marks = written(line_marks(docs, short), "line-marks")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line")
-    distinct = marks.groupBy("h", "h2").agg(
-        F.min(place).alias("place"),
-        F.count("*").alias("n"),
-        *[F.first(c).alias(c) for c in ("chars", "sim", "postings")],
+    marks = written(line_marks(docs, short).withColumn("id", F.monotonically_increasing_id()), "line-marks")
+    # one number that orders lines by document and then as they were read, so that the aggregation needs no sort
+    document = F.coalesce(F.col("doc_id").cast("decimal(19,0)"), F.lit(NO_ID).cast("decimal(19,0)"))
+    place = (document * F.lit(IDS).cast("decimal(20,0)") + F.col("id")).cast("decimal(38,0)")
+    columns = [F.get("postings", F.lit(k)).alias(f"p{k}") for k in range(KEYS)]
+    distinct = marks.select("h", "h2", place.alias("place"), "chars", "sim", *columns).groupBy("h", "h2")
+    distinct = distinct.agg(
+        F.min("place").alias("place"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("chars", "sim", *(f"p{k}" for k in range(KEYS)))]
     )
-    # equal lines have one row here, and its number stands for them
-    distinct = distinct.select(F.monotonically_increasing_id().alias("id"), "*", "place.key", "place.line")
+    # the first of equal lines stands for them; its number is what is left of its place
+    distinct = distinct.select(
+        "h", "h2", "place", "n", F.pmod("place", F.lit(IDS).cast("decimal(20,0)")).cast("long").alias("id"),
+        F.col("chars").cast("long"), "sim", F.array_compact(F.array(*[f"p{k}" for k in range(KEYS)])).alias("postings"),
+    )
     distinct = written(distinct, "lines")
-    roots = links(docs, distinct)
+    roots = groups(docs, marks, distinct)
     rooted = distinct.select("id", "h", "h2", "n", "place").join(roots, F.col("id") == F.col("node"), "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "id"))
-    groups = rooted.groupBy("root").agg(F.min("place").alias("keep"), F.sum("n").alias("total")).where("total > 1")
-    keep = rooted.select("h", "h2", "root").join(groups, "root").select("h", "h2", "keep.key", "keep.line")
-    gone = marks.alias("m").join(keep.alias("k"), ["h", "h2"]).where("not (m.key = k.key and m.line = k.line)")
-    return gone.groupBy("m.key").agg(F.array_sort(F.collect_set("m.line")).alias("removed"))
+    several = rooted.groupBy("root").agg(F.min_by("id", "place").alias("keep"), F.sum("n").alias("total")).where("total > 1")
+    keep = rooted.select("h", "h2", "root").join(several, "root").select("h", "h2", "keep")
+    found = marks.select("key", "line", "id", "h", "h2").join(keep, ["h", "h2"])
+    # repeated rows share their key: what one of them keeps the other keeps
+    lost, kept = (F.collect_set(F.when(F.col("id") != F.col("keep") if gone else F.col("id") == F.col("keep"), F.col("line"))) for gone in (True, False))
+    return found.groupBy("key").agg(F.array_sort(F.array_except(lost, kept)).alias("removed")).where("size(removed) > 0")
 
 
 def dedup_lines(docs: DataFrame, report: bool = False, short: bool = False) -> DataFrame:
@@ -593,15 +662,17 @@ def dedup_lines(docs: DataFrame, report: bool = False, short: bool = False) -> D
     lost = removals(docs, short).select(F.col("key").alias(key), F.col("removed").alias(gone))
     lines = F.split("text", "\n", -1)
     removed = F.coalesce(gone, F.array().cast("array<int>"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
-    left = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
+    stay = F.array_except(F.sequence(F.lit(0), n_lines - 1), removed)
+    # an array of one, so that the text is split once and not for every line
+    left = F.element_at(F.transform(F.array(lines), lambda all: F.array_join(F.transform(stay, lambda i: F.get(all, i)), "\n")), 1)
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(left)
     joined = docs.withColumn(key, doc_key()).join(lost, key, "left").withColumn(kept, text)
     out = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": F.col(kept)}
     if "n_chars" in out:
         out["n_chars"] = F.length(kept).cast(docs.schema["n_chars"].dataType)
     if report:
-        out["n_lines"] = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
+        out["n_lines"] = F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long")
         out["n_removed"] = F.size(removed).cast("long")
         out["removed"] = removed
     return joined.select(*[c.alias(n) for n, c in out.items()])
