@@ -8,11 +8,13 @@ as it is (level 0) and parsed again by the deterministic parser below, which
 reads nothing but the rendered text.  Where the turns read back differ from the
 source, conflicting content is escaped: at level 1 a backslash follows every
 ``<``, ``[`` and backslash of roles and texts, so no control string can occur in
-them and the round trip is exact.  Plain conversations stay free of escapes.
+them; the escaped text is parsed and compared like the plain one, and a difference
+would end the job.  Plain conversations stay free of escapes.
 
 Defined cases: null role or text is empty; turns of equal number are ordered by
 role and text; rows without a turn number come first; a null conv_id is a
-conversation of its own; an empty table gives only the rows added to it.  Other
+conversation of its own; an empty table gives only the rows added to it; rows of
+the source with the number of the added conversation (-1) are turns of it.  Other
 columns are not read.  One conversation is one rendered text, so it is the unit
 of work however long it is; its turns are gathered with partial aggregation.
 """
@@ -77,7 +79,12 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     gathered = rows.groupBy("conv_id").agg(turns.alias("turns"))
     plain = gathered.withColumn("plain", render(F.col("turns"), 0)).withColumn("back", parse(F.col("plain")))
     exact = F.col("back") == F.col("turns")
-    return plain.select("conv_id", F.when(exact, F.col("plain")).otherwise(render(F.col("turns"), 1)).alias("formatted"))
+    # the array of one keeps the escaped text from being rendered twice
+    escaped = F.transform(
+        F.array(render(F.col("turns"), 1)),
+        lambda text: F.when(parse(text) == F.col("turns"), text).otherwise(F.raise_error(F.lit("a conversation does not parse back"))),
+    )
+    return plain.select("conv_id", F.when(exact, F.col("plain")).otherwise(F.element_at(escaped, 1)).alias("formatted"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

@@ -90,7 +90,7 @@ def fit_matrix(docs: DataFrame, chosen: DataFrame, vector=text_features, width=W
 
     def run(batches):
         for batch in batches:
-            xs = [vector(t) for t in batch.column("text").to_pylist()]
+            xs = [vector(t.as_py()) for t in batch.column("text")]
             at = [np.flatnonzero(x).astype(np.int32) for x in xs]
             yield pa.RecordBatch.from_arrays(
                 [

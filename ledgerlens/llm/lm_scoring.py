@@ -7,10 +7,10 @@ bytes).  With context words i = 1, 2 the score of output w is
 
     s(w) = (A1 r1 + A2 r2) . q_w + b_w
 
-(Mnih and Hinton's log-bilinear form).  Every task trains on its share of the
-training texts in numpy, by noise-contrastive estimation with unigram noise;
-the tasks' parameters are averaged by token count after each of ``ROUNDS``
-passes.  For scoring, batched matrix products give every context's normaliser,
+(Mnih and Hinton's log-bilinear form).  The training texts are dealt by hash into
+shards, as many as the corpus has tokens for; each trains in numpy, by
+noise-contrastive estimation with unigram noise, and the shards' parameters are
+averaged by token count after each of ``ROUNDS`` passes.  For scoring, batched matrix products give every context's normaliser,
 so the outputs' probabilities sum to one.  A word of a class shares the class's
 probability in proportion to its add-one count, an unseen word counting as one,
 so the model's scores are probabilities over the vocabulary and comparable with
@@ -21,7 +21,8 @@ so no table that grows with the corpus passes through the driver or a worker.
 
 Defined cases: null and empty text is the end token alone; a null doc_id is in
 training; repeated rows count and score as separate texts; an empty table gives
-an empty result.  Columns other than ``doc_id`` and ``text`` are not read.
+an empty result.  Columns other than ``doc_id`` and ``text`` are not read.  A text
+of any length is one sequence, in memory in proportion to it.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +48,7 @@ FIRST_CLASS = 1 + WORDS
 WIDTH, NOISE, NOISE_RATIO, BATCH, CHUNK = 24, 64, 16.0, 4096, 1_000_000
 ROUNDS = (0.2, 0.1)  # learning rate of each pass
 COUNTED_AT_ONCE = 400_000
-FAN_IN = 8
+FAN_IN, TOKENS_A_SHARD, SHARDS = 8, 4_000_000, 4096
 
 
 def held_out(column: str = "doc_id"):
@@ -95,10 +97,11 @@ def word_counts(training: DataFrame) -> DataFrame:
 
 def vocabulary(counts: DataFrame) -> dict:
     """Totals, the most frequent words and the classes' add-one mass."""
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
-    head = counts.orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
+    end = F.coalesce(F.sum(F.when(F.col("word") == "", F.col("c"))), F.lit(0))
+    total, distinct, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), end).head()
+    head = counts.where("word <> ''").orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
     head = dict(zip((w.encode() for w in head["word"].to_pylist()), head["c"].to_pylist()))
-    chosen = [w for w in head if w][:WORDS]
+    chosen = [*head][:WORDS]
     ids = {w: 1 + i for i, w in enumerate(chosen)}
     suffix = F.crc32(F.substring(F.col("word").cast("binary"), -2, 2)) % CLASSES
     per_class = counts.where("word <> ''").groupBy(suffix.alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("v"))
@@ -111,8 +114,8 @@ def vocabulary(counts: DataFrame) -> dict:
         seen[i] = head[w]
         seen[k] -= head[w]
         mass[k - FIRST_CLASS] -= head[w] + 1
-    seen[END] = head.get(b"", 0)
-    return {"total": total, "distinct": distinct, "head": head, "ids": ids, "seen": seen, "mass": mass}
+    seen[END] = ends
+    return {"total": total, "distinct": distinct, "ends": ends, "head": head, "ids": ids, "seen": seen, "mass": mass}
 
 
 # --- the model ---------------------------------------------------------------
@@ -208,10 +211,22 @@ def codes_of(ids: list[int]) -> np.ndarray:
     return (x[:-2] * (OUTPUTS + 1) + x[1:-1]) * OUTPUTS + x[2:]
 
 
+def in_shards(training: DataFrame, tokens: int) -> DataFrame:
+    """Training texts in shards that depend on the texts alone, not on how they lie.
+
+    A row's shard and its place there are hashes of the row, so equal tables
+    train equal models and no id or source weighs on one task.
+    """
+    shards = min(SHARDS, max(4, tokens // TOKENS_A_SHARD))
+    rows = training.select("text", F.xxhash64("text", "doc_id").alias("turn"), F.xxhash64("doc_id", "text").alias("deal"))
+    return rows.repartition(shards, "deal").sortWithinPartitions("turn").select("text")
+
+
 def train_round(training: DataFrame, flat: np.ndarray, vocab: dict, rate: float) -> np.ndarray:
-    """Average of what the tasks make of ``flat``, weighted by their tokens."""
+    """Average, in the order of shards, of what they make of ``flat``, weighted by their tokens."""
     ids, noise = vocab["ids"], noise_of(vocab["seen"])
     shared = training.sparkSession.sparkContext.broadcast((ids, noise, flat))
+    names, fields = ["shard", "w", "p"], "shard int, w long, p binary"
 
     def run(batches):
         ids, noise, flat = shared.value
@@ -228,22 +243,26 @@ def train_round(training: DataFrame, flat: np.ndarray, vocab: dict, rate: float)
         if held:
             trainer.learn(np.concatenate(held))
         if trainer.seen:
-            yield row(trainer.seen, trainer.flat.astype(np.float64) * trainer.seen)
+            yield row(TaskContext.get().partitionId(), trainer.seen, trainer.flat.astype(np.float64) * trainer.seen)
 
-    def row(weight, values):
-        return pa.RecordBatch.from_arrays([pa.array([weight], pa.int64()), pa.array([values.tobytes()])], names=["w", "p"])
+    def row(shard, weight, values):
+        columns = [pa.array([shard], pa.int32()), pa.array([weight], pa.int64()), pa.array([values.tobytes()])]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     def total(batches):
-        weight, values = 0, np.zeros(len(flat))
+        first, weight, values = None, 0, np.zeros(len(flat))
         for batch in batches:
-            for w, p in zip(batch.column("w").to_pylist(), batch.column("p").to_pylist()):
+            for shard, w, p in zip(*(batch.column(c).to_pylist() for c in names)):
+                first = shard if first is None else first
                 weight += w
                 values += np.frombuffer(p)
         if weight:
-            yield row(weight, values)
+            yield row(first, weight, values)
 
-    parts = training.select("text").mapInArrow(run, "w long, p binary")
-    sums = parts.repartition(FAN_IN).mapInArrow(total, "w long, p binary").toArrow()  # at most FAN_IN rows
+    parts = in_shards(training, vocab["total"]).mapInArrow(run, fields)
+    parts = parts.repartition(FAN_IN, F.pmod("shard", F.lit(FAN_IN))).sortWithinPartitions("shard")
+    sums = parts.mapInArrow(total, fields).toArrow().sort_by("shard")  # at most FAN_IN rows
+    shared.destroy()
     weight = sum(sums["w"].to_pylist())
     if not weight:
         return flat
@@ -279,7 +298,7 @@ def partial_scores(docs: DataFrame, vocab: dict, flat: np.ndarray) -> DataFrame:
     """Scores without the words outside the head, which come as ``tail``."""
     head = {w: (vocab["ids"].get(w, 0), math.log(c + 1)) for w, c in vocab["head"].items() if w}
     mass = np.log(vocab["mass"].clip(1))
-    end = math.log(vocab["head"].get(b"", 0) + 1)
+    end = math.log(vocab["ends"] + 1)
     shared = docs.sparkSession.sparkContext.broadcast((head, mass, flat, log_normalisers(flat)))
     names = ["doc_id", "held_out", "n_tokens", "n_head", "log_counts", "log_model", "tail"]
 
@@ -321,15 +340,20 @@ def partial_scores(docs: DataFrame, vocab: dict, flat: np.ndarray) -> DataFrame:
     )
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
-    """Train on the documents that are not held out and score all of them."""
-    training = docs.where(~held_out())
+def train_model(docs: DataFrame) -> tuple[DataFrame, dict, np.ndarray]:
+    """Word counts, vocabulary and parameters, of the documents that are not held out."""
+    training = docs.where(~held_out()).select("doc_id", "text")
     counts = written(word_counts(training), "word-counts")
     vocab = vocabulary(counts)
-    flat, share = initial(noise_of(vocab["seen"])), spread(training.select("text"))
+    flat = initial(noise_of(vocab["seen"]))
     for rate in ROUNDS:
-        flat = train_round(share, flat, vocab, rate)
+        flat = train_round(training, flat, vocab, rate)
+    return counts, vocab, flat
+
 
+def score_documents(docs: DataFrame, model: tuple[DataFrame, dict, np.ndarray] | None = None) -> DataFrame:
+    """Scores of all documents by ``model``, or by one trained on those that are not held out."""
+    counts, vocab, flat = model or train_model(docs)
     partial = partial_scores(docs, vocab, flat).withColumn("row", F.monotonically_increasing_id())
     partial = written(partial, "partial-scores")
     tail = partial.select("row", F.explode("tail").alias("word")).join(counts, "word", "left")
@@ -338,7 +362,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     )
     total, distinct = vocab["total"], vocab["distinct"]
     tail_log = F.coalesce("tail_log", F.lit(0.0))
-    ends_known = int(b"" in vocab["head"])
+    ends_known = int(vocab["ends"] > 0)
     ln10, norm = math.log(10), math.log(total + distinct + 1)
     return partial.drop("tail").join(tail, "row", "left").select(
         "doc_id",

@@ -14,7 +14,8 @@ are packed first-fit by falling length.
 
 Defined cases: null or empty text is the end id alone; repeated rows are packed
 as separate documents; an empty table gives an empty result; columns other than
-``doc_id`` and ``text`` are not read.
+``doc_id`` and ``text`` are not read.  A text of any length is cut whole, in
+memory in proportion to it; what a task remembers of words is bounded in bytes.
 """
 
 from __future__ import annotations
@@ -35,8 +36,10 @@ from .shared import spread, table, worker_store, written
 CAPACITY, FILL, END_ID = 4096, 0.99, 2
 #: Buckets that pieces are ranked in: at least so many, and one per so many pieces.
 BUCKETS, PIECES_A_BUCKET = 64, 250_000
-#: Words whose ids a worker remembers in each of two generations.
-REMEMBERED, DOCS_AT_ONCE, WORDS_AT_ONCE = 300_000, 256, 200
+#: Bytes of words and their ids that a task remembers in each of two generations, and what an entry costs besides.
+REMEMBERED, ENTRY = 24_000_000, 160
+#: Texts are encoded together up to so many bytes, and new words of them so many at once.
+BYTES_AT_ONCE, WORDS_AT_ONCE = 1_000_000, 200
 CLOSING = b".,;:!?*$%&#|)"
 
 
@@ -55,14 +58,18 @@ def cut(length: int, capacity: int = CAPACITY, fill: float = FILL) -> list[tuple
 
 
 class Words:
-    """Ids of words, remembered in two generations.
+    """Ids of words, remembered in two generations of bounded bytes.
 
     A full young generation becomes the old one; words met again move back, so
-    frequent words stay and memory is bounded.
+    frequent words stay.
     """
 
     def __init__(self, limit: int = REMEMBERED):
-        self.young, self.old, self.limit = {}, {}, limit
+        self.young, self.old, self.limit, self.held = {}, {}, limit, 0
+
+    def add(self, word: bytes, ids: bytes):
+        self.young[word] = ids
+        self.held += len(word) + len(ids) + ENTRY
 
     def known(self, word: bytes) -> bool:
         if word in self.young:
@@ -70,12 +77,12 @@ class Words:
         ids = self.old.get(word)
         if ids is None:
             return False
-        self.young[word] = ids
+        self.add(word, ids)
         return True
 
     def make_room(self):
-        if len(self.young) > self.limit:
-            self.young, self.old = {}, self.young
+        if self.held > self.limit:
+            self.young, self.old, self.held = {}, self.young, 0
 
 
 def encode_pieces(tokenizer, ends: frozenset, pieces: list[bytes]) -> dict[bytes, bytes]:
@@ -108,7 +115,7 @@ def encoder(path: str):
     The tokenizer lower-cases and cuts at white space, and a run of punctuation
     after a letter or digit is a token run of its own.  So a text's ids are
     those of its words in order, and a word's those of its core and its closing
-    punctuation; each is encoded once while a worker remembers it.  Texts with
+    punctuation; each is encoded once while a task remembers it.  Texts with
     ``<|`` may hold a special token and are encoded whole.
     """
     store = worker_store()
@@ -118,8 +125,9 @@ def encoder(path: str):
 
         tokenizer = Tokenizer.from_file(path)
         ends = frozenset(i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>"))
-        store["tokenizer", path] = tokenizer, ends, Words()
-    tokenizer, ends, words = store["tokenizer", path]
+        store["tokenizer", path] = tokenizer, ends
+    tokenizer, ends = store["tokenizer", path]
+    words = Words()  # of this task alone: nothing of it stays in a worker
 
     def encode(texts: list[str | None]) -> list[bytes]:
         words.make_room()
@@ -136,8 +144,10 @@ def encoder(path: str):
         whole.update(*parted.values())
         pieces = [p for p in whole.difference(words.young) if not words.known(p)]
         young = words.young
-        young.update(encode_pieces(tokenizer, ends, pieces))
-        young.update([(w, young[core] + young[closing]) for w, (core, closing) in parted.items()])
+        for word, ids in encode_pieces(tokenizer, ends, pieces).items():
+            words.add(word, ids)
+        for word, (core, closing) in parted.items():
+            words.add(word, young[core] + young[closing])
         out = [b"".join(map(young.__getitem__, own)) for own in split]
         for i, t in enumerate(raw):
             if b"<|" in t:
@@ -153,21 +163,28 @@ def pieces_of(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "k"] + ["ids"] * with_ids
     end = array.array("I", [END_ID]).tobytes()
 
+    def rows_of(doc_ids, encoded):
+        for doc_id, ids in zip(doc_ids, encoded):
+            ids += end
+            total, start = len(ids) // 4, 0
+            for length, k in cut(total):
+                own = ids[4 * start : 4 * (start + length)]
+                row = (doc_id, start, length, crc32(own), total, k)
+                yield (*row, array.array("I", own).tolist()) if with_ids else row
+                start += length
+
     def run(batches):
         encode = encoder(path)
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            rows = []
-            for at in range(0, len(doc_ids), DOCS_AT_ONCE):
-                encoded = encode(texts[at : at + DOCS_AT_ONCE].to_pylist())
-                for doc_id, ids in zip(doc_ids[at : at + DOCS_AT_ONCE], encoded):
-                    ids += end
-                    total, start = len(ids) // 4, 0
-                    for length, k in cut(total):
-                        own = ids[4 * start : 4 * (start + length)]
-                        row = (doc_id, start, length, crc32(own), total, k)
-                        rows.append((*row, array.array("I", own).tolist()) if with_ids else row)
-                        start += length
+            rows, ids_held, texts, size = [], [], [], 0
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                ids_held.append(doc_id)
+                texts.append(text.as_py())
+                size += len(texts[-1] or "")
+                if size >= BYTES_AT_ONCE:
+                    rows += rows_of(ids_held, encode(texts))
+                    ids_held, texts, size = [], [], 0
+            rows += rows_of(ids_held, encode(texts))
             if rows:
                 types = [pa.int64()] * 5 + [pa.int32()] + [pa.list_(pa.int64())] * with_ids
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]

@@ -16,6 +16,8 @@ empty result.  Only ``text`` enters a score.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -88,17 +90,14 @@ def score_quality(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row."""
     w = weights.astype(np.float32)
 
-    def run(batches):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            scores = np.array([sigmoid(vector(t) @ w[:-1] + w[-1]) for t in batch.column("text").to_pylist()])
-            scores = scores.astype(np.float64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))],
-                names=["doc_id", "held_out", "score", "predicted"],
-            )
-
-    source = spread(docs.select("doc_id", "text")).withColumn("held_out", held_out())
-    return source.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+            scores = [float(sigmoid(vector(t.as_py()) @ w[:-1] + w[-1])) for t in batch]
+            yield pa.array(scores, pa.float64())
+
+    score = F.arrow_udf(run, "double").asNondeterministic()
+    scored = spread(docs.select("doc_id", "text")).select("doc_id", held_out().alias("held_out"), score("text").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

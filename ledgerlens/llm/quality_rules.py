@@ -8,11 +8,14 @@ batches, against fixed thresholds.
 Defined cases: null or blank text has no words and fails the base rule; without
 usable labels of both kinds the classifier abstains (probability 1) and the
 base rule decides alone; repeated rows are judged alike; an empty table gives an
-empty result; further columns pass through ``filter_quality`` untouched.
+empty result; further columns of any name pass through ``filter_quality``
+untouched; a text is judged whole, in memory in proportion to its length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +32,7 @@ from .features import (
     repeat_words,
     sigmoid,
 )
-from .shared import spread, table
+from .shared import free_name, spread, table
 
 MIN_WORDS, MAX_REPEAT_PERCENT, KEEP_FROM = 50, 50, 0.5
 SYMBOLS = "#*$%&|<>"
@@ -103,36 +106,44 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> n
     return np.append(a * w[:-1], a * w[-1] + b)
 
 
-def judge(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
-    """All columns of ``docs`` and those of ``STATS`` (which replace equal names)."""
-    own = [c.split()[0] for c in STATS.split(", ")]
-    keep = [c for c in docs.columns if c not in own]
-    source = spread(docs.select(*keep, F.coalesce("text", F.lit("")).alias("_judged")))
+def verdicts(weights: np.ndarray | None):
+    """A UDF from a text to the struct ``STATS``: only the text leaves the JVM, and no text returns."""
     w = np.zeros(WIDTH + 1, np.float32) if weights is None else weights.astype(np.float32)
+    names = [c.split()[0] for c in STATS.split(", ")]
+    types = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
 
-    def run(batches):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             rows = []
-            for text in batch.column("_judged").to_pylist():
+            for text in batch:  # one at a time: a batch is not held twice
+                text = text.as_py() or ""
                 raw = text.encode("utf-8", "replace")
                 words = raw.split()
                 stats = statistics(text, raw, words)
                 failed = base_failed(stats[0], stats[4])
                 prob = 1.0 if weights is None else float(sigmoid(features(raw, words) @ w[:-1] + w[-1]))
                 rows.append((*stats, failed, prob, not failed and prob >= KEEP_FROM))
-            columns = [batch.column(c) for c in keep] + [pa.array(c) for c in zip(*rows)]
-            if rows:
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, *own])
+            columns = zip(*rows) if rows else [()] * len(types)
+            yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+    # not deterministic by declaration, so that a filter above does not run it once more
+    return F.arrow_udf(run, f"struct<{STATS.replace(' ', ':').replace(',:', ',')}>").asNondeterministic()
 
-    fields = ", ".join(f"`{c}` {t}" for c, t in source.select(*keep).dtypes)
-    return source.mapInArrow(run, f"{fields}, {STATS}")
+
+def judge(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
+    """All columns of ``docs`` and those of ``STATS`` (which replace equal names)."""
+    own = [c.split()[0] for c in STATS.split(", ")]
+    name = free_name(docs, "verdict")
+    judged = spread(docs).withColumn(name, verdicts(weights)("text"))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in own]
+    return judged.select(*kept, *[F.col(name)[c].alias(c) for c in own])
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their own columns."""
-    marked = docs.withColumn("_kept_row", F.struct(*docs.columns))
-    judged = judge(marked.select("text", "_kept_row"), train(docs, labels))
-    return judged.where("kept").select("_kept_row.*")
+    name = free_name(docs, "verdict")
+    judged = spread(docs).withColumn(name, verdicts(train(docs, labels))("text"))
+    return judged.where(F.col(name)["kept"]).drop(name)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

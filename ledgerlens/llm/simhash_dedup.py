@@ -5,9 +5,10 @@ of their eight bytes, so at least four byte positions hold equal bytes.  The
 index lists every distinct fingerprint under the bytes at three positions, for
 20 position triples chosen so that *any* four positions contain one of them (a
 Turan system): no link can be missed, and a posting list holds one fingerprint
-in 2**24 instead of one in 256, as lists of single positions would.  Within a
-posting list the pairs' shared positional bytes are counted, pairs with four or
-more are kept and verified by Hamming distance.  A list emits a spanning forest
+in 2**24 instead of one in 256, as lists of single positions would.  Pairs of a list
+share three positional bytes by construction; within it each pair's shared
+positional bytes are tallied, pairs that reach the guaranteed four are kept, and
+only those are verified by Hamming distance.  A list emits a spanning forest
 of its links, never all pairs, so a dense group of near copies costs rows in
 proportion to its size.
 
@@ -15,11 +16,13 @@ Defined cases: null or blank text has no shingle and fingerprint zero, which
 links like any other; fewer than four words hash as one sequence; repeated rows
 give repeated result rows; a null doc_id is never a component id unless its
 whole component has none; an empty table gives an empty result.  Columns other
-than ``doc_id`` and ``text`` are not touched.
+than ``doc_id`` and ``text`` are not touched, whatever their names.  A text of any
+length is hashed whole, with 8 bytes of memory a word.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import doc_key, spread, table, written
+from .shared import doc_key, free_name, spread, table, written
 
 SHINGLE, SEED, BITS_APART, POSITIONS = 4, 42, 4, 8
 MIN_EQUAL_BYTES = POSITIONS - BITS_APART
@@ -70,73 +73,74 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int.from_bytes(np.packbits(over_half).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns of ``docs`` and ``fp``, the signed fingerprint."""
+def fingerprints(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with ``name``, the signed fingerprint of ``text``; no text comes back from Python."""
 
-    def run(batches):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            texts = batch.column("text_").to_pylist()
-            fps = pa.array([fingerprint(t) for t in texts], pa.int64())
-            columns = [batch.column(c) for c in keep] + [fps]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "fp"])
+            yield pa.array([fingerprint(t.as_py()) for t in batch], pa.int64())
+
+    return docs.withColumn(name, F.arrow_udf(run, "long").asNondeterministic()("text"))
+
+
+LOW, HIGH = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
 
-    source = docs.select(*keep, F.col("text").alias("text_"))
-    fields = ", ".join(f"`{c}` {t}" for c, t in source.select(*keep).dtypes)
-    return source.mapInArrow(run, f"{fields}, fp long")
 
+def equal_bytes(diff: np.ndarray) -> np.ndarray:
+    """How many of the eight bytes of each exclusive-or are zero: the positional bytes that a pair shares."""
+    return POSITIONS - np.bitwise_count((((diff & LOW) + LOW) | diff) & HIGH)
 
-def forest(
-    members: np.ndarray, apart: int = BITS_APART, equal: int = MIN_EQUAL_BYTES, block: int = 256
-) -> list[tuple[int, int]]:
-    """Spanning forest of the links among distinct fingerprints of one list.
 
-    A pair needs ``equal`` bytes in common and at most ``apart`` bits different.
+def linked(some: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which of ``some`` (rows) and ``others`` (columns) are linked.
+
+    The shared positional bytes of each pair are tallied; pairs that reach the
+    guaranteed minimum are kept, and only those are verified.
     """
+    diff = some[:, None] ^ others[None, :]
+    kept = np.nonzero(equal_bytes(diff) >= MIN_EQUAL_BYTES)
+    out = np.zeros(diff.shape, bool)
+    out[kept] = np.bitwise_count(diff[kept]) <= BITS_APART
+    return out
+
+
+def forest(members: np.ndarray, block: int = 256) -> list[tuple[int, int]]:
+    """Spanning forest of the links among distinct fingerprints of one list."""
     rest, out = members.copy(), []
     while len(rest) > 1:
         frontier, rest = rest[:1], rest[1:]
         while len(frontier) and len(rest):
             head, frontier = frontier[:block], frontier[block:]
-            step = max(1, 4_000_000 // len(head))
-            linked = np.full(len(rest), -1)
+            step = max(1, 1_000_000 // len(head))
+            by = np.full(len(rest), -1)
             for at in range(0, len(rest), step):
-                diff = rest[at : at + step, None] ^ head[None, :]
-                ok = np.bitwise_count(diff) <= apart
-                if equal:
-                    ok &= (diff.view(np.uint8).reshape(*diff.shape, 8) == 0).sum(2) >= equal
+                ok = linked(rest[at : at + step], head)
                 found = ok.any(1)
-                linked[at : at + step][found] = ok[found].argmax(1)
-            hit = linked >= 0
-            out += zip(head[linked[hit]].tolist(), rest[hit].tolist())
+                by[at : at + step][found] = ok[found].argmax(1)
+            hit = by >= 0
+            out += zip(head[by[hit]].tolist(), rest[hit].tolist())
             frontier, rest = np.concatenate([frontier, rest[hit]]), rest[~hit]
     return out
 
 
-def posting_runs(batches, key: str, value: str, pairs: list | None = None, apart: int = BITS_APART):
-    """Yield ``(key, values)`` of runs longer than one from key-sorted batches.
+def posting_runs(batches):
+    """Yield the lists of two and more fingerprints from key-sorted batches.
 
-    Only the last run of a batch is carried over to the next one.  With
-    ``pairs``, lists of two are not yielded: those within ``apart`` bits are
-    appended there at once, as (key, a, b).
+    Only the last list of a batch is carried over to the next one.
     """
     keys, values = np.empty(0, np.int64), np.empty(0, np.int64)
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.concatenate([keys, batch.column(key).to_numpy(zero_copy_only=False)])
-        values = np.concatenate([values, batch.column(value).to_numpy(zero_copy_only=False)])
+        keys = np.concatenate([keys, batch.column("key").to_numpy(zero_copy_only=False)])
+        values = np.concatenate([values, batch.column("fp").to_numpy(zero_copy_only=False)])
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        last = starts[-1]
-        sizes = np.diff(starts)
-        if pairs is not None:
-            two = starts[:-1][sizes == 2]
-            two = two[np.bitwise_count((values[two] ^ values[two + 1]).view(np.uint64)) <= apart]
-            pairs += zip(keys[two].tolist(), values[two].tolist(), values[two + 1].tolist())
-        for at in np.flatnonzero(sizes > (1 if pairs is None else 2)):
-            yield int(keys[starts[at]]), values[starts[at] : starts[at] + sizes[at]]
+        last, sizes = starts[-1], np.diff(starts)
+        for at in np.flatnonzero(sizes > 1):
+            yield values[starts[at] : starts[at] + sizes[at]]
         keys, values = keys[last:], values[last:]
     if len(keys) > 1:
-        yield int(keys[0]), values
+        yield values
 
 
 def links(distinct_fps: DataFrame) -> DataFrame:
@@ -151,7 +155,7 @@ def links(distinct_fps: DataFrame) -> DataFrame:
 
     def run(batches):
         found = []
-        for _, members in posting_runs(batches, "key", "fp"):
+        for members in posting_runs(batches):
             found += forest(members.view(np.uint64))
             if len(found) > 50_000:
                 yield edges_batch(found)
@@ -178,7 +182,7 @@ def group_by_fingerprint(marked: DataFrame) -> DataFrame:
 
 def simhash_groups(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (hex), component_id."""
-    marked = written(fingerprints(spread(docs.select("doc_id", "text")), ["doc_id"]), "marked")
+    marked = written(fingerprints(spread(docs.select("doc_id", "text")), "fp").drop("text"), "marked")
     return marked.join(group_by_fingerprint(marked), "fp").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -192,12 +196,15 @@ def keep_one_per_group(docs: DataFrame) -> DataFrame:
     Of equal ids (or none at all) the row with the smallest content hash
     stays; identical rows count as one.
     """
-    keyed = docs.withColumn("_key", doc_key())
-    marked = written(fingerprints(spread(keyed.select("doc_id", "text", "_key")), ["doc_id", "_key"]), "marked")
+    key = free_name(docs, "row_key")
+    keyed = docs.withColumn(key, doc_key())
+    rows = spread(docs.select("doc_id", "text")).withColumn("key", doc_key())
+    marked = written(fingerprints(rows, "fp").drop("text"), "marked")
     grouped = marked.join(group_by_fingerprint(marked), "fp")
-    first = F.min_by("_key", F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("_key")
+    first = F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("key")
     stays = grouped.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(first)
-    return keyed.join(stays.select("_key").distinct(), "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+    kept = keyed.join(stays.select(F.col("key").alias(key)).distinct(), key, "left_semi")
+    return kept.dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

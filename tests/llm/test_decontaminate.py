@@ -1,12 +1,14 @@
 import random
+import time
 
 import numpy as np
 
 from ledgerlens.llm.decontaminate import (
-    CHARS_PER_EDIT,
+    EXACT_BELOW,
     align,
     build_index,
     codes,
+    edits_of,
     find_matches,
     matches,
     normalise,
@@ -43,12 +45,13 @@ def best_match(window, text):
 
 def cases():
     rng = random.Random(8)
-    items = [sentence(rng, n) for n in (9, 12, 30, 45, 60)] + ["tiny", "", None]
+    items = [sentence(rng, n) for n in (9, 12, 30, 45, 60)] + ["tiny", "what is two and two", "", None]
     texts = [None, "", "short", sentence(rng, 400)]
     for item in items[:5]:
         for edits in (0, 1, 3, 6, 9, 14):
             texts.append(sentence(rng, 30) + "\n" + edit(rng, item, edits).upper() + "  " + sentence(rng, 30))
         texts.append(item[: len(item) // 2])
+    texts += ["say what  is Two and two", "so what is two and twofold", "a tiny one", "tinyx", sentence(rng, 20) + " " + normalise(items[3])[28:124]]
     return list(enumerate(items)), texts
 
 
@@ -58,13 +61,40 @@ def test_matches_equal_full_alignment():
     present = np.unpackbits(index["present"]).astype(bool)
     some = 0
     for text in map(normalise, texts):
-        want = {i for i, t in items for w in windows_of(normalise(t)) if best_match(w, text) <= len(w) // CHARS_PER_EDIT}
+        want = {
+            i
+            for i, t in items
+            for w in windows_of(normalise(t))
+            if (f" {w} " in f" {text} " if len(w) < EXACT_BELOW else align(codes(w), codes(text), -len(w), len(text))[0] <= edits_of(w))
+        }
         got = {i for i, _, _ in find_matches(text, index, present)}
         assert got == want
         some += len(want)
     assert some > 15
 
 
+def test_many_hits_in_bounded_parts(monkeypatch):
+    """The same matches where hits are taken in many small parts."""
+    items, texts = cases()
+    index = build_index([(i, normalise(t)) for i, t in items])
+    present = np.unpackbits(index["present"]).astype(bool)
+    want = [find_matches(normalise(t), index, present) for t in texts]
+    monkeypatch.setattr("ledgerlens.llm.decontaminate.HITS", 40)
+    assert [find_matches(normalise(t), index, present) for t in texts] == want
+
+
+def test_long_texts_of_few_words():
+    rng = random.Random(10)
+    words = "the of and to in is it you that he was for on are with as his".split()
+    items = [(i, " ".join(rng.choice(words) for _ in range(2000))) for i in range(40)]
+    index = build_index(items)
+    present = np.unpackbits(index["present"]).astype(bool)
+    began = time.time()
+    find_matches(" ".join(rng.choice(words) for _ in range(500)), index, present, any_one=True)
+    find_matches(sentence(rng, 300_000), index, present)
+    assert time.time() - began < 30
+
+
 def test_banded_alignment():
     rng = random.Random(9)
     for _ in range(30):

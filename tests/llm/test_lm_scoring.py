@@ -35,7 +35,7 @@ def plain_base(texts, ids):
     return total, out
 
 
-@pytest.mark.parametrize("head", [lm.HEAD, 5])
+@pytest.mark.parametrize("head", [lm.HEAD, 5, 1])
 def test_base_columns_match_brute_force(spark, monkeypatch, head):
     monkeypatch.setattr(lm, "HEAD", head)
     texts = corpus()
@@ -53,6 +53,40 @@ def test_base_columns_match_brute_force(spark, monkeypatch, head):
             assert abs(r.base_score - base) < 1e-6 and r.score < 0 and math.isfinite(r.score)
 
 
+def plain_score(text, counts, vocab, flat):
+    """log10 probability of a text, one token at a time."""
+    p, ids = lm.unpack(flat.astype(np.float64)), vocab["ids"]
+    words = (text or "").encode().lower().split()
+    outputs = [ids.get(w) or lm.class_of(w[-2:]) for w in words] + [lm.END]
+    total, before = 0.0, [lm.START, lm.START]
+    for n, out in enumerate(outputs):
+        pred = p["r"][before[1]] @ p["a1"] + p["r"][before[0]] @ p["a2"]
+        logits = p["q"] @ pred + p["b"]
+        total += logits[out] - np.log(np.exp(logits).sum())
+        if out >= lm.FIRST_CLASS:
+            total += math.log((counts[words[n]] + 1) / vocab["mass"][out - lm.FIRST_CLASS])
+        before = [before[1], out]
+    return total / math.log(10)
+
+
+@pytest.mark.parametrize("head", [lm.HEAD, 460])
+def test_scores_match_brute_force(spark, monkeypatch, head):
+    monkeypatch.setattr(lm, "HEAD", head)
+    rng = random.Random(5)
+    texts = corpus(40) + [" ".join(f"w{rng.randrange(900)}" for _ in range(300)) for _ in range(6)]
+    docs = documents(spark, texts)
+    counts, vocab, flat = model = lm.train_model(docs)
+    known = Counter({r.word.encode(): r.c for r in counts.collect()})
+    for r in lm.score_documents(docs, model).collect():
+        assert abs(r.score - plain_score(texts[r.doc_id], known, vocab, flat)) < 1e-3
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    docs = documents(spark, corpus(200))
+    first, second = ({r.doc_id: r.score for r in lm.score_documents(docs.repartition(n)).collect()} for n in (4, 13))
+    assert first == pytest.approx(second, rel=1e-9)
+
+
 def test_model_beats_base_on_held_out_texts(spark):
     texts = corpus(600)
     rows = lm.score_documents(documents(spark, texts)).where("held_out").collect()

@@ -5,7 +5,7 @@ from zlib import crc32
 import pytest
 from tokenizers import Tokenizer
 
-from ledgerlens.llm.packing import CAPACITY, Words, cut, default_tokenizer, encoder, pack, sequences
+from ledgerlens.llm.packing import ENTRY, CAPACITY, Words, cut, default_tokenizer, encoder, pack, sequences
 
 from .helpers import documents
 
@@ -76,10 +76,11 @@ def test_words_are_encoded_like_whole_texts():
 
 
 def test_memory_is_bounded():
-    words = Words(limit=2)
-    words.young = {b"a": b"1", b"b": b"2", b"c": b"3"}
+    words = Words(limit=2 * ENTRY)
+    for w in (b"a", b"b", b"c"):
+        words.add(w, b"1")
     words.make_room()
-    assert words.known(b"a") and b"a" in words.young and len(words.young) == 1
+    assert words.held == 0 and words.known(b"a") and b"a" in words.young and len(words.young) == 1
     assert not words.known(b"d")
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from ledgerlens.llm.pii import CONFIRM, find_pii, luhn, mod97, op10_pii, redact, spans_of
 
@@ -20,6 +21,7 @@ TEXTS = [
     "4012888888881881 5500-0000-0000-0004",
     "a@" * 50 + "b.c",
     "1" * 3000,
+    "_a@b.c_d@e.f x@@y.z @a.b a.@-.-.x é@x.y %+@1.2@3.4",
     "",
     None,
 ]
@@ -61,6 +63,20 @@ def test_query(spark, tmp_path):
     assert find_pii(docs.limit(0)).count() == 0
 
 
+def test_long_runs_take_time_in_proportion():
+    began = time.time()
+    for text in ("a@" + "b" * 1_000_000, "a" * 1_000_000, "a@" * 400_000, "1" * 1_000_000, "1.1." * 250_000, "DE89 " * 200_000):
+        spans_of(text)
+    assert time.time() - began < 20
+    assert [s[:3] for s in spans_of("x" * 1_000_000 + "@y.z")] == [("email", 0, 1_000_004)]
+
+
+def test_iban_ends_with_its_country_length():
+    for text in ("ES91 2100 0418 4502 0005 1332 EUR", "bank PL61109010140000071219812874 PLN", "NO93 8601 1117 947 is it"):
+        assert [s[0] for s in spans_of(text) if s[0] == "iban"] == ["iban"], text
+    assert not [s for s in spans_of("ES91 2100 0418 4502 0005 1333 EUR XX91 2100 0418 4502 0005 1332") if s[0] == "iban"]
+
+
 def test_redaction():
     assert redact("to a@b.co now") == "to [email] now"
     assert redact(None) is None

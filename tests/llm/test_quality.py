@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 from zlib import crc32
 
@@ -49,6 +50,41 @@ def test_base_statistics(spark):
     assert rows[4].base_failed and not rows[4].kept and rows[5].kept
 
 
+def test_statistics_match_brute_force(spark, tmp_path):
+    """The query itself against one text at a time."""
+    rng = random.Random(9)
+    bits = ["ta", "re#", "é", "$x", "<|>", " ", " ", "\n", "\n", "\t", "\x0b", "\u00a0", "a b\n", "&"]
+    texts = [None, "", " \n "] + ["".join(rng.choice(bits) for _ in range(rng.randrange(400))) for _ in range(60)]
+    write_table(spark, tmp_path, "documents", documents(spark, texts).selectExpr("*", "1 as verdict", "2 as _judged"))
+    folder = write_table(spark, tmp_path, "labels", spark.createDataFrame([(i, i % 2, 0) for i in range(40)], LABELS))
+    rows = {r.doc_id: r for r in quality_rules.op5_quality_rules(spark, folder).collect()}
+    assert len(rows) == len(texts)
+    for i, text in enumerate(texts):
+        text = text or ""
+        words = [w for w in re.split("[\x20\x09-\x0d]+", text) if w]
+        lines = [line for line in text.split("\n") if re.search("[^\x20\x09-\x0d]", line)]
+        repeat = plain_repeat(words)
+        want = (len(words), sum(map(len, words)), len(re.findall("[#*$%&|<>]", text)), len(lines) - len(set(lines)), repeat)
+        r = rows[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (len(words) < 50 or 100 * repeat > 50 * len(words))
+        assert r.kept == (not r.base_failed and r.quality_prob >= 0.5)
+
+
+def test_pu_risk_matches_brute_force():
+    """The gradient of the non-negative risk, by differences."""
+    rng = np.random.default_rng(3)
+    pos, unl, w = rng.normal(size=(20, 5)) + 1, rng.normal(size=(40, 5)), rng.normal(size=6)
+    for prior in (0.1, 0.7):
+        def risk(w):
+            zp, zu = pos @ w[:-1] + w[-1], unl @ w[:-1] + w[-1]
+            negative = np.log1p(np.exp(zu)).mean() - prior * np.log1p(np.exp(zp)).mean()
+            return prior * np.log1p(np.exp(-zp)).mean() + max(0.0, negative)
+        fitted = pu_classifier.fit_nnpu(pos.astype(np.float32), unl.astype(np.float32), prior)
+        assert risk(fitted) < min(risk(fitted + d) for d in 0.5 * np.vstack([np.eye(6), -np.eye(6)])) + 0.02
+        assert risk(fitted) < risk(w)
+
+
 def test_rules_learn_and_filter(spark):
     texts, labels = corpus()
     docs = documents(spark, texts)

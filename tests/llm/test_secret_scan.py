@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -69,3 +70,13 @@ def test_window_entropy_matches_recount(spark):
 
     rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", window_entropy(F.col("w")).alias("h")).collect()
     assert all(abs(r.h - plain_top(r.w)) < 1e-9 for r in rows)
+
+
+def test_very_many_matches_in_one_text(spark):
+    """Hex runs without number, in a text of one megabyte."""
+    rng = random.Random(7)
+    text = " ".join("é" * rng.randrange(3) + "%032x" % rng.getrandbits(128) for _ in range(30_000))
+    began = time.time()
+    [row] = find_secrets(documents(spark, [text])).collect()
+    assert [tuple(s) for s in row.spans if s.kind < 3] == plain(text)
+    assert time.time() - began < 40

@@ -6,9 +6,12 @@ import pyarrow as pa
 import xxhash
 
 from ledgerlens.llm.simhash_dedup import (
+    MIN_EQUAL_BYTES,
+    equal_bytes,
     fingerprint,
     forest,
     keep_one_per_group,
+    linked,
     links,
     position_triples,
     posting_runs,
@@ -103,13 +106,24 @@ def test_links_connect_all_close_fingerprints(spark):
     assert len(groups) == len(set(want.values()))
 
 
-def test_lists_of_two_at_once():
+def test_lists_go_on_over_batches():
     values = np.array([-1, -1 ^ 7, 5, -6, 9, 9 ^ 15, 1, 2, 3], np.int64)
-    keys = np.array([1, 1, 2, 2, 3, 3, 4, 4, 4], np.int64)
-    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 2]), pa.array(values[i : i + 2])], names=["k", "v"]) for i in range(0, 9, 2)]
-    pairs = []
-    runs = list(posting_runs(batches, "k", "v", pairs, 3))
-    assert pairs == [(1, -1, -1 ^ 7)] and [(k, v.tolist()) for k, v in runs] == [(4, [1, 2, 3])]
+    keys = np.array([1, 1, 2, 3, 3, 4, 4, 4, 5], np.int64)
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 2]), pa.array(values[i : i + 2])], names=["key", "fp"]) for i in range(0, 9, 2)]
+    assert [v.tolist() for v in posting_runs(batches)] == [[-1, -1 ^ 7], [-6, 9], [9 ^ 15, 1, 2]]
+
+
+def test_count_filter_rejects_pairs_and_loses_no_link():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    flips = [[sum(1 << int(b) for b in rng.choice(64, n, replace=False)) for _ in base] for n in range(8)]
+    some = np.concatenate([base ^ np.array(own, np.uint64) for own in flips])
+    diff = some[:, None] ^ base[None, :]
+    plain = np.array([[sum((int(d) >> 8 * k) & 255 == 0 for k in range(8)) for d in row] for row in diff])
+    assert (equal_bytes(diff) == plain).all()
+    # pairs that share three positional bytes, as all of a list do, and not the guaranteed four
+    assert ((plain == 3) & (equal_bytes(diff) < MIN_EQUAL_BYTES)).sum() > 20
+    assert (linked(some, base) == (np.bitwise_count(diff) <= 4)).all()
 
 
 def test_forest_of_dense_list_is_small():
@@ -118,7 +132,7 @@ def test_forest_of_dense_list_is_small():
 
 
 def test_extra_columns_and_empty_table(spark):
-    docs = documents(spark, ["a b c d e", "a b c d e", "", None]).selectExpr("*", "1 as fp", "2 as key", "3 as root", "4 as n")
+    docs = documents(spark, ["a b c d e", "a b c d e", "", None]).selectExpr("*", "1 as fp", "2 as key", "3 as root", "4 as n", "5 as row_key", "6 as _key")
     kept = keep_one_per_group(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
