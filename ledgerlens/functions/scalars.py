@@ -123,14 +123,19 @@ LICENSE_PHRASES = (
 
 def identify_license(text: Column) -> Column:
     """SPDX id of a licence text, null if no phrase matches."""
-    flat = F.lower(F.regexp_replace(text, r"(?U)\s+", " "))
-    out = F.lit(None).cast("string")
-    for name, phrases in reversed(LICENSE_PHRASES):
-        hit = F.lit(True)
-        for phrase in phrases:
-            hit = hit & flat.contains(phrase)
-        out = F.when(hit, name).otherwise(out)
-    return out
+
+    def rule(flat: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for name, phrases in reversed(LICENSE_PHRASES):
+            hit = F.lit(True)
+            for phrase in phrases:
+                hit = hit & flat.contains(phrase)
+            out = F.when(hit, name).otherwise(out)
+        return out
+
+    # an array of one: its element is flattened once and not for every phrase
+    flat = F.array(F.lower(F.regexp_replace(text, r"(?U)\s+", " ")))
+    return F.element_at(F.transform(flat, rule), 1)
 
 
 def license_matches(declared: Column, identified: Column) -> Column:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,17 +83,34 @@ def nearest_config(files: DataFrame, configs: DataFrame, path="path", config_dir
     return files.join(best, path, "left")
 
 
-def fold_directories(counts: DataFrame, least: int = 3, max_depth: int = 32) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` from the session's checkpoint folder, without the plan that made it.
+
+    A local session that names no folder (a test) gets a temporary one; on a
+    cluster executors would not share that, so it is an error there.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", None) and not getattr(spark, "_ledgerlens_checkpoints", None):
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all of {context.master} shares")
+        spark._ledgerlens_checkpoints = tempfile.mkdtemp(prefix="ledgerlens-")
+        atexit.register(shutil.rmtree, spark._ledgerlens_checkpoints, ignore_errors=True)
+        context.setCheckpointDir(spark._ledgerlens_checkpoints)
+    return df.checkpoint()
+
+
+def fold_directories(counts: DataFrame, least: int = 3) -> DataFrame:
     """``path, target, files``: directories under ``least`` files fold upward.
 
     ``counts`` has a row (path, files) per directory; ``.`` is the root.  From
     the deepest level up, a directory with too few files, its folded children
-    included, joins its parent.  One aggregation per level; the depth of the
-    data bounds their number.
+    included, joins its parent.  One aggregation per level, however deep; the plan
+    is cut every few levels.
     """
     level = paths.depth(F.when(F.col("path") == ".", "").otherwise(F.col("path")))
     cur = counts.select(F.col("path").alias("source"), F.col("path").alias("target"), "files")
-    deepest = min(max_depth, counts.agg(F.max(level)).head()[0] or 0)
+    deepest = counts.agg(F.max(level)).head()[0] or 0
     for depth in range(deepest, 0, -1):
         here = F.size(F.split("target", "/")) == depth
         own = (F.col("target") != ".") & here
@@ -97,26 +118,26 @@ def fold_directories(counts: DataFrame, least: int = 3, max_depth: int = 32) ->
         parent = paths.directory(F.col("target"))
         up = F.when(own & (total < least), F.when(parent == "", ".").otherwise(parent)).otherwise(F.col("target"))
         cur = cur.withColumn("target", up)
+        if depth % 8 == 0:
+            cur = cut(cur)
     sizes = cur.groupBy("target").agg(F.sum("files").alias("target_files"))
     return cur.join(sizes, "target").select(F.col("source").alias("path"), "target", "files", "target_files")
 
 
-def reachable(edges: DataFrame, starts: DataFrame, rounds: int = 16) -> DataFrame:
-    """``node, distance`` of what is reachable within ``rounds`` steps.
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """``node, distance`` of all that is reachable, in fewest steps.
 
-    Breadth first: only nodes of the last round are joined, and nodes met
-    before drop out by anti join.  Rows of each round are checkpointed where a
-    checkpoint folder is set, so lineage stays short.
+    Breadth first until a round meets no new node: only nodes of the last round
+    are joined, and nodes met before drop out by anti join.  Rows of each round are
+    checkpointed, so lineage stays short.
     """
     seen = starts.select("node", F.lit(0).alias("distance")).distinct()
     front = [seen]
-    for distance in range(1, rounds + 1):
+    for distance in count(1):
         known = reduce(DataFrame.unionByName, front)
         step = front[-1].join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         step = step.join(known, "node", "left_anti").withColumn("distance", F.lit(distance))
-        if starts.sparkSession.conf.get("spark.checkpoint.dir", None):
-            step = step.checkpoint()
+        step = cut(step)
         if step.isEmpty():
-            break
+            return known
         front.append(step)
-    return reduce(DataFrame.unionByName, front)

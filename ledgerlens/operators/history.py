@@ -149,6 +149,7 @@ def rework(commits: DataFrame, churn="churn", added="lines_added", ts="ts", keys
         F.count("*").alias("n_commits"),
         F.count("_share").alias("n_with_churn"),
         F.datediff(F.max(ts), F.min(ts)).alias("span_days"),
+        F.count_distinct(F.to_date(ts)).alias("active_days"),
         nearest_rank(0.5, "_share").alias("median_share"),
     )
 
@@ -156,7 +157,7 @@ def rework(commits: DataFrame, churn="churn", added="lines_added", ts="ts", keys
 def rework_signal(commits: DataFrame, churn="churn", added="lines_added", ts="ts", keys=()) -> DataFrame:
     reason = (
         F.when(F.col("n_commits") < 50, "too few commits")
-        .when(F.col("span_days") < 14, "history is too short")
+        .when(F.col("active_days") < 14, "history is too short")
         .when(F.col("n_with_churn") < 50, "too few commits with line counts")
     )
     value = falling_ramp(F.col("median_share"), 0.05, 0.25)

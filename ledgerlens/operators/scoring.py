@@ -72,7 +72,7 @@ def hotspots(signal_files: DataFrame, directories: DataFrame, total_weight: floa
 
 
 def ordered_findings(findings: DataFrame) -> DataFrame:
-    """Findings with a position by severity, confidence, places and rule."""
+    """Findings with a position in their repository by severity, confidence, places and rule."""
     order = [
         F.desc(rank_in(SEVERITIES, F.col("severity"))),
         F.desc(rank_in(CONFIDENCES, F.col("confidence"))),
@@ -80,14 +80,22 @@ def ordered_findings(findings: DataFrame) -> DataFrame:
         F.asc("rule_id"),
         F.asc("finding_id"),
     ]
-    return findings.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+    return findings.withColumn("position", F.row_number().over(Window.partitionBy(*keys_of(findings)).orderBy(*order)))
+
+
+def keys_of(findings: DataFrame) -> list[str]:
+    """Findings of one repository may come without its id."""
+    return ["repo_id"] if "repo_id" in findings.columns else []
 
 
 def priorities(findings: DataFrame, most: int = 5) -> DataFrame:
-    """The first finding of each rule, none of severity info, five at most."""
+    """Of each repository the first finding of each rule, none of severity info, five at most."""
+    keys = keys_of(findings)
     ranked = ordered_findings(findings.where("severity <> 'info'"))
-    first = F.row_number().over(Window.partitionBy("rule_id").orderBy("position"))
-    return ranked.withColumn("_first", first).where("_first = 1").orderBy("position").limit(most).drop("_first")
+    first = F.row_number().over(Window.partitionBy(*keys, "rule_id").orderBy("position"))
+    ranked = ranked.withColumn("_first", first).where("_first = 1")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("position"))
+    return ranked.withColumn("_first", place).where(F.col("_first") <= most).orderBy(*keys, "position").drop("_first")
 
 
 def latest_per_key(rows: DataFrame, key: str, order: list) -> DataFrame:

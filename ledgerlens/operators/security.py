@@ -95,8 +95,9 @@ def vulnerable_packages(packages: DataFrame, advisories: DataFrame) -> DataFrame
 
 def unused(declared: DataFrame, used: DataFrame, mentioned: DataFrame | None = None, name="name") -> DataFrame:
     """Declared names that are neither used nor mentioned."""
-    left = declared.join(used.select(name).distinct(), name, "left_anti")
-    return left if mentioned is None else left.join(mentioned.select(name).distinct(), name, "left_anti")
+    keys = [name] if isinstance(name, str) else name
+    left = declared.join(used.select(*keys).distinct(), keys, "left_anti")
+    return left if mentioned is None else left.join(mentioned.select(*keys).distinct(), keys, "left_anti")
 
 
 def app_route(path: Column) -> Column:

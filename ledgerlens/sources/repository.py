@@ -12,18 +12,20 @@ from ..operators.files import index_files, walk_caps
 def read_tree(spark: SparkSession, root: str, repo_id: str, **caps) -> DataFrame:
     """The indexed files of a source tree, with the walk's caps applied.
 
-    Paths are relative to ``root``.  Files are listed by Spark; size limits
-    reach the scan as pushed filters on ``length``.
+    Paths are relative to ``root``.  The caps are applied to paths and lengths
+    alone; contents are read for the files that they leave, which the cap on the
+    number of files bounds.  Bytes that are no UTF-8 become U+FFFD.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     inner = F.regexp_extract("path", "^(?:[a-z]+:/*)?/?(.*)$", 1)
     base = root.split(":", 1)[-1].strip("/")
     relative = F.substring(inner, F.lit(len(base) + 2), F.length(inner))
-    files = raw.select(F.lit(repo_id).alias("repo_id"), relative.alias("path"), F.col("length").alias("size_bytes"), "content")
+    files = raw.select(F.lit(repo_id).alias("repo_id"), relative.alias("path"), F.col("length").alias("size_bytes"))
     files = files.where(paths.is_relevant(F.col("path")) & ~F.col("path").startswith(".git/"))
-    kept = walk_caps(files, **caps).where("status = 'read'")
-    text = F.decode(F.col("content"), "UTF-8")
-    return index_files(kept.select("repo_id", "path", text.alias("content")))
+    kept = walk_caps(files, **caps).where("status = 'read'").select("repo_id", "path")
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    contents = raw.select(relative.alias("path"), text.alias("content"))
+    return index_files(contents.join(F.broadcast(kept), "path").select("repo_id", "path", "content"))
 
 
 def parse_git_log(logs: DataFrame, raw: str = "raw", keys=("repo_id",)) -> DataFrame:
