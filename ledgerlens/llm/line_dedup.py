@@ -616,9 +616,13 @@ def groups(docs: DataFrame, marks: DataFrame, distinct: DataFrame) -> DataFrame:
     own = near.select(F.shiftright("pa", PLACE_BITS).alias("list"), low, high, ends.alias("ends"))
     lists = own.join(failed, ["a", "b"]).groupBy("list").agg(F.lit(1).alias("again"))
     members = own.join(lists, "list").select(F.explode("ends").alias("end")).select("end.id", "end.p").distinct()
+    members = members.join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
+    members = members.withColumn("root", F.coalesce("root", "id")).withColumn("list", F.shiftright("p", PLACE_BITS))
+    # of two lines the only pair is verified, and lines of one component need nothing more
+    apart = members.groupBy("list").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
+    members = members.join(apart.where("n > 2 and least <> most").select("list"), "list").drop("list")
     lines = texts.join(distinct.select("id", "sim", "chars", "postings"), "id")
-    lines = lines.join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
-    members = members.join(lines.withColumn("root", F.coalesce("root", "id")), "id")
+    members = members.join(lines, "id")
     again = links_in_lists(members).unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
     out = components(again)
     discard(near, pairs, texts, checked, roots)
