@@ -8,6 +8,7 @@ import sys
 import tempfile
 import types
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of characters other than ASCII white space.  In
 #: Python ``bytes.split()`` cuts at exactly these six bytes.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
+#: Spark's setting that deletes the shuffle files of a query when it ends.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -45,16 +48,33 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage and survives lost executors, and later branches
-    reuse the rows instead of computing them again.
+    reuse the rows instead of computing them again.  Nobody reads the shuffles
+    that made the rows any more, so they leave the executors' disks at once
+    instead of when the driver happens to collect garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ledgerlens/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_freed(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Queries in here delete their shuffle files when they end; the setting is put back after."""
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete what ``written`` wrote for ``frames``, whose readers are all done."""
     for df in frames:
