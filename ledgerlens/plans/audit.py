@@ -128,9 +128,9 @@ def manifest_entries(files: DataFrame) -> DataFrame:
     fields = ("main", "module", "browser", "types", "bin", "exports")
     read = F.from_json("content", ", ".join(f"{f} string" for f in fields))
     manifests = files.where(paths.basename(F.col("path")) == "package.json").select("repo_id", "path", read.alias("m"))
-    # a string as it is, of an object all its strings
-    strings = [F.when(F.col("m")[f].rlike(r"^\s*[{\[]"), F.regexp_extract_all(F.col("m")[f], F.lit('"([^"]*)"'), F.lit(1))).otherwise(F.array(F.col("m")[f])) for f in fields]
-    named = manifests.select("repo_id", paths.directory(F.col("path")).alias("dir"), F.explode(F.array_compact(F.flatten(F.array_compact(F.array(*strings))))).alias("said"))
+    # a string as it is, of an object all its strings but the keys
+    strings = [F.when(F.col("m")[f].rlike(r"^\s*[{\[]"), F.regexp_extract_all(F.col("m")[f], F.lit(r'"[^"]*"\s*:|"([^"]*)"'), F.lit(1))).otherwise(F.array(F.col("m")[f])) for f in fields]
+    named = manifests.select("repo_id", paths.directory(F.col("path")).alias("dir"), F.explode(F.array_compact(F.flatten(F.array_compact(F.array(*strings))))).alias("said")).where("said <> ''")
     inner = F.regexp_replace("said", r"^\./", "")
     return named.select("repo_id", F.when(F.col("dir") == "", inner).otherwise(F.concat_ws("/", "dir", inner)).alias("path")).distinct()
 
