@@ -238,8 +238,22 @@ def poetry_packages(spark, sf_dir):
     return lockfiles.poetry_lock(part_files(spark, sf_dir, "poetry.lock", stanza, "[[package]]\n")).select("repo_id", "name", "version", "dev_only")
 
 
+def pnpm_reachability(spark, sf_dir):
+    """Packages behind a run-time and a development dependency; every second lockfile has one behind both."""
+    both = F.when(every(F.col("p_partkey"), 2), "      e: 1.0.0\n").otherwise("")
+    head = (
+        "lockfileVersion: '9.0'\n\nimporters:\n\n  .:\n    dependencies:\n      '@s/a':\n        specifier: ^1\n        version: 1.0.0(p@1.0.0)\n"
+        "    devDependencies:\n      b:\n        specifier: ^2\n        version: 2.0.0\n\npackages:\n\n"
+        + "".join(f"  {name}:\n    resolution: {{integrity: x}}\n\n" for name in ("'@s/a@1.0.0'", "b@2.0.0", "c@1.0.0", "d@1.0.0", "e@1.0.0"))
+        + "snapshots:\n\n  d@1.0.0:\n    dependencies:\n      e: 1.0.0\n\n  b@2.0.0:\n    dependencies:\n      c: 1.0.0\n      d: 1.0.0\n\n"
+        "  '@s/a@1.0.0(p@1.0.0)':\n    dependencies:\n      c: 1.0.0\n"
+    )
+    files = part_files(spark, sf_dir, "pnpm-lock.yaml", both, head)
+    return lockfiles.pnpm_lock(files, lockfiles.declared_packages(files)).select("repo_id", "name", "version", "direct", "dev_only")
+
+
 QUERIES = {f.__name__: f for f in (
-    code_signal_values, health_scores, repository_metrics, comment_overlaps, test_case_assertions, convention_votes, security_signal_values,
+    pnpm_reachability, code_signal_values, health_scores, repository_metrics, comment_overlaps, test_case_assertions, convention_votes, security_signal_values,
     security_scores, audit_findings, audit_priorities, route_facts, dangerous_calls, implicit_dependencies, orphan_ratio, entry_points,
     rework_guard, util_clashes, path_flags, yarn_packages, poetry_packages,
 )}
@@ -335,6 +349,9 @@ ORACLES = {
         (6, 'pkg/foo_test.go', true, true, false, false, false, true, false), (7, 'db/migrations/01.ts', true, false, true, false, false, true, false),
         (8, 'docs/readme.txt', false, false, false, false, false, false, false), (9, 'requirements-dev.txt', false, false, false, false, false, true, false)
         ) AS t(m, path, code, test, generated, lockfile, license, relevant, ignored) ON p_partkey % 10 = m GROUP BY ALL""",
+    "pnpm_reachability": """SELECT CAST(p_partkey AS VARCHAR) AS repo_id, name, version, name IN ('@s/a', 'b') AS direct,
+        name IN ('b', 'd') OR (name = 'e' AND p_partkey % 2 <> 0) AS dev_only
+        FROM part, (VALUES ('@s/a', '1.0.0'), ('b', '2.0.0'), ('c', '1.0.0'), ('d', '1.0.0'), ('e', '1.0.0')) AS t(name, version)""",
     "yarn_packages": """SELECT CAST(p_partkey AS VARCHAR) AS repo_id, '@s/p' || p_partkey AS name, '1.' || p_size || '.0' AS version FROM part
         UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'q', '2.0' FROM part""",
     "poetry_packages": "SELECT CAST(p_partkey AS VARCHAR) AS repo_id, 'p' || p_partkey AS name, '1.' || p_size AS version, p_size > 25 AS dev_only FROM part",

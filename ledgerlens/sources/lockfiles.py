@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions.paths import REQUIREMENTS, basename
 from ..functions.scalars import npm_spec
+from ..operators.graph import cut, reachable
 
 KEYS = ("repo_id", "path")
 COLUMNS = ("repo_id", "ecosystem", "name", "version", "source", "direct", "dev_only")
@@ -76,12 +77,58 @@ def npm_lock(files: DataFrame, declared: DataFrame) -> DataFrame:
     return package(rows.join(per, ["repo_id", "name"], "left"), "npm", F.coalesce("_known", F.lit(False)), F.col("_dev"))
 
 
-def pnpm_lock(files: DataFrame, declared: DataFrame) -> DataFrame:
-    rows = lines_of(files.where(basename(F.col("path")) == "pnpm-lock.yaml"))
+def pnpm_lines(files: DataFrame) -> DataFrame:
+    """Lines of pnpm lockfiles with ``section`` and what they stand under at two, four and six blanks."""
+    rows = lines_of(files.where(basename(F.col("path")) == "pnpm-lock.yaml")).where("trim(line) <> ''")
     rows = rows.withColumn("section", carried(extract(r"^([a-zA-Z][^:]*):")))
-    spec = npm_spec(extract(r"^ {2}(?! )'?([^']+?)'?:\s*$"))
-    rows = rows.where("section = 'packages'").select(*KEYS, spec.alias("s")).where("s.name <> ''").select(*KEYS, "s.*")
-    return with_declared(rows, declared)
+    entry = r"^( *)'?([^'\s]+?)'?:(?:\s+(.*?))?\s*$"
+    rows = rows.where(F.col("line").rlike(entry)).withColumn("indent", F.length(F.regexp_extract("line", entry, 1)))
+    rows = rows.withColumn("key", F.regexp_extract("line", entry, 2)).withColumn("said", F.regexp_extract("line", entry, 3))
+    for name, indent in (("head", 2), ("group", 4), ("name", 6)):
+        rows = rows.withColumn(name, carried(F.when(F.col("indent") == indent, F.col("key"))))
+    return rows
+
+
+def pnpm_node(name, version):
+    """Package and version as a node of its lockfile; peers in brackets do not set nodes apart."""
+    plain = F.regexp_replace(version, r"\(.*$|'", "")
+    spec = F.when(plain.rlike(r"^/?.+@\d"), F.regexp_replace(plain, "^/", "")).otherwise(F.concat(name, F.lit("@"), plain))
+    return F.struct(*KEYS, spec.alias("spec"))
+
+
+def pnpm_reached(lines: DataFrame) -> DataFrame:
+    """``repo_id, path, spec, run, root``: what importers reach; is it at run time, is it their own?
+
+    A lockfile lists what its importers ask for under ``importers``, or, where it
+    has one alone, under the groups themselves.
+    """
+    runtime = ("dependencies", "optionalDependencies")
+    inner = F.col("section").isin("packages", "snapshots") & (F.col("indent") == 6) & F.col("group").isin(*runtime)
+    edges = lines.where(inner).select(pnpm_node(F.lit(""), F.col("head")).alias("src"), pnpm_node(F.col("key"), F.col("said")).alias("dst")).distinct()
+    of_importer = (F.col("section") == "importers") & (F.col("indent") == 8) & (F.col("key") == "version")
+    alone = F.col("section").isin(*runtime, "devDependencies")
+    kind = F.when(of_importer, F.col("group")).otherwise(F.col("section"))
+    name = F.when(of_importer, F.col("name")).otherwise(F.col("head"))
+    asked = of_importer | (alone & (((F.col("indent") == 4) & (F.col("key") == "version")) | ((F.col("indent") == 2) & (F.col("said") != ""))))
+    roots = cut(lines.where(asked & (F.col("said") != "")).select(pnpm_node(name, F.col("said")).alias("node"), kind.isin(*runtime).alias("run")).distinct())
+    parts = [reachable(edges, roots.where(is_run)).select("node", F.lit(run).alias("run"), F.col("distance") == 0) for is_run, run in (("run", True), ("NOT run", False))]
+    both = parts[0].unionAll(parts[1]).toDF("node", "run", "root")
+    return both.groupBy("node").agg(F.bool_or("run").alias("run"), F.bool_or("root").alias("root")).select("node.*", "run", "root")
+
+
+def pnpm_lock(files: DataFrame, declared: DataFrame) -> DataFrame:
+    """Packages of pnpm lockfiles, for development alone where no run-time root reaches them.
+
+    What no importer of the lockfile reaches keeps the marks of the manifests.
+    """
+    lines = pnpm_lines(files)
+    found = lines.where("section = 'packages' AND indent = 2").select(*KEYS, npm_spec(F.col("key")).alias("s")).where("s.name <> ''").select(*KEYS, "s.*")
+    found = found.withColumn("spec", F.concat("name", F.lit("@"), "version")).join(pnpm_reached(lines), [*KEYS, "spec"], "left")
+    per = declared.groupBy("repo_id", "name").agg(F.bool_or("is_runtime").alias("_runtime"))
+    both = found.join(per, ["repo_id", "name"], "left")
+    known = F.col("_runtime").isNotNull()
+    dev_only = F.coalesce(~F.col("run"), known & ~F.coalesce("_runtime", F.lit(False)))
+    return package(both, "npm", known | F.coalesce("root", F.lit(False)), dev_only)
 
 
 def yarn_lock(files: DataFrame, declared: DataFrame) -> DataFrame:
