@@ -63,6 +63,8 @@ BITMAP_BITS = 24
 BYTES_AT_ONCE, LINE_BITS = 1 << 17, 24
 #: Lines of fewer words are near others from so many characters on; their pairs of characters stand for words.
 MIN_CHARS = 20
+#: Lines of up to so many characters are compared many at once, about so many characters together; fewer pairs one by one.
+LONG, CHARS_AT_ONCE, FEW_PAIRS = 2048, 1 << 18, 8
 
 
 def _normal_byte(b: int) -> int:
@@ -124,15 +126,84 @@ def distance(a: str, b: str, most: int | None = None) -> int:
     return score
 
 
-def similar(a: str, b: str) -> bool:
-    longer = max(len(a), len(b))
-    most = int((1 - SIMILAR) * longer + 1e-9)
-    if longer - min(len(a), len(b)) > most:
+def budget(a: str, b: str) -> int:
+    """Edits that similar lines may differ by."""
+    return int((1 - SIMILAR) * max(len(a), len(b)) + 1e-9)
+
+
+def seen_at_once(a: str, b: str, most: int) -> bool | None:
+    """Are the lines similar, where lengths or a comparison word for word tell?"""
+    if abs(len(a) - len(b)) > most:
         return False
     x, y = a.split(" "), b.split(" ")
     if len(x) == len(y) and sum(max(len(v), len(w)) for v, w in zip(x, y) if v != w) <= most:
-        return True  # word for word: a distance that can be reached
-    return distance(a, b, most) <= most
+        return True  # a distance that can be reached
+    return None
+
+
+def similar(a: str, b: str) -> bool:
+    most = budget(a, b)
+    known = seen_at_once(a, b, most)
+    return distance(a, b, most) <= most if known is None else known
+
+
+def similar_pairs(a: list[str], b: list[str]) -> np.ndarray:
+    """``similar`` of each pair; pairs of like length share the steps of one table."""
+    ok, left = np.zeros(len(a), bool), []
+    for k, (x, y) in enumerate(zip(a, b)):
+        most = budget(x, y)
+        known = seen_at_once(x, y, most)
+        if known is None and max(len(x), len(y)) <= LONG:
+            left.append((max(len(x), len(y)), k, most))
+        else:
+            ok[k] = distance(x, y, most) <= most if known is None else known
+    left.sort()
+    at = 0
+    while at < len(left):
+        end = at + 1
+        while end < len(left) and left[end][0] <= 1.3 * left[at][0] and (end - at) * left[end][0] < CHARS_AT_ONCE:
+            end += 1
+        _, ks, most = map(np.array, zip(*left[at:end]))
+        if end - at < FEW_PAIRS:
+            ok[ks] = [distance(a[k], b[k], m) <= m for k, m in zip(ks.tolist(), most.tolist())]
+        else:
+            ok[ks] = within(*zip(*(sorted((a[k], b[k]), key=len) for k in ks.tolist())), most)
+        at = end
+    return ok
+
+
+def within(shorter: list[str], longer: list[str], most: np.ndarray) -> np.ndarray:
+    """Is each pair's Levenshtein distance at most ``most``?
+
+    A row of the table is one step for all pairs.  It holds the diagonals that
+    ``most`` edits can reach, from the pair's lowest one on, as distances less
+    the diagonal's number, so an insertion is a running minimum.  Pairs that
+    have ended or cannot end within ``most`` leave now and then.
+    """
+    n, m = (np.array(list(map(len, texts))) for texts in (shorter, longer))
+    begin, width, rows = (m - n - most) // 2 + (m - n - most) % 2, int(most.max()) + 1, int(n.max())
+    goal = m - n - begin
+    x, y = np.full((len(n), rows), 0xFFFFFFFE, np.uint32), np.full((len(n), rows + width + 1), 0xFFFFFFFF, np.uint32)
+    for k, (s, t, at) in enumerate(zip(shorter, longer, (1 - begin).tolist())):
+        x[k, : len(s)] = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+        y[k, at : at + len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+    number = np.arange(width, dtype=np.int16)
+    column = begin[:, None] + number
+    row = (np.where(column >= 0, column, 1 << 14) - number).astype(np.int16)
+    ok, own = np.zeros(len(n), bool), np.arange(len(n))
+    for i in range(1, rows + 1):
+        new = row + (y[:, i : i + width] != x[:, i - 1 : i])
+        np.minimum(new[:, :-1], row[:, 1:] + np.int16(2), out=new[:, :-1])
+        row = np.minimum.accumulate(new, axis=1)
+        ended = np.flatnonzero(n == i)
+        ok[own[ended]] = row[ended, goal[ended]] + goal[ended] <= most[ended]
+        if i % 16 == 0:
+            stay = (n > i) & ((row + number + np.abs(goal[:, None] - number)).min(axis=1) <= most)
+            if not stay.any():
+                break
+            if stay.mean() < 0.75:
+                n, most, goal, x, y, row, own = (c[stay] for c in (n, most, goal, x, y, row, own))
+    return ok
 
 
 # --- marks of lines ----------------------------------------------------------
@@ -519,8 +590,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            said = zip(batch.column("said_a").to_pylist(), batch.column("said_b").to_pylist())
-            ok = pa.array([similar(x, y) for x, y in said], pa.bool_())
+            ok = pa.array(similar_pairs(batch.column("said_a").to_pylist(), batch.column("said_b").to_pylist()))
             yield batch.drop_columns(["said_a", "said_b"]).append_column("ok", ok)
 
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("said").alias("said_a")), "a")
@@ -569,11 +639,16 @@ def links_in_lists(members: DataFrame) -> DataFrame:
             i, j = some[a], others[b]
             mine = here(i, j)
             i, j, bits = i[mine], j[mine], apart[a[mine], b[mine]]
-            for k in np.argsort(bits, kind="stable").tolist():
-                x, y = top(joined, int(root[i[k]])), top(joined, int(root[j[k]]))
-                if x != y and similar(said[i[k]], said[j[k]]):
-                    joined[x] = y
-                    yield id[i[k]], id[j[k]]
+            order = np.argsort(bits, kind="stable")
+            for start in range(0, len(order), 512):  # what these connect is not compared again after them
+                pairs = zip(i[order[start : start + 512]].tolist(), j[order[start : start + 512]].tolist())
+                pairs = [(k, o) for k, o in pairs if top(joined, int(root[k])) != top(joined, int(root[o]))]
+                near = similar_pairs([said[k] for k, _ in pairs], [said[o] for _, o in pairs])
+                for (k, o), ok in zip(pairs, near.tolist()):
+                    x, y = top(joined, int(root[k])), top(joined, int(root[o]))
+                    if ok and x != y:
+                        joined[x] = y
+                        yield id[k], id[o]
 
     def run(batches):
         held, at, out = [], None, []

@@ -11,6 +11,7 @@ from ledgerlens.llm.line_dedup import (
     features,
     normal_line,
     similar,
+    similar_pairs,
 )
 
 from .helpers import documents
@@ -108,6 +109,24 @@ def test_distance_with_a_limit():
         assert similar(a, b) == (true <= 0.2 * max(len(a), len(b)) + 1e-9)
 
 
+def test_many_pairs_at_once():
+    """Pairs of all lengths and distances around the budget, as one by one."""
+    rng = random.Random(17)
+    pairs = [("", ""), ("a", "b"), ("a", "a"), ("x" * 5000, "x" * 4990 + "y" * 10)]
+    for _ in range(3000):
+        a = "".join(rng.choice("abé 🙂") for _ in range(rng.randrange(1, rng.choice([12, 60, 300]))))
+        share, b = rng.choice([0.05, 0.15, 0.2, 0.25, 0.4]), []
+        for c in a:
+            b.append(rng.choice(["", "b", c + "a"]) if rng.random() < share else c)
+        pair = (a, "".join(b) or "z")
+        pairs.append(pair if rng.random() < 0.5 else pair[::-1])
+    found = similar_pairs(*map(list, zip(*pairs))).tolist()
+    for (a, b), ok in zip(pairs, found):
+        want = len(a) > 1000 or plain_distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9
+        assert ok == want == similar(a, b), (a, b)
+    assert 500 < sum(found) < 2500
+
+
 def test_features_of_lines():
     """Characters, postings and SimHash do not depend on the lines beside them."""
     rng = random.Random(14)
