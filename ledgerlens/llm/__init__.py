@@ -19,6 +19,7 @@ def registry():
     from . import (
         chat_format,
         decontaminate,
+        filter_audit,
         line_dedup,
         lm_scoring,
         packing,
@@ -29,7 +30,10 @@ def registry():
         simhash_dedup,
     )
 
-    modules = (lm_scoring, line_dedup, decontaminate, secret_scan, chat_format, pii, packing, pu_classifier, quality_rules, simhash_dedup)
+    modules = (
+        lm_scoring, line_dedup, decontaminate, secret_scan, chat_format, pii, packing, pu_classifier, quality_rules, simhash_dedup,
+        filter_audit,
+    )
     queries, oracles = {}, {}
     for module in modules:
         queries.update(module.QUERIES)
