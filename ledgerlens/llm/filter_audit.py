@@ -175,7 +175,7 @@ orders AS (
 steps AS (SELECT o, unnest([1, 2, 3, 4, 5]) AS step FROM orders),
 judged AS (
   SELECT part, good, toxic, n, o, step,
-    list_filter(['A', 'B', 'C', 'D', 'E'], x -> CASE x WHEN 'A' THEN f."A" WHEN 'B' THEN f."B" WHEN 'C' THEN f."C" WHEN 'D' THEN f."D" ELSE f."E" END) AS failed,
+    list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: CASE x WHEN 'A' THEN f."A" WHEN 'B' THEN f."B" WHEN 'C' THEN f."C" WHEN 'D' THEN f."D" ELSE f."E" END) AS failed,
     o[step] AS own, o[1:step - 1] AS before
   FROM counts, steps),
 marked AS (SELECT *, list_contains(failed, own) AS hit, len(list_intersect(failed, before)) > 0 AS gone FROM judged)
