@@ -18,6 +18,7 @@ def registry():
     """``(queries, oracles)`` of every operator module, imported on first use."""
     from . import (
         chat_format,
+        collocations,
         decontaminate,
         filter_audit,
         line_dedup,
@@ -32,7 +33,7 @@ def registry():
 
     modules = (
         lm_scoring, line_dedup, decontaminate, secret_scan, chat_format, pii, packing, pu_classifier, quality_rules, simhash_dedup,
-        filter_audit,
+        collocations, filter_audit,
     )
     queries, oracles = {}, {}
     for module in modules:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import discard, table, written
 
 FILTERS = "ABCDE"
 ORDERS = ["".join(p) for p in permutations(FILTERS)]
@@ -118,7 +118,10 @@ def failure_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     said = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic").groupBy("doc_id").agg(one("quality"), one("toxic"))
     rows = rows.join(said, "doc_id", "left")
     of = lambda c, name: F.sum(F.when(F.col(c), F.col("n")).otherwise(0)).alias(name)
-    return rows.groupBy("part", "mask").agg(F.sum("n").alias("n"), of("quality", "good"), of("toxic", "toxic"))
+    counts = rows.groupBy("part", "mask").agg(F.sum("n").alias("n"), of("quality", "good"), of("toxic", "toxic"))
+    counts = written(counts, "filter-counts")
+    discard(kept)
+    return counts
 
 
 def interactions(counts: DataFrame) -> DataFrame:
