@@ -3,18 +3,18 @@
 Phrases grow to the right as in PrefixSpan, with contiguous patterns:
 
 1. Words are counted per language, in one distributed count.
-2. Pairs of frequent words are counted by 64-bit hash.  A phrase that occurs
-   often enough has frequent words and frequent pairs only, so two bitmaps of
-   fixed size cut each occurrence's window where no phrase can go on.  A
-   bitmap may say yes to a rare word or pair, which costs time and no
-   correctness: every count below is exact.
-3. The projected database has one row per distinct window of a task: a
-   language, up to five words from an occurrence on, and how often.
+2. Pairs of frequent words, then triples of frequent pairs are counted by hash.
+   A phrase that occurs often enough holds frequent words, pairs and triples
+   only, so three bitmaps of fixed size cut each occurrence's window where no
+   phrase can go on.  A bitmap may say yes to a rare one, which costs time and
+   no correctness: every count below is exact.
+3. The projected database has one row per language, prefix and task: what
+   follows the prefix in each distinct window, and how often.
 4. A prefix is one unit of work: its windows go to one task, which follows their
    occurrence pointers per next word, depth first.  A prefix with more than
-   ``SPLIT`` windows is counted by a distributed sum instead and its one word
-   longer prefixes become the units, so no word, pair or passage weighs
-   on one task.
+   ``SPLIT`` windows is projected anew on its one word longer prefixes, which
+   are counted by a distributed sum and become the units, so no word, pair or
+   passage weighs on one task.
 
 Scores, cuts and the containment rule are joins on the few frequent phrases; a
 phrase lies in a longer one of the same count if and only if it lies in one that is
@@ -31,6 +31,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,17 +42,18 @@ from pyspark.sql import functions as F
 from .shared import LOWER, UPPER, discard, spread, table, written
 
 LEAST, MOST_WORDS, TOP = 100, 5, 2000
-SPLIT = 1 << 12
-#: Bits of the two bitmaps and cells of hot prefixes; distinct words and tokens that a task keeps at a time.
-WORD_BITS, PAIR_BITS, HOT_CELLS = 24, 25, 1 << 18
-MOST_IDS, CHUNK = 1 << 20, 1 << 20
+SPLIT = 1 << 14
+#: Bits of the bitmaps' hashes, and cells of hot prefixes.
+WORD_BITS, GRAM_BITS, HOT_CELLS = 24, 27, 1 << 18
+#: Distinct words, tokens and distinct sequences that a task keeps at a time.
+MOST_IDS, CHUNK, MOST_GRAMS = 1 << 20, 1 << 20, 1 << 22
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 #: Upper case to lower case, every break to a full stop.
 FOLD = bytes.maketrans(UPPER.encode() + BREAKS, LOWER.encode() + b"." * len(BREAKS))
 PAIR_MIX = np.uint64(0x9E3779B97F4A7C15)
 WORDS = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())])
-PAIRS = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
-WINDOWS = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.binary())), ("n", pa.int64())])
+PROJECTED = pa.schema([("lang", pa.string()), ("prefix", pa.binary()), ("rest", pa.list_(pa.binary())), ("n", pa.list_(pa.int64()))])
+PROJECTED_SQL = "lang string, prefix binary, rest array<binary>, n array<long>"
 PHRASES = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("f", pa.int64())])
 
 
@@ -64,9 +66,10 @@ def word_hash(lang: str, word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, xxhash.xxh64_intdigest(lang))
 
 
-def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    mixed = (first * PAIR_MIX) ^ (second + (first >> np.uint64(29)))
-    return (mixed ^ (mixed >> np.uint64(32))) * PAIR_MIX
+def mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hashes of sequences from those of their beginnings and last words."""
+    out = (first * PAIR_MIX) ^ (second + (first >> np.uint64(29)))
+    return (out ^ (out >> np.uint64(32))) * PAIR_MIX
 
 
 def bit_set(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -152,130 +155,249 @@ def count_words(docs: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def bitmap_of(cells: DataFrame, bits: int) -> np.ndarray:
-    """Bits of ``cell`` packed into 2**bits / 64 longs, on the driver: a fixed size."""
+def word_bitmap(words: DataFrame) -> np.ndarray:
+    """Bits of the hashes of ``words``, of a fixed size; packed by tasks and brought together on the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = [word_hash(a.as_py(), b.as_py()) >> (64 - WORD_BITS) for a, b in zip(batch.column("lang"), batch.column("word"))]
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64())], ["cell"])
+
+    cells = words.select("lang", "word").mapInArrow(run, "cell long")
     one = F.expr("shiftleft(1L, CAST(cell & 63 AS INT))")
     packed = cells.groupBy(F.shiftright("cell", 6).alias("at")).agg(F.bit_or(one).alias("word")).toArrow()
-    out = np.zeros(max(1, 1 << (bits - 6)), np.uint64)
+    out = np.zeros(1 << (WORD_BITS - 6), np.uint64)
     out[packed.column("at").to_numpy()] = packed.column("word").to_numpy().view(np.uint64)
     return out
 
 
-def word_cells(words: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their counts."""
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return key[at], np.add.reduceat(n, at, dtype=n.dtype) if len(at) else n
+
+
+def gram_bitmap(docs: DataFrame, words, hashes_of, least: int) -> np.ndarray:
+    """Bits of the cells of word sequences that occur ``least`` times or more.
+
+    ``hashes_of(numbers, hashes)`` gives the sequences' hashes in a chunk.  A
+    task counts cells of ``GRAM_BITS`` bits and sends one row for each block of
+    65,536 cells; blocks are summed one at a time, so that what is shuffled and
+    what a task holds are bounded by the number of cells however long the input.
+    """
+    blocks = 1 << (GRAM_BITS - 16)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
+        waiting = 0
+
+        def rows():
+            cells, n = summed(*held)
+            ends = np.searchsorted(cells, np.arange(blocks + 1, dtype=np.uint64) << np.uint64(16))
+            full = np.flatnonzero(np.diff(ends))
+            low = (cells & np.uint32(0xFFFF)).astype(np.uint16)
+            for some in np.array_split(full, max(1, len(cells) >> 19)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some, pa.int32()), pa.array([low[ends[b] : ends[b + 1]].tobytes() for b in some], pa.binary()), pa.array([n[ends[b] : ends[b + 1]].tobytes() for b in some], pa.binary())],
+                    ["block", "cells", "n"],
+                )
+
+        for numbers, _, _, hashes in numbered(batches, words.value):
+            cells = (hashes_of(numbers, hashes) >> np.uint64(64 - GRAM_BITS)).astype(np.uint32)
+            cells, n = np.unique(cells, return_counts=True)
+            held[0].append(cells)
+            held[1].append(n.astype(np.uint32))
+            waiting += len(cells)
+            if waiting > MOST_GRAMS:
+                cells, n = summed(*held)
+                held[0][:], held[1][:], waiting = [cells], [n], len(cells)
+                if waiting > MOST_GRAMS // 2:
+                    yield from rows()
+                    held[0][:], held[1][:], waiting = [cells[:0]], [n[:0]], 0
+        yield from rows()
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, sums = None, np.zeros(1 << 16, np.int64)
+
+        def packed():
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(sums >= least, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
+
         for batch in batches:
-            cells = [word_hash(a.as_py(), b.as_py()) >> (64 - WORD_BITS) for a, b in zip(batch.column("lang"), batch.column("word"))]
-            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64())], ["cell"])
+            for b, cells, n in zip(*(batch.column(c) for c in ("block", "cells", "n"))):
+                if b.as_py() != block:
+                    if block is not None:
+                        yield packed()
+                    block = b.as_py()
+                    sums[:] = 0
+                sums[np.frombuffer(cells.as_py(), np.uint16)] += np.frombuffer(n.as_py(), np.uint32)
+        if block is not None:
+            yield packed()
 
-    return words.select("lang", "word").mapInArrow(run, "cell long")
+    dealt = texts_of(docs).mapInArrow(count, "block int, cells binary, n binary").repartition("block").sortWithinPartitions("block")
+    found = dealt.mapInArrow(total, "block int, bits binary").toArrow()  # at most 2**GRAM_BITS bits
+    out = np.zeros((blocks, 1 << 10), np.uint64)
+    for b, bits in zip(found.column("block").to_pylist(), found.column("bits").to_pylist()):
+        out[b] = np.frombuffer(bits, np.uint64)
+    return out.ravel()
 
 
-def count_pairs(docs: DataFrame, bitmap) -> DataFrame:
-    """``pair, n``: occurrences of pairs of frequent words by hash."""
+def pair_places(numbers: np.ndarray) -> np.ndarray:
+    """Where two frequent words stand side by side."""
+    return np.flatnonzero((numbers[:-1] > 0) & (numbers[1:] > 0))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for numbers, _, _, hashes in numbered(batches, bitmap.value):
-            first, second = numbers[:-1], numbers[1:]
-            both = (first > 0) & (second > 0)
-            keys, n = np.unique(first[both] << 32 | second[both], return_counts=True)
-            found = pair_hashes(hashes[keys >> 32], hashes[keys & 0xFFFFFFFF]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n, pa.int64())], schema=PAIRS)
 
-    return texts_of(docs).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+def triple_places(numbers: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(follows[:-1] & follows[1:])
 
 
-def distinct_windows(numbers: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct windows, rows of word numbers with zeros at their ends, and their counts.
+def pairs_of(numbers: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return mixed(hashes[numbers[at]], hashes[numbers[at + 1]])
 
-    ``follows``: may the word at a place be followed by the next one in a phrase?
-    """
-    starts = np.flatnonzero(follows)
-    rows = np.zeros((len(starts), MOST_WORDS), np.int64)
-    rows[:, 0] = numbers[starts]
+
+def triples_of(numbers: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return mixed(pairs_of(numbers, hashes, at), hashes[numbers[at + 2]])
+
+
+def frequent_at(numbers: np.ndarray, hashes: np.ndarray, at: np.ndarray, grams, bitmap: np.ndarray) -> np.ndarray:
+    """Marks of all places whose sequence, one of those ``at``, may be frequent."""
+    out = np.zeros(len(numbers), bool)
+    out[at] = bit_set(bitmap, grams(numbers, hashes, at), GRAM_BITS)
+    return out
+
+
+def distinct_windows(numbers: np.ndarray, pairs: np.ndarray, triples: np.ndarray) -> np.ndarray:
+    """Windows of two words and more, as rows of word numbers with zeros at their ends."""
+    starts = np.flatnonzero(pairs)
+    rows = np.zeros((len(starts), MOST_WORDS), np.int32)
+    rows[:, 0], rows[:, 1] = numbers[starts], numbers[starts + 1]
     goes_on = np.ones(len(starts), bool)
-    for k in range(1, MOST_WORDS):
-        goes_on &= follows[starts + k - 1]
+    for k in range(2, MOST_WORDS):
+        goes_on &= triples[starts + k - 2]
         rows[:, k] = np.where(goes_on, numbers[starts + k], 0)
-    order = np.lexsort(rows.T[::-1])
-    rows = rows[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
-    at = np.flatnonzero(new)
-    return rows[at], np.diff(np.append(at, len(rows)))
+    return rows
+
 
+def counted(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and the sums of their counts."""
+    order = np.lexsort(rows.T[::-1])
+    rows, n = rows[order], n[order]
+    at = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]).any(axis=1))) if len(rows) else order
+    return rows[at], np.add.reduceat(n, at) if len(at) else n
 
-def project(docs: DataFrame, words, pairs) -> DataFrame:
-    """``lang, words, n``: windows of two words and more, cut where no phrase goes on."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for numbers, names, langs, hashes in numbered(batches, words.value):
-            first, second = numbers[:-1], numbers[1:]
-            follows = np.zeros(len(numbers), bool)
-            both = np.flatnonzero((first > 0) & (second > 0))
-            follows[both] = bit_set(pairs.value, pair_hashes(hashes[first[both]], hashes[second[both]]), PAIR_BITS)
-            rows, n = distinct_windows(numbers, follows)
-            for at in range(0, len(rows), 1 << 16):
-                part = rows[at : at + (1 << 16)]
-                lists = [[names[i] for i in row if i] for row in part.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in part[:, 0]], pa.string()), pa.array(lists, WINDOWS.field(1).type), pa.array(n[at : at + (1 << 16)], pa.int64())], schema=WINDOWS)
+def projected(names: list, langs: list, rows: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sorted windows as rows of the projected database, one for each first word."""
+    begins = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0])) if len(rows) else np.zeros(0, np.int64)
+    ends = np.append(begins[1:], len(rows))
+    for some in np.array_split(np.arange(len(begins)), len(rows) // (1 << 16) + 1):
+        first = [int(rows[begins[i], 0]) for i in some]
+        rest = [[b" ".join([names[w] for w in row if w]) for row in rows[begins[i] : ends[i], 1:].tolist()] for i in some]
+        columns = [langs[w] for w in first], [names[w] for w in first], rest, [n[begins[i] : ends[i]].tolist() for i in some]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PROJECTED)], schema=PROJECTED)
 
-    return texts_of(docs).mapInArrow(run, "lang string, words array<binary>, n long")
 
+def project(docs: DataFrame, words, pairs, triples) -> DataFrame:
+    """``lang, prefix, rest, n``: windows of two words and more, cut where no phrase goes on."""
 
-def grow(prefix: tuple, windows: list, counts: list, pointers: list, least: int, out: list) -> None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros((0, MOST_WORDS), np.int32)], [np.zeros(0, np.int64)]
+
+        def rows():
+            found, n = counted(np.concatenate(held[0]), np.concatenate(held[1]))
+            held[0][:], held[1][:] = [found[:0]], [n[:0]]
+            yield from projected(names, langs, found, n)
+
+        names: list = []
+        langs: list = []
+        for numbers, now, langs_now, hashes in numbered(batches, words.value):
+            if now is not names:  # numbers start anew
+                yield from rows()
+                names, langs = now, langs_now
+            follows = frequent_at(numbers, hashes, pair_places(numbers), pairs_of, pairs.value)
+            ahead = frequent_at(numbers, hashes, triple_places(numbers, follows), triples_of, triples.value)
+            found = distinct_windows(numbers, follows, ahead)
+            found, n = counted(found, np.ones(len(found), np.int64))
+            held[0].append(found)
+            held[1].append(n)
+            if sum(map(len, held[0])) > MOST_GRAMS // 2:
+                yield from rows()
+        yield from rows()
+
+    return texts_of(docs).mapInArrow(run, PROJECTED_SQL)
+
+
+def deepen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same windows on prefixes of one word more; those that end here are left out."""
+    for batch in batches:
+        out: dict[tuple, tuple[list, list]] = {}
+        for lang, prefix, rest, n in zip(*(batch.column(c).to_pylist() for c in PROJECTED.names)):
+            for words, count in zip(rest, n):
+                if words:
+                    word, _, more = words.partition(b" ")
+                    lists = out.setdefault((lang, prefix + b" " + word), ([], []))
+                    lists[0].append(more)
+                    lists[1].append(count)
+        columns = zip(*((*key, *lists) for key, lists in out.items())) if out else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PROJECTED)], schema=PROJECTED)
+
+
+def grow(prefix: bytes, windows: list, counts: list, pointers: list, depth: int, least: int, out: list) -> None:
     """Append ``(phrase, f)`` of all frequent extensions of ``prefix``, depth first.
 
-    ``pointers`` are the windows that begin with the prefix.
+    ``pointers`` are the windows that begin with the prefix, ``depth`` is how
+    many of their words it has taken.
     """
-    depth = len(prefix)
     following: dict[bytes, list[int]] = {}
     for p in pointers:
         if len(windows[p]) > depth:
             following.setdefault(windows[p][depth], []).append(p)
-    for word, projected in following.items():
-        f = sum(counts[p] for p in projected)
+    for word, projected_on in following.items():
+        f = sum(counts[p] for p in projected_on)
         if f >= least:
-            longer = (*prefix, word)
-            out.append((b" ".join(longer), f))
-            grow(longer, windows, counts, projected, least, out)
+            longer = prefix + b" " + word
+            out.append((longer, f))
+            grow(longer, windows, counts, projected_on, depth + 1, least, out)
 
 
-def grown(windows: DataFrame, depth: int, least: int) -> DataFrame:
-    """``lang, phrase, f``: frequent phrases longer than ``depth``, a unit per prefix of that length."""
+def grown(units: DataFrame, least: int) -> DataFrame:
+    """``lang, phrase, f``: frequent phrases that go on from a prefix, one unit of work per prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, rows, counts = None, [], []
+        unit, windows, counts = None, [], []
 
         def finish():
             out: list = []
             if unit:
-                grow(unit[1], rows, counts, list(range(len(rows))), least, out)
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([unit[0]] * len(out) if unit else [], [p for p, _ in out], [f for _, f in out]), PHRASES)], schema=PHRASES)
+                grow(unit[1], windows, counts, list(range(len(windows))), 0, least, out)
+            columns = [unit[0]] * len(out) if unit else [], [p for p, _ in out], [f for _, f in out]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PHRASES)], schema=PHRASES)
 
         for batch in batches:
-            for lang, words, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "words", "n"))):
-                now = (lang, tuple(words[:depth]))
+            for lang, prefix, rest, n in zip(*(batch.column(c) for c in PROJECTED.names)):
+                now = (lang.as_py(), prefix.as_py())
                 if now != unit:
                     yield finish()
-                    unit, rows, counts = now, [], []
-                rows.append(words)
-                counts.append(n)
+                    unit, windows, counts = now, [], []
+                windows += [words.split() for words in rest.as_py()]
+                counts += n.as_py()
         yield finish()
 
-    dealt = windows.repartition("lang", "prefix").sortWithinPartitions("lang", "prefix")
-    return dealt.select("lang", "words", "n").mapInArrow(run, "lang string, phrase binary, f long")
+    dealt = units.repartition("lang", "prefix").sortWithinPartitions("lang", "prefix")
+    return dealt.mapInArrow(run, "lang string, phrase binary, f long")
 
 
 def frequent_phrases(windows: DataFrame, least: int = LEAST, split: int = SPLIT) -> DataFrame:
     """``lang, phrase, f`` of all phrases of two words and more with ``f >= least``, as written rows."""
     found, left, read = [], windows, []
     for depth in range(1, MOST_WORDS + 1):
-        prefix = F.array_join(F.transform(F.slice("words", 1, depth), lambda w: w.cast("string")), " ").alias("prefix")
-        left = left.where(F.size("words") >= depth).select("lang", prefix, "words", "n")
-        sizes = written(left.groupBy("lang", "prefix").agg(F.count("*").alias("windows"), F.sum("n").alias("f")), "phrase-prefixes")
+        f = F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, b: a + b))
+        sizes = written(left.groupBy("lang", "prefix").agg(F.sum(F.size("rest")).alias("windows"), f.alias("f")), "phrase-prefixes")
         read.append(sizes)
         if depth > 1:
-            found.append(sizes.where(F.col("f") >= least).select("lang", F.col("prefix").cast("binary").alias("phrase"), "f"))
+            found.append(sizes.where(F.col("f") >= least).select("lang", F.col("prefix").alias("phrase"), "f"))
         if depth == MOST_WORDS:
             break
         # at most HOT_CELLS rows: a prefix that only shares a cell with a hot one is split, too
@@ -283,13 +405,12 @@ def frequent_phrases(windows: DataFrame, least: int = LEAST, split: int = SPLIT)
         hot = written(sizes.where(F.col("windows") > split).select(cell).distinct(), "phrase-hot")
         read.append(hot)
         rows = left.select("*", cell)
-        found.append(grown(rows.join(F.broadcast(hot), "cell", "left_anti").drop("cell"), depth, least))
+        found.append(grown(rows.join(F.broadcast(hot), "cell", "left_anti").drop("cell"), least))
         if hot.isEmpty():
             break
-        left = rows.join(F.broadcast(hot), "cell", "left_semi").select("lang", "words", "n")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionAll(more)
+        left = written(rows.join(F.broadcast(hot), "cell", "left_semi").drop("cell").mapInArrow(deepen, PROJECTED_SQL), "phrase-deeper")
+        read.append(left)
+    out = reduce(DataFrame.unionAll, found)
     out = written(out.select("lang", F.col("phrase").cast("string").alias("phrase"), "f"), "phrase-frequent")
     discard(*read)
     return out
@@ -330,10 +451,19 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, split: int
     """``lang, rank, phrase, a, l, r, n, score`` of each language's best phrases."""
     context = docs.sparkSession.sparkContext
     words = written(count_words(docs), "phrase-words")
-    common = context.broadcast(bitmap_of(word_cells(words.where(F.col("n") >= least)), WORD_BITS))
-    cells = count_pairs(docs, common).where(F.col("n") >= least).select(F.shiftrightunsigned("pair", 64 - PAIR_BITS).alias("cell"))
-    pairs = context.broadcast(bitmap_of(cells, PAIR_BITS))
-    windows = written(project(docs, common, pairs), "phrase-windows")
+    common = context.broadcast(word_bitmap(words.where(F.col("n") >= least)))
+
+    def pair_hashes(numbers, hashes):
+        return pairs_of(numbers, hashes, pair_places(numbers))
+
+    pairs = context.broadcast(gram_bitmap(docs, common, pair_hashes, least))
+
+    def triple_hashes(numbers, hashes):
+        follows = frequent_at(numbers, hashes, pair_places(numbers), pairs_of, pairs.value)
+        return triples_of(numbers, hashes, triple_places(numbers, follows))
+
+    triples = context.broadcast(gram_bitmap(docs, common, triple_hashes, least))
+    windows = written(project(docs, common, pairs, triples), "phrase-windows")
     phrases = frequent_phrases(windows, least, split)
     single = words.where(F.col("n") >= least).select("lang", F.col("word").cast("string").alias("phrase"), F.col("n").alias("f"))
     known = written(phrases.unionAll(single), "phrase-counts")

@@ -4,10 +4,10 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from ledgerlens.llm.collocations import collocations, ranked, scored
+from ledgerlens.llm.collocations import GRAM_BITS, bit_set, collocations, count_words, gram_bitmap, mixed, pair_places, pairs_of, ranked, scored, word_bitmap, word_hash
 from tests.llm.helpers import DOCS, documents
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -87,9 +87,11 @@ def test_one_very_long_text(spark):
     assert got == brute([(text, "en")], 100)
 
 
-def test_no_bit_of_the_sign_is_lost(spark):
-    from ledgerlens.llm.collocations import bitmap_of
-
-    cells = [0, 1, 62, 63, 64, 127, 4095]
-    bits = bitmap_of(spark.createDataFrame([(c,) for c in cells], "cell long").select(F.col("cell")), 12)
-    assert [c for c in range(4096) if int(bits[c >> 6]) >> (c & 63) & 1] == cells
+def test_bitmap_holds_what_is_frequent(spark):
+    rows = [(i, "a b c a b " * 3, "en", "s", 0) for i in range(10)] + [(99, "rare words here", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    words = spark.sparkContext.broadcast(word_bitmap(count_words(docs)))
+    bits = gram_bitmap(docs, words, lambda numbers, hashes: pairs_of(numbers, hashes, pair_places(numbers)), 25)
+    hashes = {w: np.array([word_hash("en", w.encode())], np.uint64) for w in ("a", "b", "c", "rare", "words")}
+    kept = {(x, y) for x in hashes for y in hashes if bit_set(bits, mixed(hashes[x], hashes[y]), GRAM_BITS)[0]}
+    assert kept == {("a", "b"), ("b", "c"), ("c", "a")}  # b a: twice a text
