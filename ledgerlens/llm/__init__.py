@@ -21,6 +21,7 @@ def registry():
         collocations,
         decontaminate,
         filter_audit,
+        html_extraction,
         line_dedup,
         lm_scoring,
         packing,
@@ -33,7 +34,7 @@ def registry():
 
     modules = (
         lm_scoring, line_dedup, decontaminate, secret_scan, chat_format, pii, packing, pu_classifier, quality_rules, simhash_dedup,
-        collocations, filter_audit,
+        collocations, filter_audit, html_extraction,
     )
     queries, oracles = {}, {}
     for module in modules:
