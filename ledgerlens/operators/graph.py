@@ -14,8 +14,6 @@ from pyspark.sql.window import Window
 
 from ..functions import paths
 
-CANDIDATE_SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
-
 
 def normal_path(path):
     """Path without ``.`` parts and with ``..`` taken back."""
@@ -26,50 +24,35 @@ def normal_path(path):
     return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), up), "/")
 
 
-def resolve(specifiers: DataFrame, files: DataFrame) -> DataFrame:
-    """``from_path, specifier, dynamic, to_path``: relative specifiers by candidates.
-
-    Each specifier gives its candidates with a priority, joined to the known
-    paths; the best one that exists wins, none leaves ``to_path`` null.
-    """
-    target = normal_path(F.concat_ws("/", paths.directory(F.col("from_path")), F.col("specifier")))
-    plain = F.regexp_replace(target, r"\.(js|jsx|mjs|cjs)$", "")
-    options = [F.concat(target, F.lit(s)) for s in CANDIDATE_SUFFIXES]
-    options += [F.concat(plain, F.lit(s)) for s in (".ts", ".tsx")]
-    wanted = specifiers.withColumn("_id", F.xxhash64("from_path", "specifier", "dynamic"))
-    tried = wanted.where(F.col("specifier").startswith(".")).select(
-        "_id", F.posexplode(F.array(*options)).alias("_rank", "path")
-    )
-    found = tried.join(files.select("path"), "path").groupBy("_id").agg(F.min_by("path", "_rank").alias("to_path"))
-    return wanted.join(found, "_id", "left").select("from_path", "specifier", "dynamic", "to_path")
-
-
-def orphans(files: DataFrame, edges: DataFrame, path="path", source="from_path", target="to_path") -> DataFrame:
-    """Files that no other file links to."""
-    incoming = edges.where(F.col(source) != F.col(target)).select(F.col(target).alias(path)).distinct()
-    return files.join(incoming, path, "left_anti")
+def orphans(files: DataFrame, edges: DataFrame, path="path", source="from_path", target="to_path", keys: tuple = ()) -> DataFrame:
+    """Files that no other file links to; ``keys`` such as ``repo_id`` keep repositories apart."""
+    incoming = edges.where(F.col(source) != F.col(target)).select(*keys, F.col(target).alias(path)).distinct()
+    return files.join(incoming, [*keys, path], "left_anti")
 
 
-def roots(edges: DataFrame, source="from_path", target="to_path") -> DataFrame:
+def roots(edges: DataFrame, source="from_path", target="to_path", keys: tuple = ()) -> DataFrame:
     """Nodes with outgoing links and none from another node."""
-    out = edges.select(F.col(source).alias("node")).distinct()
-    incoming = edges.where(F.col(source) != F.col(target)).select(F.col(target).alias("node")).distinct()
-    return out.join(incoming, "node", "left_anti")
+    out = edges.select(*keys, F.col(source).alias("node")).distinct()
+    incoming = edges.where(F.col(source) != F.col(target)).select(*keys, F.col(target).alias("node")).distinct()
+    return out.join(incoming, [*keys, "node"], "left_anti")
 
 
-def module_nodes(files: DataFrame, directory="dir", least=2, most=12) -> DataFrame:
-    """The largest directories of at least two files (a top-k report)."""
-    per = files.groupBy(F.col(directory).alias("path")).agg(F.count("*").alias("files"))
-    return per.where(F.col("files") >= least).orderBy(F.desc("files"), "path").limit(most)
+def module_nodes(files: DataFrame, directory="dir", least=2, most=12, keys: tuple = ()) -> DataFrame:
+    """The largest directories of at least two files (a top-k report), of each repository if ``keys`` name it."""
+    per = files.groupBy(*keys, F.col(directory).alias("path")).agg(F.count("*").alias("files")).where(F.col("files") >= least)
+    if not keys:
+        return per.orderBy(F.desc("files"), "path").limit(most)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("files"), "path"))
+    return per.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
 
 
-def module_edges(edges: DataFrame, source="from_dir", target="to_dir") -> DataFrame:
+def module_edges(edges: DataFrame, source="from_dir", target="to_dir", keys: tuple = ()) -> DataFrame:
     """Links between directories with their counts, without those inside one."""
     kept = edges.where(F.col(target).isNotNull() & (F.col(source) != F.col(target)))
-    return kept.groupBy(source, target).agg(F.count("*").alias("count"))
+    return kept.groupBy(*keys, source, target).agg(F.count("*").alias("count"))
 
 
-def nearest_config(files: DataFrame, configs: DataFrame, path="path", config_dir="config_dir") -> DataFrame:
+def nearest_config(files: DataFrame, configs: DataFrame, path="path", config_dir="config_dir", keys: tuple = ()) -> DataFrame:
     """The deepest configured directory above each file, by equality joins.
 
     Every file gives its ancestor directories, so the prefix condition is a
@@ -77,10 +60,10 @@ def nearest_config(files: DataFrame, configs: DataFrame, path="path", config_dir
     """
     parts = F.split(paths.directory(F.col(path)), "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    ancestors = files.select(path, F.explode(F.array_distinct(above)).alias(config_dir))
-    found = ancestors.join(configs.select(config_dir).distinct(), config_dir)
-    best = found.groupBy(path).agg(F.max_by(config_dir, paths.depth(F.col(config_dir))).alias(config_dir))
-    return files.join(best, path, "left")
+    ancestors = files.select(*keys, path, F.explode(F.array_distinct(above)).alias(config_dir))
+    found = ancestors.join(configs.select(*keys, config_dir).distinct(), [*keys, config_dir])
+    best = found.groupBy(*keys, path).agg(F.max_by(config_dir, paths.depth(F.col(config_dir))).alias(config_dir))
+    return files.join(best, [*keys, path], "left")
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import paths
 from ..functions.scalars import attribution_value, is_bare, license_matches, package_of, ramp
-from ..operators import facts, history, scoring, security, tooling
+from ..operators import facts, history, modules, scoring, security, tooling
 from ..operators.files import line_counts
 from ..sources.lockfiles import all_packages, declared_packages
 
@@ -142,15 +142,17 @@ def unused_dependencies(files: DataFrame) -> DataFrame:
     return ratio_signal(per, "unused-dependencies", 1.5, F.col("hits"), F.col("total"), 0.08, 0.4, 5, "too few dependencies")
 
 
-def orphan_files(files: DataFrame) -> DataFrame:
-    from ..operators.graph import CANDIDATE_SUFFIXES, normal_path
+def import_edges(files: DataFrame) -> DataFrame:
+    """``repo_id, from_path, specifier, dynamic, to_path`` of all imports of scripts."""
+    scripts = facts.of_kind(files, facts.JS)
+    return modules.resolve(facts.specifiers(scripts), files, files)
+
 
+def orphan_files(files: DataFrame) -> DataFrame:
+    """Scripts that no other file imports, by paths and by the aliases of their repository."""
     code = facts.of_kind(facts.authored(files), facts.JS).select("repo_id", "path")
-    specs = facts.specifiers(files).where(F.col("specifier").startswith("."))
-    target = normal_path(F.concat_ws("/", paths.directory(F.col("from_path")), F.col("specifier")))
-    stem = F.regexp_replace(target, r"\.(js|jsx|mjs|cjs)$", "")
-    tried = F.array_distinct(F.array(*[F.concat(t, F.lit(s)) for t in (target, stem) for s in CANDIDATE_SUFFIXES]))
-    reached = specs.select("repo_id", "from_path", F.explode(tried).alias("path")).where("from_path <> path").select("repo_id", "path").distinct()
+    edges = import_edges(files).where("to_path IS NOT NULL AND to_path <> from_path")
+    reached = edges.select("repo_id", F.col("to_path").alias("path")).distinct()
     # entries count in the whole, but are never lost
     lost = code.where(~F.col("path").rlike(ENTRY_PATH))
     for known in (reached, manifest_entries(files)):

@@ -94,13 +94,6 @@ def test_path_rules(spark):
     assert rel == {"node_modules/a.js": False, "LICENSE.md": True, "license.py": True, "a/Dockerfile.dev": True, "x.png": False, "UNLICENSE": True}
 
 
-def test_resolve_imports(spark):
-    known = spark.createDataFrame([(p,) for p in ["src/a.ts", "src/lib/index.ts", "src/b.tsx", "src/c.js"]], "path string")
-    specs = [("src/a.ts", "./lib", False), ("src/a.ts", "./b.js", False), ("src/lib/index.ts", "../c", True), ("src/a.ts", "zod", False), ("src/a.ts", "./gone", False)]
-    rows = graph.resolve(spark.createDataFrame(specs, "from_path string, specifier string, dynamic boolean"), known).collect()
-    assert {r.specifier: r.to_path for r in rows} == {"./lib": "src/lib/index.ts", "./b.js": "src/b.tsx", "../c": "src/c.js", "zod": None, "./gone": None}
-
-
 def test_graph_operators(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "b"), ("b", "c"), ("c", "b")], "from_path string, to_path string")
     files_ = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "path string")
