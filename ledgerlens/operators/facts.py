@@ -1,22 +1,19 @@
 """Facts about source files, taken from their text by patterns in the JVM.
 
 There is no parser here: a fact is what a documented pattern finds in a file's
-text, line by line or by simple blocks; only the ends of catch blocks are found
-per row in Python.  Facts are flat tables keyed by
-``repo_id`` and ``path``; signals aggregate them.  Every table is one projection
-and one explode of the file table, without a shuffle.
+text, line by line or by blocks whose ends ``blocks`` finds.  Facts are flat
+tables keyed by ``repo_id`` and ``path``; signals aggregate them.  Every table
+is one projection and one explode of the file table, without a shuffle.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import paths
 from ..functions.scalars import comment_words, identifier_words, word_overlap
+from . import blocks
 
 JS = (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs")
 PY = (".py", ".pyi")
@@ -27,12 +24,12 @@ STATIC = r"""(?m)^\s*(?:import|export)\b[^'"\n;]*?(?:from\s*)?['"]([^'"\n]+)['"]
 DYNAMIC = r"""\b(?:import|require)\(\s*['"]([^'"\n]+)['"]\s*\)"""
 PY_IMPORT = r"(?m)^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))"
 EXPORTS = r"(?m)^\s*export\s+(?:default\s+)?(?:async\s+)?(?:function\*?|const|let|class|interface|type|enum)\s+([A-Za-z_$][\w$]*)"
-CATCH = r"\bcatch\s*(?:\((?:[^()]++|\([^()]*+\))*+\))?\s*\{"
-#: What a brace does not count in: comments, strings, templates (their ``${}`` is skipped with them).
-LINE_COMMENT = r"//[^\n]*"
-OPAQUE = r"""/\*[\s\S]*?\*/|'(?:\\.|[^'\\\n])*'|"(?:\\.|[^"\\\n])*"|`(?:\\[\s\S]|[^`\\])*`"""
-EXCEPT = r"(?m)^[ \t]*except\b[^\n:]*:[ \t]*((?:\n?[ \t]+)?[^\n]*)"
 TEST_CASE = r"""\b(?:it|test)\(\s*(?:'([^'\n]*)'|"([^"\n]*)")"""
+# Comments that direct a tool.
+DIRECTIVE = r"(?i)^\s*(eslint|ts-|@ts-|prettier|biome|istanbul|c8|v8|global|jshint|oxlint|deno-|webpackChunkName|#region|#endregion|TODO|FIXME|HACK|NOTE|XXX)"
+# Where calls that only record an error begin, in scripts and in Python.
+LOG_ROOTS = "console|logger|log|winston|pino"
+PYTHON_LOGS = r"print|logging\.\w+|logger\.\w+|log\.\w+"
 #: Kind of a dangerous call and the line pattern that shows it.
 SINKS = (
     ("eval", r"(?<![\w.])eval\(\s*[^)'\"\s]"),
@@ -88,83 +85,96 @@ def exports(files: DataFrame) -> DataFrame:
     return of_kind(files, JS).select(*KEYS, F.explode(all_groups(F.col("content"), EXPORTS)).alias("name"))
 
 
-def blocks_of(content: str, opaque: str) -> dict[int, str | None]:
-    """Body of each catch block by its place; none where its brace stays open."""
-    tokens = re.compile(rf"(?P<opaque>{opaque})|(?P<catch>{CATCH})|(?P<brace>[{{}}])")
-    open_at, out = [], {}
-    for found in tokens.finditer(content):
-        if found["catch"]:
-            out[found.end()] = None
-            open_at.append(found.end())
-        elif found["brace"] == "{":
-            open_at.append(None)
-        elif found["brace"] and open_at:
-            begun = open_at.pop()
-            if begun is not None:
-                out[begun] = content[begun : found.start()]
-    return out
-
-
-@F.udf(ArrayType(StringType()))
-def catch_bodies(content):
-    """Bodies of catch blocks to the brace that ends them, nested ones too.
-
-    One that stays open may end at a brace in a line comment; else it is none.
-    """
-    bodies = blocks_of(content or "", f"{LINE_COMMENT}|{OPAQUE}")
-    if None in bodies.values():
-        loose = blocks_of(content, OPAQUE)
-        bodies = {at: loose.get(at) if body is None else body for at, body in bodies.items()}
-    return [body for body in bodies.values() if body is not None]
-
-
 def handlers(files: DataFrame) -> DataFrame:
-    """Error handlers with ``kind``: empty, log-only, documented or handled."""
+    """Error handlers with ``kind``: empty, log-only, documented or handled.
+
+    Documented is one that does nothing and says why, by a comment or by a
+    binding that begins with an underscore.
+    """
     content = F.col("content")
-    scripts = of_kind(files, JS).where(content.rlike(r"\bcatch\b"))
-    js = scripts.select(*KEYS, F.explode(catch_bodies(content)).alias("body"))
-    py = of_kind(files, PY).select(*KEYS, F.explode(all_groups(content, EXCEPT)).alias("body"))
-    body = F.regexp_replace("body", r"^\s+|\s+$", "")
-    kind = (
-        F.when(body.isin("", "pass", "..."), "empty")
-        .when(body.rlike(r"^(//|/\*|#)"), "documented")
-        .when(body.rlike(r"^(?:console\.\w+|print|logg(?:er|ing)\.\w+)\([^;\n]*\);?$"), "log-only")
-        .otherwise("handled")
-    )
+    caught = blocks.braced(of_kind(files, JS).where(content.rlike(r"\bcatch\b"))).where("kind = 'catch'")
+    said = F.regexp_replace("body", rf"({blocks.QUOTED}|{blocks.TEMPLATE})|{blocks.LINE_COMMENT}|{blocks.BLOCK_COMMENT}", "$1")
+    unnamed = F.col("head").rlike(r"^catch\s*\(\s*_[\w$]*\s*(?::[^)]*)?\)")
+    js = caught.select(
+        *KEYS, said.alias("said"), (unnamed | (said != F.col("body"))).alias("explained"),
+        said.rlike(rf"^(?:\s*(?:{LOG_ROOTS})(?:\??\.[\w$]+)*\s*{blocks.PARENS}\s*;?)+\s*$").alias("logs"),
+    )
+    excepted = blocks.indented(of_kind(files, PY).where(content.rlike(r"\bexcept\b")), r"^\s*except\b")
+    whole = F.concat_ws("\n", F.regexp_extract("head", r"^\s*except\b[^\n:]*:(.*)$", 1), "body")
+    bare = F.regexp_replace(whole, rf"({blocks.QUOTED})|#[^\n]*", "$1")
+    py = excepted.select(
+        *KEYS, F.regexp_replace(bare, r"(?m)^\s*(?:pass|\.\.\.)\s*;?\s*$", "").alias("said"), (bare != whole).alias("explained"),
+        bare.rlike(rf"^(?:\s*(?:{PYTHON_LOGS})\s*{blocks.PARENS}\s*;?)+\s*$").alias("logs"),
+    )
+    nothing = F.col("said").rlike(r"^\s*$")
+    kind = F.when(nothing & F.col("explained"), "documented").when(nothing, "empty").when(F.col("logs"), "log-only").otherwise("handled")
     return js.unionAll(py).select(*KEYS, kind.alias("kind"))
 
 
+def functions(files: DataFrame) -> DataFrame:
+    """``kind, n_words, body`` of all functions of scripts, Go, Rust and Python: methods, arrows and nested ones too."""
+    braced = blocks.braced(of_kind(files, (*JS, ".go", ".rs"))).where("kind <> 'catch'")
+    python = blocks.indented(of_kind(files, PY).where(F.col("content").contains("def ")), r"^\s*(?:async\s+)?def\s")
+    arguments = F.regexp_extract("head", rf"({blocks.PARENS})", 1)  # the names of a function and of its receiver are no part of its shape
+    words = F.size(F.split(F.concat_ws("\n", "head", "body"), r"\W+"))
+    out = lambda df, kind: df.select(*KEYS, kind.alias("kind"), words.alias("n_words"), F.concat_ws("\n", arguments, "body").alias("body"))
+    return out(braced, F.col("kind")).unionAll(out(python, F.lit("function")))
+
+
 def test_cases(files: DataFrame) -> DataFrame:
     """Cases of test files with the number of their assertions.
 
-    A case reaches from its call to the next one in the file.
+    A case of a script reaches from its call to the next one in the file, one of
+    Python is a function or method whose name begins with ``test``.
     """
-    tests = of_kind(files.where(paths.is_test(F.col("path"))), JS)
+    tested = files.where(paths.is_test(F.col("path")))
     marked = F.regexp_replace("content", TEST_CASE, "\u0001$1$2\u0002")
     parts = F.slice(F.split(marked, "\u0001"), F.lit(2), F.size(F.split(marked, "\u0001")))
-    cases = tests.select(*KEYS, F.posexplode(parts).alias("n", "part"))
+    cases = of_kind(tested, JS).select(*KEYS, F.posexplode(parts).alias("n", "part"))
     body = F.substring_index("part", "\u0002", -1)
-    return cases.select(
+    scripts = cases.select(
         *KEYS,
         "n",
         F.substring_index("part", "\u0002", 1).alias("name"),
         F.size(all_groups(body, r"\b(expect|assert\w*|t\.\w+)\s*[.(]")).alias("assertions"),
         F.size(all_groups(body, r"\.(toHaveBeenCalled\w*|toBeCalled\w*)\(")).alias("mock_only"),
     )
+    python = blocks.indented(of_kind(tested, PY), r"^\s*(?:async\s+)?def\s+test")
+    bare = F.regexp_replace(F.concat_ws("\n", F.regexp_extract("head", r":(.*)$", 1), "body"), rf"{blocks.QUOTED}|#[^\n]*", "")
+    return scripts.unionAll(python.select(
+        *KEYS,
+        F.col("place").alias("n"),
+        F.regexp_extract("head", r"def\s+(\w+)", 1).alias("name"),
+        F.size(all_groups(bare, r"(?m)((?:^|;|:)\s*assert\b|\.assert\w*\s*\()")).alias("assertions"),
+        F.size(all_groups(bare, r"\.(assert_called\w*|assert_has_calls)\s*\(")).alias("mock_only"),
+    ))
 
 
 def comments(files: DataFrame) -> DataFrame:
-    """Line comments followed by code on the next line, with their overlap."""
+    """Short comments with the code they stand at, and their overlap with its names.
+
+    The code is what stands before a comment on its line, or else the nearest
+    line below that is not blank; a comment above another comment has none.
+    """
     code = of_kind(authored(files), JS + PY)
-    lines = F.split("content", "\n")
-    rows = code.select(*KEYS, F.posexplode(F.arrays_zip(lines.alias("a"), F.slice(lines, F.lit(2), F.size(lines)).alias("b"))).alias("n", "z"))
-    text = F.regexp_extract(F.col("z.a"), r"^\s*(?://|#)\s*(.+)$", 1)
-    rows = rows.select(*KEYS, (F.col("n") + 1).alias("line"), text.alias("text"), F.coalesce("z.b", F.lit("")).alias("next"))
-    directive = r"(?i)^\s*(eslint|ts-|@ts-|prettier|biome|istanbul|c8|v8|global|jshint|oxlint|deno-|TODO|FIXME|HACK|NOTE|XXX|#region|#endregion)"
-    rows = rows.where((F.col("text") != "") & ~F.col("text").rlike(directive) & ~F.col("next").rlike(r"^\s*(//|#|$)"))
-    words = comment_words(F.col("text"))
-    rows = rows.withColumn("words", words).where(F.size("words").between(1, 8))
-    return rows.select(*KEYS, "line", "text", (word_overlap(F.col("words"), identifier_words(F.col("next"))) >= 0.6).alias("hit"))
+    numbered = F.transform(F.split("content", "\n"), lambda t, i: F.struct((i + 1).alias("line"), t.alias("t")))
+    filled = code.select(*KEYS, F.filter(numbered, lambda x: ~x["t"].rlike(r"^\s*$")).alias("_a"))
+    below = F.transform(F.slice("_a", F.lit(2), F.size("_a")), lambda x: x["t"])
+    rows = filled.select(*KEYS, F.explode(F.arrays_zip(F.col("_a").alias("a"), below.alias("b"))).alias("z"))
+    rows = rows.select(*KEYS, "z.a.line", F.col("z.a.t").alias("_t"), F.coalesce("z.b", F.lit("")).alias("_next"))
+    mark = F.when(paths.extension(F.col("path")).isin(*PY), "#").otherwise("//")
+    plain = rf"[^'\"`/#]++|{blocks.QUOTED}|{blocks.TEMPLATE}|/(?![/*])"
+    before = F.when(mark == "#", F.regexp_extract("_t", rf"^((?:{plain}|/)*+)#", 1)).otherwise(F.regexp_extract("_t", rf"^((?:{plain}|#)*+)(?://|/\*)", 1))
+    has = F.when(mark == "#", F.col("_t").rlike(rf"^(?:{plain}|/)*+#")).otherwise(F.col("_t").rlike(rf"^(?:{plain}|#)*+(?://|/\*.*\*/\s*$)"))
+    rows = rows.where(F.col("_t").contains("#") | F.col("_t").contains("//") | F.col("_t").contains("/*")).withColumns({"_has": has, "_before": before}).where("_has")
+    said = F.expr("substring(_t, length(_before) + 1)")
+    text = F.trim(F.regexp_replace(F.regexp_replace(said, r"^(?:#+|//|/\*+)", ""), r"\*/\s*$", ""))
+    near = F.when(F.trim("_before") != "", F.col("_before")).otherwise(F.col("_next"))
+    alone = F.trim("_before") == ""
+    rows = rows.select(*KEYS, "line", text.alias("text"), near.alias("near"), (alone & F.col("_next").rlike(r"^\s*(?://|\*|/\*|#|$)")).alias("none"))
+    rows = rows.where(~F.col("none") & (F.length("text") >= 4) & ~F.col("text").rlike(DIRECTIVE))
+    rows = rows.withColumn("words", comment_words(F.col("text"))).where(F.size("words").between(1, 8))
+    return rows.select(*KEYS, "line", "text", (word_overlap(F.col("words"), identifier_words(F.col("near"))) >= 0.6).alias("hit"))
 
 
 def conventions(files: DataFrame) -> DataFrame:

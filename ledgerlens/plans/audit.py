@@ -56,14 +56,12 @@ def ratio_signal(df, name, weight, hits, total, low, high, least, reason) -> Dat
 
 
 def clone_families(files: DataFrame) -> DataFrame:
-    """``repo_id, shape, n``: functions of one shape, names and numbers erased.
+    """``repo_id, shape, n``: functions of one shape, names, strings and numbers erased.
 
-    Functions are top-level ones of scripts and Python, of twelve words or more.
+    All functions of twelve words or more count: methods, arrows and nested
+    ones, and those of Python, Go and Rust.
     """
-    code = facts.of_kind(facts.authored(files), facts.JS + facts.PY)
-    head = r"(?m)^(?=(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\b|def\s))"
-    parts = code.select("repo_id", "path", F.explode(F.split("content", head)).alias("body")).where(F.col("body").rlike(r"^(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\b|def\s)"))
-    parts = parts.where(F.size(F.split("body", r"\W+")) >= 12)
+    parts = facts.functions(facts.authored(files)).where("n_words >= 12")
     shape = F.regexp_replace(F.regexp_replace("body", r"""'[^'\n]*'|"[^"\n]*"|\b\d+\b""", "#"), r"\b(?!(?:if|else|for|while|return|try|catch|switch|case|def|function|await|throw|raise|in|of)\b)[A-Za-z_$][\w$]*", r"\$")
     hashed = parts.withColumn("shape", F.sha1(F.regexp_replace(shape, r"\s+", " ").cast("binary")))
     return hashed.groupBy("repo_id", "shape").agg(F.count("*").alias("n"))

@@ -73,11 +73,20 @@ def credential_lines(spark, sf_dir):
     return security.credential_hits(docs).select("path", F.col("line").cast("long").alias("line"), "vendor")
 
 
+#: Bodies of handlers, and what they are; the last two hold handlers of their own.
+HANDLERS = (
+    ("", ["empty"]), ("\n  // known {\n", ["documented"]), (" winston.error(`${e}}`); log('{', e)\n", ["log-only"]), (" throw e ", ["handled"]),
+    (" if (x) { y({ a: 1 }) } ", ["handled"]), (" log.warn(e); return {} ", ["handled"]),
+    (" try { a() } catch { } throw e ", ["handled", "empty"]), (" f(() => { try { } catch (_e) { } }) ", ["handled", "documented"]),
+)
+
+
 def handler_kinds(spark, sf_dir):
-    """Events as error handlers of four kinds."""
-    body = F.element_at(F.array(F.lit(""), F.lit(" console.error(e) "), F.lit(" throw e "), F.lit(" // known ")), (F.pmod("event_id", F.lit(4)) + 1).cast("int"))
+    """Events as error handlers, with brackets in strings and comments, and handlers in handlers."""
+    body = F.element_at(F.array(*[F.lit(text) for text, _ in HANDLERS]), (F.pmod("event_id", F.lit(len(HANDLERS))) + 1).cast("int"))
     files = V.read(spark, sf_dir, "events").select(
-        F.col("user_id").cast("string").alias("repo_id"), F.concat(F.lit("e"), "event_id", F.lit(".ts")).alias("path"), F.concat(F.lit("try { x() } catch (e) {"), body, F.lit("}\n")).alias("content")
+        F.col("user_id").cast("string").alias("repo_id"), F.concat(F.lit("e"), "event_id", F.lit(".ts")).alias("path"),
+        F.concat(F.lit("const s = '}'\nfunction f() { try { x() } catch (e) {"), body, F.lit("} }\n")).alias("content"),
     )
     return facts.handlers(files).groupBy("kind").agg(F.count("*").alias("n"))
 
@@ -106,8 +115,8 @@ ORACLES = {
         UNION ALL SELECT 'pkg/' || p_size, false, count(*) FROM part GROUP BY 1 UNION ALL SELECT './lazy' || p_size, true, count(*) FROM part GROUP BY 1""",
     "credential_lines": """SELECT 'src/' || doc_id || '.ts' AS path, CAST(len(string_split(text, chr(10))) + 1 AS BIGINT) AS line, 'aws-access-key' AS vendor
         FROM documents WHERE doc_id % 9 = 0 AND NOT regexp_matches(string_split(text, chr(10))[-1], 'example', 'i')""",
-    "handler_kinds": """SELECT CASE event_id % 4 WHEN 0 THEN 'empty' WHEN 1 THEN 'log-only' WHEN 2 THEN 'handled' ELSE 'documented' END AS kind, count(*) AS n
-        FROM events GROUP BY 1""",
+    "handler_kinds": "SELECT kind, count(*) AS n FROM events JOIN (VALUES "
+    + ", ".join(f"({n}, '{kind}')" for n, (_, kinds) in enumerate(HANDLERS) for kind in kinds) + f") AS t(m, kind) ON event_id % {len(HANDLERS)} = m GROUP BY kind",
     "tool_markers": """SELECT CASE c_custkey % 3 WHEN 0 THEN 'AGENTS.md convention' ELSE 'Cursor' END AS tool, 'agent' AS kind, count(*) AS n
         FROM customer WHERE c_custkey % 3 < 2 GROUP BY 1""",
 }
