@@ -52,7 +52,7 @@ AUTH_CALLS = (
 )
 AUTH_MEMBERS = "user|session|auth|currentUser|userId|principal|identity"
 UNAUTHORIZED = r"\b(401|403)\b|Unauthorized|Forbidden"
-GUARD = rf"(?i:(?<![\w$])(?:{AUTH_CALLS})\s*\()|(?i:\.(?:{AUTH_MEMBERS})(?![\w$(]))|{UNAUTHORIZED}"
+IDENTIFIED = rf"(?i:(?<![\w$])(?:{AUTH_CALLS})\s*\()|(?i:\.(?:{AUTH_MEMBERS})(?![\w$(]))"
 METHODS = "GET|POST|PUT|PATCH|DELETE"
 
 
@@ -206,26 +206,3 @@ def sinks(files: DataFrame) -> DataFrame:
     rows = js.select(*KEYS, F.posexplode(F.split("content", "\n")).alias("n", "text")).where(F.col("text").rlike(any_kind))
     kinds = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), k) for k, p in SINKS]))
     return rows.select(*KEYS, (F.col("n") + 1).alias("line"), F.explode(kinds).alias("kind"), (~F.col("path").rlike(BUILD_CONTEXT)).alias("in_app"))
-
-
-def routes(files: DataFrame) -> DataFrame:
-    """``method, route, guarded`` of handlers of ``app`` trees and of server calls."""
-    from .security import app_route
-
-    js, path = of_kind(authored(files), JS), F.col("path")
-    content = F.col("content")
-    tree = js.where(path.rlike(r"(^|/)app/(.*/)?route\.[cm]?[jt]sx?$")).select(
-        *KEYS,
-        F.explode(F.array_distinct(all_groups(content, rf"(?m)^\s*export\s+(?:async\s+)?(?:function|const)\s+({METHODS})\b"))).alias("method"),
-        app_route(path).alias("route"),
-        content.rlike(GUARD).alias("guarded"),
-    )
-    call = rf"""\b(?:app|router|server)\.((?:{METHODS.lower()})\(\s*['"][^'"\n]+['"][^\n]*)"""
-    calls = js.select(*KEYS, F.explode(all_groups(content, call)).alias("text"))
-    server = calls.select(
-        *KEYS,
-        F.upper(F.substring_index("text", "(", 1)).alias("method"),
-        F.regexp_extract("text", r"""\(\s*['"]([^'"]+)""", 1).alias("route"),
-        F.col("text").rlike(GUARD).alias("guarded"),
-    )
-    return tree.unionAll(server)

@@ -117,21 +117,11 @@ def dynamic_part(part: Column) -> Column:
 
 
 def route_pattern(matcher: Column) -> Column:
-    """Regular expression of a route matcher: a star is any rest."""
-    plain = F.regexp_replace(matcher, r"([.+?^${}()|\[\]\\])", r"\\$1")
-    plain = F.regexp_replace(plain, r"/:[A-Za-z_]\w*\*", "(?:/.*)?")
-    return F.concat(F.lit("^"), F.regexp_replace(plain, r":[A-Za-z_]\w*", "[^/]+"), F.lit("$"))
-
-
-def route_coverage(routes: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Mutating routes with ``covered``: does a middleware pattern match?
-
-    ``patterns`` is a repository's few matchers, gathered into one array.
-    """
-    listed = patterns.agg(F.collect_set(route_pattern(F.col("pattern"))).alias("_patterns"))
-    judged = routes.where(F.col("method").isin(*MUTATING)).crossJoin(F.broadcast(listed))
-    covered = F.exists("_patterns", lambda p: F.regexp_like(F.col("route"), p))
-    return judged.withColumn("covered", covered).drop("_patterns")
+    """Regular expression of a route matcher: a name is one segment, one with a star or plus and a star alone are any rest."""
+    plain = F.regexp_replace(matcher, r"([.?^${}()|\[\]\\])", r"\\$1")
+    plain = F.regexp_replace(plain, r"/:[A-Za-z0-9_]+[*+]", "(?:/\u0001)?")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"\+", r"\\+"), r":[A-Za-z0-9_]+", "[^/]+")
+    return F.concat(F.lit("^"), F.regexp_replace(plain, "[*\u0001]", ".*"), F.lit("$"))
 
 
 def license_reading(files: DataFrame, repo="repo_id", path="path", content="content") -> DataFrame:

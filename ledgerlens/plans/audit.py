@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import paths
 from ..functions.scalars import attribution_value, is_bare, license_matches, package_of, ramp
-from ..operators import facts, history, modules, scoring, security, tooling
+from ..operators import facts, guards, history, modules, scoring, security, tooling
 from ..operators.files import line_counts
 from ..sources.lockfiles import all_packages, declared_packages
 
@@ -227,14 +227,16 @@ def security_signals(files: DataFrame, advisories: DataFrame | None = None) -> D
     scripts = per(facts.of_kind(files, facts.JS)).withColumnRenamed("n", "scripts")
     sinks = scripts.join(sinks, "repo_id", "left")
     danger = F.greatest(ramp(n, 0, 3), F.when(F.col("open") > 0, 0.6).otherwise(0.0))
-    routes = facts.routes(files).where(F.col("method").isin(*security.MUTATING)).groupBy("repo_id").agg(
-        F.count("*").alias("n"), F.count_if(~F.col("guarded")).alias("open")
+    routes = guards.judged(files).groupBy("repo_id").agg(
+        F.count("*").alias("n"), F.count_if(~F.col("guarded") & ~F.col("covered")).alias("open"), F.bool_or("opaque").alias("opaque")
     )
+    # a middleware that cannot be read halves what its routes prove
+    share = F.col("open") / F.greatest(n, F.lit(1)) * F.when(F.col("opaque"), 0.5).otherwise(1.0)
     licence = files.where(paths.is_license(F.col("path")))
     return union(
         counted(per(secrets), "hardcoded-secrets", security.SECRET_WEIGHT, (n > 0).cast("double")),
         counted(per(env), "committed-env", security.ENV_WEIGHT, (n > 0).cast("double")),
-        counted(routes, "unauthenticated-routes", 3, F.col("open") / F.greatest(n, F.lit(1)), F.when(n == 0, "no route changes state")),
+        counted(routes, "unauthenticated-routes", 3, share, F.when(n == 0, "no route changes state")),
         counted(sinks, "dangerous-calls", 2, danger, F.when(F.col("scripts") == 0, "no scripts to read")),
         counted(per(licence), "missing-license", 1.5, (n == 0).cast("double")),
         license_mismatch(files),
@@ -307,9 +309,9 @@ def findings(files: DataFrame, commits: DataFrame | None = None, advisories: Dat
     n = F.col("n_locations")
 
     def rows(df, rule, severity, confidence, count=F.count("*"), keys=R):
-        level = F.lit(severity) if isinstance(severity, str) else severity
+        level, sure = (F.lit(x) if isinstance(x, str) else x for x in (severity, confidence))
         found = df.groupBy(*keys).agg(count.alias("n_locations")).where("n_locations > 0")
-        return found.select("repo_id", F.lit(rule).alias("rule_id"), level.alias("severity"), F.lit(confidence).alias("confidence"), "n_locations")
+        return found.select("repo_id", F.lit(rule).alias("rule_id"), level.alias("severity"), sure.alias("confidence"), "n_locations")
 
     tools = tooling.tool_hits(files, declared_packages(files))
     largest = Window.partitionBy("repo_id").orderBy(F.desc("n"), "shape")
@@ -319,7 +321,7 @@ def findings(files: DataFrame, commits: DataFrame | None = None, advisories: Dat
     bad = F.count_if(F.col("kind").isin("empty", "log-only"))
     enough = swallowed.groupBy("repo_id").agg(F.count("*").alias("_all"), bad.alias("_bad")).where("_all >= 5 AND _bad >= 0.15 * _all")
     licensed = files.where(paths.is_license(F.col("path"))).select("repo_id").distinct()
-    open_routes = facts.routes(files).where(F.col("method").isin(*security.MUTATING) & ~F.col("guarded"))
+    open_routes = guards.judged(files).where("NOT guarded AND NOT covered").withColumn("_dark", F.when(F.col("opaque"), "low").otherwise("medium"))
     sinks = facts.sinks(files).withColumn("_app", F.max(F.col("in_app").cast("int")).over(Window.partitionBy("repo_id", "kind")))
     parts = [
         rows(tools.where("kind = 'builder'"), "ai-builder-platform", "info", "certain"),
@@ -331,7 +333,7 @@ def findings(files: DataFrame, commits: DataFrame | None = None, advisories: Dat
         rows(security.env_hits(files, keys=R), "committed-env-file", "high", "certain"),
         rows(files.select("repo_id").distinct().join(licensed, "repo_id", "left_anti"), "missing-license", "low", "certain"),
         rows(license_mismatch(files).where("available AND value > 0"), "license-mismatch", "medium", "high"),
-        rows(open_routes, "unauthenticated-route", "medium", "medium"),
+        rows(open_routes, "unauthenticated-route", F.col("_dark"), F.col("_dark"), keys=("repo_id", "_dark")),
         rows(sinks, "dangerous-call", F.when(F.col("_app") > 0, "medium").otherwise("low"), "medium", keys=("repo_id", "kind", "_app")),
     ]
     if commits is not None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import blocks, facts
+from ..operators import blocks, facts, guards
 from . import audit
 from . import views as V
 from .rule_queries import every, file, text, union
@@ -68,7 +68,35 @@ def comment_neighbours(spark, sf_dir):
     return found.groupBy("text", "hit", F.col("line").cast("long").alias("line")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (nested_blocks, nested_copies, python_test_cases, comment_neighbours)}
+def servers(spark, sf_dir):
+    """A customer is a repository with routes of three kinds, handlers of many lines, and guards by its number."""
+    rows, k = V.read(spark, sf_dir, "customer").select("c_custkey"), F.col("c_custkey")
+    check = F.when(every(k, 3), "    if (!req.user) {\n      return res.send(401)\n    }\n").otherwise("    // req.user\n")
+    express = text(
+        "app.use(json())\n", F.when(every(k, 5), "app.use('/v1/', cors, auth.requireAuth)\n").when(every(k, 5, 1), "app.use('/v1', cors())\n").otherwise(""),
+        "router.post('/v1/a', limit({ n: 1 }), async (req, res) => {\n  try {\n", check, "    save('})')\n  } finally { }\n})\napp.delete(\n  \"/v2/b/:id\",\n  function (req, res) {\n    del(req.params)\n  },\n)\n",
+        "cache.get(key)\napp.put('/v3', byName)\nconst me = req.user\n",
+    )
+    tree = text("export async function PATCH(req: Request) {\n  return guardless(`}`)\n}\nexport const GET = async () => {\n  return auth()\n}\nexport const POST = async (req) => {\n", F.when(every(k, 2), "  await auth()\n").otherwise("  await save()\n"), "}\n")
+    legacy = text("export default async function handler(req, res) {\n  if (req.method === ", F.when(every(k, 4), "'PUT'").otherwise("'GET'"), ") { save() }\n}\n")
+    middle = F.when(every(k, 7), "export function middleware() { return run() }\n").when(every(k, 7, 1), "export const config = {\n  matcher: [\n    '/api/:path*', // all\n    \"/x/:id\",\n  ],\n}\n").otherwise("export const config = { matcher: '/v2/*/:id' }\n")
+    return union(
+        file(rows, k, F.lit("src/server.ts"), express), file(rows, k, F.lit("src/app/api/(g)/t/[id]/route.ts"), tree), file(rows, k, F.lit("pages/api/old/[...rest].ts"), legacy),
+        file(rows.where(F.pmod(k, F.lit(7)) < 3), k, F.lit("src/middleware.ts"), middle),
+    )
+
+
+def guarded_routes(spark, sf_dir):
+    """Every route that changes something, with what guards it."""
+    return guards.judged(servers(spark, sf_dir)).select("repo_id", "method", "route", "guarded", "covered", "opaque")
+
+
+def open_route_findings(spark, sf_dir):
+    """Findings on routes, less sure where a middleware cannot be read."""
+    return audit.findings(servers(spark, sf_dir)).where("rule_id = 'unauthenticated-route'")
+
+
+QUERIES = {f.__name__: f for f in (nested_blocks, nested_copies, python_test_cases, comment_neighbours, guarded_routes, open_route_findings)}
 LENGTHS = """WITH p AS (SELECT CAST(p_partkey % 7 AS VARCHAR) AS repo_id, p_partkey AS k, (p_size % 5) * 9 AS c FROM part), b AS (
     SELECT repo_id, 'ts' AS language, 'method' AS kind, 2 * c + length('return () => { if (a) { b }}') + 3 AS n_chars FROM p
     UNION ALL SELECT repo_id, 'ts', 'arrow', c + length(' if (a) { b }') FROM p
@@ -77,7 +105,15 @@ LENGTHS = """WITH p AS (SELECT CAST(p_partkey % 7 AS VARCHAR) AS repo_id, p_part
     UNION ALL SELECT repo_id, 'py', 'def', CASE WHEN k % 4 = 0 THEN length('            return 1') + 1 ELSE length('            pass|            return 2') END FROM p WHERE k % 2 = 0
     UNION ALL SELECT repo_id, 'py', 'def', length('        self,|    ):|        def inner():||        return inner') + CASE WHEN k % 4 = 0 THEN length('            return 1') + 1 ELSE length('            pass|            return 2') END
         + 1 FROM p WHERE k % 2 = 0)"""
+ROUTES = """WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS repo_id, c_custkey AS k, c_custkey % 7 = 0 AS opaque FROM customer), r AS (
+    SELECT repo_id, k, opaque, 'POST' AS method, '/v1/a' AS route, k % 3 = 0 AS guarded, k % 5 = 0 AS covered FROM c
+    UNION ALL SELECT repo_id, k, opaque, 'DELETE', '/v2/b/:id', false, k % 7 = 2 FROM c
+    UNION ALL SELECT repo_id, k, opaque, 'PATCH', '/api/t/:id', false, k % 7 = 1 FROM c UNION ALL SELECT repo_id, k, opaque, 'POST', '/api/t/:id', k % 2 = 0, k % 7 = 1 FROM c
+    UNION ALL SELECT repo_id, k, opaque, 'ALL', '/api/old/*', false, k % 7 = 1 FROM c WHERE k % 4 = 0)"""
 ORACLES = {
+    "guarded_routes": ROUTES + " SELECT repo_id, method, route, guarded, covered, opaque FROM r",
+    "open_route_findings": ROUTES + """ SELECT repo_id, 'unauthenticated-route' AS rule_id, CASE WHEN opaque THEN 'low' ELSE 'medium' END AS severity,
+        CASE WHEN opaque THEN 'low' ELSE 'medium' END AS confidence, count(*) AS n_locations FROM r WHERE NOT guarded AND NOT covered GROUP BY ALL""",
     "nested_blocks": LENGTHS + " SELECT repo_id, language, kind, CAST(n_chars AS INTEGER) AS n_chars, count(*) AS n FROM b GROUP BY ALL",
     "nested_copies": """WITH s AS (SELECT CAST(s_suppkey % 3 AS VARCHAR) AS repo_id, s_suppkey % 6 AS more, 2 * count(*) AS n FROM supplier GROUP BY ALL),
         outer_ AS (SELECT repo_id, more, n // 2 AS n FROM s) SELECT repo_id, CAST(n AS BIGINT) AS n, count(*) AS families FROM (SELECT repo_id, n FROM s UNION ALL SELECT repo_id, n FROM outer_) GROUP BY ALL""",

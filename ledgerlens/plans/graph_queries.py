@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..functions.scalars import is_bare, npm_spec, package_of
 from ..operators import graph as G
+from ..operators import guards as G2
 from ..operators import security as S
 from . import views as V
 
@@ -84,11 +85,19 @@ def route_paths(spark, sf_dir):
 
 
 def route_coverage(spark, sf_dir):
-    orders = V.read(spark, sf_dir, "orders")
-    method = F.element_at(F.array(F.lit("GET"), F.lit("POST"), F.lit("DELETE")), (F.pmod("o_orderkey", F.lit(3)) + 1).cast("int"))
-    routes = orders.select("o_orderkey", method.alias("method"), F.concat(F.lit("/api/"), F.lower("o_orderstatus"), F.lit("/"), F.col("o_orderkey")).alias("route"))
-    patterns = spark.sql("SELECT * FROM VALUES ('/api/o/:path*'), ('/api/f'), ('/admin/:id') AS t(pattern)")
-    return S.route_coverage(routes, patterns).groupBy("method", "covered").agg(F.count("*").alias("n"))
+    """Orders as routes of a customer's repository, under guards whose patterns come from the customer, too."""
+    orders, k = V.read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    method = F.element_at(F.array(F.lit("GET"), F.lit("POST"), F.lit("DELETE")), (F.pmod(k, F.lit(3)) + 1).cast("int"))
+    routes = orders.where(F.pmod(k, F.lit(3)) > 0).select(
+        F.col("o_custkey").alias("repo_id"), method.alias("method"), F.concat(F.lit("/api/"), F.lower("o_orderstatus"), F.lit("/v"), F.pmod(k, F.lit(7))).alias("route")
+    )
+    kind = F.pmod("c_custkey", F.lit(6))
+    pattern = (
+        F.when(kind == 0, "/api/o/:path*").when(kind == 1, F.concat(F.lit("/api/f/v"), F.pmod("c_nationkey", F.lit(7)))).when(kind == 2, "/:any/f/:id")
+        .when(kind == 3, "/admin/:path*").when(kind == 4, "/api/*1")
+    )
+    patterns = V.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("repo_id"), pattern.alias("pattern"))
+    return G2.covered(routes, patterns).groupBy("method", "covered", "opaque").agg(F.count("*").alias("n"))
 
 
 def packages_of(spark, sf_dir):
@@ -177,8 +186,9 @@ ORACLES = {
         UNION SELECT dst, distance + 1 FROM w JOIN e ON node = src) SELECT node, min(distance) AS distance FROM w GROUP BY node""",
     "route_paths": r"""SELECT page_id, '/' || array_to_string(list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)?', 1), '/') ||
         CASE page_id % 3 WHEN 0 THEN [':id'] WHEN 1 THEN [] ELSE ['*'] END, lambda s: s <> ''), '/') AS route FROM pages""",
-    "route_coverage": """SELECT m AS method, c AS covered, count(*) AS n FROM (SELECT CASE o_orderkey % 3 WHEN 1 THEN 'POST' WHEN 2 THEN 'DELETE' END AS m,
-        o_orderstatus = 'O' AS c FROM orders WHERE o_orderkey % 3 > 0) GROUP BY 1, 2""",
+    "route_coverage": """SELECT CASE o_orderkey % 3 WHEN 1 THEN 'POST' ELSE 'DELETE' END AS method, CASE c_custkey % 6 WHEN 0 THEN o_orderstatus = 'O'
+        WHEN 1 THEN o_orderstatus = 'F' AND o_orderkey % 7 = c_nationkey % 7 WHEN 2 THEN o_orderstatus = 'F' WHEN 4 THEN o_orderkey % 7 = 1 ELSE false END AS covered,
+        c_custkey % 6 = 5 AS opaque, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 3 > 0 GROUP BY ALL""",
     "package_dedupe": PACKAGES + "SELECT 'npm' AS ecosystem, * FROM packages",
     "advisory_join": PACKAGES + """SELECT name, version, direct, dev_only, CASE version WHEN '1.0' THEN 1 ELSE 2 END::BIGINT AS n_advisories,
         CASE p_partkey % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'critical' END AS worst

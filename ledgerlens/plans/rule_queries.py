@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..operators import facts, history, scoring, tooling
+from ..operators import facts, guards, history, scoring, tooling
 from ..sources import lockfiles
 from . import audit
 from . import views as V
@@ -142,7 +142,7 @@ def audit_priorities(spark, sf_dir):
 
 
 def route_facts(spark, sf_dir):
-    found = facts.routes(services(spark, sf_dir))
+    found = guards.routes(services(spark, sf_dir))
     return found.groupBy("method", "route", "guarded").agg(F.count("*").alias("n"))
 
 
