@@ -107,20 +107,34 @@ def fold_directories(counts: DataFrame, least: int = 3) -> DataFrame:
     return cur.join(sizes, "target").select(F.col("source").alias("path"), "target", "files", "target_files")
 
 
+#: Rounds of a search whose rows are joined as they are before they become one table.
+ROUNDS = 8
+
+
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """``node, distance`` of all that is reachable, in fewest steps.
 
+    With a column ``tag`` in ``starts``, such as the order and name of a root,
+    also the least ``tag`` among the starts that reach a node in fewest steps: the
+    one that a search from all starts at once, in the order of their tags, comes
+    from.
+
     Breadth first until a round meets no new node: only nodes of the last round
-    are joined, and nodes met before drop out by anti join.  Rows of each round are
-    checkpointed, so lineage stays short.
+    are joined, and nodes met before drop out by anti join.  Rounds are
+    checkpointed, so lineage stays short, and every few of them become one
+    table, so a round reads a few tables however deep the graph is.
     """
-    seen = starts.select("node", F.lit(0).alias("distance")).distinct()
-    front = [seen]
+    tags = ["tag"] if "tag" in starts.columns else []
+    least = [F.min(t).alias(t) for t in tags]
+    once = lambda df: df.groupBy("node").agg(*least) if tags else df.select("node").distinct()
+    seen = [once(starts).withColumn("distance", F.lit(0))]
+    front = seen[0]
     for distance in count(1):
-        known = reduce(DataFrame.unionByName, front)
-        step = front[-1].join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        step = step.join(known, "node", "left_anti").withColumn("distance", F.lit(distance))
-        step = cut(step)
-        if step.isEmpty():
-            return known
-        front.append(step)
+        known = reduce(DataFrame.unionByName, seen)
+        step = once(front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), *tags))
+        front = cut(step.join(known.select("node"), "node", "left_anti").withColumn("distance", F.lit(distance)))
+        if front.isEmpty():
+            return known.select("node", "distance", *tags)
+        seen.append(front)
+        if len(seen) > ROUNDS:
+            seen = [cut(reduce(DataFrame.unionByName, seen))]

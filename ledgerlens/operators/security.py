@@ -76,7 +76,7 @@ def dedupe_packages(packages: DataFrame) -> DataFrame:
     return packages.groupBy(*keys).agg(
         F.bool_or("direct").alias("direct"),
         F.bool_and("dev_only").alias("dev_only"),
-        F.min("source").alias("source"),
+        F.min("source").alias("source"), *([F.min("via").alias("via")] if "via" in packages.columns else []),
     )
 
 

@@ -249,7 +249,7 @@ def pnpm_reachability(spark, sf_dir):
         "  '@s/a@1.0.0(p@1.0.0)':\n    dependencies:\n      c: 1.0.0\n"
     )
     files = part_files(spark, sf_dir, "pnpm-lock.yaml", both, head)
-    return lockfiles.pnpm_lock(files, lockfiles.declared_packages(files)).select("repo_id", "name", "version", "direct", "dev_only")
+    return lockfiles.pnpm_lock(files, lockfiles.declared_packages(files)).select("repo_id", "name", "version", "direct", "dev_only", "via")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -350,7 +350,7 @@ ORACLES = {
         (8, 'docs/readme.txt', false, false, false, false, false, false, false), (9, 'requirements-dev.txt', false, false, false, false, false, true, false)
         ) AS t(m, path, code, test, generated, lockfile, license, relevant, ignored) ON p_partkey % 10 = m GROUP BY ALL""",
     "pnpm_reachability": """SELECT CAST(p_partkey AS VARCHAR) AS repo_id, name, version, name IN ('@s/a', 'b') AS direct,
-        name IN ('b', 'd') OR (name = 'e' AND p_partkey % 2 <> 0) AS dev_only
+        name IN ('b', 'd') OR (name = 'e' AND p_partkey % 2 <> 0) AS dev_only, CASE WHEN name IN ('b', 'd') OR (name = 'e' AND p_partkey % 2 <> 0) THEN 'b' ELSE '@s/a' END AS via
         FROM part, (VALUES ('@s/a', '1.0.0'), ('b', '2.0.0'), ('c', '1.0.0'), ('d', '1.0.0'), ('e', '1.0.0')) AS t(name, version)""",
     "yarn_packages": """SELECT CAST(p_partkey AS VARCHAR) AS repo_id, '@s/p' || p_partkey AS name, '1.' || p_size || '.0' AS version FROM part
         UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'q', '2.0' FROM part""",

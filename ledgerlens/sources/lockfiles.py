@@ -18,7 +18,7 @@ from ..functions.scalars import npm_spec
 from ..operators.graph import cut, reachable
 
 KEYS = ("repo_id", "path")
-COLUMNS = ("repo_id", "ecosystem", "name", "version", "source", "direct", "dev_only")
+COLUMNS = ("repo_id", "ecosystem", "name", "version", "source", "direct", "dev_only", "via")
 
 
 def declared_packages(files: DataFrame) -> DataFrame:
@@ -49,10 +49,11 @@ def extract(pattern: str, group: int = 1, column: str = "line"):
     return F.when(F.col(column).rlike(pattern), F.regexp_extract(column, pattern, group))
 
 
-def package(rows: DataFrame, ecosystem: str, direct, dev_only) -> DataFrame:
+def package(rows: DataFrame, ecosystem: str, direct, dev_only, via=None) -> DataFrame:
+    """A package; ``via`` is the direct dependency that brings it in, where the lockfile tells."""
     return rows.select(
         "repo_id", F.lit(ecosystem).alias("ecosystem"), "name", "version", F.col("path").alias("source"),
-        direct.alias("direct"), dev_only.alias("dev_only"),
+        direct.alias("direct"), dev_only.alias("dev_only"), (F.lit(None).cast("string") if via is None else via).alias("via"),
     )
 
 
@@ -70,11 +71,13 @@ def npm_lock(files: DataFrame, declared: DataFrame) -> DataFrame:
     read = files.where(basename(F.col("path")) == "package-lock.json").select(
         *KEYS, F.from_json("content", f"packages map<string,{entry}>, dependencies map<string,{entry}>").alias("m")
     )
-    both = F.coalesce("m.packages", F.col("m.dependencies"))
-    rows = read.select(*KEYS, F.explode(both).alias("key", "e")).where("key <> '' AND e.version IS NOT NULL AND NOT coalesce(e.link, false)")
+    listed = lambda c: F.coalesce(F.map_entries(c), F.array().cast(f"array<struct<key:string,value:{entry}>>"))
+    both = F.concat(listed(F.col("m.packages")), listed(F.col("m.dependencies")))
+    rows = read.select(*KEYS, F.inline(both).alias("key", "e")).where("key <> '' AND e.version IS NOT NULL AND NOT coalesce(e.link, false)")
     rows = rows.select(*KEYS, F.regexp_extract("key", r"(?:^|.*node_modules/)([^/]+|@[^/]+/[^/]+)$", 1).alias("name"), F.col("e.version").alias("version"), F.coalesce("e.dev", F.lit(False)).alias("_dev"))
-    per = declared.groupBy("repo_id", "name").agg(F.lit(True).alias("_known"))
-    return package(rows.join(per, ["repo_id", "name"], "left"), "npm", F.coalesce("_known", F.lit(False)), F.col("_dev"))
+    per = declared.groupBy("repo_id", "name").agg(F.bool_or("is_runtime").alias("_runtime"))
+    both = rows.distinct().join(per, ["repo_id", "name"], "left")
+    return package(both, "npm", F.col("_runtime").isNotNull(), F.col("_dev") | ~F.coalesce("_runtime", F.lit(True)))
 
 
 def pnpm_lines(files: DataFrame) -> DataFrame:
@@ -97,7 +100,7 @@ def pnpm_node(name, version):
 
 
 def pnpm_reached(lines: DataFrame) -> DataFrame:
-    """``repo_id, path, spec, run, root``: what importers reach; is it at run time, is it their own?
+    """``repo_id, path, spec, run, root, via``: what importers reach; is it at run time, is it their own, and which one leads to it first?
 
     A lockfile lists what its importers ask for under ``importers``, or, where it
     has one alone, under the groups themselves.
@@ -110,10 +113,12 @@ def pnpm_reached(lines: DataFrame) -> DataFrame:
     kind = F.when(of_importer, F.col("group")).otherwise(F.col("section"))
     name = F.when(of_importer, F.col("name")).otherwise(F.col("head"))
     asked = of_importer | (alone & (((F.col("indent") == 4) & (F.col("key") == "version")) | ((F.col("indent") == 2) & (F.col("said") != ""))))
-    roots = cut(lines.where(asked & (F.col("said") != "")).select(pnpm_node(name, F.col("said")).alias("node"), kind.isin(*runtime).alias("run")).distinct())
-    parts = [reachable(edges, roots.where(is_run)).select("node", F.lit(run).alias("run"), F.col("distance") == 0) for is_run, run in (("run", True), ("NOT run", False))]
-    both = parts[0].unionAll(parts[1]).toDF("node", "run", "root")
-    return both.groupBy("node").agg(F.bool_or("run").alias("run"), F.bool_or("root").alias("root")).select("node.*", "run", "root")
+    tag = F.struct(F.col("n").alias("order"), name.alias("via"))
+    roots = cut(lines.where(asked & (F.col("said") != "")).select(pnpm_node(name, F.col("said")).alias("node"), kind.isin(*runtime).alias("run"), tag.alias("tag")))
+    parts = [reachable(edges, roots.where(is_run)).select("node", F.lit(run).alias("run"), (F.col("distance") == 0).alias("root"), "tag.via") for is_run, run in (("run", True), ("NOT run", False))]
+    # what run time reaches is found by way of run time
+    both = parts[0].unionAll(parts[1]).groupBy("node").agg(F.bool_or("run").alias("run"), F.bool_or("root").alias("root"), F.max_by("via", "run").alias("via"))
+    return both.select("node.*", "run", "root", "via")
 
 
 def pnpm_lock(files: DataFrame, declared: DataFrame) -> DataFrame:
@@ -128,7 +133,7 @@ def pnpm_lock(files: DataFrame, declared: DataFrame) -> DataFrame:
     both = found.join(per, ["repo_id", "name"], "left")
     known = F.col("_runtime").isNotNull()
     dev_only = F.coalesce(~F.col("run"), known & ~F.coalesce("_runtime", F.lit(False)))
-    return package(both, "npm", known | F.coalesce("root", F.lit(False)), dev_only)
+    return package(both, "npm", known | F.coalesce("root", F.lit(False)), dev_only, F.col("via"))
 
 
 def yarn_lock(files: DataFrame, declared: DataFrame) -> DataFrame:
