@@ -105,7 +105,41 @@ def latest_per_key(rows: DataFrame, key: str, order: list) -> DataFrame:
     return rows.groupBy(key).agg(best.alias("_best")).select(key, "_best.*")
 
 
+def effort(findings: DataFrame, minutes="fix_minutes") -> DataFrame:
+    """Minutes to fix all findings of a repository; one without an estimate counts nothing."""
+    return findings.groupBy(*keys_of(findings)).agg(F.sum(F.coalesce(F.col(minutes), F.lit(0))).cast("long").alias("minutes"))
+
+
 HOURLY_REQUESTS, BURST, BURST_MINUTES = 180, 5, 10
+FULL_SCAN = 3
+
+
+def estimate_spend(has_stored, within_recheck):
+    """What a request is about to cost: nothing if a stored scan is still fresh."""
+    return F.when(has_stored & within_recheck, 0).otherwise(FULL_SCAN)
+
+
+def verdicts(requests: DataFrame, caller="caller", at="ts", spent="spent") -> DataFrame:
+    """Every request with ``recent``, ``spent_hour`` and a verdict, at its own time.
+
+    ``recent`` are the caller's requests of the ten minutes before, ``spent_hour``
+    what all callers spent in the hour before; requests of the same instant do
+    not count against each other.  The hour of all callers is no window over
+    everything: time is cut into hours, spend is summed per instant, and an hour's
+    group holds its own instants and those of the hour before.
+    """
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    minute = 60 * 10**6
+    rows = requests.withColumn("_at", micros)
+    own = Window.partitionBy(caller).orderBy("_at").rangeBetween(-BURST_MINUTES * minute + 1, -1)
+    rows = rows.withColumn("recent", F.count("*").over(own))
+    instants = rows.groupBy("_at").agg(F.sum(spent).alias("_spent"))
+    hour = F.floor(F.col("_at") / (60 * minute))
+    dealt = instants.select("_at", "_spent", F.explode(F.array(hour, hour + 1)).alias("_hour"))
+    before = Window.partitionBy("_hour").orderBy("_at").rangeBetween(-60 * minute + 1, -1)
+    sums = dealt.withColumn("spent_hour", F.coalesce(F.sum("_spent").over(before), F.lit(0))).where(hour == F.col("_hour")).select("_at", "spent_hour")
+    verdict = F.when(F.col("recent") >= BURST, "burst").when(F.col("spent_hour") + F.col(spent) > HOURLY_REQUESTS, "budget").otherwise("allowed")
+    return rows.join(sums, "_at").withColumn("verdict", verdict).drop("_at")
 
 
 def rate_limit(requests: DataFrame, caller="caller", at="ts", spent="spent") -> DataFrame:

@@ -55,12 +55,15 @@ def license_fingerprint(spark, sf_dir):
     return V.files(spark, sf_dir).select("path", identify_license(F.col("content")).alias("license"))
 
 
+DECLARED = ("MIT", "(MIT OR Apache-2.0)", "BSD", "GPL-3.0-only", "")
+
+
 def license_matches_declared(spark, sf_dir):
-    declared = spark.sql("SELECT * FROM VALUES ('MIT'), ('(MIT OR Apache-2.0)'), ('BSD'), ('GPL-3.0-only'), ('') AS t(declared)")
-    ids = spark.createDataFrame([(n,) for n, _ in LICENSE_PHRASES], "identified string")
-    return declared.crossJoin(ids).select(  # 5 by 12 rows
-        "declared", "identified", license_matches(F.col("declared"), F.col("identified")).alias("agrees")
-    )
+    """Parts that declare one licence and hold the text of another."""
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (F.pmod(n, F.lit(len(names))) + 1).cast("int"))
+    rows = V.read(spark, sf_dir, "part").select(pick(DECLARED, F.col("p_partkey")).alias("declared"), pick([n for n, _ in LICENSE_PHRASES], F.col("p_size")).alias("identified"))
+    agrees = license_matches(F.col("declared"), F.col("identified")).alias("agrees")
+    return rows.groupBy("declared", "identified", agrees).agg(F.count("*").alias("n"))
 
 
 def secret_scan(spark, sf_dir):
@@ -70,14 +73,6 @@ def secret_scan(spark, sf_dir):
     return tokens.join(hits, "path", "left").select("path", F.coalesce("n", F.lit(0)).alias("vendor_hits"))
 
 
-def comment_word_overlap(spark, sf_dir):
-    """Benchmark items as comments against conversations' first turns as code."""
-    items = V.read(spark, sf_dir, "benchmark").select("item_id", comment_words(F.substring("text", 1, 120)).alias("words"))
-    code = V.read(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", identifier_words(F.substring("text", 1, 400)).alias("names"))
-    pairs = items.join(code, F.pmod("conv_id", F.lit(40)) == F.pmod("item_id", F.lit(40)))
-    return pairs.select("item_id", "conv_id", F.round(word_overlap(F.col("words"), F.col("names")), 6).alias("overlap"))
-
-
 def turn_word_overlap(spark, sf_dir):
     """Every turn as a comment against the next turn of its conversation as code, whole texts."""
     turns = V.read(spark, sf_dir, "conversations")
@@ -114,7 +109,7 @@ def license_reading(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     language_profile, sloc_per_file, file_index, exact_duplicate_files, clone_families_normalised, walk_caps, generated_header,
-    license_fingerprint, license_matches_declared, secret_scan, comment_word_overlap, turn_word_overlap, stopword_filter, convention_majority,
+    license_fingerprint, license_matches_declared, secret_scan, turn_word_overlap, stopword_filter, convention_majority,
     directory_fold, license_reading,
 )}
 FILES = """WITH files AS (SELECT doc_id, source AS repo_id, source || '/' || lang || '/' || doc_id || '.txt' AS path, text AS content,
@@ -147,14 +142,10 @@ ORACLES = {
     "generated_header": FILES + """ SELECT path, contains(h, '@generated') OR regexp_matches(h, 'Code generated .*DO NOT EDIT|DO NOT EDIT THIS FILE|auto-?generated by', 'i') AS generated,
         regexp_matches(h, 'licensed under', 'i') AS license_header FROM (SELECT path, substr(content, 1, 1000) AS h FROM files)""",
     "license_fingerprint": FILES + f" SELECT path, {LICENSE} AS license FROM (SELECT path, {FLAT} AS t FROM files)",
-    "license_matches_declared": """SELECT declared, identified, len(list_filter(regexp_split_to_array(upper(declared), '[^A-Z0-9.+-]+'),
-        lambda t: t <> '' AND (starts_with(upper(identified), t) OR starts_with(t, upper(identified))))) > 0 AS agrees
-        FROM (VALUES ('MIT'), ('(MIT OR Apache-2.0)'), ('BSD'), ('GPL-3.0-only'), ('')) AS d(declared), (VALUES """
-    + ", ".join(f"('{n}')" for n, _ in LICENSE_PHRASES) + ") AS i(identified)",
+    "license_matches_declared": f"""SELECT declared, identified, len(list_filter(regexp_split_to_array(upper(declared), '[^A-Z0-9.+-]+'),
+        lambda t: t <> '' AND (starts_with(upper(identified), t) OR starts_with(t, upper(identified))))) > 0 AS agrees, count(*) AS n
+        FROM (SELECT {list(DECLARED)}[p_partkey % {len(DECLARED)} + 1] AS declared, {[n for n, _ in LICENSE_PHRASES]}[p_size % {len(LICENSE_PHRASES)} + 1] AS identified FROM part) GROUP BY ALL""",
     "secret_scan": FILES + """ SELECT path, CAST(0 AS BIGINT) AS vendor_hits FROM files WHERE regexp_matches(content, 'token = "[0-9a-f]{40}"', 'i')""",
-    "comment_word_overlap": f"""SELECT item_id, conv_id, CASE WHEN len(w) > 0 THEN round(len(list_filter(w, lambda x: list_contains(n, x))) / len(w), 6) END AS overlap
-        FROM (SELECT item_id, {COMMENT.replace('{0}', 'substr(text, 1, 120)')} AS w FROM benchmark) JOIN
-        (SELECT conv_id, {NAMES.replace('{0}', 'substr(text, 1, 400)')} AS n FROM conversations WHERE turn = 0) ON conv_id % 40 = item_id % 40""",
     "turn_word_overlap": f"""SELECT conv_id, turn, CASE WHEN len(w) > 0 THEN round(len(list_filter(w, lambda x: list_contains(n, x))) / len(w), 6) END AS overlap
         FROM (SELECT conv_id, turn, {COMMENT.replace('{0}', 'text')} AS w FROM conversations) JOIN
         (SELECT conv_id, turn - 1 AS turn, {NAMES.replace('{0}', 'text')} AS n FROM conversations) USING (conv_id, turn)""",

@@ -41,13 +41,6 @@ def page_dirs(spark, sf_dir):
     return V.read(spark, sf_dir, "pages").select("page_id", F.concat(V.url_host(F.col("url")), paths.directory(path)).alias("dir"))
 
 
-def module_graph_edges(spark, sf_dir):
-    """Edges from the first part of a page's path to that of the target."""
-    part = lambda c: F.substring(F.lower(F.regexp_extract(c, "^/([^/]*)", 1)), 1, 2)
-    edges = page_edges(spark, sf_dir)
-    return G.module_edges(edges.select(part("from_path").alias("from_dir"), part("to_path").alias("to_dir")))
-
-
 def directory_graph_edges(spark, sf_dir):
     """Edges between whole directories, named as in ``module_graph_nodes``; a link stays on its page's host."""
     url = F.col("url")
@@ -156,7 +149,7 @@ def npm_specs(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    import_edges, orphan_pages, graph_roots, external_packages, module_graph_edges, directory_graph_edges, module_graph_nodes, nearest_config,
+    import_edges, orphan_pages, graph_roots, external_packages, directory_graph_edges, module_graph_nodes, nearest_config,
     reachability, route_paths, route_coverage, package_dedupe, advisory_join, declared_minus_used, manifest_json,
     specifier_packages, npm_specs,
 )}
@@ -171,8 +164,6 @@ ORACLES = {
     "orphan_pages": LINKS + "SELECT page_id, path FROM known WHERE path NOT IN (SELECT to_path FROM edges WHERE from_path <> to_path)",
     "graph_roots": LINKS + "SELECT DISTINCT from_path AS node FROM edges WHERE from_path NOT IN (SELECT to_path FROM edges WHERE from_path <> to_path)",
     "external_packages": LINKS + "SELECT string_split(ltrim(href, '/'), '/')[1] AS package, count(*) AS n FROM links GROUP BY 1",
-    "module_graph_edges": LINKS + """SELECT * FROM (SELECT substr(lower(regexp_extract(from_path, '^/([^/]*)', 1)), 1, 2) AS from_dir,
-        substr(lower(regexp_extract(to_path, '^/([^/]*)', 1)), 1, 2) AS to_dir, count(*) AS count FROM edges GROUP BY 1, 2) WHERE from_dir <> to_dir""",
     "directory_graph_edges": LINKS + r"""SELECT * FROM (SELECT h || regexp_extract(p, '^(.*)/[^/]*$', 1) AS from_dir, h || regexp_extract(href, '^(.*)/[^/]*$', 1) AS to_dir,
         count(*) AS count FROM (SELECT regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS h, regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)?', 1) AS p, href FROM links)
         GROUP BY 1, 2) WHERE from_dir <> to_dir""",

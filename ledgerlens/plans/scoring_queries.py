@@ -10,15 +10,15 @@ from . import views as V
 
 
 def weighted_score(spark, sf_dir):
-    return S.scores(V.signals(spark)).select("dimension", "score")
+    return S.scores(V.signals(spark, sf_dir)).select("dimension", "score")
 
 
 def score_confidence(spark, sf_dir):
-    return S.scores(V.signals(spark)).select("dimension", "confidence", F.round("coverage", 6).alias("coverage"), "n_unavailable")
+    return S.scores(V.signals(spark, sf_dir)).select("dimension", "confidence", F.round("coverage", 6).alias("coverage"), "n_unavailable")
 
 
 def contributions(spark, sf_dir):
-    return S.contributions(V.signals(spark)).select(
+    return S.contributions(V.signals(spark, sf_dir)).select(
         "dimension", "id", F.round("points", 6).alias("points"), F.round("max_points", 6).alias("max_points")
     )
 
@@ -63,21 +63,30 @@ def latest_per_key(spark, sf_dir):
 
 
 def priorities_top5(spark, sf_dir):
-    return S.priorities(spark.sql(V.FINDINGS)).select("finding_id", "rule_id", "severity")
+    return S.priorities(V.findings(spark, sf_dir)).select("repo_id", "finding_id", "rule_id", "severity")
 
 
 def severity_sort(spark, sf_dir):
-    return S.ordered_findings(spark.sql(V.FINDINGS)).select("finding_id", F.col("position").cast("long").alias("position"))
+    return S.ordered_findings(V.findings(spark, sf_dir)).select("repo_id", "finding_id", F.col("position").cast("long").alias("position"))
 
 
 def health_reweight(spark, sf_dir):
-    weights = spark.sql("SELECT id, CAST(weight AS DOUBLE) AS weight FROM VALUES ('a1', 3.0), ('a2', 1.0), ('a3', 2.0), ('zz', 2.5) AS t(id, weight)")
-    return S.reweight(weights, V.signals(spark)).select("id", "value", "weight", "available", "reason")
+    """Signals of one dimension under weights of the nations; regions name signals that do not exist."""
+    weights = V.read(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), (F.pmod("n_nationkey", F.lit(3)) + 1).cast("double").alias("weight"))
+    missing = V.read(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(2.5).alias("weight"))
+    found = S.reweight(weights.unionAll(missing), V.signals(spark, sf_dir).where("dimension = 'BUILDING'"))
+    return found.select("id", F.round("value", 6).alias("value"), "weight", "available", "reason")
 
 
 def effort_sum(spark, sf_dir):
-    rows = V.read(spark, sf_dir, "lineitem").withColumn("fix", F.when(F.col("l_returnflag") == "R", F.col("l_quantity").cast("long")))
-    return rows.groupBy("l_linestatus").agg(F.sum(F.coalesce("fix", F.lit(0))).alias("minutes"))
+    return S.effort(V.findings(spark, sf_dir))
+
+
+def request_verdicts(spark, sf_dir):
+    """Every event as a request, judged at its own time."""
+    cost = S.estimate_spend(F.pmod("event_id", F.lit(3)) == 0, F.col("value") > 20)
+    requests = V.read(spark, sf_dir, "events").select("event_id", F.pmod("user_id", F.lit(50)).alias("caller"), "ts", cost.alias("spent"))
+    return S.verdicts(requests).select("event_id", F.col("spent").cast("long").alias("spent"), "recent", "spent_hour", "verdict")
 
 
 def test_ratio(spark, sf_dir):
@@ -98,7 +107,7 @@ def open_route_ratio(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     weighted_score, score_confidence, contributions, bands, source_scores, hotspot_density, rate_limit, latest_per_key,
-    priorities_top5, severity_sort, health_reweight, effort_sum, test_ratio, open_route_ratio,
+    priorities_top5, severity_sort, health_reweight, effort_sum, request_verdicts, test_ratio, open_route_ratio,
 )}
 RANKS = """list_position(['info','low','medium','high','critical'], severity) DESC,
   list_position(['low','medium','high','certain'], confidence) DESC, n_locations DESC, rule_id, finding_id"""
@@ -128,14 +137,20 @@ ORACLES = {
         FROM (SELECT *, CAST(sum(spent_hour) OVER () AS BIGINT) AS spent_all FROM per)""",
     "latest_per_key": """SELECT o_custkey, o_orderkey, o_totalprice, o_orderdate FROM orders
         QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""",
-    "priorities_top5": f"""SELECT finding_id, rule_id, severity FROM (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY p) AS f FROM (
-        SELECT *, row_number() OVER (ORDER BY {RANKS}) AS p FROM {V.FINDINGS_DUCK} WHERE severity <> 'info')) WHERE f = 1 ORDER BY p LIMIT 5""",
-    "severity_sort": f"SELECT finding_id, row_number() OVER (ORDER BY {RANKS}) AS position FROM {V.FINDINGS_DUCK}",
-    "health_reweight": f"""SELECT w.id, coalesce(s.value, 0)::DOUBLE AS value, w.weight::DOUBLE AS weight, coalesce(s.available, false) AS available,
+    "request_verdicts": """WITH e AS (SELECT event_id, user_id % 50 AS caller, epoch_us(ts) AS us, CASE WHEN event_id % 3 = 0 AND value > 20 THEN 0 ELSE 3 END AS spent FROM events),
+        m AS (SELECT *, count(*) OVER (PARTITION BY caller ORDER BY us RANGE BETWEEN 599999999 PRECEDING AND 1 PRECEDING) AS recent,
+          coalesce(sum(spent) OVER (ORDER BY us RANGE BETWEEN 3599999999 PRECEDING AND 1 PRECEDING), 0) AS spent_hour FROM e)
+        SELECT event_id, CAST(spent AS BIGINT) AS spent, recent, CAST(spent_hour AS BIGINT) AS spent_hour,
+          CASE WHEN recent >= 5 THEN 'burst' WHEN spent_hour + spent > 180 THEN 'budget' ELSE 'allowed' END AS verdict FROM m""",
+    "priorities_top5": f"""SELECT repo_id, finding_id, rule_id, severity FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, rule_id ORDER BY p) AS f FROM (
+        SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY {RANKS}) AS p FROM {V.FINDINGS_DUCK} WHERE severity <> 'info')) WHERE f = 1
+        QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY p) <= 5""",
+    "severity_sort": f"SELECT repo_id, finding_id, row_number() OVER (PARTITION BY repo_id ORDER BY {RANKS}) AS position FROM {V.FINDINGS_DUCK}",
+    "health_reweight": f"""SELECT w.id, round(coalesce(s.value, 0), 6)::DOUBLE AS value, w.weight, coalesce(s.available, false) AS available,
         CASE WHEN s.id IS NULL THEN 'not produced by this scan' ELSE s.reason END AS reason
-        FROM (VALUES ('a1', 3.0), ('a2', 1.0), ('a3', 2.0), ('zz', 2.5)) AS w(id, weight) LEFT JOIN {V.SIGNALS_DUCK} s ON s.id = w.id""",
-    "effort_sum": """SELECT l_linestatus, CAST(sum(CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS BIGINT) AS minutes
-        FROM lineitem GROUP BY l_linestatus""",
+        FROM (SELECT 'n' || n_nationkey AS id, (n_nationkey % 3 + 1)::DOUBLE AS weight FROM nation UNION ALL SELECT 'r' || r_regionkey, 2.5::DOUBLE FROM region) AS w
+        LEFT JOIN (SELECT * FROM {V.SIGNALS_DUCK} WHERE dimension = 'BUILDING') s ON s.id = w.id""",
+    "effort_sum": f"SELECT repo_id, CAST(sum(coalesce(fix_minutes, 0)) AS BIGINT) AS minutes FROM {V.FINDINGS_DUCK} GROUP BY repo_id",
     "test_ratio": """SELECT t AS tests, s AS sources, round(1 - greatest(0.0, least(1.0, (t / s - 0.05) / 0.35)), 6)::DOUBLE AS value FROM (
         SELECT count(*) FILTER (WHERE role = 'user') AS t, count(*) FILTER (WHERE role = 'assistant') AS s FROM conversations)""",
     "open_route_ratio": """SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'O') AS n_open, count(*) AS n_judged,

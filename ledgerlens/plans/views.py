@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import CONFIDENCES, SEVERITIES
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,25 +54,32 @@ def url_host(url):
     return F.regexp_extract(url, r"^[a-z]+://([^/]*)", 1)
 
 
-VALUES = """
-  ('authorship','a1',0.9,3.0,true,''), ('authorship','a2',0.2,2.0,true,''), ('authorship','a3',0.0,1.5,false,'no history'),
-  ('health','h1',0.5,2.5,true,''), ('health','h2',0.75,2.0,true,''), ('health','h3',0.1,1.0,true,''),
-  ('security','s1',1.0,2.5,true,''), ('security','s2',0.0,2.0,false,'lookup off'), ('security','s3',0.0,3.0,false,'no routes'),
-  ('empty','e1',0.0,2.0,false,'no files')
-"""
-SIGNALS = f"SELECT * FROM VALUES {VALUES} AS t(dimension, id, value, weight, available, reason)"
-SIGNALS_DUCK = f"(SELECT * FROM (VALUES {VALUES}) AS t(dimension, id, value, weight, available, reason))"
+def signals(spark, sf_dir) -> DataFrame:
+    """A segment of customers is a dimension, their nation a signal; one dimension has none that is available."""
+    nation = F.col("c_nationkey")
+    rows = read(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("dimension"), "c_nationkey").agg((F.count_if(F.col("c_acctbal") < 0) / F.count("*")).alias("value"))
+    return rows.select(
+        F.col("dimension"), F.concat(F.lit("n"), nation).alias("id"), "value", (1 + F.pmod(nation, F.lit(4)) * 0.5).cast("double").alias("weight"),
+        ((F.pmod(nation, F.lit(5)) != 0) & (F.col("dimension") != "MACHINERY")).alias("available"), F.concat(F.lit("reason "), F.pmod(nation, F.lit(3))).alias("reason"),
+    )
+
+
+SIGNALS_DUCK = """(SELECT c_mktsegment AS dimension, 'n' || c_nationkey AS id, count(*) FILTER (WHERE c_acctbal < 0) / count(*) AS value, (1 + c_nationkey % 4 * 0.5)::DOUBLE AS weight,
+  c_nationkey % 5 <> 0 AND c_mktsegment <> 'MACHINERY' AS available, 'reason ' || c_nationkey % 3 AS reason FROM customer GROUP BY c_mktsegment, c_nationkey)"""
+
+RULES = ("hardcoded-secret", "missing-license", "dangerous-call", "ai-authored-commits", "duplicate-function", "swallowed-errors", "unused-dependencies", "vulnerable-dependency")
 
 
-def signals(spark) -> DataFrame:
-    return spark.sql(SIGNALS).withColumn("value", F.col("value").cast("double")).withColumn("weight", F.col("weight").cast("double"))
+def findings(spark, sf_dir) -> DataFrame:
+    """An order is a finding of its customer's repository."""
+    k = F.col("o_orderkey")
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (F.pmod(n, F.lit(len(names))) + 1).cast("int"))
+    return read(spark, sf_dir, "orders").select(
+        k.alias("finding_id"), F.col("o_custkey").alias("repo_id"), pick(RULES, k).alias("rule_id"), pick(SEVERITIES, F.floor(k / 3)).alias("severity"),
+        pick(CONFIDENCES, F.floor(k / 7)).alias("confidence"), F.pmod(k, F.lit(11)).alias("n_locations"),
+        F.when(F.pmod(k, F.lit(4)) != 0, F.pmod(k, F.lit(90))).alias("fix_minutes"),
+    )
 
 
-FINDING_VALUES = """
-  (1,'hardcoded-secret','critical','certain',2), (2,'missing-license','low','certain',0), (3,'dangerous-call','medium','medium',4),
-  (4,'dangerous-call','medium','medium',7), (5,'ai-authored-commits','info','certain',1), (6,'duplicate-function','medium','high',3),
-  (7,'duplicate-function','low','high',2), (8,'swallowed-errors','medium','high',3), (9,'unused-dependencies','low','medium',1),
-  (10,'vulnerable-dependency','high','high',5)
-"""
-FINDINGS = f"SELECT * FROM VALUES {FINDING_VALUES} AS t(finding_id, rule_id, severity, confidence, n_locations)"
-FINDINGS_DUCK = f"(SELECT * FROM (VALUES {FINDING_VALUES}) AS t(finding_id, rule_id, severity, confidence, n_locations))"
+FINDINGS_DUCK = f"""(SELECT o_orderkey AS finding_id, o_custkey AS repo_id, {list(RULES)}[o_orderkey % 8 + 1] AS rule_id, {list(SEVERITIES)}[o_orderkey // 3 % 5 + 1] AS severity,
+  {list(CONFIDENCES)}[o_orderkey // 7 % 4 + 1] AS confidence, o_orderkey % 11 AS n_locations, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 90 END AS fix_minutes FROM orders)"""
