@@ -76,11 +76,12 @@ def script_kind(token: Column) -> Column:
 
 
 def opened(files: DataFrame, tokens: Column, kind, opening="{", closing="}") -> DataFrame:
-    """``repo_id, path, place, kind, head, body`` of all blocks with a head; ``place`` is the order of the heads."""
+    """``repo_id, path, place, line, kind, head, body`` of all blocks with a head; ``place`` is the order of the heads."""
     cut = files.select("repo_id", "path", tokens.alias("_t"))
     found = cut.select("repo_id", "path", "_t", F.explode(F.array_sort(pairs(F.col("_t"), kind, opening, closing))).alias("_b"))
     body = F.array_join(F.slice("_t", F.col("_b.open") + 2, F.col("_b.close") - F.col("_b.open") - 1), "")
-    return found.select("repo_id", "path", F.col("_b.open").alias("place"), F.col("_b.kind").alias("kind"), F.get("_t", F.col("_b.open")).alias("head"), body.alias("body"))
+    line = F.size(F.split(F.array_join(F.slice("_t", F.lit(1), F.col("_b.open")), ""), "\n"))
+    return found.select("repo_id", "path", F.col("_b.open").alias("place"), line.alias("line"), F.col("_b.kind").alias("kind"), F.get("_t", F.col("_b.open")).alias("head"), body.alias("body"))
 
 
 def tokens_of(content: Column, pattern: str) -> Column:
@@ -95,7 +96,7 @@ def braced(files: DataFrame) -> DataFrame:
 
 
 def called(files: DataFrame, call: str) -> DataFrame:
-    """``head, body`` of all calls that match ``call``, a pattern that ends with the opening parenthesis; the body are the arguments."""
+    """``line, head, body`` of all calls that match ``call``, a pattern that ends with the opening parenthesis; the body are the arguments."""
     pattern = "|".join((LINE_COMMENT, BLOCK_COMMENT, QUOTED, TEMPLATE, REGEX, call, REST))
     kind = lambda t: F.when(F.length(t) > 1, "call")
     return opened(files, tokens_of(F.col("content"), pattern), kind, "(", ")")

@@ -30,15 +30,18 @@ DIRECTIVE = r"(?i)^\s*(eslint|ts-|@ts-|prettier|biome|istanbul|c8|v8|global|jshi
 # Where calls that only record an error begin, in scripts and in Python.
 LOG_ROOTS = "console|logger|log|winston|pino"
 PYTHON_LOGS = r"print|logging\.\w+|logger\.\w+|log\.\w+"
-#: Kind of a dangerous call and the line pattern that shows it.
-SINKS = (
-    ("eval", r"(?<![\w.])eval\(\s*[^)'\"\s]"),
-    ("new-function", r"\bnew\s+Function\("),
-    ("shell", r"\b(?:exec|execSync)\(\s*`[^`]*\$\{"),
-    ("sql", r"\b(?:query|execute)\(\s*(?:`[^`]*\$\{|['\"][^'\"]*['\"]\s*\+)"),
+#: Kind of a setting that is dangerous and the line pattern that shows it.
+SETTINGS = (
     ("html", r"dangerouslySetInnerHTML|__html\s*:"),
-    ("cors", r"""Access-Control-Allow-Origin['"]\s*[,:]\s*['"]\*|\borigin\s*:\s*['"]\*['"]"""),
+    ("cors", r"""Access-Control-Allow-Origin['"]\s*[,:]\s*['"]\*|\borigin\s*:\s*(?:['"]\*['"]|true\b)"""),
 )
+# Calls that run a shell or a query.
+SHELL_CALLS = "exec|execSync|spawnSync|spawn"
+QUERY_CALLS = "query|raw|execute|unsafe"
+SINK_CALL = rf"(?<![\w$.])(?:eval|cors|new\s+Function|(?:[\w$]+\??\.)*(?:{SHELL_CALLS}|{QUERY_CALLS}))\s*\("
+#: The first of a list of arguments, and a text that says the same on every call.
+FIRST = rf"^((?:[^,()\[\]{{}}'\"`]++|{blocks.QUOTED}|{blocks.TEMPLATE}|{blocks.PARENS}|\[[^\]]*+\]|\{{[^}}]*+\}})*+)"
+STATIC_TEXT = rf"{blocks.QUOTED}|`(?:[^`\\$]++|\\[\s\S]|\$(?!\{{))*+`|\b(?:\d[\w.]*|true|false|null)\b"
 # Paths whose code never serves a request.
 BUILD_CONTEXT = (
     r"(?i)(^|[/\\])(scripts?|bin|tools?|examples?|benchmarks?|\.config)[/\\]|\.(config|conf)\.[cm]?[jt]sx?$"
@@ -177,32 +180,54 @@ def comments(files: DataFrame) -> DataFrame:
     return rows.select(*KEYS, "line", "text", (word_overlap(F.col("words"), identifier_words(F.col("near"))) >= 0.6).alias("hit"))
 
 
+#: Dimensions that a formatter decides.
+FORMATTING = ("quotes", "semicolons")
+
+
 def conventions(files: DataFrame) -> DataFrame:
-    """``dim, choice`` of each script: quotes, semicolons, indentation, naming of the file."""
+    """``dim, choice`` of each script in six dimensions; one that shows too little of a dimension has no choice in it."""
     js = of_kind(authored(files), JS)
-    count = lambda pattern: F.size(all_groups(F.col("content"), pattern))
-    single, double = count(r"('[^'\n]*')"), count(r'("[^"\n]*")')
-    ends, open_ends = count(r"(?m)(;)[ \t]*$"), count(r"(?m)^\s*(?:const|let|return|import)\b[^;{}()\n]*([^;{}(,\s])$")
-    tabs, spaces = count(r"(?m)^(\t+)\S"), count(r"(?m)^( {2,})\S")
-    stem = F.regexp_extract("path", r"([^/.]+)[^/]*$", 1)
-    naming = (
-        F.when(stem.rlike(r"^[a-z0-9]+(-[a-z0-9]+)+$"), "kebab").when(stem.rlike(r"^[A-Z][A-Za-z0-9]*$"), "pascal")
-        .when(stem.rlike(r"^[a-z][a-z0-9]*[A-Z][A-Za-z0-9]*$"), "camel").when(stem.contains("_"), "snake")
-    )
-    pick = lambda a, b, x, y: F.when(a > b, x).when(b > a, y)
+    content = F.regexp_replace("content", rf"({blocks.QUOTED}|{blocks.TEMPLATE})|{blocks.LINE_COMMENT}|{blocks.BLOCK_COMMENT}", "$1")
+    code = js.select(*KEYS, F.regexp_extract_all(content, F.lit(blocks.QUOTED), F.lit(0)).alias("_quoted"), F.regexp_replace(content, blocks.QUOTED, '""').alias("_bare"))
+    count = lambda pattern: F.size(F.regexp_extract_all("_bare", F.lit(pattern), F.lit(0)))
+    arrow = rf"\b(?:const|let|var)\s+[\w$]+\s*(?::[^=]+)?=\s*(?:async\s*)?(?:{blocks.PARENS}{blocks.RETURNS}|[\w$]+)\s*=>"
+    counts = {
+        "single": F.size(F.filter("_quoted", lambda q: q.startswith("'"))), "double": F.size(F.filter("_quoted", lambda q: q.startswith('"'))),
+        "ends": count(r";(?=\s|\}|$)"), "open": count(r"(?m)^\s*(?:const|let|return|import)\b[^;{}()\n]*[^;{}(,\s][ \t]*$"),
+        "tries": count(r"\btry\s*\{"), "catches": count(r"\.catch\s*\("), "awaits": count(r"\bawait\b"), "thens": count(r"\.then\s*\("),
+        "named": count(r"(?m)^\s*export\s+(?!default\b|\*)"), "default": count(r"(?m)^\s*export\s+default\b"),
+        "declared": count(r"(?m)(?:^|[;{}])\s*(?:export\s+(?:default\s+)?)?(?:async\s+)?function\b\s*\*?\s*[\w$]"), "arrows": count(arrow),
+    }
+    code = code.select(*KEYS, F.struct(*[c.cast("int").alias(n) for n, c in counts.items()]).alias("c"))
+    n = lambda name: F.col("c")[name]
+    choice = lambda dim, least, total, first, a, b: F.struct(F.lit(dim).alias("dim"), F.when(total >= least, F.when(first, a).otherwise(b)).alias("choice"))
+    handling = F.when(n("tries") + n("catches") > 0, F.when(n("tries") >= n("catches"), "try-catch").otherwise("promise-catch")).when(n("awaits") > 0, "unhandled")
     found = F.array(
-        F.struct(F.lit("quotes").alias("dim"), pick(single, double, "single", "double").alias("choice")),
-        F.struct(F.lit("semicolons").alias("dim"), pick(ends, open_ends, "always", "never").alias("choice")),
-        F.struct(F.lit("indent").alias("dim"), pick(tabs, spaces, "tabs", "spaces").alias("choice")),
-        F.struct(F.lit("file-name").alias("dim"), naming.alias("choice")),
+        choice("quotes", 3, n("single") + n("double"), n("single") > n("double"), "single", "double"),
+        choice("semicolons", 3, n("ends") + n("open"), n("ends") > n("open"), "semicolons", "no-semicolons"),
+        F.struct(F.lit("error-handling").alias("dim"), handling.alias("choice")),
+        choice("async-style", 2, n("awaits") + n("thens"), n("awaits") >= n("thens"), "async-await", "promise-chain"),
+        choice("export-style", 1, n("named") + n("default"), n("default") > n("named"), "default", "named"),
+        choice("function-style", 2, n("declared") + n("arrows"), n("declared") > n("arrows"), "function-decl", "arrow-const"),
     )
-    return js.select(*KEYS, F.explode(found).alias("c")).select(*KEYS, "c.*").where("choice IS NOT NULL")
+    return code.select(*KEYS, F.explode(found).alias("d")).select(*KEYS, "d.*").where("choice IS NOT NULL")
 
 
 def sinks(files: DataFrame) -> DataFrame:
-    """``line, kind, in_app`` of dangerous calls in authored scripts."""
-    any_kind = "|".join(p for _, p in SINKS)
-    js = of_kind(authored(files), JS).where(F.col("content").rlike(any_kind))
-    rows = js.select(*KEYS, F.posexplode(F.split("content", "\n")).alias("n", "text")).where(F.col("text").rlike(any_kind))
-    kinds = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), k) for k, p in SINKS]))
-    return rows.select(*KEYS, (F.col("n") + 1).alias("line"), F.explode(kinds).alias("kind"), (~F.col("path").rlike(BUILD_CONTEXT)).alias("in_app"))
+    """``line, kind, in_app`` of dangerous calls in authored scripts: code, commands and queries that are built at run time."""
+    js = of_kind(authored(files), JS)
+    name = F.regexp_extract("head", r"([\w$]+)\s*\($", 1)
+    first = F.regexp_extract("body", FIRST, 1)
+    left = lambda text: F.regexp_replace(F.regexp_replace(text, STATIC_TEXT, ""), r"[\s,+]", "")
+    built = (first.rlike(r"^\s*`") & first.contains("${")) | (F.regexp_replace(first, rf"{blocks.QUOTED}|{blocks.TEMPLATE}", '""').contains("+") & (left(first) != ""))
+    kind = (
+        F.when((F.col("head").startswith("eval")) & (left(first) != ""), "eval").when(F.col("head").startswith("new") & (left(F.col("body")) != ""), "new-function")
+        .when(name.rlike(f"^(?:{SHELL_CALLS})$") & built, "shell").when(name.rlike(f"^(?:{QUERY_CALLS})$") & built, "sql")
+        .when((F.col("head").startswith("cors")) & (F.trim("body") == ""), "cors")
+    )
+    calls = blocks.called(js.where(F.col("content").rlike(SINK_CALL)), SINK_CALL).select(*KEYS, "line", kind.alias("kind")).where("kind IS NOT NULL")
+    any_kind = "|".join(p for _, p in SETTINGS)
+    rows = js.where(F.col("content").rlike(any_kind)).select(*KEYS, F.posexplode(F.split("content", "\n")).alias("n", "text")).where(F.col("text").rlike(any_kind))
+    kinds = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), k) for k, p in SETTINGS]))
+    found = calls.unionAll(rows.select(*KEYS, F.col("n") + 1, F.explode(kinds)))
+    return found.withColumn("in_app", ~F.col("path").rlike(BUILD_CONTEXT))

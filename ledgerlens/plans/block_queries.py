@@ -96,7 +96,51 @@ def open_route_findings(spark, sf_dir):
     return audit.findings(servers(spark, sf_dir)).where("rule_id = 'unauthenticated-route'")
 
 
-QUERIES = {f.__name__: f for f in (nested_blocks, nested_copies, python_test_cases, comment_neighbours, guarded_routes, open_route_findings)}
+def styled(spark, sf_dir):
+    """An order is a script whose conventions follow from its number; every third repository has a formatter."""
+    rows, k = V.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("o_orderkey")
+    repo = F.pmod("o_custkey", F.lit(30))
+    quote = F.when(every(k, 3), "'").otherwise('"')
+    end = F.when(every(k, 4), "").otherwise(";")
+    content = text(
+        "// it's \"here\"\n", F.when(every(k, 5), "export default 1").otherwise("export const one = 1"), end, "\nconst a = ", quote, "x", quote, end, "\nconst b = [", quote, "y", quote, ", ", quote, "z", quote, "]", end, "\n",
+        F.when(every(k, 2), text("const f = async (p: P): Q => { await g(); await h() }", end, "\n")).otherwise(text("const f = p => g().then(h).then(i).catch(j)", end, "\n")),
+        F.when(every(k, 7), "function m() { try { n() } catch (e) { throw e } }\nasync function o() { }\n").otherwise(text("let q = (r) => 1", end, "\n")),
+    )
+    repos = rows.select(repo.alias("repo")).distinct()
+    by_file, by_name = repos.where(every(F.col("repo"), 6)), repos.where(every(F.col("repo"), 6, 3))
+    return union(
+        file(rows, repo, text("src/f", k, ".ts"), content), file(by_file, F.col("repo"), F.lit(".editorconfig"), F.lit("root = true")),
+        file(by_name, F.col("repo"), F.lit("package.json"), F.lit('{"devDependencies":{"prettier":"3"}}')),
+    )
+
+
+def convention_forms(spark, sf_dir):
+    """Choices of all scripts in six dimensions."""
+    return facts.conventions(styled(spark, sf_dir)).groupBy("repo_id", "dim", "choice").agg(F.count("*").alias("n"))
+
+
+def convention_drift(spark, sf_dir):
+    """The signal of mixed conventions, with and without those that a formatter decides."""
+    return audit.drift(styled(spark, sf_dir)).select("repo_id", "id", F.round("value", 6).alias("value"), "available")
+
+
+SINK_FORMS = (
+    ("exec(\n  `ls ${dir}`,\n)", "shell"), ("child.spawnSync('ls ' + dir, { shell: true })", "shell"), ("cp.spawn('ls', [`${dir}`])", None), ("pool.execute('a' + 'b')", None),
+    ("db.raw(`SELECT ${id}`, x)", "sql"), ("sql.unsafe('SELECT ' + (id))", "sql"), ("db.query(`SELECT 1`)", None), ("eval(`1`)", None), ("eval(f(')'))", "eval"),
+    ("new Function('a', body)", "new-function"), ("new Function('return 1')", None), ("app.use(cors())", "cors"), ("cors({ origin: true })", "cors"), ("// exec(`${x}`)", None),
+)
+
+
+def sink_forms(spark, sf_dir):
+    """Calls over several lines, with names of all kinds, and such that are no danger."""
+    k = F.col("p_partkey")
+    call = F.element_at(F.array(*[F.lit(c) for c, _ in SINK_FORMS]), (F.pmod(k, F.lit(len(SINK_FORMS))) + 1).cast("int"))
+    files = file(V.read(spark, sf_dir, "part"), F.lit("r"), text("src/p", k, ".ts"), text(F.repeat(F.lit("go('\\'')\n"), F.pmod("p_size", F.lit(5))), call, "\n"))
+    return facts.sinks(files).groupBy("kind", F.col("line").cast("long").alias("line")).agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (nested_blocks, nested_copies, python_test_cases, comment_neighbours, guarded_routes, open_route_findings, convention_forms, convention_drift, sink_forms)}
 LENGTHS = """WITH p AS (SELECT CAST(p_partkey % 7 AS VARCHAR) AS repo_id, p_partkey AS k, (p_size % 5) * 9 AS c FROM part), b AS (
     SELECT repo_id, 'ts' AS language, 'method' AS kind, 2 * c + length('return () => { if (a) { b }}') + 3 AS n_chars FROM p
     UNION ALL SELECT repo_id, 'ts', 'arrow', c + length(' if (a) { b }') FROM p
@@ -110,7 +154,21 @@ ROUTES = """WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS repo_id, c_custkey A
     UNION ALL SELECT repo_id, k, opaque, 'DELETE', '/v2/b/:id', false, k % 7 = 2 FROM c
     UNION ALL SELECT repo_id, k, opaque, 'PATCH', '/api/t/:id', false, k % 7 = 1 FROM c UNION ALL SELECT repo_id, k, opaque, 'POST', '/api/t/:id', k % 2 = 0, k % 7 = 1 FROM c
     UNION ALL SELECT repo_id, k, opaque, 'ALL', '/api/old/*', false, k % 7 = 1 FROM c WHERE k % 4 = 0)"""
+STYLES = """WITH o AS (SELECT o_custkey % 30 AS r, o_orderkey AS k FROM orders), c AS (
+    SELECT r, 'quotes' AS dim, CASE WHEN k % 3 = 0 THEN 'single' ELSE 'double' END AS choice FROM o
+    UNION ALL SELECT r, 'semicolons', CASE WHEN k % 4 = 0 THEN 'no-semicolons' ELSE 'semicolons' END FROM o
+    UNION ALL SELECT r, 'export-style', CASE WHEN k % 5 = 0 THEN 'default' ELSE 'named' END FROM o
+    UNION ALL SELECT r, 'async-style', CASE WHEN k % 2 = 0 THEN 'async-await' ELSE 'promise-chain' END FROM o
+    UNION ALL SELECT r, 'error-handling', CASE WHEN k % 7 = 0 THEN 'try-catch' WHEN k % 2 = 0 THEN 'unhandled' ELSE 'promise-catch' END FROM o
+    UNION ALL SELECT r, 'function-style', CASE WHEN k % 7 = 0 THEN 'function-decl' ELSE 'arrow-const' END FROM o),
+  v AS (SELECT r, dim, choice, count(*) AS n FROM c GROUP BY ALL)"""
 ORACLES = {
+    "convention_forms": STYLES + " SELECT CAST(r AS VARCHAR) AS repo_id, dim, choice, n FROM v",
+    "convention_drift": STYLES + """, d AS (SELECT r, sum(n) AS files, 1 - max(n) / sum(n) AS minority FROM v WHERE r % 3 <> 0 OR dim NOT IN ('quotes', 'semicolons') GROUP BY r, dim HAVING sum(n) >= 6),
+        s AS (SELECT r, count(*) AS n FROM o GROUP BY r), m AS (SELECT r, n, avg(minority) AS m FROM s LEFT JOIN d USING (r) GROUP BY r, n)
+        SELECT CAST(r AS VARCHAR) AS repo_id, 'convention-drift' AS id, CASE WHEN n >= 8 THEN round(greatest(0.0, least(1.0, (m - 0.12) / 0.33)), 6)::DOUBLE ELSE 0.0::DOUBLE END AS value, n >= 8 AS available FROM m""",
+    "sink_forms": "SELECT kind, CAST(p_size % 5 + 1 AS BIGINT) AS line, count(*) AS n FROM part JOIN (VALUES "
+    + ", ".join(f"({m}, '{kind}')" for m, (_, kind) in enumerate(SINK_FORMS) if kind) + f") AS t(m, kind) ON p_partkey % {len(SINK_FORMS)} = m GROUP BY ALL",
     "guarded_routes": ROUTES + " SELECT repo_id, method, route, guarded, covered, opaque FROM r",
     "open_route_findings": ROUTES + """ SELECT repo_id, 'unauthenticated-route' AS rule_id, CASE WHEN opaque THEN 'low' ELSE 'medium' END AS severity,
         CASE WHEN opaque THEN 'low' ELSE 'medium' END AS confidence, count(*) AS n_locations FROM r WHERE NOT guarded AND NOT covered GROUP BY ALL""",

@@ -276,7 +276,7 @@ CODE = """WITH o AS (SELECT CAST(o_custkey % 20 AS VARCHAR) AS repo_id, o_orderk
     judged("swallowed-errors", ramp("c5 / n", 0.15, 0.6), "n >= 5") + " FROM per",
     judged("tautological-tests", ramp("t20 / t", 0.15, 0.6), "t >= 5") + " FROM per WHERE t > 0",
     judged("obvious-comments", ramp("c3 / n", 0.15, 0.55), "n >= 15") + " FROM per",
-    judged("convention-drift", ramp("(1 - greatest(c2, n - c2) / n) / 2", 0.12, 0.45), "n >= 8") + " FROM per WHERE n >= 6",
+    judged("convention-drift", "0.0", "n >= 8") + " FROM per",  # statements and handlers are of one kind
     judged("test-coverage", "1 - " + ramp("t / n", 0.05, 0.4), "n >= 5") + " FROM per",
 )) + ")"
 ROUTE = "CASE k % 3 WHEN 1 THEN 1.0 ELSE 0.0 END"
@@ -311,8 +311,8 @@ ORACLES = {
     "repository_metrics": CODE + " SELECT repo_id, n + t AS files, n + t AS code_files, t AS test_files, CAST(5 * n + t AS BIGINT) AS sloc FROM per",
     "comment_overlaps": CODE + " SELECT repo_id, 1::BIGINT AS line, k % 3 = 0 AS hit, count(*) AS n FROM o GROUP BY ALL",
     "test_case_assertions": CODE + " SELECT 'src/f' || k || '.test.ts' AS path, 'a' AS name, CASE WHEN k % 20 = 0 THEN 0 ELSE 1 END::BIGINT AS assertions FROM o WHERE k % 10 = 0",
-    "convention_votes": CODE + """ SELECT repo_id, 'quotes' AS dim, CASE WHEN k % 2 = 0 THEN 'single' ELSE 'double' END AS choice, count(*) AS n FROM o GROUP BY ALL
-        UNION ALL SELECT repo_id, 'semicolons', 'always', n FROM per""",
+    "convention_votes": CODE + """ SELECT repo_id, 'semicolons' AS dim, 'semicolons' AS choice, n FROM per
+        UNION ALL SELECT repo_id, 'error-handling', 'try-catch', n FROM per""",
     "security_signal_values": SECURITY + " SELECT repo_id, id, value, available FROM s",
     "security_scores": SECURITY + """, t AS (SELECT repo_id, sum(value * weight) FILTER (WHERE available) AS p, sum(weight) FILTER (WHERE available) AS w,
         count(*) FILTER (WHERE NOT available) AS n_unavailable FROM s GROUP BY 1)

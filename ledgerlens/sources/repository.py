@@ -28,12 +28,25 @@ def read_tree(spark: SparkSession, root: str, repo_id: str, **caps) -> DataFrame
     return index_files(contents.join(F.broadcast(kept), "path").select("repo_id", "path", "content"))
 
 
+def read_git_logs(spark: SparkSession, path: str) -> DataFrame:
+    """``repo_id, raw, place`` of logs on disk, one row per record; a log's file is named by its repository.
+
+    The text source cuts at the zero bytes that frame records, so a log of any
+    size is read by as many tasks as it has splits, and no row holds more than one record.
+    ``place`` is where a record stands: its split, then its row there.
+    """
+    rows = spark.read.option("lineSep", "\x00").text(path).where(F.locate("\x1e", F.col("value")) > 0)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return rows.select(F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.[^.]*)?$", 1).alias("repo_id"), F.col("value").alias("raw"), place.alias("place"))
+
+
 def parse_git_log(logs: DataFrame, raw: str = "raw", keys=("repo_id",)) -> DataFrame:
     """Commits of ``git log`` output framed by NUL, US and RS, newest first.
 
     Header fields: sha, name, address, seconds, subject, body; then one line
     per file with added and deleted counts (``-`` for binary is 0).  Malformed
-    records are skipped.
+    records are skipped.  A row of ``logs`` may hold a whole log or, with its
+    ``place`` among ``keys``, one record of ``read_git_logs``.
     """
     chunks = logs.select(*keys, F.posexplode(F.split(raw, "\\x00")).alias("ord", "_chunk")).where(F.locate("\x1e", F.col("_chunk")) > 0)
     head = F.split(F.substring_index("_chunk", "\x1e", 1), "\x1f")

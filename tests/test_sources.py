@@ -80,3 +80,25 @@ def test_mermaid(spark):
     nodes = spark.createDataFrame([("src/a", 3), ("src/b", 2)], "path string, files long")
     edges = spark.createDataFrame([("src/a", "src/b", 2), ("src/a", "gone", 5)], "from_dir string, to_dir string, count long")
     assert S.mermaid(nodes, edges) == 'graph TD\n  n0["src/a<br/>3 files"]\n  n1["src/b<br/>2 files"]\n  n0 --> n1'
+
+
+def test_a_log_that_is_read_in_many_splits(spark, tmp_path):
+    """Equal rows however a log is cut, in the order of the log."""
+    from ledgerlens.sources.repository import parse_git_log, read_git_logs
+
+    record = lambda n: f"\x00{n:040d}\x1fA\x1fa@x\x1f{1000 + n}\x1fsubject {n}\x1fbody\nof {n} é\x1e\n{n}\t1\tsrc/{n}.ts\n-\t-\tb.png\n"
+    (tmp_path / "one.log").write_text("".join(map(record, range(400))), encoding="utf-8")
+    (tmp_path / "two.log").write_text("".join(map(record, range(7))) + "\x00broken", encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        got = {}
+        for size in ("128m", "1k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            logs = read_git_logs(spark, str(tmp_path))
+            assert (logs.rdd.getNumPartitions() > 20) == (size == "1k")
+            rows = parse_git_log(logs, keys=("repo_id", "place")).orderBy("repo_id", "place").collect()
+            got[size] = [(r.repo_id, r.sha, r.subject, r.body, r.churn, r.lines_added, len(r.files)) for r in rows]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got["1k"] == got["128m"] and len(got["1k"]) == 407
+    assert got["1k"][3] == ("one", f"{3:040d}", "subject 3", "body\nof 3 é", 4, 3, 2)
