@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import paths
 from . import blocks
@@ -96,3 +97,9 @@ def covered(found: DataFrame, patterns: DataFrame) -> DataFrame:
 def judged(files: DataFrame) -> DataFrame:
     """Routes that change something, with ``guarded``, ``covered`` and ``opaque``."""
     return covered(routes(files).where("mutating").drop("mutating"), guards(files))
+
+
+def ordered(found: DataFrame) -> DataFrame:
+    """Routes with their ``position`` in their repository, by path and method in the order of the Unicode collation."""
+    order = [F.collate("route", "UNICODE"), F.collate("method", "UNICODE"), F.col("path")]
+    return found.withColumn("position", F.row_number().over(Window.partitionBy("repo_id").orderBy(*order)))

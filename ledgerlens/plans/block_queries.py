@@ -140,7 +140,19 @@ def sink_forms(spark, sf_dir):
     return facts.sinks(files).groupBy("kind", F.col("line").cast("long").alias("line")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (nested_blocks, nested_copies, python_test_cases, comment_neighbours, guarded_routes, open_route_findings, convention_forms, convention_drift, sink_forms)}
+#: Paths in the order of the Unicode collation: letters before their case and accents.
+SORTED_PATHS = ("/a", "/A", "/\u00e4", "/ab", "/AC", "/b", "/\u00c9a", "/eb", "/z")
+
+
+def route_order(spark, sf_dir):
+    """Routes whose names differ in case and accents, each with its place in its repository."""
+    k = F.col("c_custkey")
+    handler = text("app.post('", F.element_at(F.array(*map(F.lit, SORTED_PATHS)), (F.pmod(k, F.lit(len(SORTED_PATHS))) + 1).cast("int")), "', (q) => { f() })\n")
+    found = guards.routes(file(V.read(spark, sf_dir, "customer"), F.col("c_nationkey"), text("src/r", F.lpad(k.cast("string"), 12, "0"), ".ts"), handler))
+    return guards.ordered(found).select("repo_id", "path", "route", F.col("position").cast("long").alias("position"))
+
+
+QUERIES = {f.__name__: f for f in (nested_blocks, nested_copies, python_test_cases, comment_neighbours, guarded_routes, open_route_findings, convention_forms, convention_drift, sink_forms, route_order)}
 LENGTHS = """WITH p AS (SELECT CAST(p_partkey % 7 AS VARCHAR) AS repo_id, p_partkey AS k, (p_size % 5) * 9 AS c FROM part), b AS (
     SELECT repo_id, 'ts' AS language, 'method' AS kind, 2 * c + length('return () => { if (a) { b }}') + 3 AS n_chars FROM p
     UNION ALL SELECT repo_id, 'ts', 'arrow', c + length(' if (a) { b }') FROM p
@@ -163,6 +175,8 @@ STYLES = """WITH o AS (SELECT o_custkey % 30 AS r, o_orderkey AS k FROM orders),
     UNION ALL SELECT r, 'function-style', CASE WHEN k % 7 = 0 THEN 'function-decl' ELSE 'arrow-const' END FROM o),
   v AS (SELECT r, dim, choice, count(*) AS n FROM c GROUP BY ALL)"""
 ORACLES = {
+    "route_order": f"""SELECT CAST(c_nationkey AS VARCHAR) AS repo_id, 'src/r' || lpad(c_custkey::VARCHAR, 12, '0') || '.ts' AS path, {list(SORTED_PATHS)}[c_custkey % {len(SORTED_PATHS)} + 1] AS route,
+        row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey % {len(SORTED_PATHS)}, c_custkey) AS position FROM customer""",
     "convention_forms": STYLES + " SELECT CAST(r AS VARCHAR) AS repo_id, dim, choice, n FROM v",
     "convention_drift": STYLES + """, d AS (SELECT r, sum(n) AS files, 1 - max(n) / sum(n) AS minority FROM v WHERE r % 3 <> 0 OR dim NOT IN ('quotes', 'semicolons') GROUP BY r, dim HAVING sum(n) >= 6),
         s AS (SELECT r, count(*) AS n FROM o GROUP BY r), m AS (SELECT r, n, avg(minority) AS m FROM s LEFT JOIN d USING (r) GROUP BY r, n)
