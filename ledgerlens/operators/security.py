@@ -130,3 +130,17 @@ def license_reading(files: DataFrame, repo="repo_id", path="path", content="cont
     order = F.struct(paths.depth(F.col(path)), F.col(path))
     per = found.groupBy(repo).agg(F.min_by(path, order).alias("file"), F.min_by(content, order).alias("_text"))
     return per.select(repo, "file", identify_license(F.col("_text")).alias("identified"))
+
+
+def license_declared(files: DataFrame) -> DataFrame:
+    """``repo_id, declared, declared_in``: the licence that the manifest nearest the root states, of those that state one.
+
+    Of manifests at one depth the first path counts.  A package.json states a
+    string, a Cargo.toml the key of a line.
+    """
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    cargo = F.regexp_extract("content", r'(?m)^\s*license\s*=\s*"([^"]+)"', 1)
+    said = F.when(name == "package.json", F.from_json("content", "license string")["license"]).when(name == "Cargo.toml", cargo)
+    stated = files.where(name.isin("package.json", "Cargo.toml")).select("repo_id", "path", said.alias("_id")).where("_id <> '' AND NOT startswith(_id, '{')")
+    order = F.struct(paths.depth(F.col("path")), F.col("path"))
+    return stated.groupBy("repo_id").agg(F.min_by("_id", order).alias("declared"), F.min_by("path", order).alias("declared_in"))

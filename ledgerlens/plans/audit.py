@@ -208,11 +208,7 @@ def dependency_signal(files: DataFrame, advisories: DataFrame | None) -> DataFra
 
 def license_mismatch(files: DataFrame) -> DataFrame:
     """Does the manifest nearest the root declare another licence than the text?"""
-    from ..functions.paths import basename, depth
-
-    manifest = files.where(basename(F.col("path")) == "package.json").withColumn("_id", F.get_json_object("content", "$.license"))
-    order = F.struct(depth(F.col("path")), F.col("path"))
-    declared = manifest.where("_id IS NOT NULL").groupBy("repo_id").agg(F.min_by("_id", order).alias("declared"))
+    declared = security.license_declared(files)
     read = security.license_reading(files)
     per = files.select("repo_id").distinct().join(read, "repo_id", "left").join(declared, "repo_id", "left")
     agree = license_matches(F.col("declared"), F.col("identified"))

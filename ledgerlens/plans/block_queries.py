@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import blocks, facts, guards
+from ..operators import blocks, facts, guards, security
 from . import audit
 from . import views as V
 from .rule_queries import every, file, text, union
@@ -152,7 +152,17 @@ def route_order(spark, sf_dir):
     return guards.ordered(found).select("repo_id", "path", "route", F.col("position").cast("long").alias("position"))
 
 
-QUERIES = {f.__name__: f for f in (nested_blocks, nested_copies, python_test_cases, comment_neighbours, guarded_routes, open_route_findings, convention_forms, convention_drift, sink_forms, route_order)}
+def declared_licenses(spark, sf_dir):
+    """Repositories with manifests of two kinds and depths; the nearest one that states a licence counts."""
+    rows, k = V.read(spark, sf_dir, "supplier").select("s_suppkey"), F.col("s_suppkey")
+    return security.license_declared(union(
+        file(rows.where(every(k, 2)), k, F.lit("package.json"), F.when(every(k, 4), '{"license": "MIT"}').otherwise('{"name": "x"}')),
+        file(rows.where(every(k, 3)), k, F.lit("core/Cargo.toml"), F.lit("[package]\nname = \"c\"\n  license = \"Apache-2.0 OR MIT\" # both\n")),
+        file(rows, k, F.lit("a/b/package.json"), F.when(every(k, 5), '{"license": {"type": "BSD"}}').otherwise('{"license": "ISC"}')),
+    ))
+
+
+QUERIES = {f.__name__: f for f in (nested_blocks, nested_copies, python_test_cases, comment_neighbours, guarded_routes, open_route_findings, convention_forms, convention_drift, sink_forms, route_order, declared_licenses)}
 LENGTHS = """WITH p AS (SELECT CAST(p_partkey % 7 AS VARCHAR) AS repo_id, p_partkey AS k, (p_size % 5) * 9 AS c FROM part), b AS (
     SELECT repo_id, 'ts' AS language, 'method' AS kind, 2 * c + length('return () => { if (a) { b }}') + 3 AS n_chars FROM p
     UNION ALL SELECT repo_id, 'ts', 'arrow', c + length(' if (a) { b }') FROM p
@@ -175,6 +185,9 @@ STYLES = """WITH o AS (SELECT o_custkey % 30 AS r, o_orderkey AS k FROM orders),
     UNION ALL SELECT r, 'function-style', CASE WHEN k % 7 = 0 THEN 'function-decl' ELSE 'arrow-const' END FROM o),
   v AS (SELECT r, dim, choice, count(*) AS n FROM c GROUP BY ALL)"""
 ORACLES = {
+    "declared_licenses": """SELECT CAST(s_suppkey AS VARCHAR) AS repo_id, CASE WHEN s_suppkey % 4 = 0 THEN 'MIT' WHEN s_suppkey % 3 = 0 THEN 'Apache-2.0 OR MIT' ELSE 'ISC' END AS declared,
+        CASE WHEN s_suppkey % 4 = 0 THEN 'package.json' WHEN s_suppkey % 3 = 0 THEN 'core/Cargo.toml' ELSE 'a/b/package.json' END AS declared_in
+        FROM supplier WHERE s_suppkey % 4 = 0 OR s_suppkey % 3 = 0 OR s_suppkey % 5 <> 0""",
     "route_order": f"""SELECT CAST(c_nationkey AS VARCHAR) AS repo_id, 'src/r' || lpad(c_custkey::VARCHAR, 12, '0') || '.ts' AS path, {list(SORTED_PATHS)}[c_custkey % {len(SORTED_PATHS)} + 1] AS route,
         row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey % {len(SORTED_PATHS)}, c_custkey) AS position FROM customer""",
     "convention_forms": STYLES + " SELECT CAST(r AS VARCHAR) AS repo_id, dim, choice, n FROM v",
