@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import paths
+from ..functions.languages import label_of, language_of, tier_of
 
 MAX_FILES, MAX_FILE_BYTES, MAX_TOTAL_BYTES = 25_000, 1_000_000, 40_000_000
 
@@ -73,6 +74,46 @@ def language_profile(files: DataFrame, language="language", sloc="sloc") -> Data
     return per.crossJoin(F.broadcast(total)).select(language, "files", "sloc", share.alias("share"))
 
 
+def source_files(files: DataFrame) -> DataFrame:
+    """Code that people wrote and that is no test."""
+    p = F.col("path")
+    return files.where(paths.is_code(p) & ~paths.is_generated(p) & ~paths.is_lockfile(p) & ~paths.is_test(p))
+
+
+def languages(files: DataFrame) -> DataFrame:
+    """``repo_id, language, label, tier, files, sloc, share, position`` of source files, by lines of code in each repository."""
+    sources = source_files(files).select("repo_id", language_of(F.col("path")).alias("language"), line_counts(F.col("content"))[1].alias("sloc"))
+    per = sources.groupBy("repo_id", "language").agg(F.count("*").alias("files"), F.sum("sloc").alias("sloc"))
+    total = F.sum("sloc").over(Window.partitionBy("repo_id"))  # a row for each language
+    share = F.when(total > 0, F.col("sloc") / total).otherwise(0.0)
+    place = F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("sloc"), "language"))
+    name = F.col("language")
+    return per.select("repo_id", "language", label_of(name).alias("label"), tier_of(name).alias("tier"), "files", "sloc", share.alias("share"), place.alias("position"))
+
+
+#: Structural languages whose tests and handlers are read like those of scripts, and the share that a language without a reader must pass.
+DEEP, UNREAD_SHARE = ("python",), 0.05
+
+
+def tier_warnings(files: DataFrame) -> DataFrame:
+    """``repo_id, warning, languages``: which languages of a repository were read less than whole, the largest first.
+
+    ``structural`` languages have no import graph and no frameworks, of
+    ``shallow`` ones only copies and comments are read, and ``unparsed`` ones
+    of more than a twentieth of all lines, with their percentage, not at all.
+    """
+    tier, name = F.col("tier"), F.col("language")
+    warning = (
+        F.when((tier == "structural") & name.isin(*DEEP), "structural").when(tier == "structural", "shallow")
+        .when((tier == "history") & (F.col("share") > UNREAD_SHARE), "unparsed")
+    )
+    percent = F.floor(F.col("share") * 100 + 0.5).cast("string")
+    said = F.when(tier == "history", F.concat("label", F.lit(" ("), percent, F.lit("%)"))).otherwise(F.col("label"))
+    rows = languages(files).withColumn("warning", warning).where("warning IS NOT NULL")
+    listed = F.array_sort(F.collect_list(F.struct("position", said.alias("said"))))
+    return rows.groupBy("repo_id", "warning").agg(F.array_join(listed["said"], ", ").alias("languages"))
+
+
 def duplicates(files: DataFrame, key="sha1", least: int = 2) -> DataFrame:
     return files.groupBy(key).agg(F.count("*").alias("copies")).where(F.col("copies") >= least)
 

@@ -68,6 +68,20 @@ def routes(files: DataFrame) -> DataFrame:
     return found.select(*KEYS, "method", "route", guarded.alias("guarded"), changes.alias("mutating"))
 
 
+#: A method of an ``app`` tree that is exported as something else than a function written there.
+REFERRED = rf"export\s+const\s+({METHODS})\s*(?::[^=\n]+)?=\s*(?!async\b|function\b|\(|[\w$]+\s*=>)[\w$]"
+
+
+def unresolved(files: DataFrame) -> DataFrame:
+    """``repo_id, path, method, route``: routes whose handler is named and not written where they are declared."""
+    js, path = of_kind(authored(files), JS), F.col("path")
+    named = js.where(path.rlike(APP_FILE)).select(*KEYS, F.explode(all_groups(F.col("content"), REFERRED)).alias("method"), app_route(path).alias("route"))
+    calls = blocks.called(js.where(F.col("content").rlike(CALL)), CALL).where(~F.col("body").rlike(r"=>|\bfunction\b"))
+    method = F.upper(F.regexp_extract("head", r"(\w+)\s*\($", 1))
+    server = calls.select(*KEYS, method.alias("method"), literal(F.col("body")).alias("route")).where(F.col("route").startswith("/"))
+    return named.unionAll(server)
+
+
 def guards(files: DataFrame) -> DataFrame:
     """``repo_id, pattern``: matchers and mounts of guards; a null pattern is a middleware that cannot be read."""
     js = of_kind(files, JS).where(~paths.is_generated(F.col("path")))

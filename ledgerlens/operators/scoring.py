@@ -13,7 +13,9 @@ def scores(signals: DataFrame, keys=("dimension",), truncated=None) -> DataFrame
     """Weighted score 0..100 and its confidence per key.
 
     Weights renormalise over the available signals, so a missing signal lowers
-    the confidence and never the score.
+    the confidence and never the score.  ``unavailable`` are the reasons of missing
+    ones, in order, and after them that of a repository of which ``truncated``, a
+    condition on the keys, says that it was read in part; its confidence is low.
     """
     on = F.when(F.col("available"), F.col("weight"))
     cut = F.lit(False) if truncated is None else truncated
@@ -28,7 +30,8 @@ def scores(signals: DataFrame, keys=("dimension",), truncated=None) -> DataFrame
     score = F.when(F.col("_on") > 0, half_up(F.col("_points") / F.col("_on") * 100)).otherwise(F.lit(0).cast("long"))
     confidence = F.when(cut, "low").when(coverage >= 0.8, "high").when(coverage >= 0.5, "medium").otherwise("low")
     return per.select(
-        *keys, score.alias("score"), confidence.alias("confidence"), coverage.alias("coverage"), "n_unavailable", "unavailable"
+        *keys, score.alias("score"), confidence.alias("confidence"), coverage.alias("coverage"), "n_unavailable",
+        F.when(cut, F.array_append("unavailable", PARTLY_READ)).otherwise(F.col("unavailable")).alias("unavailable"),
     )
 
 
@@ -110,10 +113,25 @@ def effort(findings: DataFrame, minutes="fix_minutes") -> DataFrame:
     return findings.groupBy(*keys_of(findings)).agg(F.sum(F.coalesce(F.col(minutes), F.lit(0))).cast("long").alias("minutes"))
 
 
+# Reasons that stand beside those of signals, and callers without a hash.
+PARTLY_READ = "the repository was too large to read in full, so every check below ran over part of it"
+UNSALTED, UNKNOWN = "unsalted", "unknown"
 HOURLY_REQUESTS, BURST, BURST_MINUTES = 180, 5, 10
 FULL_SCAN = 3
 
 
+def caller_hash(forwarded, salt: str | None):
+    """What stands for a caller: 32 hexadecimal digits of a salted hash of the first forwarded address.
+
+    Without a salt all callers share one name, as all without an address do, so
+    that limits bind sooner and not later.
+    """
+    if not salt:
+        return F.lit(UNSALTED)
+    address = F.trim(F.substring_index(F.coalesce(forwarded, F.lit("")), ",", 1))
+    return F.when(address == "", UNKNOWN).otherwise(F.left(F.sha2(F.concat(F.lit(f"{salt}:"), address), 256), F.lit(32)))
+
+
 def estimate_spend(has_stored, within_recheck):
     """What a request is about to cost: nothing if a stored scan is still fresh."""
     return F.when(has_stored & within_recheck, 0).otherwise(FULL_SCAN)

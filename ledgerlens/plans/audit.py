@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from ..functions import paths
 from ..functions.scalars import attribution_value, is_bare, license_matches, package_of, ramp
 from ..operators import facts, guards, history, modules, scoring, security, tooling
-from ..operators.files import line_counts
+from ..operators.files import line_counts, source_files
 from ..operators.graph import cut
 from ..sources.lockfiles import all_packages, declared_packages
 
@@ -313,6 +313,32 @@ def metrics(files: DataFrame) -> DataFrame:
     )
 
 
+# Metrics of a scan, their dimensions and units.
+METRICS = (
+    ("source-files", "health", "count"), ("source-lines", "health", "loc"), ("routes", "security", "count"),
+    ("routes-unresolved", "security", "count"), ("duplicate-functions", "health", "count"), ("commits", "authorship", "count"),
+)
+
+
+def scan_metrics(files: DataFrame, commits: DataFrame | None = None) -> DataFrame:
+    """``repo_id, id, dimension, value, unit``: six numbers of every repository, 0 where there is nothing to count.
+
+    Each is counted by repository before they meet; six rows a repository are all that is joined.
+    """
+    count = lambda df, name, n=F.count("*"): df.groupBy("repo_id").agg(n.cast("long").alias("value")).withColumn("id", F.lit(name))
+    source, open_ = source_files(files), guards.unresolved(files)
+    routes = guards.routes(files).select("repo_id").unionAll(open_.select("repo_id"))
+    parts = [
+        count(source, "source-files"), count(source, "source-lines", F.sum(line_counts(F.col("content"))[1])), count(routes, "routes"),
+        count(open_, "routes-unresolved"), count(clone_families(files).where("n > 1"), "duplicate-functions", F.sum("n")),
+    ]
+    if commits is not None:
+        parts.append(count(commits, "commits"))
+    names = files.sparkSession.createDataFrame(list(METRICS), "id string, dimension string, unit string")
+    asked = files.select("repo_id").distinct().crossJoin(F.broadcast(names))  # six rows a repository
+    return asked.join(union(*parts), ["repo_id", "id"], "left").fillna(0, ["value"]).select("repo_id", "id", "dimension", "value", "unit")
+
+
 def findings(files: DataFrame, commits: DataFrame | None = None, advisories: DataFrame | None = None) -> DataFrame:
     """``repo_id, rule_id, severity, confidence, n_locations`` of what was found.
 

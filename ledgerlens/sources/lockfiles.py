@@ -65,16 +65,33 @@ def with_declared(rows: DataFrame, declared: DataFrame) -> DataFrame:
     return package(both, "npm", direct, direct & ~F.coalesce("_runtime", F.lit(False)))
 
 
+NPM_ENTRY = "version string, dev boolean, link boolean"
+
+
+def npm_tree(rows: DataFrame) -> DataFrame:
+    """``key, version, dev, link`` of a version 1 tree, whose packages hold packages of their own.
+
+    ``rows`` has the outermost map, each package as its JSON text.  A level is read
+    from the level above it, so a tree takes as many rounds as it is deep, for
+    all lockfiles at once; each round is written and holds only what is left to read.
+    """
+    inner = F.from_json("said", f"{NPM_ENTRY}, dependencies map<string,string>").alias("e")
+    level, levels = rows.select(*KEYS, F.explode("tree").alias("key", "said")), []
+    while not (level := cut(level.select(*KEYS, "key", inner))).isEmpty():
+        levels.append(level.select(*KEYS, "key", "e.version", "e.dev", "e.link"))
+        level = level.select(*KEYS, F.explode("e.dependencies").alias("key", "said"))
+    return reduce(DataFrame.unionAll, levels or [level.select(*KEYS, "key", "e.version", "e.dev", "e.link")])
+
+
 def npm_lock(files: DataFrame, declared: DataFrame) -> DataFrame:
-    """package-lock.json: version 2 and 3 ``packages``, version 1 ``dependencies``."""
-    entry = "struct<version:string,dev:boolean,link:boolean>"
+    """package-lock.json: version 2 and 3 ``packages``, version 1 ``dependencies`` with all that they hold."""
     read = files.where(basename(F.col("path")) == "package-lock.json").select(
-        *KEYS, F.from_json("content", f"packages map<string,{entry}>, dependencies map<string,{entry}>").alias("m")
+        *KEYS, F.from_json("content", f"packages map<string,struct<version:string,dev:boolean,link:boolean>>, dependencies map<string,string>").alias("m")
     )
-    listed = lambda c: F.coalesce(F.map_entries(c), F.array().cast(f"array<struct<key:string,value:{entry}>>"))
-    both = F.concat(listed(F.col("m.packages")), listed(F.col("m.dependencies")))
-    rows = read.select(*KEYS, F.inline(both).alias("key", "e")).where("key <> '' AND e.version IS NOT NULL AND NOT coalesce(e.link, false)")
-    rows = rows.select(*KEYS, F.regexp_extract("key", r"(?:^|.*node_modules/)([^/]+|@[^/]+/[^/]+)$", 1).alias("name"), F.col("e.version").alias("version"), F.coalesce("e.dev", F.lit(False)).alias("_dev"))
+    flat = read.select(*KEYS, F.explode("m.packages").alias("key", "e")).select(*KEYS, "key", "e.version", "e.dev", "e.link")
+    both = flat.unionAll(npm_tree(read.select(*KEYS, F.col("m.dependencies").alias("tree"))))
+    rows = both.where("key <> '' AND version IS NOT NULL AND NOT coalesce(link, false)")
+    rows = rows.select(*KEYS, F.regexp_extract("key", r"(?:^|.*node_modules/)([^/]+|@[^/]+/[^/]+)$", 1).alias("name"), "version", F.coalesce("dev", F.lit(False)).alias("_dev"))
     per = declared.groupBy("repo_id", "name").agg(F.bool_or("is_runtime").alias("_runtime"))
     both = rows.distinct().join(per, ["repo_id", "name"], "left")
     return package(both, "npm", F.col("_runtime").isNotNull(), F.col("_dev") | ~F.coalesce("_runtime", F.lit(True)))
