@@ -1,12 +1,13 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
 Texts are compared in lower case (A-Z) with runs of white space as one blank.
-An item is cut into windows of 96 characters every 8 (items of 32 to 96 are one
-window); a document that holds a window within its edit budget (a twelfth of
-its length) is contaminated.  Shorter items are looked for as they are, between
-blanks or ends of the text.  A match of an m-character window with at most e
-edits shares at least m - q + 1 - q * e q-grams with it, all on diagonals that
-differ by at most 2 * e.  So per document: q-grams are looked up in an index of
+An item is cut into windows of 96 characters every 8 (shorter items are one
+window); a document that holds a window within its edit budget is contaminated.
+A match of an m-character window with at most e edits shares at least
+m - q + 1 - q * e q-grams with it, all on diagonals that differ by at most 2 * e,
+so the budget is a twelfth of the length, or less where the lemma would promise
+no q-gram: two edits in 24 characters, one in 16.  Where it is none, below 16
+characters, an item is looked for as it is, between blanks or ends of the text.  So per document: q-grams are looked up in an index of
 the items, hits are sorted into overlapping bands of diagonals (every run of
 2 * e + 1 diagonals lies in one band), windows whose stretch of a band holds the
 guaranteed count of different q-grams are kept, and those are verified by an
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .shared import free_name, spread, table, written
 
-Q, WINDOW, STEP, EXACT_BELOW, CHARS_PER_EDIT = 8, 96, 8, 32, 12
+Q, WINDOW, STEP, CHARS_PER_EDIT = 8, 96, 8, 12
 #: Diagonals of half a band, for the largest edit budget.
 BAND = 2 * (WINDOW // CHARS_PER_EDIT) + 1
 #: Characters of items in one index, and hits of q-grams held at once.
@@ -55,8 +56,8 @@ def windows_of(text: str) -> list[str]:
 
 
 def edits_of(window: str) -> int:
-    """Edit budget of a window; items below ``EXACT_BELOW`` characters have none."""
-    return 0 if len(window) < EXACT_BELOW else len(window) // CHARS_PER_EDIT
+    """Edit budget of a window: as many as leave one shared q-gram at least, and one in ``CHARS_PER_EDIT`` at most."""
+    return max(0, min(len(window) // CHARS_PER_EDIT, len(window) // Q - 1))
 
 
 def codes(text: str) -> np.ndarray:
@@ -88,12 +89,12 @@ def sorted_lists(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.n
 
 def build_index(items: list[tuple[int, str]]) -> dict:
     """Index of ``(item_id, normalised text)``: every q-gram's places in the items, end to end."""
-    long = [(i, t) for i, t in items if len(t) >= EXACT_BELOW]
+    long = [(i, t) for i, t in items if edits_of(t)]
     code = [codes(t) for _, t in long]
     size = np.array([len(c) for c in code], np.int64)
     base = np.cumsum(size) - size
     window = np.minimum(size, WINDOW)
-    edits = window // CHARS_PER_EDIT
+    edits = np.minimum(window // CHARS_PER_EDIT, window // Q - 1)
     gram = [grams(c) for c in code]
     place = [b + np.arange(len(g)) for b, g in zip(base, gram)]
     none = np.empty(0, np.int64)
@@ -101,7 +102,7 @@ def build_index(items: list[tuple[int, str]]) -> dict:
     present = np.zeros(1 << FILTER_BITS, bool)
     present[slots(keys)] = True
     exact = {}
-    short = [(i, t) for i, t in items if 0 < len(t) < EXACT_BELOW]
+    short = [(i, t) for i, t in items if t and not edits_of(t)]
     for q in range(1, Q + 1):
         own = [(i, t) for i, t in short if min(Q, len(t)) == q]
         if own:

@@ -4,7 +4,6 @@ import time
 import numpy as np
 
 from ledgerlens.llm.decontaminate import (
-    EXACT_BELOW,
     align,
     build_index,
     codes,
@@ -45,13 +44,13 @@ def best_match(window, text):
 
 def cases():
     rng = random.Random(8)
-    items = [sentence(rng, n) for n in (9, 12, 30, 45, 60)] + ["tiny", "what is two and two", "", None]
+    items = [sentence(rng, n) for n in (9, 12, 30, 45, 60)] + ["tiny", "a small item", "what is two and two", "one of 27 letters, this one", "", None]
     texts = [None, "", "short", sentence(rng, 400)]
     for item in items[:5]:
         for edits in (0, 1, 3, 6, 9, 14):
             texts.append(sentence(rng, 30) + "\n" + edit(rng, item, edits).upper() + "  " + sentence(rng, 30))
         texts.append(item[: len(item) // 2])
-    texts += ["say what  is Two and two", "so what is two and twofold", "a tiny one", "tinyx", sentence(rng, 20) + " " + normalise(items[3])[28:124]]
+    texts += ["say what  is Two and two", "so what is two and twofold", "a tiny one", "tinyx", "a small item of it", "a small itemx", "so whit is two and two", "one of 27 letters, this two", "one of 27 letterz, this ona.", sentence(rng, 20) + " " + normalise(items[3])[28:124]]
     return list(enumerate(items)), texts
 
 
@@ -65,7 +64,7 @@ def test_matches_equal_full_alignment():
             i
             for i, t in items
             for w in windows_of(normalise(t))
-            if (f" {w} " in f" {text} " if len(w) < EXACT_BELOW else align(codes(w), codes(text), -len(w), len(text))[0] <= edits_of(w))
+            if (f" {w} " in f" {text} " if not edits_of(w) else align(codes(w), codes(text), -len(w), len(text))[0] <= edits_of(w))
         }
         got = {i for i, _, _ in find_matches(text, index, present)}
         assert got == want
@@ -73,6 +72,16 @@ def test_matches_equal_full_alignment():
     assert some > 15
 
 
+def test_short_items_have_budgets_by_the_lemma():
+    assert [edits_of("x" * n) for n in (0, 7, 8, 15, 16, 23, 24, 31, 32, 36, 96)] == [0, 0, 0, 0, 1, 1, 2, 2, 2, 3, 8]
+    items = [(1, "what colour has the sea now"), (2, "where is it now?")]
+    index = build_index(items)
+    present = np.unpackbits(index["present"]).astype(bool)
+    found = lambda text: {i for i, _, _ in find_matches(text, index, present)}
+    assert found("he asks what colour haz the sea now and goes") == {1} and found("ask where is it nov?") == {2}
+    assert found("he asks what color haz the zea now") == set() and found("wheri is id now?") == set()
+
+
 def test_many_hits_in_bounded_parts(monkeypatch):
     """The same matches where hits are taken in many small parts."""
     items, texts = cases()
