@@ -85,6 +85,48 @@ def test_pu_risk_matches_brute_force():
         assert risk(fitted) < risk(w)
 
 
+def test_prior_of_known_mixtures():
+    rng = np.random.default_rng(5)
+    for prior in (0.2, 0.5, 0.85):
+        for n_pos, n_unl in ((2000, 20000), (300, 2000)):
+            n = int(prior * n_unl)
+            pos, unl = rng.normal(2, 1, n_pos), np.concatenate([rng.normal(2, 1, n), rng.normal(-2, 1, n_unl - n)])
+            counts = [np.bincount(pu_classifier.bins_of(z), minlength=pu_classifier.BINS) for z in (pos, unl)]
+            assert abs(pu_classifier.estimate_prior(*counts) - prior) < 0.08
+    none = np.zeros(pu_classifier.BINS)
+    assert pu_classifier.estimate_prior(none, none) == 0.5
+
+
+def test_pu_labels_of_0_change_nothing(spark):
+    """Negatives are never read: the weights are those without them."""
+    texts, labels = corpus(60)
+    docs = documents(spark, texts)
+    both, ones = (spark.createDataFrame([r for r in labels if r[1] >= least], LABELS) for least in (0, 1))
+    assert np.allclose(pu_classifier.train(docs, both), pu_classifier.train(docs, ones), atol=1e-6)
+
+
+def test_pu_sums_cover_all_unlabelled_rows(spark):
+    """The pass against one text at a time, and a fit of few rows that it moves to the risk of all."""
+    texts, labels = corpus(120)
+    texts += [None, "", *texts[:3]]
+    rng = np.random.default_rng(6)
+    at, judges = rng.normal(size=4101), [rng.normal(size=4101) for _ in range(2)]
+    docs = documents(spark, texts)
+    rows = docs.select("text", pu_classifier.half().alias("half"))
+    n, loss, gradient, scores = pu_classifier.unlabelled_sums(rows.repartition(3), at, judges)
+    x = np.array([pu_classifier.vector(t) for t in texts], np.float64)
+    z = x @ at[:-1] + at[-1]
+    assert n == len(texts) and np.isclose(loss, np.log1p(np.exp(z)).sum())
+    error = 1 / (1 + np.exp(-z))
+    assert np.allclose(gradient, np.append(x.T @ error, error.sum()), atol=1e-4)
+    own = np.array([r.half for r in rows.collect()])
+    want = sum(np.bincount(pu_classifier.bins_of(x[own == k] @ judges[k][:-1] + judges[k][-1]), minlength=pu_classifier.BINS) for k in (0, 1))
+    assert np.abs(scores - want).sum() <= 2  # a score at the border of two bins
+    few = pu_classifier.train(docs, spark.createDataFrame(labels, LABELS), 30)
+    predicted = x[:120] @ few[:-1] + few[-1] >= 0
+    assert (predicted == [q for _, q, _ in labels]).mean() > 0.95
+
+
 def test_rules_learn_and_filter(spark):
     texts, labels = corpus()
     docs = documents(spark, texts)
@@ -119,7 +161,9 @@ def test_pu_held_out_accuracy_and_folds(spark, tmp_path):
 
 
 def test_pu_without_positives(spark):
-    docs = documents(spark, ["a b", None])
+    docs = documents(spark, ["a b", None]).selectExpr("*", "1 as half", "2 as y")
     none = spark.createDataFrame([], LABELS)
     scored = pu_classifier.score_quality(docs, pu_classifier.train(docs, none)).collect()
     assert [r.score for r in scored] == [0.5, 0.5]
+    ones = spark.createDataFrame([(0, 1, 0)], LABELS)
+    assert pu_classifier.score_quality(docs.limit(0), pu_classifier.train(docs.limit(0), ones)).count() == 0
