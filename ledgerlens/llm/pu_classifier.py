@@ -52,7 +52,7 @@ from .features import (
 from .shared import spread, table
 
 FOLDS, HELD_OUT = 3, 1
-#: Steps of a fit, and of one that begins near its end or whose scores only need to be ordered.
+#: Steps of a fit, and of one whose scores only need to be ordered.
 STEPS, SHORT, RATE, RIDGE = 600, 200, 0.1, 1e-4
 #: Bins of scores between 0 and 1, and the chance that the bounds of a share do not hold.
 BINS, UNSURE = 1000, 0.1
@@ -84,13 +84,12 @@ def margins(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x @ w[:-1].astype(np.float32) + w[-1]
 
 
-def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, shift: Shift | None = None, steps: int = STEPS) -> np.ndarray:
+def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, shift: Shift | None = None) -> np.ndarray:
     """Weights and a bias that minimise the non-negative PU risk (log loss), from those of ``shift`` on."""
     w = np.zeros(pos.shape[1] + 1) if shift is None else shift.at.copy()
     shift = shift or Shift(w.copy())
     adam = Adam(len(w), RATE)
-    for step in range(steps):
-        adam.rate = RATE * (1 - step / steps)
+    for _ in range(STEPS):
         zp, zu = margins(pos, w), margins(unl, w)
         unlabelled_risk = np.logaddexp(0, zu).mean() + shift.loss + (w - shift.at) @ shift.gradient
         negative_risk = unlabelled_risk - prior * np.logaddexp(0, zp).mean()
@@ -190,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> n
     n, loss, gradient, scores = unlabelled_sums(web.select("text", half().alias("half")), first, judges)
     zu = margins(unl, first)
     shift = Shift(first, loss / n - np.logaddexp(0, zu).mean(), gradient / n - mean_gradient(unl, sigmoid(zu)))
-    return fit_nnpu(pos, unl, estimate_prior(counts(pos, pos_half), scores), shift, SHORT)
+    return fit_nnpu(pos, unl, estimate_prior(counts(pos, pos_half), scores), shift)
 
 
 def score_quality(docs: DataFrame, weights: np.ndarray) -> DataFrame:
