@@ -13,7 +13,7 @@ from ledgerlens.llm.decontaminate import remove_contaminated
 from ledgerlens.llm.line_dedup import dedup_lines
 from ledgerlens.llm.packing import default_tokenizer, pack
 from ledgerlens.llm.quality_rules import filter_quality
-from ledgerlens.llm.shared import table, written
+from ledgerlens.llm.shared import discard, table, written
 from ledgerlens.llm.simhash_dedup import keep_one_per_group
 
 
@@ -51,10 +51,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed pieces of ``documents``; every stage but the last is written."""
-    docs = table(spark, sf_dir, "documents")
+    """The packed pieces of ``documents``; every stage but the last is written.
+
+    A stage's rows are deleted when the next stage is written, so that one copy of the
+    documents is held; the last stage reads those of its predecessor.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for number, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
             docs = written(docs, f"stage-{number}")
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
