@@ -34,7 +34,8 @@ LITERAL = r"""^\s*(?:'([^'\n]*)'|"([^"\n]*)")"""
 
 
 def heads(files: DataFrame, *patterns: str) -> DataFrame:
-    tokens = "|".join((blocks.LINE_COMMENT, blocks.BLOCK_COMMENT, blocks.QUOTED, blocks.TEMPLATE, blocks.REGEX, *patterns, blocks.REST))
+    plain = r"""\s++|(?!export\b)[\w$]++|[^\w$\s'"`/]"""  # no head begins so
+    tokens = "|".join((plain, blocks.LINE_COMMENT, blocks.BLOCK_COMMENT, blocks.QUOTED, blocks.TEMPLATE, blocks.REGEX, *patterns, blocks.REST))
     return blocks.opened(files, blocks.tokens_of(F.col("content"), tokens), lambda t: F.when(F.length(t) > 1, "head"))
 
 
