@@ -65,6 +65,8 @@ BYTES_AT_ONCE, LINE_BITS = 1 << 17, 24
 MIN_CHARS = 20
 #: Lines of up to so many characters are compared many at once, about so many characters together; fewer pairs one by one.
 LONG, CHARS_AT_ONCE, FEW_PAIRS = 2048, 1 << 18, 8
+#: So many pairs of lists wait for their verification.
+PAIRS_AT_ONCE = 1 << 15
 
 
 def _normal_byte(b: int) -> int:
@@ -466,11 +468,13 @@ def dealt(rows: DataFrame, columns: tuple[str, ...], cell: tuple[str, ...]) -> D
 def in_blocks(rows: DataFrame) -> DataFrame:
     """``rows`` with ``low, high``: the pairs of blocks that a line of a list is compared in.
 
-    A list of up to ``LIST`` lines is one block.
+    A list of up to ``LIST`` lines is one block.  Rows that bring the size ``n`` of
+    their list are not counted again.
     """
     rows = rows.withColumn("list", F.shiftright("p", PLACE_BITS))
-    blocks = F.when(F.count("*") > LIST, F.ceil(F.count("*") / (LIST // 2))).otherwise(1).cast("long")
-    rows = rows.join(rows.groupBy("list").agg(blocks.alias("blocks")), "list")
+    if "n" not in rows.columns:
+        rows = rows.join(rows.groupBy("list").agg(F.count("*").alias("n")), "list")
+    rows = rows.withColumn("blocks", F.when(F.col("n") > LIST, F.ceil(F.col("n") / (LIST // 2))).otherwise(1).cast("long"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: (b != F.col("own")) | (F.col("blocks") == 1))
     rows = rows.withColumn("other", F.explode(others))
@@ -598,21 +602,32 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "said_a", "said_b").mapInArrow(run, "a long, b long, ok boolean")
 
 
+def tops(up: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """``top`` of many at once, where ``up`` leads from each to the next."""
+    while (further := up[up[x]]).tolist() != (x := up[x]).tolist():
+        x = further
+    return x
+
+
 def links_in_lists(members: DataFrame) -> DataFrame:
     """Links ``a, b`` between lines of one list that are not connected yet.
 
     ``members`` has ``ROWS``, ``root`` (of the component so far), ``postings`` and
-    ``said``.  Of the lists where a pair may be similar one verifies it.
+    ``said``.  Of the lists where a pair may be similar one verifies it.  The pairs
+    of all lists of a batch are verified together, since most lists have few.
     """
 
-    def connect(rows):
-        id, p, sim, chars, root, postings, said = zip(*rows)
-        columns = dict(zip(ROWS, (np.array(c, np.int64) for c in (id, p, sim, chars))))
-        m, root, joined = Members(columns), np.array(root, np.int64), {}
-        if (root == root[0]).all():
-            return
-        most = max(map(len, postings))
-        keys = np.array([[*own, *[-1] * (most - len(own))] for own in postings], np.int64).reshape(len(rows), most)
+    def connect(rows, starts):
+        """Links of whole lists, which begin at ``starts``."""
+        m = Members({c: rows.column(c).to_numpy().astype(np.int64) for c in ROWS})
+        names, root = np.unique(rows.column("root").to_numpy(), return_inverse=True)
+        up, said = np.arange(len(names)), rows.column("said")
+        postings = rows.column("postings").combine_chunks()
+        counts = postings.value_lengths().to_numpy()
+        held = np.arange(max(1, counts.max())) < counts[:, None]
+        keys = np.zeros(held.shape, np.int64)
+        keys[held] = postings.flatten().to_numpy()
+        pool, waiting, links = [], 0, []
 
         def here(i, j):
             """Is this list the one of the pair's common ones that verifies it?"""
@@ -621,7 +636,8 @@ def links_in_lists(members: DataFrame) -> DataFrame:
                 a, b = i[at : at + 10_000], j[at : at + 10_000]
                 turn = (m.id[a] + m.id[b]).view(np.uint64) * MIX | np.uint64(1)
                 x, y = keys[a], keys[b]
-                pair, k, other = np.nonzero((x[:, :, None] >> PLACE_BITS == y[:, None, :] >> PLACE_BITS) & (x >= 0)[:, :, None])
+                same = x[:, :, None] >> PLACE_BITS == y[:, None, :] >> PLACE_BITS
+                pair, k, other = np.nonzero(same & held[a][:, :, None] & held[b][:, None, :])
                 x, y = x[pair, k], y[pair, other]
                 fits = m.fit(a[pair], b[pair], x & FAR, y & FAR)
                 first = np.full(len(a), np.iinfo(np.uint64).max)
@@ -629,40 +645,71 @@ def links_in_lists(members: DataFrame) -> DataFrame:
                 ok[at : at + 10_000] = (m.p[a] >> PLACE_BITS).view(np.uint64) * turn == first
             return ok
 
-        everyone = np.arange(len(rows))
-        for at in range(0, len(rows), 128):
-            some, others = everyone[at : at + 128], everyone[: at + 128]
-            apart = m.candidates(some, others)
-            a, b = np.nonzero((apart <= BITS_APART) & (root[some][:, None] != root[others][None, :]) & (others[None, :] < some[:, None]))
-            if not len(a):
-                continue
-            i, j = some[a], others[b]
-            mine = here(i, j)
-            i, j, bits = i[mine], j[mine], apart[a[mine], b[mine]]
-            order = np.argsort(bits, kind="stable")
-            for start in range(0, len(order), 512):  # what these connect is not compared again after them
-                pairs = zip(i[order[start : start + 512]].tolist(), j[order[start : start + 512]].tolist())
-                pairs = [(k, o) for k, o in pairs if top(joined, int(root[k])) != top(joined, int(root[o]))]
-                near = similar_pairs([said[k] for k, _ in pairs], [said[o] for _, o in pairs])
-                for (k, o), ok in zip(pairs, near.tolist()):
-                    x, y = top(joined, int(root[k])), top(joined, int(root[o]))
-                    if ok and x != y:
-                        joined[x] = y
-                        yield id[k], id[o]
+        def propose(i, j, apart):
+            nonlocal waiting
+            near = np.flatnonzero((apart <= BITS_APART) & (tops(up, root[i]) != tops(up, root[j])))
+            near = near[m.fit(i[near], j[near])]
+            near = near[here(i[near], j[near])]
+            pool.append((i[near], j[near], apart[near]))
+            waiting += len(near)
+            if waiting >= PAIRS_AT_ONCE:
+                verify()
+
+        def verify():
+            """Nearest pairs first, a few of the same two components at once: what they connect is not compared again."""
+            nonlocal waiting
+            i, j, apart = (np.concatenate(c) for c in zip(*pool)) if pool else [np.empty(0, np.int64)] * 3
+            order, most = np.argsort(apart, kind="stable"), 4
+            i, j = i[order], j[order]
+            while len(i):
+                x, y = np.sort([tops(up, root[i]), tops(up, root[j])], axis=0)
+                open_ = np.flatnonzero(x != y)
+                i, j, both = i[open_], j[open_], (x * len(up) + y)[open_]
+                order = np.argsort(both, kind="stable")
+                first = np.flatnonzero(np.r_[True, np.diff(both[order]) != 0][: len(order)])
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+                now = rank < most
+                a, b = i[now], j[now]
+                for k in np.flatnonzero(similar_pairs(said.take(pa.array(a)).to_pylist(), said.take(pa.array(b)).to_pylist())):
+                    x, y = tops(up, root[[a[k], b[k]]])
+                    if x != y:
+                        up[x] = y
+                        links.append((int(m.id[a[k]]), int(m.id[b[k]])))
+                i, j, most = i[~now], j[~now], 4 * most
+            pool.clear()
+            waiting = 0
+
+        sizes = np.diff(np.append(starts, len(m.id)))
+        for n in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]).tolist():
+            a, b = np.triu_indices(n, 1)
+            own = starts[sizes == n]
+            step = max(1, (1 << 20) // len(a))
+            for at in range(0, len(own), step):
+                i, j = ((own[at : at + step, None] + side).ravel() for side in (a, b))
+                propose(i, j, np.bitwise_count(m.sim[i] ^ m.sim[j]))
+        for start, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+            for at in range(1, n, 128):
+                a, b = np.tril_indices(min(128, n - at), at - 1, at + 128)
+                i, j = start + at + a, start + b
+                propose(i, j, np.bitwise_count(m.sim[i] ^ m.sim[j]))
+        verify()
+        return links
 
     def run(batches):
-        held, at, out = [], None, []
+        rest = None  # the list that may go on in the next batch
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in (*ROWS, "root", "postings", "said", "low", "high")]
-            for *row, low, high in zip(*columns):
-                key = (row[1] >> PLACE_BITS, low, high)
-                if key != at:
-                    out += connect(held) if len(held) > 1 else ()
-                    held, at = [], key
-                held.append(row)
-            yield batch_of(out)
-            out = []
-        yield batch_of(list(connect(held)) if len(held) > 1 else [])
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            keys = [rows.column("p").to_numpy() >> PLACE_BITS, rows.column("low").to_numpy(), rows.column("high").to_numpy()]
+            starts = np.append(0, np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1)
+            rest = rows.slice(starts[-1])
+            if len(starts) > 1:
+                yield batch_of(connect(rows.slice(0, starts[-1]).combine_chunks(), starts[:-1]))
+        if rest is not None:
+            yield batch_of(connect(rest.combine_chunks(), np.zeros(1, np.int64)))
 
     def batch_of(found):
         return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
@@ -695,7 +742,7 @@ def groups(docs: DataFrame, marks: DataFrame, distinct: DataFrame) -> DataFrame:
     members = members.withColumn("root", F.coalesce("root", "id")).withColumn("list", F.shiftright("p", PLACE_BITS))
     # of two lines the only pair is verified, and lines of one component need nothing more
     apart = members.groupBy("list").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
-    members = members.join(apart.where("n > 2 and least <> most").select("list"), "list").drop("list")
+    members = members.join(apart.where("n > 2 and least <> most").select("list", "n"), "list").drop("list")
     lines = texts.join(distinct.select("id", "sim", "chars", "postings"), "id")
     members = members.join(lines, "id")
     again = links_in_lists(members).unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
