@@ -15,7 +15,7 @@ FILES = "repo_id string, path string, content string"
 
 def test_a_row_group_becomes_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(views, "ROWS_A_TASK", 100)
-    for make in (rule_queries.scripts,):
+    for make in (rule_queries.scripts, rule_queries.services):
         files = make(spark, "/root/testdata/sf0.001")
         sizes = [n for n in files.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
         assert len(sizes) >= 8 and max(sizes) < 250, sizes
