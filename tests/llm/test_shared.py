@@ -2,9 +2,10 @@
 
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.shared import FREE_SHUFFLES, discard, written
+from ledgerlens.llm.shared import BATCH_BYTES, FREE_SHUFFLES, discard, written
 
 
 def test_written_rows_leave_no_shuffle_files(spark):
@@ -22,3 +23,18 @@ def test_written_rows_leave_no_shuffle_files(spark):
         time.sleep(0.1)
     assert shuffles() <= before
     discard(out)
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    texts = spark.range(0, 4000, 1, 1).select("id", F.repeat(F.lit("x"), 10_000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    setting = spark.conf.get(BATCH_BYTES)
+    out = written(texts.mapInArrow(sizes, "rows long, bytes long"), "batches")
+    found = out.collect()
+    assert sum(r.rows for r in found) == 4000 and max(r.bytes for r in found) < 10 << 20
+    assert spark.conf.get(BATCH_BYTES) == setting
+    discard(out)
