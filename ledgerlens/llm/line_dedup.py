@@ -67,6 +67,8 @@ MIN_CHARS = 20
 LONG, CHARS_AT_ONCE, FEW_PAIRS = 2048, 1 << 18, 8
 #: So many pairs of lists wait for their verification.
 PAIRS_AT_ONCE = 1 << 15
+#: A large list's forest is made from so many of its lines at once, and cut when so many pairs are held; a pair's number in a sort key.
+ROWS_AT_ONCE, FOREST_PAIRS, PAIR = 128, 1 << 18, (1 << 40) - 1
 
 
 def _normal_byte(b: int) -> int:
@@ -398,15 +400,6 @@ class Members:
         known = (at < FAR) & (to < FAR)
         return (np.abs(longer) <= most) & (~known | (np.abs(shift) + np.abs(longer - shift) <= most))
 
-    def candidates(self, some: np.ndarray, others: np.ndarray) -> np.ndarray:
-        """Bits apart of ``some`` (rows) and ``others`` (columns), 255 where no candidate pair."""
-        apart = np.bitwise_count(self.sim[some][:, None] ^ self.sim[others][None, :])
-        a, b = np.nonzero(apart <= BITS_APART)
-        fits = self.fit(some[a], others[b])
-        out = np.full(apart.shape, 255, np.uint8)
-        out[a[fits], b[fits]] = apart[a[fits], b[fits]]
-        return out
-
     def of_small_lists(self, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Smallest spanning forests of all lists of up to ``SMALL`` lines, which begin at ``starts``, at once."""
         found = []
@@ -419,41 +412,70 @@ class Members:
             near = near[self.fit(i[near], j[near])]
             found.append((i[near], j[near], apart[near]))
         i, j, apart = (np.concatenate(c) for c in zip(*found)) if found else [np.empty(0, np.int64)] * 3
-        # nearest pairs first: a pair whose lines are joined already adds nothing
-        order, root, keep = np.argsort(apart, kind="stable"), {}, []
-        for k, x, y in zip(order.tolist(), i[order].tolist(), j[order].tolist()):
-            x, y = top(root, x), top(root, y)
-            if x != y:
-                root[x] = y
-                keep.append(k)
+        nodes, ends = np.unique(np.concatenate([i, j]), return_inverse=True)
+        keep = spanning(ends[: len(i)], ends[len(i) :], apart, len(nodes))
         return i[keep], j[keep]
 
 
-def top(root: dict, x):
-    """End of the path of ``x``, which is halved on the way."""
-    while (up := root.get(x, x)) != x:
-        root[x] = root.get(up, up)
-        x = up
-    return x
-
+def spanning(a: np.ndarray, b: np.ndarray, apart: np.ndarray, n: int) -> np.ndarray:
+    """Which pairs ``a, b`` of ``n`` nodes are the smallest spanning forest by ``apart``; of equal pairs the earlier ones.
 
-def forest(m: Members) -> list[tuple[int, int]]:
+    Boruvka's method: each tree takes its nearest pair to another, all trees at once.
+    """
+    up, kept = np.arange(n), [np.empty(0, np.int64)]
+    left = apart.astype(np.int64) << 40 | np.arange(len(a))  # no two are equal, so the pairs taken make no circle
+    x, y = a, b
+    while len(left):
+        nearest = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(nearest, x, left)
+        np.minimum.at(nearest, y, left)
+        trees = np.flatnonzero(nearest < np.iinfo(np.int64).max)
+        pairs = nearest[trees] & PAIR
+        into = np.arange(n)
+        into[trees] = up[a[pairs]] + up[b[pairs]] - trees
+        both = trees[(into[into[trees]] == trees) & (trees < into[trees])]
+        into[both] = both
+        into = tops(into, np.arange(n))
+        up, x, y = into[up], into[x], into[y]
+        kept.append(np.unique(pairs))
+        open_ = x != y
+        left, x, y = left[open_], x[open_], y[open_]
+    return np.sort(np.concatenate(kept))
+
+
+def forest(m: Members) -> tuple[np.ndarray, np.ndarray]:
     """Smallest spanning forest, by bits apart, of the candidate pairs of a list, as pairs of its places.
 
-    Prim's method, a line at a time against all that are left.
+    Some lines at a time against all before them; the pairs found so far are cut to their forest now and then.
     """
-    rest, out = np.arange(1, len(m.id)), []
-    bits, by, newest = np.full(len(rest), 255, np.uint8), np.zeros(len(rest), np.int64), 0
-    while len(rest):
-        apart = m.candidates(np.array([newest]), rest)[0]
-        nearer = apart < bits
-        bits[nearer], by[nearer] = apart[nearer], newest
-        k = int(bits.argmin())
-        newest = int(rest[k])
-        if bits[k] <= BITS_APART:
-            out.append((int(by[k]), newest))
-        rest, bits, by = (np.delete(x, k) for x in (rest, bits, by))
-    return out
+    found, held = [[np.empty(0, np.int64)] * 3], 0
+
+    def cut():
+        i, j, apart = (np.concatenate(c) for c in zip(*found))
+        keep = spanning(i, j, apart, len(m.id))
+        return i[keep], j[keep], apart[keep]
+
+    for at in range(0, len(m.id), ROWS_AT_ONCE):
+        end = min(at + ROWS_AT_ONCE, len(m.id))
+        apart = np.bitwise_count(m.sim[at:end, None] ^ m.sim[None, :end])
+        i, j = np.nonzero(apart <= BITS_APART)
+        before = j < i + at
+        i, j = i[before], j[before]
+        fits = m.fit(i + at, j)
+        i, j = i[fits], j[fits]
+        found.append((i + at, j, apart[i, j]))
+        held += len(i)
+        if held >= FOREST_PAIRS:
+            found, held = [cut()], 0
+    return cut()[:2]
+
+
+def tops(up: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Ends of the paths of ``x``, where ``up`` leads from each to the next."""
+    x = up[x]
+    while ((further := up[x]) != x).any():
+        x = further
+    return x
 
 
 ROWS = ("id", "p", "sim", "chars")
@@ -492,7 +514,7 @@ def pairs_in_lists(rows: DataFrame, cell: tuple[str, ...] = ()) -> DataFrame:
         return [m.id[i], m.id[j], m.p[i], m.p[j], *[np.zeros(len(i), np.int64)] * 2, np.zeros(len(i), bool)]
 
     def of_list(m):
-        return pair_columns(m, *np.array(forest(m), np.int64).reshape(-1, 2).T)
+        return pair_columns(m, *forest(m))
 
     def as_they_are(m):
         return [m.id, m.id, m.p, m.p, m.columns["sim"], m.chars, np.ones(len(m.id), bool)]
@@ -602,13 +624,6 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "said_a", "said_b").mapInArrow(run, "a long, b long, ok boolean")
 
 
-def tops(up: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """``top`` of many at once, where ``up`` leads from each to the next."""
-    while (further := up[up[x]]).tolist() != (x := up[x]).tolist():
-        x = further
-    return x
-
-
 def links_in_lists(members: DataFrame) -> DataFrame:
     """Links ``a, b`` between lines of one list that are not connected yet.
 
@@ -647,8 +662,9 @@ def links_in_lists(members: DataFrame) -> DataFrame:
 
         def propose(i, j, apart):
             nonlocal waiting
-            near = np.flatnonzero((apart <= BITS_APART) & (tops(up, root[i]) != tops(up, root[j])))
+            near = np.flatnonzero(apart <= BITS_APART)
             near = near[m.fit(i[near], j[near])]
+            near = near[tops(up, root[i[near]]) != tops(up, root[j[near]])]
             near = near[here(i[near], j[near])]
             pool.append((i[near], j[near], apart[near]))
             waiting += len(near)
