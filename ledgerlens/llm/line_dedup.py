@@ -761,9 +761,10 @@ def groups(docs: DataFrame, marks: DataFrame, distinct: DataFrame) -> DataFrame:
     members = members.join(apart.where("n > 2 and least <> most").select("list", "n"), "list").drop("list")
     lines = texts.join(distinct.select("id", "sim", "chars", "postings"), "id")
     members = members.join(lines, "id")
-    again = links_in_lists(members).unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    out = components(again)
-    discard(near, pairs, texts, checked, roots)
+    # written, since components begin in Python: a task that runs two Python steps keeps two workers, and an executor all of them
+    again = written(links_in_lists(members), "list-links")
+    out = components(again.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    discard(near, pairs, texts, checked, roots, again)
     return out
 
 

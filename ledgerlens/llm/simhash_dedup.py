@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import doc_key, free_name, spread, table, written
+from .shared import discard, doc_key, free_name, spread, table, written
 
 SHINGLE, SEED, BITS_APART, POSITIONS = 4, 42, 4, 8
 MIN_EQUAL_BYTES = POSITIONS - BITS_APART
@@ -172,7 +172,9 @@ def links(distinct_fps: DataFrame) -> DataFrame:
 def group_by_fingerprint(marked: DataFrame) -> DataFrame:
     """``(fp, component_id)`` for a table of ``doc_id`` and ``fp``."""
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
-    roots = components(links(distinct.select("fp")))
+    near = written(links(distinct.select("fp")), "fingerprint-links")  # so that a task of components runs one Python step
+    roots = components(near)
+    discard(near)
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
