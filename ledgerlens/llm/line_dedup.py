@@ -64,7 +64,9 @@ BYTES_AT_ONCE, LINE_BITS = 1 << 17, 24
 #: Lines of fewer words are near others from so many characters on; their pairs of characters stand for words.
 MIN_CHARS = 20
 #: Lines of up to so many characters are compared many at once, about so many characters together; fewer pairs one by one.
-LONG, CHARS_AT_ONCE, FEW_PAIRS = 2048, 1 << 18, 8
+LONG, CHARS_AT_ONCE, FEW_PAIRS = 8192, 1 << 20, 16
+#: Classes of characters that are counted, and pairs whose counts are compared at once.
+CLASSES, COUNTS_AT_ONCE = 32, 1 << 13
 #: So many pairs of lists wait for their verification.
 PAIRS_AT_ONCE = 1 << 15
 #: A large list's forest is made from so many of its lines at once, and cut when so many pairs are held; a pair's number in a sort key.
@@ -152,62 +154,110 @@ def similar(a: str, b: str) -> bool:
 
 
 def similar_pairs(a: list[str], b: list[str]) -> np.ndarray:
-    """``similar`` of each pair; pairs of like length share the steps of one table."""
-    ok, left = np.zeros(len(a), bool), []
-    for k, (x, y) in enumerate(zip(a, b)):
-        most = budget(x, y)
-        known = seen_at_once(x, y, most)
-        if known is None and max(len(x), len(y)) <= LONG:
-            left.append((max(len(x), len(y)), k, most))
-        else:
-            ok[k] = distance(x, y, most) <= most if known is None else known
-    left.sort()
-    at = 0
-    while at < len(left):
-        end = at + 1
-        while end < len(left) and left[end][0] <= 1.3 * left[at][0] and (end - at) * left[end][0] < CHARS_AT_ONCE:
-            end += 1
-        _, ks, most = map(np.array, zip(*left[at:end]))
-        if end - at < FEW_PAIRS:
-            ok[ks] = [distance(a[k], b[k], m) <= m for k, m in zip(ks.tolist(), most.tolist())]
-        else:
-            ok[ks] = within(*zip(*(sorted((a[k], b[k]), key=len) for k in ks.tolist())), most)
-        at = end
-    return ok
-
-
-def within(shorter: list[str], longer: list[str], most: np.ndarray) -> np.ndarray:
-    """Is each pair's Levenshtein distance at most ``most``?
-
-    A row of the table is one step for all pairs.  It holds the diagonals that
-    ``most`` edits can reach, from the pair's lowest one on, as distances less
-    the diagonal's number, so an insertion is a running minimum.  Pairs that
-    have ended or cannot end within ``most`` leave now and then.
-    """
-    n, m = (np.array(list(map(len, texts))) for texts in (shorter, longer))
-    begin, width, rows = (m - n - most) // 2 + (m - n - most) % 2, int(most.max()) + 1, int(n.max())
-    goal = m - n - begin
-    x, y = np.full((len(n), rows), 0xFFFFFFFE, np.uint32), np.full((len(n), rows + width + 1), 0xFFFFFFFF, np.uint32)
-    for k, (s, t, at) in enumerate(zip(shorter, longer, (1 - begin).tolist())):
-        x[k, : len(s)] = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
-        y[k, at : at + len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
-    number = np.arange(width, dtype=np.int16)
-    column = begin[:, None] + number
-    row = (np.where(column >= 0, column, 1 << 14) - number).astype(np.int16)
-    ok, own = np.zeros(len(n), bool), np.arange(len(n))
-    for i in range(1, rows + 1):
-        new = row + (y[:, i : i + width] != x[:, i - 1 : i])
-        np.minimum(new[:, :-1], row[:, 1:] + np.int16(2), out=new[:, :-1])
-        row = np.minimum.accumulate(new, axis=1)
-        ended = np.flatnonzero(n == i)
-        ok[own[ended]] = row[ended, goal[ended]] + goal[ended] <= most[ended]
-        if i % 16 == 0:
-            stay = (n > i) & ((row + number + np.abs(goal[:, None] - number)).min(axis=1) <= most)
-            if not stay.any():
-                break
-            if stay.mean() < 0.75:
-                n, most, goal, x, y, row, own = (c[stay] for c in (n, most, goal, x, y, row, own))
-    return ok
+    """``similar`` of each pair."""
+    return Texts([*a, *b]).similar(np.arange(len(a)), np.arange(len(a), 2 * len(a)))
+
+
+class Texts:
+    """Lines as numbers of their characters, of which many pairs are compared at once."""
+
+    def __init__(self, lines: list[str]):
+        self.lines, self.sizes = lines, np.array([len(line) for line in lines], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        raw = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+        seen = np.zeros(int(raw.max(initial=0)) + 1, bool)
+        seen[raw] = True
+        number = np.cumsum(seen) + 1  # 0 stands after a line's end, 1 before its beginning
+        self.codes = number.astype(np.min_scalar_type(number[-1]))[raw]
+        # how often each class of characters is in a line
+        self.counts = np.zeros((len(lines), CLASSES), np.int32)
+        for at in range(0, len(lines), 256):
+            sizes = self.sizes[at : at + 256]
+            codes = self.codes[self.starts[at] : self.starts[at] + sizes.sum()]
+            own = np.repeat(np.arange(len(sizes)) * CLASSES, sizes) + codes % CLASSES
+            self.counts[at : at + 256] = np.bincount(own, minlength=CLASSES * len(sizes)).reshape(-1, CLASSES)
+
+    def similar(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``similar`` of lines ``a`` and ``b``; pairs of like length share the steps of one table."""
+        ok = np.zeros(len(a), bool)
+        swap = self.sizes[a] > self.sizes[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        m = self.sizes[b]
+        most = ((1 - SIMILAR) * m + 1e-9).astype(np.int64)
+        left = np.flatnonzero(m - self.sizes[a] <= most)
+        # an edit gives the longer line at most one character that the shorter has not
+        chunks = np.split(left, range(COUNTS_AT_ONCE, len(left), COUNTS_AT_ONCE))
+        least = np.concatenate([np.maximum(self.counts[b[k]] - self.counts[a[k]], 0).sum(axis=1) for k in chunks])
+        left, least = left[least <= most[left]], least[least <= most[left]]
+        like = left[3 * least <= most[left]]  # a comparison word for word is worth its cost
+        ok[like] = [bool(seen_at_once(self.lines[x], self.lines[y], z)) for x, y, z in zip(a[like].tolist(), b[like].tolist(), most[like].tolist())]
+        left = left[~ok[left]]
+        left = left[np.argsort(m[left], kind="stable")]
+        sizes, at = m[left], 0
+        while at < len(left):
+            size = max(1, int(sizes[at]))
+            end = max(at + 1, min(int(np.searchsorted(sizes, 2 * size, "right")), at + CHARS_AT_ONCE // size))
+            k = left[at:end]
+            if len(k) < FEW_PAIRS or size > LONG:
+                ok[k] = [distance(self.lines[x], self.lines[y], z) <= z for x, y, z in zip(a[k].tolist(), b[k].tolist(), most[k].tolist())]
+            else:
+                ok[k] = self.within(a[k], b[k], most[k])
+            at = end
+        return ok
+
+    def within(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Is the Levenshtein distance of shorter lines ``a`` and longer ones ``b`` at most ``most``?
+
+        Myers' bit vectors in a band (Hyyro): a character of the shorter lines is
+        one step for all pairs.  A bit is a diagonal that ``most`` edits can reach,
+        from the pair's lowest one on; ``up`` and ``down`` tell where the distance
+        rises and falls from a diagonal to the next.  The distance on the diagonal that ends both lines
+        never falls, so pairs that have passed ``most`` there leave now and then, as ended ones do.
+        """
+        n, m = self.sizes[a], self.sizes[b]
+        begin, words, rows = (m - n - most + 1) // 2, int(most.max()) // 64 + 1, int(n.max())
+        goal, width, ok, own = m - n - begin, 64 * words, np.zeros(len(a), bool), np.arange(len(a))
+        x, y = self.padded(a, np.zeros(len(a), np.int64), rows), self.padded(b, 1 - begin, rows + width + 1)
+        up = bits(np.arange(width) >= -begin[:, None])
+        down, same, at = np.zeros_like(up), np.zeros(len(a), np.uint64), np.arange(len(a))
+        for i in range(1, rows + 1):
+            equal = bits(y[:, i : i + width] == x[:, i - 1 : i])
+            total = (equal & up) + up
+            if words > 1:
+                carry = total < up
+                for w in range(1, words):
+                    total[w] += carry[w - 1]
+                    carry[w] |= carry[w - 1] & (total[w] == 0)
+            diagonal = (total ^ up) | equal | down
+            right, left = down | ~(diagonal | up), diagonal & up
+            same += diagonal.ravel()[(goal >> 6) * len(at) + at] >> (goal & 63).astype(np.uint64) & np.uint64(1)
+            shifted = diagonal >> np.uint64(1)
+            shifted[:-1] |= diagonal[1:] << np.uint64(63)
+            up, down = left | ~(shifted | right), shifted & right
+            if i % 16 == 0 or i == rows:
+                few = m - n + i - same.astype(np.int64) <= most
+                ok[own[few & (n <= i)]] = True
+                stay = few & (n > i)
+                if not stay.any():
+                    break
+                if stay.mean() < 0.75:
+                    n, m, most, goal, own, same, x, y = (c[stay] for c in (n, m, most, goal, own, same, x, y))
+                    up, down, at = up[:, stay], down[:, stay], np.arange(len(n))
+        return ok
+
+    def padded(self, which: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+        """Codes of lines ``which``, each from place ``at`` on in a row of ``size``."""
+        first = int(at.max(initial=0))
+        out = np.zeros((len(which), size), self.codes.dtype)
+        out[:, :first] = np.arange(first) < at[:, None]
+        for row, to, start, n in zip(out, at.tolist(), self.starts[which].tolist(), self.sizes[which].tolist()):
+            row[to : to + n] = self.codes[start : start + n][: max(0, size - to)]
+        return out
+
+
+def bits(rows: np.ndarray) -> np.ndarray:
+    """Rows of bits, a multiple of 64, as columns of words."""
+    return np.ascontiguousarray(np.packbits(rows, axis=1, bitorder="little").view("<u8").T)
 
 
 # --- marks of lines ----------------------------------------------------------
@@ -677,22 +727,24 @@ def links_in_lists(members: DataFrame) -> DataFrame:
             i, j, apart = (np.concatenate(c) for c in zip(*pool)) if pool else [np.empty(0, np.int64)] * 3
             order, most = np.argsort(apart, kind="stable"), 4
             i, j = i[order], j[order]
+            lines, ends = np.unique(np.concatenate([i, j]), return_inverse=True)
+            texts, p, q = Texts(said.take(pa.array(lines)).to_pylist()), ends[: len(i)], ends[len(i) :]
             while len(i):
                 x, y = np.sort([tops(up, root[i]), tops(up, root[j])], axis=0)
                 open_ = np.flatnonzero(x != y)
-                i, j, both = i[open_], j[open_], (x * len(up) + y)[open_]
+                i, j, p, q, both = i[open_], j[open_], p[open_], q[open_], (x * len(up) + y)[open_]
                 order = np.argsort(both, kind="stable")
                 first = np.flatnonzero(np.r_[True, np.diff(both[order]) != 0][: len(order)])
                 rank = np.empty(len(order), np.int64)
                 rank[order] = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
                 now = rank < most
                 a, b = i[now], j[now]
-                for k in np.flatnonzero(similar_pairs(said.take(pa.array(a)).to_pylist(), said.take(pa.array(b)).to_pylist())):
+                for k in np.flatnonzero(texts.similar(p[now], q[now])):
                     x, y = tops(up, root[[a[k], b[k]]])
                     if x != y:
                         up[x] = y
                         links.append((int(m.id[a[k]]), int(m.id[b[k]])))
-                i, j, most = i[~now], j[~now], 4 * most
+                i, j, p, q, most = i[~now], j[~now], p[~now], q[~now], 4 * most
             pool.clear()
             waiting = 0
 
